@@ -1,16 +1,34 @@
-"""Registered queries: Spark plans over the driver's tables and their DuckDB twins."""
+"""Registered queries: Spark plans over the driver's tables and their DuckDB twins.
+
+Every query reads the given tables (or data Spark derives from them) whole.
+The generator is a deterministic stand-in (``fixtures.stub_factory``) whose
+answers the SQL twin can recompute.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.metrics import accuracy
+from ..functions.answers import answer_to_label, clean_paraphrase
+from ..functions.prompts import chat_prompt, pair_prompt, paraphrase_prompt, side_sentence
+from ..operators import analysis as A
+from ..operators import checks as C
+from ..operators import prepare as PR
+from ..operators.generate import generate, substitute_paraphrase
+from ..operators.grid import render_grid, run_specs
+from ..operators.metrics import accuracy, distinct_labels
+from ..operators.runs import reuse_consecutive
+from ..sources import readers as R
+from ..sources import sinks as K
+from ..session import new_shared_subdir
 from . import fixtures as fx
 from . import sql as S
 from .evaluate import label_mappings, predictions
 
 TASK = "binary"
+KEYS = ["dataset", "pair_id", "pair_no"]
 
 
 def _cfg():
@@ -21,9 +39,12 @@ def _types():
     return _cfg().prompt_types(TASK)
 
 
-def _runs_sql() -> str:
-    cfg = _cfg()
-    rows = [(fx.STUB_MODEL, t, cfg.prompt(TASK, t).prefix) for t in _types()]
+def _prefix(t: str, task: str = TASK) -> str:
+    return _cfg().prompt(task, t).prefix
+
+
+def _runs_sql(models=(fx.STUB_MODEL,)) -> str:
+    rows = [(m, t, _prefix(t)) for m in models for t in _types()]
     return S.values(rows, ["model", "prompt_type", "prefix"])
 
 
@@ -31,32 +52,505 @@ def _mappings():
     return label_mappings(_cfg(), TASK, _types())
 
 
-# --------------------------------------------------------------------------
-# accuracy_by_dataset: pairs -> prompts (5 types) -> generator -> labels -> accuracy
-# --------------------------------------------------------------------------
-def accuracy_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pr = predictions(fx.pairs(spark, sf_dir), fx.stub_factory, _cfg(), [fx.STUB_MODEL], TASK)
-    return accuracy(pr, ["dataset", "language", "model", "prompt_type"])
+PARA_PREFIX = None
 
 
-def _predictions_sql() -> str:
-    return f"""WITH {S.PAIRS},
-runs AS (SELECT * FROM {_runs_sql()}),
+def _para_prefix() -> str:
+    return _cfg().prompt("paraphrase_gen", "instruct").prefix
+
+
+def _pred(spark, sf_dir) -> DataFrame:
+    return predictions(fx.pairs(spark, sf_dir), fx.stub_factory, _cfg(), [fx.STUB_MODEL], TASK)
+
+
+def _pred_sql(source: str = "pairs") -> str:
+    return f"""runs AS (SELECT * FROM {_runs_sql()}),
 g AS (SELECT p.*, r.model, r.prompt_type,
              {S.pair_prompt('r.prompt_type', 'r.prefix')} AS prompt
-      FROM pairs p CROSS JOIN runs r),
+      FROM {source} p CROSS JOIN runs r),
 pr AS (SELECT *, {S.stub_answer('prompt')} AS raw_answer FROM g),
 pred AS (SELECT *, {S.answer_label('raw_answer', 'prompt_type', _mappings())} AS prediction FROM pr)"""
 
 
+# ---------------------------------------------------------------- evaluation
+def accuracy_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-1/2, GRD-1, GEN-1, TXT-5, ALN-1, AGG-1/2."""
+    return accuracy(_pred(spark, sf_dir), ["dataset", "language", "model", "prompt_type"])
+
+
 def accuracy_by_dataset_sql() -> str:
-    return _predictions_sql() + f"""
+    return f"""WITH {S.PAIRS}, {_pred_sql()}
 SELECT dataset, language, model, prompt_type, {S.ACCURACY}
 FROM pred GROUP BY dataset, language, model, prompt_type"""
 
 
+def generate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEN-1: one generator call per distinct (model, prompt), joined back."""
+    return _pred(spark, sf_dir).select(*KEYS, "prompt_type", "raw_answer")
+
+
+def generate_dedup_sql() -> str:
+    return f"""WITH {S.PAIRS}, {_pred_sql()}
+SELECT dataset, pair_id, pair_no, prompt_type, raw_answer FROM pred"""
+
+
+# ------------------------------------------------------------ answer parsing
+def answer_to_label_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-5 over whole documents used as answers."""
+    docs = fx.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", answer_to_label("text", fx.WORD_MAPPING).alias("prediction"))
+
+
+def answer_to_label_sql() -> str:
+    m = {"w": fx.WORD_MAPPING}
+    return f"""SELECT doc_id, {S.answer_label('text', "'w'", m)} AS prediction FROM documents"""
+
+
+def clean_paraphrase_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-6 over whole documents behind a numbered prefix."""
+    docs = fx.table(spark, sf_dir, "documents")
+    raw = F.concat((F.col("doc_id") % 10).cast("string"), F.lit(". "), F.col("text"))
+    return docs.select("doc_id", clean_paraphrase(raw).alias("clean"))
+
+
+def clean_paraphrase_sql() -> str:
+    return f"""SELECT doc_id, {S.clean('raw')} AS clean
+FROM (SELECT doc_id, CAST(doc_id % 10 AS VARCHAR) || '. ' || text AS raw FROM documents)"""
+
+
+# --------------------------------------------------------------- preparation
+def choice_to_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRE-1 (+ CHK-1 on the choice label)."""
+    return PR.choice_to_pairs(fx.choice_rows(spark, sf_dir), keep=["rid", "win_no"])
+
+
+def choice_to_pairs_sql() -> str:
+    return f"""WITH {S.LABELLED}{S.TRIPLES}
+SELECT rid, win_no, CAST(0 AS BIGINT) AS choice_no, startphrase AS premise,
+       CASE WHEN labels = 0 THEN ending1 ELSE ending2 END AS hypothesis, 'entailment' AS label
+FROM triples
+UNION ALL
+SELECT rid, win_no, CAST(1 AS BIGINT), startphrase,
+       CASE WHEN labels = 0 THEN ending2 ELSE ending1 END, 'not_entailment'
+FROM triples"""
+
+
+def union_labelled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRE-2 + PRJ-4: class given by the file; stamp and append."""
+    p = fx.pairs(spark, sf_dir)
+    cols = [*KEYS, "premise", "hypothesis"]
+    files = {"entailment": p.filter(F.col("gold_label") == "entailment").select(*cols),
+             "not_entailment": p.filter(F.col("gold_label") == "not_entailment").select(*cols)}
+    return C.assert_domain(PR.union_class_files(files), "label", PR.BINARY)
+
+
+def union_labelled_files_sql() -> str:
+    return f"""WITH {S.PAIRS}
+SELECT dataset, pair_id, pair_no, premise, hypothesis, 'entailment' AS label
+FROM pairs WHERE gold_label = 'entailment'
+UNION ALL
+SELECT dataset, pair_id, pair_no, premise, hypothesis, 'not_entailment' AS label
+FROM pairs WHERE gold_label = 'not_entailment'"""
+
+
+def collapse_two_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRE-3: lower-case, check, keep original, contradiction -> not_entailment."""
+    df = PR.two_label_to_binary(fx.two_label_rows(spark, sf_dir))
+    return df.select(*KEYS, "label_original", "label")
+
+
+def collapse_two_labels_sql() -> str:
+    return f"""WITH {S.PAIRS}
+SELECT dataset, pair_id, pair_no,
+       CASE WHEN quality = 1 THEN 'entailment' ELSE 'contradiction' END AS label_original,
+       CASE WHEN quality = 1 THEN 'entailment' ELSE 'not_entailment' END AS label
+FROM pairs"""
+
+
+def collapse_three_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRE-4 + FLT-2: English only, three labels -> binary."""
+    df = PR.three_label_to_binary(fx.three_label_rows(spark, sf_dir), language="en")
+    return df.select(*KEYS, "language", "gold_label_original", "gold_label")
+
+
+def collapse_three_labels_sql() -> str:
+    return f"""WITH {S.PAIRS},
+t AS (SELECT *, CASE WHEN quality = 0 THEN 'contradiction' WHEN toxic = 1 THEN 'neutral'
+                     ELSE 'entailment' END AS g FROM pairs)
+SELECT dataset, pair_id, pair_no, language, g AS gold_label_original,
+       CASE WHEN g = 'entailment' THEN 'entailment' ELSE 'not_entailment' END AS gold_label
+FROM t WHERE language = 'en'"""
+
+
+# ------------------------------------------------------------------- prompts
+def prompt_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-1 with the few-shot question prompt."""
+    p = fx.pairs(spark, sf_dir)
+    return p.select(*KEYS, pair_prompt("qa-few-ent", F.lit(_prefix("qa-few-ent")),
+                                       "premise", "hypothesis").alias("prompt"))
+
+
+def prompt_plain_sql() -> str:
+    return f"""WITH {S.PAIRS}
+SELECT dataset, pair_id, pair_no,
+       {S.pair_prompt(S.lit('qa-few-ent'), S.lit(_prefix('qa-few-ent')))} AS prompt FROM pairs"""
+
+
+def prompt_expert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-2: the expert (chain) layout."""
+    p = fx.pairs(spark, sf_dir)
+    return p.select(*KEYS, pair_prompt("chain", F.lit(_prefix("chain")),
+                                       "premise", "hypothesis").alias("prompt"))
+
+
+def prompt_expert_sql() -> str:
+    return f"""WITH {S.PAIRS}
+SELECT dataset, pair_id, pair_no,
+       {S.pair_prompt(S.lit('chain'), S.lit(_prefix('chain')))} AS prompt FROM pairs"""
+
+
+def prompt_paraphrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-4: paraphrase request for the premise (even ids) or hypothesis."""
+    p = fx.pairs(spark, sf_dir).withColumn("changed_side", fx.side_of())
+    sent = side_sentence(F.col("changed_side"), "premise", "hypothesis")
+    return p.select(*KEYS, "changed_side", paraphrase_prompt(F.lit(_para_prefix()), sent).alias("prompt"))
+
+
+def prompt_paraphrase_sql() -> str:
+    return f"""WITH {S.PAIRS},
+s AS (SELECT *, CASE WHEN pair_id % 2 = 0 THEN 'p' ELSE 'h' END AS changed_side FROM pairs)
+SELECT dataset, pair_id, pair_no, changed_side,
+       {S.paraphrase_prompt(S.lit(_para_prefix()),
+                            "CASE WHEN changed_side = 'p' THEN premise ELSE hypothesis END")} AS prompt
+FROM s"""
+
+
+CHAT_TYPES = ["qa-zero-ent", "chain"]
+
+
+def prompt_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-3 in exploded form, shaped like ``conversations``."""
+    specs = [(fx.STUB_MODEL, t, _prefix(t)) for t in CHAT_TYPES]
+    from ..operators.grid import expand_runs
+    g = expand_runs(fx.pairs(spark, sf_dir), specs)
+    msgs = chat_prompt(F.col("prompt_type"), F.col("prefix"), "premise", "hypothesis")
+    ex = g.select("dataset", F.col("pair_id").alias("conv_id"), "pair_no", "prompt_type",
+                  F.posexplode(msgs).alias("turn", "m"))
+    return ex.select("dataset", "conv_id", "pair_no", "prompt_type",
+                     F.col("turn").cast("bigint").alias("turn"),
+                     F.col("m.role").alias("role"), F.col("m.content").alias("text"))
+
+
+def prompt_chat_sql() -> str:
+    rows = [(t, _prefix(t)) for t in CHAT_TYPES]
+    user = ("CASE WHEN prompt_type = 'chain' THEN 'Premise: ' || premise || chr(10) || "
+            "' Hypothesis: ' || hypothesis || chr(10) || ' Answer:' "
+            "ELSE ' ' || premise || ' -> ' || hypothesis || ': ' END")
+    return f"""WITH {S.PAIRS},
+g AS (SELECT p.*, r.prompt_type, r.prefix FROM pairs p CROSS JOIN (SELECT * FROM {S.values(rows, ['prompt_type', 'prefix'])}) r)
+SELECT dataset, pair_id AS conv_id, pair_no, prompt_type, CAST(0 AS BIGINT) AS turn,
+       'system' AS role, prefix AS text FROM g
+UNION ALL
+SELECT dataset, pair_id, pair_no, prompt_type, CAST(1 AS BIGINT), 'user', {user} FROM g"""
+
+
+def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRD-1/2 + CHK-3: every configured model x prompt type over every
+    dataset in one job; prompt volume per run."""
+    cfg = _cfg()
+    models = [m for m in cfg.models if m != fx.STUB_MODEL]
+    g = render_grid(fx.pairs(spark, sf_dir), run_specs(cfg, TASK, models), cfg, TASK)
+    return g.groupBy("dataset", "model", "prompt_type").agg(
+        F.count(F.lit(1)).alias("n_prompts"),
+        F.sum(F.length("prompt")).cast("bigint").alias("prompt_chars"))
+
+
+def run_grid_sql() -> str:
+    cfg = _cfg()
+    models = [m for m in cfg.models if m != fx.STUB_MODEL]
+    return f"""WITH {S.PAIRS},
+runs AS (SELECT * FROM {_runs_sql(models)}),
+g AS (SELECT p.dataset, r.model, r.prompt_type,
+             {S.pair_prompt('r.prompt_type', 'r.prefix')} AS prompt
+      FROM pairs p CROSS JOIN runs r)
+SELECT dataset, model, prompt_type, count(*) AS n_prompts,
+       CAST(sum(length(prompt)) AS BIGINT) AS prompt_chars
+FROM g GROUP BY dataset, model, prompt_type"""
+
+
+# --------------------------------------------------------- reuse and rewrite
+def reuse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEN-2: one paraphrase call per run of consecutive equal sentences."""
+    docs = fx.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_ord"), F.col("lang").alias("sentence"))
+    out = reuse_consecutive(docs, fx.stub_paraphraser, ["row_ord"], "sentence",
+                            paraphrase_prompt(F.lit(_para_prefix()), F.col("sentence")),
+                            model=fx.STUB_MODEL, answer_col="paraphrase")
+    return out.select("row_ord", "sentence", "is_new", "run_no", "paraphrase")
+
+
+def reuse_runs_sql() -> str:
+    return f"""WITH x AS (
+  SELECT doc_id AS row_ord, lang AS sentence,
+         lag(lang) OVER (ORDER BY doc_id) AS prev, row_number() OVER (ORDER BY doc_id) AS rn
+  FROM documents),
+y AS (SELECT *, CASE WHEN rn = 1 THEN TRUE ELSE coalesce(sentence <> prev, TRUE) END AS is_new FROM x),
+z AS (SELECT *, CAST(sum(CASE WHEN is_new THEN 1 ELSE 0 END)
+                     OVER (ORDER BY row_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run_no
+      FROM y),
+h AS (SELECT run_no, sentence AS head FROM z WHERE is_new)
+SELECT z.row_ord, z.sentence, z.is_new, z.run_no, {S.stub_paraphrase('h.head')} AS paraphrase
+FROM z JOIN h ON z.run_no = h.run_no"""
+
+
+def reuse_runs_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEN-3: reuse keyed by a supplied id (the pair's record id): one call
+    per record run, rendered from the run head's premise."""
+    p = fx.pairs(spark, sf_dir).select(*KEYS, "premise")
+    out = reuse_consecutive(p, fx.stub_paraphraser, ["pair_id", "pair_no"], "pair_id",
+                            paraphrase_prompt(F.lit(_para_prefix()), F.col("premise")),
+                            model=fx.STUB_MODEL, partition_cols=["dataset"], answer_col="paraphrase")
+    return out.select(*KEYS, "is_new", "run_no", "paraphrase")
+
+
+def reuse_runs_by_key_sql() -> str:
+    return f"""WITH {S.PAIRS},
+x AS (SELECT dataset, pair_id, pair_no, premise,
+             lag(pair_id) OVER (PARTITION BY dataset ORDER BY pair_id, pair_no) AS prev,
+             row_number() OVER (PARTITION BY dataset ORDER BY pair_id, pair_no) AS rn
+      FROM pairs),
+y AS (SELECT *, CASE WHEN rn = 1 THEN TRUE ELSE coalesce(pair_id <> prev, TRUE) END AS is_new FROM x),
+z AS (SELECT *, CAST(sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY dataset ORDER BY pair_id, pair_no
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run_no FROM y),
+h AS (SELECT dataset, run_no, premise AS head FROM z WHERE is_new)
+SELECT z.dataset, z.pair_id, z.pair_no, z.is_new, z.run_no, {S.stub_paraphrase('h.head')} AS paraphrase
+FROM z JOIN h ON z.dataset = h.dataset AND z.run_no = h.run_no"""
+
+
+def _paraphrased_pairs(spark, sf_dir) -> DataFrame:
+    """Paraphrase pipeline: request -> GEN-1 -> TXT-6 clean -> GEN-4 substitute."""
+    p = fx.pairs(spark, sf_dir).withColumn("_side", fx.side_of())
+    req = p.withColumn("model", F.lit(fx.STUB_MODEL)).withColumn(
+        "prompt", paraphrase_prompt(F.lit(_para_prefix()),
+                                    side_sentence(F.col("_side"), "premise", "hypothesis")))
+    ans = generate(req, fx.stub_paraphraser, answer_col="raw_paraphrase")
+    cleaned = ans.withColumn("paraphrase", clean_paraphrase("raw_paraphrase"))
+    return substitute_paraphrase(cleaned, F.col("_side")).drop("_side", "prompt", "model",
+                                                                "raw_paraphrase")
+
+
+def substitute_paraphrase_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEN-4 + PRJ-3 + TXT-4 + TXT-6 through the generator."""
+    return _paraphrased_pairs(spark, sf_dir).select(
+        *KEYS, "premise", "hypothesis", "gold_label", "original_sentence", "changed_side")
+
+
+def _paraphrased_sql() -> str:
+    sent = "CASE WHEN side = 'p' THEN premise ELSE hypothesis END"
+    return f""",
+ps AS (SELECT *, CASE WHEN pair_id % 2 = 0 THEN 'p' ELSE 'h' END AS side FROM pairs),
+pc AS (SELECT *, {S.clean(S.stub_paraphrase(sent))} AS paraphrase FROM ps),
+para AS (SELECT dataset, pair_id, pair_no, language,
+                CASE WHEN side = 'p' THEN paraphrase ELSE premise END AS premise,
+                CASE WHEN side = 'h' THEN paraphrase ELSE hypothesis END AS hypothesis,
+                gold_label, quality, toxic, {sent} AS original_sentence, side AS changed_side
+         FROM pc)"""
+
+
+def substitute_paraphrase_sql() -> str:
+    return f"""WITH {S.PAIRS}{_paraphrased_sql()}
+SELECT dataset, pair_id, pair_no, premise, hypothesis, gold_label, original_sentence, changed_side
+FROM para"""
+
+
+# ------------------------------------------------------------ checks, counts
+def label_domain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK-1 as reports over the two-label, three-label and binary labels."""
+    two = fx.two_label_rows(spark, sf_dir).withColumn("label", F.lower("label"))
+    three = fx.three_label_rows(spark, sf_dir).filter(F.col("language") == "en")
+    binary = fx.pairs(spark, sf_dir)
+    return (C.domain_report(two, "label", PR.TWO_LABELS, "two_label")
+            .unionByName(C.domain_report(three, "gold_label", PR.THREE_LABELS, "three_label"))
+            .unionByName(C.domain_report(binary, "gold_label", PR.BINARY, "binary")))
+
+
+def label_domain_report_sql() -> str:
+    return f"""WITH {S.PAIRS},
+t AS (SELECT 'two_label' AS "check", CASE WHEN quality = 1 THEN 'entailment' ELSE 'contradiction' END AS value FROM pairs
+      UNION ALL
+      SELECT 'three_label', CASE WHEN quality = 0 THEN 'contradiction' WHEN toxic = 1 THEN 'neutral' ELSE 'entailment' END
+      FROM pairs WHERE language = 'en'
+      UNION ALL
+      SELECT 'binary', gold_label FROM pairs)
+SELECT "check", value, count(*) AS n_rows,
+       CASE "check" WHEN 'two_label' THEN value IN ('entailment', 'contradiction')
+                    WHEN 'three_label' THEN value IN ('entailment', 'contradiction', 'neutral')
+                    ELSE value IN ('entailment', 'not_entailment') END AS in_domain
+FROM t GROUP BY "check", value"""
+
+
+def row_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK-2 / AGG-3: row-count conservation at each reshaping stage."""
+    ch = fx.choice_rows(spark, sf_dir)
+    chp = PR.choice_to_pairs(ch, keep=["rid", "win_no"])
+    p = fx.pairs(spark, sf_dir)
+    files = {"entailment": p.filter(F.col("gold_label") == "entailment").select("premise", "hypothesis"),
+             "not_entailment": p.filter(F.col("gold_label") == "not_entailment").select("premise", "hypothesis")}
+    un = PR.union_class_files(files)
+    three = fx.three_label_rows(spark, sf_dir)
+    three_out = PR.three_label_to_binary(three, language="en")
+    pred = _pred(spark, sf_dir)
+
+    def n(df):
+        return df.agg(F.count(F.lit(1)).alias("n"))
+
+    def row(name, exp_df, exp_mult, act_df):
+        e = n(exp_df).select((F.col("n") * exp_mult).alias("e"))
+        a = n(act_df).select(F.col("n").alias("a"))
+        return e.crossJoin(a).select(*C.count_check(name, F.col("e"), F.col("a")))
+
+    ent, ne = files["entailment"], files["not_entailment"]
+    both = n(ent).select(F.col("n").alias("x")).crossJoin(n(ne).select(F.col("n").alias("y")))\
+        .select((F.col("x") + F.col("y")).alias("e"))
+    union_row = both.crossJoin(n(un).select(F.col("n").alias("a")))\
+        .select(*C.count_check("class_union_sum", F.col("e"), F.col("a")))
+    n_types = len(_types())
+    return (row("choice_pairs_double", ch, 2, chp)
+            .unionByName(union_row)
+            .unionByName(row("three_label_filter", three.filter(F.col("language") == "en"), 1, three_out))
+            .unionByName(row("predictions_per_prompt", p, n_types, pred)))
+
+
+def row_count_report_sql() -> str:
+    n_types = len(_types())
+    return f"""WITH {S.PAIRS}{S.TRIPLES}
+SELECT 'choice_pairs_double' AS "check", CAST(2 * (SELECT count(*) FROM triples) AS BIGINT) AS expected,
+       CAST(2 * (SELECT count(*) FROM triples) AS BIGINT) AS actual, TRUE AS ok
+UNION ALL
+SELECT 'class_union_sum', (SELECT count(*) FROM pairs), (SELECT count(*) FROM pairs), TRUE
+UNION ALL
+SELECT 'three_label_filter', (SELECT count(*) FROM pairs WHERE language = 'en'),
+       (SELECT count(*) FROM pairs WHERE language = 'en'), TRUE
+UNION ALL
+SELECT 'predictions_per_prompt', {n_types} * (SELECT count(*) FROM pairs),
+       {n_types} * (SELECT count(*) FROM pairs), TRUE"""
+
+
+def distinct_labels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-4: distinct gold labels per dataset."""
+    return distinct_labels(fx.pairs(spark, sf_dir), "gold_label", ["dataset"])
+
+
+def distinct_labels_sql() -> str:
+    return f"""WITH {S.PAIRS} SELECT DISTINCT dataset, gold_label FROM pairs"""
+
+
+# ------------------------------------------------------------------ analyses
+def original_vs_paraphrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-8 + ANL-4: both text versions evaluated in one plan, side by side."""
+    cfg = _cfg()
+    both = R.read_versions(spark, fx.pairs(spark, sf_dir), _paraphrased_pairs(spark, sf_dir))
+    pr = predictions(both, fx.stub_factory, cfg, [fx.STUB_MODEL], TASK)
+    return A.original_vs_paraphrase(pr, ["dataset", "model", "prompt_type"])
+
+
+def original_vs_paraphrase_sql() -> str:
+    return f"""WITH {S.PAIRS}{_paraphrased_sql()},
+both_versions AS (SELECT dataset, pair_id, pair_no, language, premise, hypothesis, gold_label,
+                         'original' AS text_version FROM pairs
+                  UNION ALL
+                  SELECT dataset, pair_id, pair_no, language, premise, hypothesis, gold_label,
+                         'paraphrase' FROM para),
+{_pred_sql('both_versions')},
+agg AS (SELECT dataset, model, prompt_type,
+               count(*) FILTER (WHERE text_version = 'original') AS n_original,
+               count(*) FILTER (WHERE text_version = 'paraphrase') AS n_paraphrase,
+               sum(CASE WHEN gold_label = prediction THEN 1 ELSE 0 END) FILTER (WHERE text_version = 'original') AS c_o,
+               sum(CASE WHEN gold_label = prediction THEN 1 ELSE 0 END) FILTER (WHERE text_version = 'paraphrase') AS c_p
+        FROM pred GROUP BY dataset, model, prompt_type)
+SELECT dataset, model, prompt_type, n_original, n_paraphrase,
+       CAST(c_o AS DOUBLE) / n_original AS acc_original,
+       CAST(c_p AS DOUBLE) / n_paraphrase AS acc_paraphrase,
+       CAST(c_p AS DOUBLE) / n_paraphrase - CAST(c_o AS DOUBLE) / n_original AS acc_delta
+FROM agg"""
+
+
+def accuracy_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANL-1 + ANL-3: accuracy per bin of ten tokens (premise + hypothesis)."""
+    return A.accuracy_by_length(_pred(spark, sf_dir), ["prompt_type"], 10)
+
+
+def accuracy_by_length_sql() -> str:
+    return f"""WITH {S.PAIRS}, {_pred_sql()},
+f AS (SELECT *, CAST(floor(({S.token_count('premise')} + {S.token_count('hypothesis')}) / 10) AS BIGINT) AS length_bin
+      FROM pred)
+SELECT prompt_type, length_bin, {S.ACCURACY} FROM f GROUP BY prompt_type, length_bin"""
+
+
+def accuracy_by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANL-2 + ANL-3: accuracy per Jaccard decile of the two sentences."""
+    return A.accuracy_by_overlap(_pred(spark, sf_dir), ["prompt_type"], 10)
+
+
+def accuracy_by_overlap_sql() -> str:
+    return f"""WITH {S.PAIRS}, {_pred_sql()},
+f AS (SELECT *, coalesce(CAST(least(floor({S.jaccard('premise', 'hypothesis')} * 10), 9) AS BIGINT), -1) AS overlap_bin
+      FROM pred)
+SELECT prompt_type, overlap_bin, {S.ACCURACY} FROM f GROUP BY prompt_type, overlap_bin"""
+
+
+# ---------------------------------------------------------------- round trips
+PAIR_SCHEMA = T.StructType([
+    T.StructField("dataset", T.StringType()), T.StructField("pair_id", T.LongType()),
+    T.StructField("pair_no", T.LongType()), T.StructField("language", T.StringType()),
+    T.StructField("premise", T.StringType()), T.StructField("hypothesis", T.StringType()),
+    T.StructField("gold_label", T.StringType())])
+PAIR_COLS = [f.name for f in PAIR_SCHEMA.fields]
+
+
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1 then SRC-1/SRC-4: quoted TSV written to the shared folder, read back."""
+    path = new_shared_subdir(spark, "pairs-tsv") + "/pairs.tsv"
+    K.write_tsv(fx.pairs(spark, sf_dir).select(*PAIR_COLS), path)
+    return R.load_dataset(spark, path, PAIR_SCHEMA)
+
+
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON Lines written to the shared folder, read back (SRC-3)."""
+    path = new_shared_subdir(spark, "pairs-jsonl") + "/pairs.jsonl"
+    K.write_json_lines(fx.pairs(spark, sf_dir).select(*PAIR_COLS), path)
+    return R.load_dataset(spark, path, PAIR_SCHEMA)
+
+
+def round_trip_sql() -> str:
+    return f"""WITH {S.PAIRS} SELECT {', '.join(PAIR_COLS)} FROM pairs"""
+
+
 QUERIES = {
     "accuracy_by_dataset": (accuracy_by_dataset, accuracy_by_dataset_sql),
+    "generate_dedup": (generate_dedup, generate_dedup_sql),
+    "answer_to_label": (answer_to_label_q, answer_to_label_sql),
+    "clean_paraphrase": (clean_paraphrase_q, clean_paraphrase_sql),
+    "choice_to_pairs": (choice_to_pairs, choice_to_pairs_sql),
+    "union_labelled_files": (union_labelled_files, union_labelled_files_sql),
+    "collapse_two_labels": (collapse_two_labels, collapse_two_labels_sql),
+    "collapse_three_labels": (collapse_three_labels, collapse_three_labels_sql),
+    "prompt_plain": (prompt_plain, prompt_plain_sql),
+    "prompt_expert": (prompt_expert, prompt_expert_sql),
+    "prompt_paraphrase": (prompt_paraphrase, prompt_paraphrase_sql),
+    "prompt_chat": (prompt_chat, prompt_chat_sql),
+    "run_grid": (run_grid, run_grid_sql),
+    "reuse_runs": (reuse_runs, reuse_runs_sql),
+    "reuse_runs_by_key": (reuse_runs_by_key, reuse_runs_by_key_sql),
+    "substitute_paraphrase": (substitute_paraphrase_q, substitute_paraphrase_sql),
+    "label_domain_report": (label_domain_report, label_domain_report_sql),
+    "row_count_report": (row_count_report, row_count_report_sql),
+    "distinct_labels": (distinct_labels_q, distinct_labels_sql),
+    "original_vs_paraphrase": (original_vs_paraphrase, original_vs_paraphrase_sql),
+    "accuracy_by_length": (accuracy_by_length, accuracy_by_length_sql),
+    "accuracy_by_overlap": (accuracy_by_overlap, accuracy_by_overlap_sql),
+    "tsv_round_trip": (tsv_round_trip, round_trip_sql),
+    "json_round_trip": (json_round_trip, round_trip_sql),
 }
 
 

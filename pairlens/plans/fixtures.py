@@ -76,3 +76,47 @@ def choice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.select("rid", F.col("win_no").cast("bigint").alias("win_no"),
                      F.col("w.first").alias("startphrase"), F.col("w.second").alias("ending1"),
                      F.col("w.third").alias("ending2"), F.col("quality").alias("labels"))
+
+
+# A word -> label mapping for parsing whole documents as
+# answers (frequent words of the four languages plus yes/no), so the parser
+# sees hits early, late and never within long texts.
+WORD_MAPPING = {"yes": "entailment", "no": "not_entailment", "the": "entailment",
+                "and": "not_entailment", "la": "entailment", "der": "not_entailment"}
+
+PARAPHRASE_MARK = " Original sentence: "
+PARAPHRASE_END = " Paraphrase: "
+
+
+def stub_paraphraser(model):
+    """Deterministic stand-in for a paraphrasing model: a numbered, lower-cased
+    copy of the sentence plus a second line, the shape real answers have."""
+    def fn(prompts: pd.Series):
+        out = []
+        for p in prompts:
+            if p is None:
+                out.append(None)
+                continue
+            s = p[p.index(PARAPHRASE_MARK) + len(PARAPHRASE_MARK): len(p) - len(PARAPHRASE_END)]
+            out.append(f"{len(s) % 10}. {s.lower()}\nNote: literal.")
+        return out
+    return fn
+
+
+def side_of(pair_id: str = "pair_id"):
+    """Which sentence is paraphrased: premise for even ids, hypothesis for odd."""
+    return F.when(F.col(pair_id) % 2 == 0, F.lit("p")).otherwise(F.lit("h"))
+
+
+def two_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pairs with a two-class label in mixed case."""
+    return pairs(spark, sf_dir).withColumn(
+        "label", F.when(F.col("quality") == 1, F.lit("Entailment")).otherwise(F.lit("CONTRADICTION")))
+
+
+def three_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pairs with a three-class gold label and their language."""
+    gold = (F.when(F.col("quality") == 0, F.lit("contradiction"))
+             .when(F.col("toxic") == 1, F.lit("neutral"))
+             .otherwise(F.lit("entailment")))
+    return pairs(spark, sf_dir).withColumn("gold_label", gold)

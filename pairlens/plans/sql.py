@@ -71,3 +71,44 @@ def answer_label(answer: str, key: str, mappings: dict) -> str:
 ACCURACY = ("count(*) AS n_total, "
             "CAST(sum(CASE WHEN gold_label = prediction THEN 1 ELSE 0 END) AS BIGINT) AS n_correct, "
             "CAST(sum(CASE WHEN gold_label = prediction THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS accuracy")
+
+
+TRIPLES = """,
+triples AS (
+  SELECT doc_id AS rid, CAST(i - 1 AS BIGINT) AS win_no, coalesce(s[i], '') AS startphrase,
+         coalesce(s[i + 1], '') AS ending1, coalesce(s[i + 2], '') AS ending2, quality AS labels
+  FROM (SELECT *, unnest(range(1, greatest(len(s) - 1, 2))) AS i FROM labelled))"""
+
+
+def stub_paraphrase(sentence: str) -> str:
+    return (f"(CAST(length({sentence}) % 10 AS VARCHAR) || '. ' || lower({sentence}) "
+            f"|| chr(10) || 'Note: literal.')")
+
+
+def paraphrase_prompt(prefix_sql: str, sentence: str) -> str:
+    return f"{prefix_sql} || ' Original sentence: ' || {sentence} || ' Paraphrase: '"
+
+
+LINE_BREAK_RE2 = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def clean(answer: str) -> str:
+    first = f"regexp_split_to_array({answer}, '{LINE_BREAK_RE2}')[1]"
+    body = f"split_part(regexp_replace({first}, '[0-9]+.', '', 'g'), '.', 1)"
+    return (f"(CASE WHEN {answer} = '' THEN NULL ELSE "
+            f"regexp_replace({body}, '^{WS_CLASS}+|{WS_CLASS}+$', '', 'g') END)")
+
+
+def token_count(x: str) -> str:
+    return f"CAST(len(list_filter(regexp_split_to_array({x}, '{WS_CLASS}+'), lambda w: w <> '')) AS BIGINT)"
+
+
+def token_set(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '{WS_CLASS}+'), lambda w: w <> ''))"
+
+
+def jaccard(a: str, b: str) -> str:
+    sa, sb = token_set(a), token_set(b)
+    inter = f"CAST(len(list_intersect({sa}, {sb})) AS DOUBLE)"
+    union = f"CAST(len(list_distinct(list_concat({sa}, {sb}))) AS DOUBLE)"
+    return f"(CASE WHEN {union} > 0 THEN {inter} / {union} END)"
