@@ -8,14 +8,15 @@ once per partition, not per row.
 
 Plan of :func:`generate`::
 
-    rows --(model, prompt, hash)--> partial dedupe (map side) --shuffle-->
-    distinct requests --mapInPandas(generator)--> answers
-    rows JOIN answers ON (hash, model, prompt)
-
-Equal requests collapse map-side before the shuffle, so a prompt repeated in
-a third of all rows costs one call and one small shuffle record per task.
-The join back is keyed by the hash *and* the text (a hash collision cannot
-swap answers); AQE's skew-join split handles a hot prompt on the rows side.
+    rows --(request keys, hash)--> partial dedupe (map side) --shuffle-->
+    distinct requests --render prompt--> mapInPandas(generator) --> answers
+    rows LEFT JOIN answers ON (hash, request keys)
+
+Equal requests collapse map-side before the shuffle, so a request repeated
+in a third of all rows costs one call and one small shuffle record per task.
+The join back is keyed by the hash *and* the key values (a hash collision
+cannot swap answers); AQE's skew-join split handles a hot request on the
+rows side.
 """
 
 from __future__ import annotations
@@ -55,10 +56,16 @@ def _runner(factory: Callable, model_col: str, prompt_col: str, answer_col: str,
     return run
 
 
-def requests_of(df: DataFrame, prompt_col: str = "prompt", model_col: str = "model") -> DataFrame:
-    """Distinct generation requests of ``df``: (hash, model, prompt)."""
-    return (df.select(F.xxhash64(model_col, prompt_col).alias(REQ), model_col, prompt_col)
-              .dropDuplicates([REQ, model_col, prompt_col]))
+def _request_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows plus the request hash over ``keys``."""
+    return df.withColumn(REQ, F.xxhash64(*keys))
+
+
+def requests_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct generation requests of ``df`` (hash + key columns). The
+    dedupe is a hash aggregate, partial on the map side, so repeated
+    requests shrink before the shuffle."""
+    return _request_keys(df.select(*keys), keys).dropDuplicates([REQ, *keys])
 
 
 def answer_requests(requests: DataFrame, factory: Callable, prompt_col: str = "prompt",
@@ -71,41 +78,67 @@ def answer_requests(requests: DataFrame, factory: Callable, prompt_col: str = "p
                                 schema)
 
 
-def generate(df: DataFrame, factory: Callable, prompt_col: str = "prompt",
-             model_col: str = "model", answer_col: str = "raw_answer",
-             store: str | None = None, checkpoint: bool = False) -> DataFrame:
+def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
+             keys: list[str] | None = None, model_col: str = "model",
+             answer_col: str = "raw_answer", store: str | None = None,
+             checkpoint: bool = False) -> DataFrame:
     """GEN-1: add ``answer_col`` to every row, calling the generator once per
-    distinct (model, prompt).
+    distinct request.
+
+    A request is identified by ``keys`` (default: the model and prompt
+    columns). With ``keys`` naming the prompt's *inputs* (e.g. model, prompt
+    type, premise, hypothesis) and ``prompt`` a Column rendering it from
+    them, only the short inputs travel through the shuffles; the prompt --
+    mostly a long constant prefix -- is rendered for distinct requests only.
 
-    ``store``: a shared folder of stored answers keyed by (hash, model,
-    prompt). Requests already answered there are skipped (anti-join), new
-    answers are appended, and the join back reads the store -- reruns and
-    task retries never call the generator twice for one request.
+    Rows whose prompt is NULL (missing text) are kept with a NULL answer;
+    the generator never sees them.
+
+    ``store``: a shared folder of answers keyed by the request. Requests
+    already answered there are skipped (anti-join), new answers are
+    appended, and the join back reads the store -- reruns and retries never
+    call the generator twice for one request.
     ``checkpoint``: without a store, checkpoint the answers into the
-    session's checkpoint dir to cut lineage (the plan never re-runs the
-    generator when downstream stages are recomputed).
+    session's checkpoint dir, so recomputing a later stage never re-runs
+    the generator.
     """
-    keyed = df.withColumn(REQ, F.xxhash64(model_col, prompt_col))
-    requests = requests_of(df, prompt_col, model_col)
+    if keys is None:
+        if not isinstance(prompt, str):
+            raise ValueError("a prompt expression needs the request keys it is rendered from")
+        keys = [model_col, prompt]
+    prompt_expr = F.col(prompt) if isinstance(prompt, str) else prompt
+    rows = _request_keys(df, keys)
+    requests = requests_of(df, keys)
     if store is not None:
         spark = df.sparkSession
-        try:
-            done = spark.read.parquet(store)
-            requests = requests.join(done.select(REQ, model_col, prompt_col),
-                                     [REQ, model_col, prompt_col], "left_anti")
-        except Exception as exc:  # no store yet
-            if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-                raise
-        answer_requests(requests, factory, prompt_col, model_col, answer_col)\
-            .write.mode("append").parquet(store)
-        answers = spark.read.parquet(store).dropDuplicates([REQ, model_col, prompt_col])
-    else:
-        answers = answer_requests(requests, factory, prompt_col, model_col, answer_col)
-        if checkpoint:
-            from ..session import shared_dir
-            shared_dir(df.sparkSession)
-            answers = answers.checkpoint(eager=True)
-    return keyed.join(answers, [REQ, model_col, prompt_col], "inner").drop(REQ)
+        done = _read_store(spark, store)
+        if done is not None:
+            requests = requests.join(done.select(REQ, *keys), [REQ, *keys], "left_anti")
+    rendered = (requests.withColumn("_prompt", prompt_expr)
+                .filter(F.col("_prompt").isNotNull())
+                .select(REQ, *keys, "_prompt"))
+    if model_col not in keys:
+        rendered = rendered.withColumn(model_col, F.lit(None).cast("string"))
+    answers = answer_requests(rendered, factory, "_prompt", model_col, answer_col)\
+        .select(REQ, *keys, answer_col)
+    if store is not None:
+        answers.write.mode("append").parquet(store)
+        answers = _read_store(df.sparkSession, store).dropDuplicates([REQ, *keys])
+    elif checkpoint:
+        from ..session import shared_dir
+        shared_dir(df.sparkSession)
+        answers = answers.checkpoint(eager=True)
+    return rows.join(answers, [REQ, *keys], "left").drop(REQ)
+
+
+def _read_store(spark, store: str):
+    try:
+        return spark.read.parquet(store)
+    except Exception as exc:  # nothing stored yet
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) \
+                or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+            return None
+        raise
 
 
 def substitute_paraphrase(df: DataFrame, side, paraphrase_col: str = "paraphrase",

@@ -35,25 +35,39 @@ def allowed_for(dataset_col: Column, config: EvalConfig, task: str) -> Column:
     known = list(config.datasets)
     if not known:
         return F.lit(True)
-    return dataset_col.isin(allowed) | ~dataset_col.isin(known)
+    # a row without a dataset name is not restricted either (never dropped)
+    return F.coalesce(dataset_col.isin(allowed) | ~dataset_col.isin(known), F.lit(True))
 
 
 def expand_runs(pairs: DataFrame, specs: list[tuple], config: EvalConfig | None = None,
                 task: str | None = None, dataset_col: str = "dataset") -> DataFrame:
-    """GRD-1: one row per (pair, run) with ``model``, ``prompt_type``, ``prefix``."""
-    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("prompt_type"),
-                              F.lit(p).alias("prefix")) for m, t, p in specs])
+    """GRD-1: one row per (pair, run) with ``model`` and ``prompt_type``.
+    Prefixes stay out of the rows (see :func:`prefix_for`)."""
+    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("prompt_type"))
+                     for m, t, _ in specs])
     out = pairs
     if config is not None and task is not None:
         out = out.filter(allowed_for(F.col(dataset_col), config, task))
     return (out.withColumn("_run", F.explode(runs))
-               .select("*", "_run.model", "_run.prompt_type", "_run.prefix").drop("_run"))
+               .select("*", "_run.model", "_run.prompt_type").drop("_run"))
+
+
+def prefix_for(prompt_type: Column, specs: list[tuple]) -> Column:
+    """The prompt prefix of a row's prompt type as a CASE over literals, so
+    long prefixes are never copied into shuffled rows."""
+    expr = None
+    for t, p in {t: p for _, t, p in specs}.items():
+        expr = F.when(prompt_type == F.lit(t), F.lit(p)) if expr is None \
+            else expr.when(prompt_type == F.lit(t), F.lit(p))
+    return expr
+
+
+def grid_prompt(specs: list[tuple], premise: str = "premise", hypothesis: str = "hypothesis") -> Column:
+    pt = F.col("prompt_type")
+    return pair_prompt(pt, prefix_for(pt, specs), premise, hypothesis)
 
 
 def render_grid(pairs: DataFrame, specs: list[tuple], config: EvalConfig | None = None,
                 task: str = "binary") -> DataFrame:
     """Expand pairs over runs and render the pair prompt of each run."""
-    return (expand_runs(pairs, specs, config, task)
-            .withColumn("prompt", pair_prompt(F.col("prompt_type"), F.col("prefix"),
-                                              "premise", "hypothesis"))
-            .drop("prefix"))
+    return expand_runs(pairs, specs, config, task).withColumn("prompt", grid_prompt(specs))

@@ -17,7 +17,7 @@ from ..operators import analysis as A
 from ..operators import checks as C
 from ..operators import prepare as PR
 from ..operators.generate import generate, substitute_paraphrase
-from ..operators.grid import render_grid, run_specs
+from ..operators.grid import expand_runs, prefix_for, render_grid, run_specs
 from ..operators.metrics import accuracy, distinct_labels
 from ..operators.runs import reuse_consecutive
 from ..sources import readers as R
@@ -231,9 +231,9 @@ CHAT_TYPES = ["qa-zero-ent", "chain"]
 def prompt_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-3 in exploded form, shaped like ``conversations``."""
     specs = [(fx.STUB_MODEL, t, _prefix(t)) for t in CHAT_TYPES]
-    from ..operators.grid import expand_runs
     g = expand_runs(fx.pairs(spark, sf_dir), specs)
-    msgs = chat_prompt(F.col("prompt_type"), F.col("prefix"), "premise", "hypothesis")
+    msgs = chat_prompt(F.col("prompt_type"), prefix_for(F.col("prompt_type"), specs),
+                       "premise", "hypothesis")
     ex = g.select("dataset", F.col("pair_id").alias("conv_id"), "pair_no", "prompt_type",
                   F.posexplode(msgs).alias("turn", "m"))
     return ex.select("dataset", "conv_id", "pair_no", "prompt_type",
@@ -330,12 +330,13 @@ FROM z JOIN h ON z.dataset = h.dataset AND z.run_no = h.run_no"""
 def _paraphrased_pairs(spark, sf_dir) -> DataFrame:
     """Paraphrase pipeline: request -> GEN-1 -> TXT-6 clean -> GEN-4 substitute."""
     p = fx.pairs(spark, sf_dir).withColumn("_side", fx.side_of())
-    req = p.withColumn("model", F.lit(fx.STUB_MODEL)).withColumn(
-        "prompt", paraphrase_prompt(F.lit(_para_prefix()),
-                                    side_sentence(F.col("_side"), "premise", "hypothesis")))
-    ans = generate(req, fx.stub_paraphraser, answer_col="raw_paraphrase")
+    req = (p.withColumn("model", F.lit(fx.STUB_MODEL))
+            .withColumn("_sent", side_sentence(F.col("_side"), "premise", "hypothesis")))
+    ans = generate(req, fx.stub_paraphraser,
+                   prompt=paraphrase_prompt(F.lit(_para_prefix()), F.col("_sent")),
+                   keys=["model", "_sent"], answer_col="raw_paraphrase")
     cleaned = ans.withColumn("paraphrase", clean_paraphrase("raw_paraphrase"))
-    return substitute_paraphrase(cleaned, F.col("_side")).drop("_side", "prompt", "model",
+    return substitute_paraphrase(cleaned, F.col("_side")).drop("_side", "_sent", "model",
                                                                 "raw_paraphrase")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
 from ..operators.generate import generate
-from ..operators.grid import render_grid, run_specs
+from ..operators.grid import expand_runs, grid_prompt, run_specs
 from ..operators.metrics import accuracy
 
 
@@ -25,11 +25,15 @@ def label_mappings(config: EvalConfig, task: str, prompt_types: list[str]) -> di
 def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
                 task: str = "binary", prompt_types: list[str] | None = None,
                 store: str | None = None, checkpoint: bool = False) -> DataFrame:
-    """One row per (pair, model, prompt type): prompt, raw answer, prediction."""
+    """One row per (pair, model, prompt type): raw answer and prediction.
+    A request is (model, prompt type, premise, hypothesis); its prompt is
+    rendered only once per distinct request."""
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
-    prompts = render_grid(pairs, specs, config, task)
-    answered = generate(prompts, factory, store=store, checkpoint=checkpoint)
+    runs = expand_runs(pairs, specs, config, task)
+    answered = generate(runs, factory, prompt=grid_prompt(specs),
+                        keys=["model", "prompt_type", "premise", "hypothesis"],
+                        store=store, checkpoint=checkpoint)
     return answered.withColumn(
         "prediction", answer_to_label_by("raw_answer", "prompt_type",
                                          label_mappings(config, task, types)))

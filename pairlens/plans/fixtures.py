@@ -56,11 +56,14 @@ def gold_from_quality(q="quality"):
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, pair_id, pair_no, language, premise, hypothesis, gold_label
     (+ quality, toxic) for every pair of neighbouring sentences."""
-    j = labelled_documents(spark, sf_dir)
+    # the sentence array is its own column: the pair expressions refer to it
+    # several times and must not re-split the text for each reference
+    j = labelled_documents(spark, sf_dir).select(
+        "doc_id", "source", "lang", "quality", "toxic", sentences("text").alias("s"))
     exploded = j.select(
         F.col("source").alias("dataset"), F.col("doc_id").alias("pair_id"),
         F.col("lang").alias("language"), "quality", "toxic",
-        F.posexplode(adjacent_pairs(sentences("text"))).alias("pair_no", "p"))
+        F.posexplode(adjacent_pairs("s")).alias("pair_no", "p"))
     return exploded.select(
         "dataset", "pair_id", F.col("pair_no").cast("bigint").alias("pair_no"), "language",
         F.col("p.premise").alias("premise"), F.col("p.hypothesis").alias("hypothesis"),
@@ -70,9 +73,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def choice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """two-choice rows (rid, win_no, startphrase, ending1, ending2, labels)
     from every window of three neighbouring sentences."""
-    j = labelled_documents(spark, sf_dir)
+    j = labelled_documents(spark, sf_dir).select("doc_id", "quality", sentences("text").alias("s"))
     ex = j.select(F.col("doc_id").alias("rid"), "quality",
-                  F.posexplode(adjacent_triples(sentences("text"))).alias("win_no", "w"))
+                  F.posexplode(adjacent_triples("s")).alias("win_no", "w"))
     return ex.select("rid", F.col("win_no").cast("bigint").alias("win_no"),
                      F.col("w.first").alias("startphrase"), F.col("w.second").alias("ending1"),
                      F.col("w.third").alias("ending2"), F.col("quality").alias("labels"))
