@@ -1,0 +1,46 @@
+"""Incremental scoring of generator answers with Structured Streaming.
+
+Answers arrive as files (one per generation batch). The label parser is a
+row-local column expression, so the same code scores a stream; accuracy is
+a stateful streaming aggregation keyed by the run columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.answers import answer_to_label_by
+from ..operators.metrics import accuracy_aggs
+
+
+def read_answer_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(path)
+
+
+def score_stream(answers: DataFrame, mappings: dict, key_col: str = "prompt_type",
+                 answer_col: str = "raw_answer") -> DataFrame:
+    """TXT-5 on a streaming (or batch) DataFrame."""
+    return answers.withColumn("prediction", answer_to_label_by(answer_col, key_col, mappings))
+
+
+def running_accuracy(scored: DataFrame, by: list[str]) -> DataFrame:
+    """AGG-2 as a streaming aggregation (output mode ``update``/``complete``)."""
+    return scored.groupBy(*by).agg(*accuracy_aggs())
+
+
+def start_running_accuracy(spark: SparkSession, answers_path: str, schema, mappings: dict,
+                           by: list[str], checkpoint: str, query_name: str = "running_accuracy",
+                           sink: str = "memory", output: str | None = None):
+    """Start a query that keeps accuracy per run up to date as answer files
+    land. ``checkpoint`` must be a shared folder (state survives restarts)."""
+    scored = score_stream(read_answer_stream(spark, answers_path, schema), mappings)
+    w = (running_accuracy(scored, by).writeStream.outputMode("complete")
+         .option("checkpointLocation", checkpoint).queryName(query_name))
+    if sink == "memory":
+        return w.format("memory").start()
+    return w.format(sink).start(output)

@@ -1,0 +1,28 @@
+import os
+
+import pandas as pd
+
+from pairlens.operators.metrics import accuracy
+from pairlens.streaming.scoring import running_accuracy, score_stream, start_running_accuracy
+
+MAPS = {"qa": {"yes": "entailment", "no": "not_entailment"}}
+SCHEMA = "dataset string, prompt_type string, gold_label string, raw_answer string"
+
+
+def test_streaming_accuracy_equals_batch(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "answers")
+    batches = [[("d1", "qa", "entailment", "Yes."), ("d1", "qa", "not_entailment", "yes")],
+               [("d2", "qa", "not_entailment", "no,"), ("d1", "qa", "entailment", "maybe")]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, SCHEMA).write.parquet(os.path.join(src, f"batch={i}"))
+    q = start_running_accuracy(spark, src + "/*", SCHEMA, MAPS, ["dataset", "prompt_type"],
+                               os.path.join(tmp_dir, "ckpt"), query_name="acc_test")
+    try:
+        q.processAllAvailable()
+        got = {r.dataset: (r.n_total, r.n_correct) for r in spark.sql("select * from acc_test").collect()}
+    finally:
+        q.stop()
+    batch = spark.createDataFrame([r for b in batches for r in b], SCHEMA)
+    want = {r.dataset: (r.n_total, r.n_correct)
+            for r in running_accuracy(score_stream(batch, MAPS), ["dataset", "prompt_type"]).collect()}
+    assert got == want == {"d1": (3, 1), "d2": (1, 1)}
