@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import UNKNOWN
-from .text import EDGE_WS, WS_CLASS, WS_RUN
+from .text import EDGE_WS, UNICODE, WS, WS_RUN
 
 TOKEN_EDGE = r"^[.,]+|[.,]+$"
 # str.splitlines() boundaries.
@@ -57,7 +57,7 @@ def answer_to_label(answer, mapping, unknown: str = UNKNOWN) -> Column:
         # optional dots/commas, a key, optional dots/commas, then white space
         # or the end. The leftmost match is the first qualifying token.
         keys = "|".join(re.escape(k) for k in sorted(mapping, key=len, reverse=True))
-        pattern = rf"(?:^|{WS_CLASS})[.,]*({keys})[.,]*(?={WS_CLASS}|\z)"
+        pattern = UNICODE + rf"(?:^|{WS})[.,]*({keys})[.,]*(?={WS}|\z)"
         hit = F.regexp_extract(text, pattern, 1)
         return F.coalesce(F.try_element_at(_map_literal(mapping), hit), F.lit(unknown))
     m = _map_literal(mapping) if isinstance(mapping, dict) else _col(mapping)

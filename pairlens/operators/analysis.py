@@ -7,16 +7,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, token_count
+from ..functions.text import jaccard_of_sets, token_count, token_set
 from .metrics import accuracy, correct
 
 
+FEATURES = ("premise_len", "hypothesis_len", "overlap")
+
+
 def with_surface_features(df: DataFrame, premise: str = "premise",
                           hypothesis: str = "hypothesis") -> DataFrame:
-    """ANL-1/2: token counts of both sentences and their Jaccard overlap."""
-    return (df.withColumn("premise_len", token_count(premise))
-              .withColumn("hypothesis_len", token_count(hypothesis))
-              .withColumn("overlap", jaccard(premise, hypothesis)))
+    """ANL-1/2: token counts of both sentences and their Jaccard overlap.
+    Depends on the pair only: compute it on pairs, before they are expanded
+    over runs, and carry the three numbers along. Idempotent."""
+    if all(c in df.columns for c in FEATURES):
+        return df
+    # token sets as their own columns: each is built once and read twice
+    with_sets = df.withColumn("_ta", token_set(premise)).withColumn("_tb", token_set(hypothesis))
+    return (with_sets.withColumn("premise_len", token_count(premise))
+                     .withColumn("hypothesis_len", token_count(hypothesis))
+                     .withColumn("overlap", jaccard_of_sets("_ta", "_tb"))
+                     .drop("_ta", "_tb"))
 
 
 def length_bin(width: int = 10):

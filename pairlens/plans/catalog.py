@@ -59,8 +59,11 @@ def _para_prefix() -> str:
     return _cfg().prompt("paraphrase_gen", "instruct").prefix
 
 
-def _pred(spark, sf_dir) -> DataFrame:
-    return predictions(fx.pairs(spark, sf_dir), fx.stub_factory, _cfg(), [fx.STUB_MODEL], TASK)
+def _pred(spark, sf_dir, features: bool = False) -> DataFrame:
+    pairs = fx.pairs(spark, sf_dir)
+    if features:
+        pairs = A.with_surface_features(pairs)
+    return predictions(pairs, fx.stub_factory, _cfg(), [fx.STUB_MODEL], TASK)
 
 
 def _pred_sql(source: str = "pairs") -> str:
@@ -256,13 +259,21 @@ SELECT dataset, pair_id, pair_no, prompt_type, CAST(1 AS BIGINT), 'user', {user}
 
 def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRD-1/2 + CHK-3: every configured model x prompt type over every
-    dataset in one job; prompt volume per run."""
+    dataset in one job; prompt volume per run.
+
+    A pair prompt does not depend on the model, so prompts are rendered and
+    summed once per (pair, prompt type); the small per-(dataset, prompt
+    type) aggregate is then expanded over the models."""
     cfg = _cfg()
     models = [m for m in cfg.models if m != fx.STUB_MODEL]
-    g = render_grid(fx.pairs(spark, sf_dir), run_specs(cfg, TASK, models), cfg, TASK)
-    return g.groupBy("dataset", "model", "prompt_type").agg(
+    types = cfg.prompt_types(TASK)
+    one = render_grid(fx.pairs(spark, sf_dir), run_specs(cfg, TASK, [models[0]], types), cfg, TASK)
+    per_type = one.groupBy("dataset", "prompt_type").agg(
         F.count(F.lit(1)).alias("n_prompts"),
         F.sum(F.length("prompt")).cast("bigint").alias("prompt_chars"))
+    runs = F.array(*[F.lit(m) for m in models])
+    return per_type.select("dataset", F.explode(runs).alias("model"), "prompt_type",
+                           "n_prompts", "prompt_chars")
 
 
 def run_grid_sql() -> str:
@@ -478,7 +489,7 @@ FROM agg"""
 
 def accuracy_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANL-1 + ANL-3: accuracy per bin of ten tokens (premise + hypothesis)."""
-    return A.accuracy_by_length(_pred(spark, sf_dir), ["prompt_type"], 10)
+    return A.accuracy_by_length(_pred(spark, sf_dir, features=True), ["prompt_type"], 10)
 
 
 def accuracy_by_length_sql() -> str:
@@ -490,7 +501,7 @@ SELECT prompt_type, length_bin, {S.ACCURACY} FROM f GROUP BY prompt_type, length
 
 def accuracy_by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANL-2 + ANL-3: accuracy per Jaccard decile of the two sentences."""
-    return A.accuracy_by_overlap(_pred(spark, sf_dir), ["prompt_type"], 10)
+    return A.accuracy_by_overlap(_pred(spark, sf_dir, features=True), ["prompt_type"], 10)
 
 
 def accuracy_by_overlap_sql() -> str:

@@ -6,10 +6,15 @@ These strings are only used to check results; Spark never runs them.
 from __future__ import annotations
 
 from ..config import EXPERT_PROMPT
-from ..functions.text import WS_CLASS
 from .fixtures import STUB_ANSWERS
 
 
+# Python's white space spelled out for RE2 (no Unicode flag there); the same
+# set as the Java-side (?U)[\s\x1c-\x1f].
+WS_CLASS = (r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
