@@ -34,7 +34,7 @@ REQ = "_req_hash"
 
 
 def _runner(factory: Callable, model_col: str, prompt_col: str, answer_col: str,
-            out_cols: list[str]):
+            out_cols: list[str], batch_size: int | None = None):
     def run(batches):
         loaded: dict = {}
         for pdf in batches:
@@ -46,10 +46,13 @@ def _runner(factory: Callable, model_col: str, prompt_col: str, answer_col: str,
                 fn = loaded.get(key)
                 if fn is None:
                     fn = loaded[key] = factory(key)
-                got = list(fn(pdf.loc[idx, prompt_col]))
-                if len(got) != len(idx):
-                    raise ValueError(f"generator returned {len(got)} answers for {len(idx)} prompts")
-                answers.loc[idx] = got
+                step = batch_size or len(idx)
+                for lo in range(0, len(idx), step):
+                    part = idx[lo:lo + step]
+                    got = list(fn(pdf.loc[part, prompt_col]))
+                    if len(got) != len(part):
+                        raise ValueError(f"generator returned {len(got)} answers for {len(part)} prompts")
+                    answers.loc[part] = got
             out = pdf[[c for c in out_cols if c != answer_col]].copy()
             out[answer_col] = answers.values
             yield out[out_cols]
@@ -69,19 +72,29 @@ def requests_of(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def answer_requests(requests: DataFrame, factory: Callable, prompt_col: str = "prompt",
-                    model_col: str = "model", answer_col: str = "raw_answer") -> DataFrame:
-    """Run the generator over a table of requests, one Arrow batch at a time."""
+                    model_col: str = "model", answer_col: str = "raw_answer",
+                    batch_size: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Run the generator over a table of requests, one Arrow batch at a time.
+
+    ``batch_size``: prompts per generator call (Arrow batches are cut to it;
+    their size is ``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    ``partitions``: spread requests over this many generator tasks. AQE
+    coalesces shuffle partitions by *bytes*, and requests are small, so an
+    expensive generator should say how parallel it wants to run."""
+    if partitions:
+        requests = requests.repartition(partitions)
     fields = [f for f in requests.schema.fields]
     out_cols = [f.name for f in fields] + [answer_col]
     schema = T.StructType(fields + [T.StructField(answer_col, T.StringType(), True)])
-    return requests.mapInPandas(_runner(factory, model_col, prompt_col, answer_col, out_cols),
-                                schema)
+    return requests.mapInPandas(
+        _runner(factory, model_col, prompt_col, answer_col, out_cols, batch_size), schema)
 
 
 def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
              keys: list[str] | None = None, model_col: str = "model",
              answer_col: str = "raw_answer", store: str | None = None,
-             checkpoint: bool = False) -> DataFrame:
+             checkpoint: bool = False, batch_size: int | None = None,
+             partitions: int | None = None) -> DataFrame:
     """GEN-1: add ``answer_col`` to every row, calling the generator once per
     distinct request.
 
@@ -119,8 +132,8 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
                 .select(REQ, *keys, "_prompt"))
     if model_col not in keys:
         rendered = rendered.withColumn(model_col, F.lit(None).cast("string"))
-    answers = answer_requests(rendered, factory, "_prompt", model_col, answer_col)\
-        .select(REQ, *keys, answer_col)
+    answers = answer_requests(rendered, factory, "_prompt", model_col, answer_col,
+                              batch_size, partitions).select(REQ, *keys, answer_col)
     if store is not None:
         answers.write.mode("append").parquet(store)
         answers = _read_store(df.sparkSession, store).dropDuplicates([REQ, *keys])

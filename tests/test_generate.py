@@ -9,7 +9,8 @@ from pairlens.operators.generate import generate, substitute_paraphrase
 def _counting_factory(log_dir):
     def factory(model):
         def fn(prompts):
-            with open(os.path.join(log_dir, f"calls-{os.getpid()}-{id(prompts)}"), "a") as f:
+            import uuid
+            with open(os.path.join(log_dir, f"calls-{uuid.uuid4().hex}"), "a") as f:
                 for p in prompts:
                     f.write(p.replace("\n", " ") + "\n")
             return [f"{model}:{p.upper()}" for p in prompts]
@@ -63,3 +64,22 @@ def test_substitute_paraphrase(spark):
     out = substitute_paraphrase(df, F.col("side")).collect()
     assert [(r.premise, r.hypothesis, r.original_sentence, r.changed_side) for r in out] == \
         [("x", "H", "P", "p"), ("P", "y", "H", "h")]
+
+
+def test_generate_batch_size_and_partitions(spark, tmp_dir):
+    sizes = []
+
+    def factory(model):
+        def fn(prompts):
+            import uuid
+            with open(os.path.join(tmp_dir, f"b-{uuid.uuid4().hex}"), "w") as f:
+                f.write(str(len(prompts)))
+            return list(prompts)
+        return fn
+    df = spark.range(100).select(F.lit("m").alias("model"), F.col("id").cast("string").alias("prompt"))
+    out = generate(df, factory, batch_size=7, partitions=3)
+    assert sorted(int(r.raw_answer) for r in out.collect()) == list(range(100))
+    for name in os.listdir(tmp_dir):
+        with open(os.path.join(tmp_dir, name)) as f:
+            sizes.append(int(f.read()))
+    assert max(sizes) <= 7 and sum(sizes) == 100
