@@ -68,3 +68,18 @@ def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return (l_only.agg(F.count(F.lit(1)).alias("n")).select(F.lit("left_only").alias("side"), "n")
             .unionByName(r_only.agg(F.count(F.lit(1)).alias("n"))
                          .select(F.lit("right_only").alias("side"), "n")))
+
+
+def observed_count(df: DataFrame, name: str):
+    """CHK-2 / AGG-3 without an extra pass: attach a row counter to ``df``.
+    Returns ``(df, observation)``; the count is known once an action (the
+    write of the result) has run: ``observation.get['n_rows']``."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("n_rows")), obs
+
+
+def check_conservation(expected: int, actual: int, what: str) -> None:
+    """Raise when an operator lost or invented rows."""
+    if expected != actual:
+        raise AssertionError(f"{what}: expected {expected} rows, got {actual}")

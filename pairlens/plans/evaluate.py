@@ -45,3 +45,30 @@ def evaluate(pairs: DataFrame, factory: Callable, config: EvalConfig, models: li
     """Accuracy of every run, grouped by ``by`` plus the run columns."""
     pr = predictions(pairs, factory, config, models, task, prompt_types)
     return accuracy(pr, [*by, "model", "prompt_type"])
+
+
+def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
+                   out_path: str, task: str = "binary", prompt_types: list[str] | None = None,
+                   run_id: str | None = None, store: str | None = None,
+                   by: list[str] = ("dataset", "language", "text_version")) -> DataFrame:
+    """The evaluation job: predictions written once to the partitioned store
+    (SNK-2/4), row conservation checked from counts observed during that
+    same write (CHK-2: one prediction per pair and run), accuracy computed
+    from the stored predictions (AGG-2) with partition pruning on run_id."""
+    from ..operators.checks import check_conservation, observed_count
+    from ..sources.sinks import run_stamp, write_predictions
+
+    types = prompt_types or config.prompt_types(task)
+    specs = run_specs(config, task, models, types)
+    runs, n_runs = observed_count(expand_runs(pairs, specs, config, task), "runs")
+    answered = generate(runs, factory, prompt=grid_prompt(specs),
+                        keys=["model", "prompt_type", "premise", "hypothesis"], store=store)
+    pred = answered.withColumn("prediction", answer_to_label_by(
+        "raw_answer", "prompt_type", label_mappings(config, task, types)))
+    pred, n_pred = observed_count(pred, "predictions")
+    run_id = run_id or run_stamp()
+    write_predictions(pred, out_path, run_id=run_id)
+    check_conservation(n_runs.get["n_rows"], n_pred.get["n_rows"], "predictions per pair and run")
+    stored = pred.sparkSession.read.parquet(out_path).filter(F.col("run_id") == run_id)
+    keys = [c for c in by if c in stored.columns]
+    return accuracy(stored, [*keys, "model", "prompt_type"])

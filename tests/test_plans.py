@@ -86,3 +86,16 @@ def test_paraphrase_both_reuse_modes(spark, tmp_dir):
     assert [x[1] for x in ra] == ["A B", "E F", "A B"]
     raw = paraphrase_pairs(pairs, para_factory, "echo", "h", cfg, clean=False).orderBy("pair_id").first()
     assert raw.hypothesis == "1. C D.\nmore" and raw.changed_side == "h"
+
+
+def test_run_evaluation_writes_and_checks(spark, tmp_dir):
+    cfg = _cfg(tmp_dir)
+    pairs = load_all(spark, cfg)
+    from pairlens.plans.evaluate import run_evaluation
+    out = os.path.join(tmp_dir, "pred")
+    acc = run_evaluation(pairs, yes_factory, cfg, ["echo"], out, prompt_types=["qa-zero-ent"],
+                         run_id="r1")
+    got = {(r.dataset, r.language): (r.n_total, r.n_correct) for r in acc.collect()}
+    assert got == {("meta", "en"): (2, 1), ("meta", "es"): (1, 0), ("fig", None): (1, 0)}
+    assert os.path.isdir(os.path.join(out, "dataset=meta", "model=echo", "prompt_type=qa-zero-ent",
+                                      "text_version=original", "run_id=r1"))

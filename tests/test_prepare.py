@@ -82,3 +82,15 @@ def test_unmatched_both_sides(spark):
     a = spark.createDataFrame([(1,), (2,)], "k int")
     b = spark.createDataFrame([(2,), (3,), (4,)], "k int")
     assert {r.side: r.n for r in C.unmatched(a, b, ["k"]).collect()} == {"left_only": 1, "right_only": 2}
+
+
+def test_observed_counts_check_conservation(spark, tmp_dir):
+    import os
+    df = spark.createDataFrame([(i, "s", "a", "b", i % 2) for i in range(10)],
+                               "rid int, startphrase string, ending1 string, ending2 string, labels int")
+    src, n_in = C.observed_count(df, "choice_in")
+    out, n_out = C.observed_count(PR.choice_to_pairs(src, keep=["rid"]), "choice_out")
+    out.write.parquet(os.path.join(tmp_dir, "out"))          # one pass counts both
+    C.check_conservation(2 * n_in.get["n_rows"], n_out.get["n_rows"], "two-choice reshape")
+    with pytest.raises(AssertionError):
+        C.check_conservation(n_in.get["n_rows"], n_out.get["n_rows"], "x")
