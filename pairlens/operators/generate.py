@@ -111,9 +111,9 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
     already answered there are skipped (anti-join), new answers are
     appended, and the join back reads the store -- reruns and retries never
     call the generator twice for one request.
-    ``checkpoint``: without a store, checkpoint the answers into the
-    session's checkpoint dir, so recomputing a later stage never re-runs
-    the generator.
+    ``checkpoint``: without a store, write the answers once as Parquet into
+    the session's shared checkpoint folder and read them back, so
+    recomputing a later stage never re-runs the generator.
     """
     if keys is None:
         if not isinstance(prompt, str):
@@ -138,9 +138,8 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
         answers.write.mode("append").parquet(store)
         answers = _read_store(df.sparkSession, store).dropDuplicates([REQ, *keys])
     elif checkpoint:
-        from ..session import shared_dir
-        shared_dir(df.sparkSession)
-        answers = answers.checkpoint(eager=True)
+        from ..session import materialize
+        answers = materialize(answers, "answers")
     return rows.join(answers, [REQ, *keys], "left").drop(REQ)
 
 

@@ -50,13 +50,15 @@ def _require_keys(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def mark_runs(df: DataFrame, order_cols: list[str], value_col: str,
-              partition_cols: list[str] | None = None, bucket_bits: int = 16):
+              partition_cols: list[str] | None = None, bucket_bits: int = 16,
+              keep_bucket: bool = False):
     """Add ``is_new`` (run head) and ``run_no`` (1-based within the partition
     columns) to ``df``. ``order_cols[0]`` must be integral; together the order
     columns must be unique within a partition.
 
     Returns ``(marked, summary)``; ``summary`` has one row per non-empty
-    bucket (partition cols, bucket, ``_first_new``, ``_offset``)."""
+    bucket (partition cols, bucket, ``_first_new``, ``_offset``). With
+    ``keep_bucket`` the rows keep the bucket and a first-row-of-bucket flag."""
     P = list(partition_cols or [])
     O = list(order_cols)
     x = _require_keys(df, [*P, O[0]])
@@ -87,29 +89,42 @@ def mark_runs(df: DataFrame, order_cols: list[str], value_col: str,
     marked = (marked.withColumn("is_new", is_new)
               .withColumn("run_no", F.col("_offset") + F.sum(F.col("is_new").cast("bigint")).over(
                   w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .withColumn("_bucket_first", F.col("_inner_new").isNull())
               .drop("_inner_new", "_first_new", "_offset"))
+    if not keep_bucket:
+        marked = marked.drop(B, "_bucket_first")
     return marked, summary
 
 
 def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], value_col: str,
                       prompt: Column, model: str | None = None,
                       partition_cols: list[str] | None = None, answer_col: str = "raw_answer",
-                      bucket_bits: int = 16) -> DataFrame:
+                      bucket_bits: int = 16, materialize: bool = True) -> DataFrame:
     """Call the generator once per run of consecutive equal ``value_col`` and
     give every row of the run the answer of its head.
 
     GEN-2: ``value_col`` is the sentence; GEN-3: a supplied id column (the
-    prompt is still rendered from the head row's sentence)."""
+    prompt is still rendered from the head row's sentence).
+
+    ``materialize``: the marked rows feed three branches (requests, bucket
+    fan-out, final join) that prune different columns, so Spark cannot reuse
+    one exchange for them; writing them once as Parquet into the shared
+    folder computes the windows once, cuts the lineage, and lets each branch
+    read only its columns."""
     P = list(partition_cols or [])
-    marked, summary = mark_runs(df, order_cols, value_col, P, bucket_bits)
+    marked, _ = mark_runs(df, order_cols, value_col, P, bucket_bits, keep_bucket=True)
+    if materialize:
+        from ..session import materialize as write_back
+        marked = write_back(marked, "runs")
+    # the prompt is rendered from the stored inputs, for run heads only
     heads = marked.filter(F.col("is_new")).select(*P, "run_no", F.lit(model).alias("model"),
                                                   prompt.alias("prompt"))
     answered = answer_requests(heads, factory, "prompt", "model", answer_col)\
         .select(*P, "run_no", answer_col)
     # buckets each run touches: its head's bucket, plus every later bucket
-    # that starts inside the run (carried in from an earlier bucket)
-    fan = (marked.filter(F.col("is_new")).select(*P, B, "run_no")
-           .unionByName(summary.filter(~F.col("_first_new"))
-                        .select(*P, B, F.col("_offset").alias("run_no"))))
+    # whose first row continues it (carried in from an earlier bucket); a
+    # (bucket, run) pair occurs once, so no dedupe is needed
+    fan = marked.filter(F.col("is_new") | F.col("_bucket_first")).select(*P, B, "run_no")
     lookup = _join(fan, answered, [*P, "run_no"])
-    return _join(marked, lookup, [*P, B, "run_no"]).drop(B)
+    rows = marked.drop("_bucket_first")
+    return _join(rows, lookup, [*P, B, "run_no"]).drop(B)

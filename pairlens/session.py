@@ -67,3 +67,12 @@ def new_shared_subdir(spark: SparkSession, prefix: str) -> str:
     """A fresh, unique sub-folder of :func:`shared_dir`."""
     import uuid
     return shared_dir(spark, f"{prefix}-{os.getpid()}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, prefix: str):
+    """Write ``df`` as Parquet into a fresh folder under the shared folder and
+    read it back: one pass, lineage cut (lost executors do not recompute the
+    plan), and later branches read only the columns they need."""
+    path = new_shared_subdir(df.sparkSession, prefix)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

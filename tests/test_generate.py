@@ -83,3 +83,11 @@ def test_generate_batch_size_and_partitions(spark, tmp_dir):
         with open(os.path.join(tmp_dir, name)) as f:
             sizes.append(int(f.read()))
     assert max(sizes) <= 7 and sum(sizes) == 100
+
+
+def test_generate_checkpoint_calls_once(spark, tmp_dir):
+    df = spark.createDataFrame([("m", "a"), ("m", "b")], "model string, prompt string")
+    out = generate(df, _counting_factory(tmp_dir), checkpoint=True)
+    out.collect()
+    out.collect()          # answers are read back from storage, not regenerated
+    assert sorted(_calls(tmp_dir)) == ["a", "b"]
