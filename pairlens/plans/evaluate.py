@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
 from ..operators.generate import generate
-from ..operators.grid import expand_runs, grid_prompt, run_specs
+from ..functions.prompts import chat_prompt
+from ..operators.grid import expand_runs, grid_prompt, prefix_for, run_specs
 from ..operators.metrics import accuracy
 
 
@@ -24,14 +25,20 @@ def label_mappings(config: EvalConfig, task: str, prompt_types: list[str]) -> di
 
 def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
                 task: str = "binary", prompt_types: list[str] | None = None,
-                store: str | None = None, checkpoint: bool = False) -> DataFrame:
+                store: str | None = None, checkpoint: bool = False,
+                chat: bool = False) -> DataFrame:
     """One row per (pair, model, prompt type): raw answer and prediction.
     A request is (model, prompt type, premise, hypothesis); its prompt is
     rendered only once per distinct request."""
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
     runs = expand_runs(pairs, specs, config, task)
-    answered = generate(runs, factory, prompt=grid_prompt(specs),
+    if chat:   # TXT-3: the generator receives [{role, content}, ...] per request
+        pt = F.col("prompt_type")
+        prompt = chat_prompt(pt, prefix_for(pt, specs), "premise", "hypothesis")
+    else:
+        prompt = grid_prompt(specs)
+    answered = generate(runs, factory, prompt=prompt,
                         keys=["model", "prompt_type", "premise", "hypothesis"],
                         store=store, checkpoint=checkpoint)
     return answered.withColumn(

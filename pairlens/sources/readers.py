@@ -39,7 +39,16 @@ def format_of(path: str, fmt: str | None = None) -> str:
 
 
 def read_json_records(spark: SparkSession, path: str, schema) -> DataFrame:
-    """SRC-2: one JSON document holding a list of records."""
+    """SRC-2: one JSON document holding a list of records.
+
+    A column-oriented document (``{"premise": {"0": ...}, ...}``, what
+    pandas writes by default) would silently read as a single row of JSON
+    text; it is rejected after peeking at its first non-blank character."""
+    head = (spark.read.text(path).filter(F.trim(F.col("value")) != "")
+            .select(F.substring(F.trim(F.col("value")), 1, 1).alias("c")).limit(1).collect())
+    if head and head[0].c == "{":
+        raise ValueError(f"{path}: column-oriented JSON is not a list of records; "
+                         "write it with orient='records' or as JSON Lines")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 

@@ -99,3 +99,23 @@ def test_run_evaluation_writes_and_checks(spark, tmp_dir):
     assert got == {("meta", "en"): (2, 1), ("meta", "es"): (1, 0), ("fig", None): (1, 0)}
     assert os.path.isdir(os.path.join(out, "dataset=meta", "model=echo", "prompt_type=qa-zero-ent",
                                       "text_version=original", "run_id=r1"))
+
+
+def chat_factory(model):
+    def fn(messages):
+        out = []
+        for m in messages:
+            roles = [x["role"] for x in m]
+            user = m[1]["content"]
+            assert roles == ["system", "user"]
+            out.append("yes" if "A b" in user else "no")
+        return out
+    return fn
+
+
+def test_chat_predictions(spark, tmp_dir):
+    cfg = _cfg(tmp_dir)
+    pr = predictions(load_pairs(spark, cfg, "meta"), chat_factory, cfg, ["echo"],
+                     prompt_types=["chain"], chat=True)
+    got = sorted((r.premise, r.prediction) for r in pr.collect())
+    assert got == [("A b.", "entailment"), ("A b.", "entailment"), ("E f.", "not_entailment")]

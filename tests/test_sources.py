@@ -128,3 +128,11 @@ def test_config_reader(spark, tmp_dir):
         cfg.dataset("meta4xnli_all")
     d = default_config()
     assert set(d.prompt_types("binary")) == {"nli-zero", "nli-few", "qa-zero-ent", "qa-few-ent", "chain"}
+
+
+def test_column_oriented_json_is_rejected(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "cols.json")
+    with open(p, "w") as f:
+        json.dump({"premise": {"0": "a", "1": "b"}, "hypothesis": {"0": "c", "1": "d"}}, f)
+    with pytest.raises(ValueError, match="column-oriented"):
+        R.load_dataset(spark, p, "premise string, hypothesis string")
