@@ -35,27 +35,40 @@ REQ = "_req_hash"
 
 def _runner(factory: Callable, model_col: str, prompt_col: str, answer_col: str,
             out_cols: list[str], batch_size: int | None = None):
+    """Per-partition loop of the generator hook: load each model's callable
+    once per task, feed it positional slices of each Arrow batch."""
     def run(batches):
+        import numpy as np
         loaded: dict = {}
+
+        def call(model, prompts: pd.Series) -> list:
+            fn = loaded.get(model)
+            if fn is None:
+                fn = loaded[model] = factory(model)
+            got = list(fn(prompts))
+            if len(got) != len(prompts):
+                raise ValueError(f"generator returned {len(got)} answers for {len(prompts)} prompts")
+            return got
+
         for pdf in batches:
-            if pdf.empty:
+            n = len(pdf)
+            if n == 0:
                 continue
-            answers = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            for model, idx in pdf.groupby(model_col, sort=False, dropna=False).groups.items():
+            answers = np.empty(n, dtype=object)
+            models = pdf[model_col]
+            prompts = pdf[prompt_col]
+            groups = ([(models.iat[0], np.arange(n))] if models.nunique(dropna=False) == 1 else
+                      [(m, np.flatnonzero((models == m).to_numpy() if not pd.isna(m)
+                                          else models.isna().to_numpy()))
+                       for m in models.unique()])
+            for model, pos in groups:
                 key = None if pd.isna(model) else model
-                fn = loaded.get(key)
-                if fn is None:
-                    fn = loaded[key] = factory(key)
-                step = batch_size or len(idx)
-                for lo in range(0, len(idx), step):
-                    part = idx[lo:lo + step]
-                    got = list(fn(pdf.loc[part, prompt_col]))
-                    if len(got) != len(part):
-                        raise ValueError(f"generator returned {len(got)} answers for {len(part)} prompts")
-                    answers.loc[part] = got
-            out = pdf[[c for c in out_cols if c != answer_col]].copy()
-            out[answer_col] = answers.values
-            yield out[out_cols]
+                step = batch_size or len(pos)
+                for lo in range(0, len(pos), step):
+                    part = pos[lo:lo + step]
+                    answers[part] = call(key, prompts.iloc[part].reset_index(drop=True))
+            out = pdf[[c for c in out_cols if c != answer_col]]
+            yield out.assign(**{answer_col: answers})[out_cols]
     return run
 
 
@@ -107,6 +120,10 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
     Rows whose prompt is NULL (missing text) are kept with a NULL answer;
     the generator never sees them.
 
+    ``df`` is read twice (rows, and distinct requests); it must be
+    deterministic -- store the output of an earlier generation step (e.g.
+    paraphrases) before evaluating it.
+
     ``store``: a shared folder of answers keyed by the request. Requests
     already answered there are skipped (anti-join), new answers are
     appended, and the join back reads the store -- reruns and retries never

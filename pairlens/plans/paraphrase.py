@@ -23,7 +23,8 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side: str,
                      config: EvalConfig, prompt_type: str = "instruct",
                      reuse: str = "distinct", clean: bool = True,
                      order_cols: list[str] | None = None,
-                     partition_cols: list[str] | None = None) -> DataFrame:
+                     partition_cols: list[str] | None = None,
+                     materialize: bool = True) -> DataFrame:
     """Rewrite the premise (``side='p'``) or hypothesis (``'h'``) of every pair.
 
     ``reuse='distinct'``: one call per distinct sentence (GEN-1).
@@ -31,7 +32,11 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side: str,
     in ``order_cols`` order (GEN-2, the remote-API behaviour; exact even
     for a sampled generator).
     ``clean``: apply TXT-6 (the local-model paraphraser cleans, the remote
-    one does not)."""
+    one does not).
+    ``materialize``: store the result in the shared folder and return the
+    stored table. A sampled generator gives different text each time a plan
+    is recomputed; an evaluation reads its input in two branches (rows and
+    distinct requests), which must see the same paraphrases."""
     if side not in ("p", "h"):
         raise ValueError("side must be 'p' or 'h'")
     config.model(model)
@@ -50,4 +55,7 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side: str,
     para = clean_paraphrase("_raw") if clean else F.col("_raw")
     out = out.withColumn("_para", para).drop("_raw", "_sent")
     out = substitute_paraphrase(out, side, "_para").withColumn("text_version", F.lit("paraphrase"))
+    if materialize:
+        from ..session import materialize as write_back
+        out = write_back(out, "paraphrases")
     return out

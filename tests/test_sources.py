@@ -136,3 +136,23 @@ def test_column_oriented_json_is_rejected(spark, tmp_dir):
         json.dump({"premise": {"0": "a", "1": "b"}, "hypothesis": {"0": "c", "1": "d"}}, f)
     with pytest.raises(ValueError, match="column-oriented"):
         R.load_dataset(spark, p, "premise string, hypothesis string")
+
+
+def test_row_order_across_files_and_splits(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    os.makedirs(d)
+    expect = []
+    for k in range(3):
+        with open(os.path.join(d, f"part-{k}.tsv"), "w") as f:
+            f.write("premise\thypothesis\n")
+            for i in range(2000 * (k + 1)):
+                f.write(f"f{k}-{i}\th\n")
+                expect.append(f"f{k}-{i}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")    # force several splits per file
+    try:
+        df = R.with_row_order(R.read_tsv(spark, d, PAIR, multiline=False))
+        got = [r.premise for r in df.orderBy("row_ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == expect
