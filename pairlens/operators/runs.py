@@ -11,7 +11,9 @@ values (``order >> bucket_bits``); every bucket holds at most
 ``2**bucket_bits`` order values, so each window task is bounded. A bucket's
 first row is compared with the last row of the nearest non-empty earlier
 bucket, taken from a per-bucket summary (one row per bucket), and run
-numbers are offset by a running sum over that summary. Answers are fetched
+numbers are offset by a running sum over that summary. The summary is
+scanned the same way, in blocks of buckets, so the only window over a
+whole dataset sees one row per block (``n / 2**(2*bucket_bits)`` rows). Answers are fetched
 once per run head and joined back on (bucket, run): a run spanning many
 buckets is fanned out once per bucket, so no join key is hot.
 
@@ -49,18 +51,61 @@ def _require_keys(df: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
+def _prefix(df: DataFrame, P: list[str], key: str, bits: int,
+            prev_col: str | None = None, sum_col: str | None = None) -> DataFrame:
+    """Ordered scan over rows with a unique integral ``key`` per ``P``:
+
+    * ``_prev``: ``prev_col`` of the row with the next smaller key (NULL for
+      the first row);
+    * ``_excl``: sum of ``sum_col`` over all rows with a smaller key.
+
+    Rows are grouped into blocks of ``2**bits`` keys: a window per block,
+    then a one-row-per-block summary scanned by one window per ``P``, so no
+    window task holds more than ``2**bits`` rows or ``n / 2**bits`` block rows.
+    """
+    blk = "_blk"
+    x = df.withColumn(blk, F.shiftright(F.col(key), bits))
+    w = Window.partitionBy(*P, blk).orderBy(key)
+    aggs = []
+    if prev_col:
+        x = x.withColumn("_prev_in", F.lag(F.col(prev_col), 1).over(w))\
+             .withColumn("_first_in", F.row_number().over(w) == 1)
+        aggs.append(F.max_by(F.col(prev_col), F.col(key)).alias("_blast"))
+    if sum_col:
+        x = x.withColumn("_excl_in", F.coalesce(F.sum(sum_col).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+        aggs.append(F.sum(sum_col).cast("bigint").alias("_bsum"))
+    blocks = x.groupBy(*P, blk).agg(*aggs)
+    wb = Window.partitionBy(*P).orderBy(blk)
+    if prev_col:
+        blocks = blocks.withColumn("_bprev", F.lag("_blast", 1).over(wb))
+    if sum_col:
+        blocks = blocks.withColumn("_boff", F.coalesce(F.sum("_bsum").over(
+            wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+    out = x.join(blocks.drop("_blast", "_bsum"), [*P, blk], "inner")
+    if prev_col:
+        out = out.withColumn("_prev", F.when(F.col("_first_in"), F.col("_bprev"))
+                             .otherwise(F.col("_prev_in"))).drop("_prev_in", "_first_in", "_bprev")
+    if sum_col:
+        out = out.withColumn("_excl", F.col("_boff") + F.col("_excl_in")).drop("_excl_in", "_boff")
+    return out.drop(blk)
+
+
 def mark_runs(df: DataFrame, order_cols: list[str], value_col: str,
               partition_cols: list[str] | None = None, bucket_bits: int = 16,
-              keep_bucket: bool = False):
+              keep_bucket: bool = False, block_bits: int | None = None):
     """Add ``is_new`` (run head) and ``run_no`` (1-based within the partition
     columns) to ``df``. ``order_cols[0]`` must be integral; together the order
     columns must be unique within a partition.
 
     Returns ``(marked, summary)``; ``summary`` has one row per non-empty
     bucket (partition cols, bucket, ``_first_new``, ``_offset``). With
-    ``keep_bucket`` the rows keep the bucket and a first-row-of-bucket flag."""
+    ``keep_bucket`` the rows keep the bucket and a first-row-of-bucket flag.
+    The bucket summary itself is scanned in blocks of ``2**block_bits``
+    buckets (default: ``bucket_bits``), see :func:`_prefix`."""
     P = list(partition_cols or [])
     O = list(order_cols)
+    bb = bucket_bits if block_bits is None else block_bits
     x = _require_keys(df, [*P, O[0]])
     x = x.withColumn(B, F.shiftright(F.col(O[0]).cast("bigint"), bucket_bits))
     w = Window.partitionBy(*P, B).orderBy(*O)
@@ -74,15 +119,15 @@ def mark_runs(df: DataFrame, order_cols: list[str], value_col: str,
         F.min_by(F.struct(F.col(value_col).alias("v")), order_key).alias("_first"),
         F.max_by(F.struct(F.col(value_col).alias("v")), order_key).alias("_last"),
         F.sum(F.when(F.col("_inner_new"), 1).otherwise(0)).cast("bigint").alias("_inner_heads"))
-    wb = Window.partitionBy(*P).orderBy(B)
+    # previous non-empty bucket's last value, then heads and run offsets
+    summary = _prefix(summary, P, B, bb, prev_col="_last")
     summary = (summary
-               .withColumn("_prev_last", F.lag("_last", 1).over(wb))
-               .withColumn("_first_new", F.when(F.col("_prev_last").isNull(), F.lit(True))
-                           .otherwise(_differs(F.col("_first.v"), F.col("_prev_last.v"))))
+               .withColumn("_first_new", F.when(F.col("_prev").isNull(), F.lit(True))
+                           .otherwise(_differs(F.col("_first.v"), F.col("_prev.v"))))
                .withColumn("_heads", F.col("_inner_heads") + F.col("_first_new").cast("bigint"))
-               .withColumn("_offset", F.sum("_heads").over(
-                   wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_heads"))
-               .select(*P, B, "_first_new", "_offset"))
+               .drop("_prev"))
+    summary = _prefix(summary, P, B, bb, sum_col="_heads")\
+        .withColumnRenamed("_excl", "_offset").select(*P, B, "_first_new", "_offset")
 
     marked = _join(x, summary, [*P, B])
     is_new = F.coalesce(F.col("_inner_new"), F.col("_first_new"))

@@ -28,7 +28,7 @@ def test_mark_runs_matches_loop_across_buckets(spark, bits):
     rng = random.Random(bits)
     ords, vals = _rows(rng, 400)
     df = spark.createDataFrame(list(zip(ords, vals)), "o long, v string")
-    marked, _ = mark_runs(df, ["o"], "v", bucket_bits=bits)
+    marked, _ = mark_runs(df, ["o"], "v", bucket_bits=bits, block_bits=max(bits, 1))
     got = {r.o: (r.is_new, r.run_no) for r in marked.collect()}
     want = runs(vals)
     assert [got[o] for o in ords] == want
@@ -69,3 +69,16 @@ def test_mark_runs_rejects_null_order(spark):
     df = spark.createDataFrame([(None, "a")], "o long, v string")
     with pytest.raises(Exception):
         mark_runs(df, ["o"], "v")[0].collect()
+
+
+def test_hot_run_spanning_many_buckets_and_blocks(spark):
+    # a third of all rows in one run, crossing many buckets and blocks
+    vals = ["hot"] * 1000 + [None, "x", "x", "y"] * 250 + ["hot"] * 1000
+    ords = list(range(0, 2 * len(vals), 2))
+    df = spark.createDataFrame(list(zip(ords, vals)), "o long, v string")
+    marked, _ = mark_runs(df, ["o"], "v", bucket_bits=3, block_bits=2)
+    got = {r.o: (r.is_new, r.run_no) for r in marked.collect()}
+    assert [got[o] for o in ords] == runs(vals)
+    out = reuse_consecutive(df, _echo, ["o"], "v", F.col("v"), model="m", bucket_bits=3)
+    got = {r.o: r.raw_answer for r in out.collect()}
+    assert all(got[o] == "<hot>" for o in ords[:1000] + ords[-1000:])
