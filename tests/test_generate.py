@@ -91,3 +91,36 @@ def test_generate_checkpoint_calls_once(spark, tmp_dir):
     out.collect()
     out.collect()          # answers are read back from storage, not regenerated
     assert sorted(_calls(tmp_dir)) == ["a", "b"]
+
+
+def test_hot_request_join_is_split_by_aqe(spark, tmp_dir):
+    """One request holds a third of all rows: dedupe collapses it map-side
+    and AQE splits the skewed partition of the join back."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.localShuffleReader.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 30000
+        df = spark.range(n).select(
+            F.lit("m").alias("model"),
+            F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("prompt"),
+            F.col("id"))
+        out = generate(df, _counting_factory(tmp_dir))
+        rows = out.collect()
+        assert len(rows) == n
+        assert sum(1 for r in rows if r.raw_answer == "m:HOT") == n // 3
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan, plan
+        assert _calls(tmp_dir).count("hot") == 1
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
