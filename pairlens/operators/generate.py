@@ -107,7 +107,7 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
              keys: list[str] | None = None, model_col: str = "model",
              answer_col: str = "raw_answer", store: str | None = None,
              checkpoint: bool = False, batch_size: int | None = None,
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, requests: DataFrame | None = None) -> DataFrame:
     """GEN-1: add ``answer_col`` to every row, calling the generator once per
     distinct request.
 
@@ -124,6 +124,10 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
     deterministic -- store the output of an earlier generation step (e.g.
     paraphrases) before evaluating it.
 
+    ``requests``: the distinct key combinations, when the caller can build
+    them more cheaply than deduplicating ``df`` (e.g. distinct sentence
+    pairs expanded over a constant run list).
+
     ``store``: a shared folder of answers keyed by the request. Requests
     already answered there are skipped (anti-join), new answers are
     appended, and the join back reads the store -- reruns and retries never
@@ -138,7 +142,8 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
         keys = [model_col, prompt]
     prompt_expr = F.col(prompt) if isinstance(prompt, str) else prompt
     rows = _request_keys(df, keys)
-    requests = requests_of(df, keys)
+    requests = requests_of(df, keys) if requests is None else \
+        _request_keys(requests.select(*keys), keys)
     if store is not None:
         spark = df.sparkSession
         done = _read_store(spark, store)

@@ -15,7 +15,7 @@ from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
 from ..operators.generate import generate
 from ..functions.prompts import chat_prompt
-from ..operators.grid import expand_runs, grid_prompt, prefix_for, run_specs
+from ..operators.grid import allowed_for, expand_runs, grid_prompt, prefix_for, run_specs
 from ..operators.metrics import accuracy
 
 
@@ -23,16 +23,15 @@ def label_mappings(config: EvalConfig, task: str, prompt_types: list[str]) -> di
     return {t: config.prompt(task, t).label_mapping or {} for t in prompt_types}
 
 
-def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
-                task: str = "binary", prompt_types: list[str] | None = None,
-                store: str | None = None, checkpoint: bool = False,
-                chat: bool = False) -> DataFrame:
-    """One row per (pair, model, prompt type): raw answer and prediction.
-    A request is (model, prompt type, premise, hypothesis); its prompt is
-    rendered only once per distinct request."""
-    types = prompt_types or config.prompt_types(task)
-    specs = run_specs(config, task, models, types)
-    runs = expand_runs(pairs, specs, config, task)
+def _answer_runs(pairs: DataFrame, runs: DataFrame, factory: Callable, config: EvalConfig,
+                 task: str, specs: list[tuple], types: list[str], store: str | None,
+                 checkpoint: bool, chat: bool) -> DataFrame:
+    # distinct requests = distinct sentence pairs x the constant run list:
+    # dedupe the pairs first (a fraction of the rows through the shuffle),
+    # then expand on the reduce side
+    allowed = pairs.filter(allowed_for(F.col("dataset"), config, task))      # CHK-3
+    distinct_pairs = allowed.select("premise", "hypothesis").dropDuplicates()
+    requests = expand_runs(distinct_pairs, specs).select("model", "prompt_type", "premise", "hypothesis")
     if chat:   # TXT-3: the generator receives [{role, content}, ...] per request
         pt = F.col("prompt_type")
         prompt = chat_prompt(pt, prefix_for(pt, specs), "premise", "hypothesis")
@@ -40,12 +39,25 @@ def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models:
         prompt = grid_prompt(specs)
     answered = generate(runs, factory, prompt=prompt,
                         keys=["model", "prompt_type", "premise", "hypothesis"],
-                        store=store, checkpoint=checkpoint)
+                        store=store, checkpoint=checkpoint, requests=requests)
     return answered.withColumn(
         "prediction", answer_to_label_by("raw_answer", "prompt_type",
                                          label_mappings(config, task, types)))
 
 
+def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
+                task: str = "binary", prompt_types: list[str] | None = None,
+                store: str | None = None, checkpoint: bool = False,
+                chat: bool = False) -> DataFrame:
+    """One row per (pair, model, prompt type): raw answer and prediction.
+    A request is (model, prompt type, premise, hypothesis); its prompt is
+    rendered only once per distinct request."""
+    types = prompt_types or config.prompt_types(task)
+    specs = run_specs(config, task, models, types)
+    runs = expand_runs(pairs, specs, config, task)
+    return _answer_runs(pairs, runs, factory, config, task, specs, types, store, checkpoint, chat)
+
+
 def evaluate(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
              by: list[str] = ("dataset", "language"), task: str = "binary",
              prompt_types: list[str] | None = None) -> DataFrame:
@@ -68,10 +80,7 @@ def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, mode
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
     runs, n_runs = observed_count(expand_runs(pairs, specs, config, task), "runs")
-    answered = generate(runs, factory, prompt=grid_prompt(specs),
-                        keys=["model", "prompt_type", "premise", "hypothesis"], store=store)
-    pred = answered.withColumn("prediction", answer_to_label_by(
-        "raw_answer", "prompt_type", label_mappings(config, task, types)))
+    pred = _answer_runs(pairs, runs, factory, config, task, specs, types, store, False, False)
     pred, n_pred = observed_count(pred, "predictions")
     run_id = run_id or run_stamp()
     write_predictions(pred, out_path, run_id=run_id)
