@@ -38,6 +38,17 @@ def digest(columns, rows):
     return sorted(columns), len(rows), h.hexdigest()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "date": "DATE"}
+
+
+def types_match(df, rel):
+    s = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+         for f in df.schema.fields}
+    d = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    return s == d, s, d
+
+
 def duck(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -68,11 +79,15 @@ def compare(spark, sf_dir, names=None, verbose=True):
         dcols = rel.columns
         drows = rel.fetchall()
         d = digest(dcols, drows)
-        ok = s == d
+        tok, st, dt = types_match(df, rel)
+        ok = s == d and tok
         results[name] = (ok, s, d)
         if verbose:
             print(f"{name:32s} rows={s[1]:8d}/{d[1]:8d} cols={'ok' if s[0]==d[0] else 'DIFF'} "
+                  f"types={'ok' if tok else 'DIFF'} "
                   f"hash={'ok' if s[2]==d[2] else 'DIFF'} spark={t1-t0:6.2f}s", flush=True)
+            if not tok:
+                print("   spark types:", st, "\n   duck types: ", dt)
             if s[0] != d[0]:
                 print("   spark:", s[0], "\n   duck: ", d[0])
     return results
