@@ -541,6 +541,66 @@ def round_trip_sql() -> str:
     return f"""WITH {S.PAIRS} SELECT {', '.join(PAIR_COLS)} FROM pairs"""
 
 
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-1 (comma) then SRC-1/SRC-5: quoted CSV written and read back."""
+    path = new_shared_subdir(spark, "pairs-csv") + "/pairs.csv"
+    K.write_csv(fx.pairs(spark, sf_dir).select(*PAIR_COLS), path)
+    return R.load_dataset(spark, path, PAIR_SCHEMA)
+
+
+def class_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-6 + PRE-2 from files: one headerless TSV per class, read with a
+    schema, labels restored from the file they came from."""
+    base = new_shared_subdir(spark, "class-files")
+    p = fx.pairs(spark, sf_dir)
+    schema = "premise string, hypothesis string"
+    files = {}
+    for label in PR.BINARY:
+        path = f"{base}/{label}.tsv"
+        K.write_tsv(p.filter(F.col("gold_label") == label).select("premise", "hypothesis"),
+                    path, header=False)
+        files[label] = R.read_tsv(spark, path, schema, header=False)
+    return C.assert_domain(PR.union_class_files(files), "label", PR.BINARY)
+
+
+def class_files_round_trip_sql() -> str:
+    return f"""WITH {S.PAIRS} SELECT premise, hypothesis, gold_label AS label FROM pairs"""
+
+
+PARA_COLS = ["premise", "hypothesis", "gold_label", "original_sentence", "changed_side"]
+
+
+def paraphrase_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-3 then SRC-8/PRJ-3: paraphrase tables written per side (last
+    column original_premise / original_hypothesis) and loaded back as the
+    paraphrase version of configured datasets."""
+    from ..config import DatasetSpec, EvalConfig
+    base = new_shared_subdir(spark, "paraphrase-files")
+    para = materialize(_paraphrased_pairs(spark, sf_dir), "paraphrases")
+    datasets = {}
+    for side in ("p", "h"):
+        path = f"{base}/side_{side}.tsv"
+        K.write_tsv(K.paraphrase_frame(para.filter(F.col("changed_side") == side), side), path)
+        datasets[f"para-{side}"] = DatasetSpec(name=f"para-{side}", data_path_paraphrase=path)
+    cfg = EvalConfig(datasets=datasets, models={}, prompts={})
+    from .load import load_all
+    return load_all(spark, cfg, versions=("paraphrase",)).select(*PARA_COLS)
+
+
+def paraphrase_tsv_round_trip_sql() -> str:
+    return f"""WITH {S.PAIRS}{_paraphrased_sql()} SELECT {', '.join(PARA_COLS)} FROM para"""
+
+
+def stored_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2/SNK-4 + CHK-2 + AGG-2: the evaluation job -- predictions written
+    once to the run-partitioned store with row conservation checked from
+    counts observed during the write, accuracy read back from the store."""
+    from .evaluate import run_evaluation
+    out = new_shared_subdir(spark, "predictions")
+    return run_evaluation(fx.pairs(spark, sf_dir), fx.stub_factory, _cfg(), [fx.STUB_MODEL], out,
+                          TASK, run_id="fixture-run", by=["dataset", "language"])
+
+
 QUERIES = {
     "accuracy_by_dataset": (accuracy_by_dataset, accuracy_by_dataset_sql),
     "generate_dedup": (generate_dedup, generate_dedup_sql),
@@ -566,6 +626,10 @@ QUERIES = {
     "accuracy_by_overlap": (accuracy_by_overlap, accuracy_by_overlap_sql),
     "tsv_round_trip": (tsv_round_trip, round_trip_sql),
     "json_round_trip": (json_round_trip, round_trip_sql),
+    "csv_round_trip": (csv_round_trip, round_trip_sql),
+    "class_files_round_trip": (class_files_round_trip, class_files_round_trip_sql),
+    "paraphrase_tsv_round_trip": (paraphrase_tsv_round_trip, paraphrase_tsv_round_trip_sql),
+    "stored_accuracy": (stored_accuracy, accuracy_by_dataset_sql),
 }
 
 

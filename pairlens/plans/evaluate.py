@@ -85,6 +85,8 @@ def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, mode
     run_id = run_id or run_stamp()
     write_predictions(pred, out_path, run_id=run_id)
     check_conservation(n_runs.get["n_rows"], n_pred.get["n_rows"], "predictions per pair and run")
-    stored = pred.sparkSession.read.parquet(out_path).filter(F.col("run_id") == run_id)
+    # read back with the written schema: partition values keep their types
+    schema = pred.schema.add("run_id", "string")
+    stored = pred.sparkSession.read.schema(schema).parquet(out_path).filter(F.col("run_id") == run_id)
     keys = [c for c in by if c in stored.columns]
     return accuracy(stored, [*keys, "model", "prompt_type"])

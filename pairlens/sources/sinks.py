@@ -20,10 +20,11 @@ def run_stamp(now: datetime | None = None) -> str:
     return (now or datetime.now(timezone.utc)).strftime("%d-%m-%Y_%H_%M_%S")
 
 
-def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True,
+              sep: str = "\t") -> str:
     """SNK-1: quoted TSV with a header (one or more part files)."""
     (df.write.mode(mode)
-       .option("sep", "\t").option("header", True)
+       .option("sep", sep).option("header", header)
        .option("quote", '"').option("escape", '"')
        # keep white space at both ends (the writer trims by default); NULL is
        # an unquoted empty field, the empty string a quoted one
@@ -33,6 +34,11 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True) -> str:
+    """Comma-separated variant of SNK-1."""
+    return write_tsv(df, path, mode, header, sep=",")
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     df.write.mode(mode).json(path)
     return path
