@@ -60,6 +60,10 @@ def write_predictions(pred: DataFrame, path: str, run_id: str | None = None,
     partition."""
     cols = [c for c in (partition_cols or RUN_COLUMNS) if c in pred.columns]
     out = pred.withColumn("run_id", F.lit(run_id or run_stamp()))
+    # cluster rows by their output folder so each task writes few files; AQE
+    # splits a skewed folder (one dataset may hold a third of all rows) and
+    # merges small ones
+    out = out.hint("rebalance", *cols, "run_id")
     out.write.mode(mode).partitionBy(*cols, "run_id").parquet(path)
     return path
 
