@@ -52,9 +52,6 @@ def _mappings():
     return label_mappings(_cfg(), TASK, _types())
 
 
-PARA_PREFIX = None
-
-
 def _para_prefix() -> str:
     return _cfg().prompt("paraphrase_gen", "instruct").prefix
 

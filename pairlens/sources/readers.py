@@ -19,10 +19,6 @@ FORMATS = ("json", "jsonl", "tsv", "csv")
 NULL_MARKER = "\u0000"
 
 
-def _schema(schema) -> T.StructType | str:
-    return schema
-
-
 def format_of(path: str, fmt: str | None = None) -> str:
     """SRC-1: reader chosen by the last suffix: json, jsonl, tsv, else csv.
     An unknown suffix is an error unless a format is given (the reference

@@ -8,7 +8,6 @@ a stateful streaming aggregation keyed by the run columns.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.answers import answer_to_label_by
 from ..operators.metrics import accuracy_aggs
