@@ -7,6 +7,8 @@ answers the SQL twin can recompute.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -410,24 +412,27 @@ def row_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     three_out = PR.three_label_to_binary(three, language="en")
     pred = _pred(spark, sf_dir)
 
-    def n(df):
-        return df.agg(F.count(F.lit(1)).alias("n"))
-
-    def row(name, exp_df, exp_mult, act_df):
-        e = n(exp_df).select((F.col("n") * exp_mult).alias("e"))
-        a = n(act_df).select(F.col("n").alias("a"))
-        return e.crossJoin(a).select(*C.count_check(name, F.col("e"), F.col("a")))
-
-    ent, ne = files["entailment"], files["not_entailment"]
-    both = n(ent).select(F.col("n").alias("x")).crossJoin(n(ne).select(F.col("n").alias("y")))\
-        .select((F.col("x") + F.col("y")).alias("e"))
-    union_row = both.crossJoin(n(un).select(F.col("n").alias("a")))\
-        .select(*C.count_check("class_union_sum", F.col("e"), F.col("a")))
-    n_types = len(_types())
-    return (row("choice_pairs_double", ch, 2, chp)
-            .unionByName(union_row)
-            .unionByName(row("three_label_filter", three.filter(F.col("language") == "en"), 1, three_out))
-            .unionByName(row("predictions_per_prompt", p, n_types, pred)))
+    def tagged(check, side, df, mult=1):
+        return df.agg((F.count(F.lit(1)) * F.lit(mult)).cast("bigint").alias("n"))\
+                 .select(F.lit(check).alias("check"), F.lit(side).alias("side"), "n")
+
+    three_en = three.filter(F.col("language") == "en")
+    parts = [tagged("choice_pairs_double", "expected", ch, 2),
+             tagged("choice_pairs_double", "actual", chp),
+             tagged("class_union_sum", "expected", files["entailment"]),
+             tagged("class_union_sum", "expected", files["not_entailment"]),
+             tagged("class_union_sum", "actual", un),
+             tagged("three_label_filter", "expected", three_en),
+             tagged("three_label_filter", "actual", three_out),
+             tagged("predictions_per_prompt", "expected", p, len(_types())),
+             tagged("predictions_per_prompt", "actual", pred)]
+    counts = reduce(lambda a, b: a.unionByName(b), parts)
+    side = F.col("side")
+    report = counts.groupBy("check").agg(
+        F.sum(F.when(side == "expected", F.col("n"))).cast("bigint").alias("expected"),
+        F.sum(F.when(side == "actual", F.col("n"))).cast("bigint").alias("actual"))
+    return report.select("check", "expected", "actual",
+                         (F.col("expected") == F.col("actual")).alias("ok"))
 
 
 def row_count_report_sql() -> str:
