@@ -49,6 +49,10 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "inner")
 
 
+def _text():
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
 def gold_from_quality(q="quality"):
     return F.when(F.col(q) == 1, F.lit(ENTAILMENT)).otherwise(F.lit(NOT_ENTAILMENT))
 
@@ -57,9 +61,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, pair_id, pair_no, language, premise, hypothesis, gold_label
     (+ quality, toxic) for every pair of neighbouring sentences."""
     # the sentence array is its own column: the pair expressions refer to it
-    # several times and must not re-split the text for each reference
+    # several times and must not re-split the text for each reference; a
+    # missing text counts as empty, so every labelled document yields a pair
     j = labelled_documents(spark, sf_dir).select(
-        "doc_id", "source", "lang", "quality", "toxic", sentences("text").alias("s"))
+        "doc_id", "source", "lang", "quality", "toxic", sentences(_text()).alias("s"))
     exploded = j.select(
         F.col("source").alias("dataset"), F.col("doc_id").alias("pair_id"),
         F.col("lang").alias("language"), "quality", "toxic",
@@ -73,7 +78,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def choice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """two-choice rows (rid, win_no, startphrase, ending1, ending2, labels)
     from every window of three neighbouring sentences."""
-    j = labelled_documents(spark, sf_dir).select("doc_id", "quality", sentences("text").alias("s"))
+    j = labelled_documents(spark, sf_dir).select("doc_id", "quality", sentences(_text()).alias("s"))
     ex = j.select(F.col("doc_id").alias("rid"), "quality",
                   F.posexplode(adjacent_triples("s")).alias("win_no", "w"))
     return ex.select("rid", F.col("win_no").cast("bigint").alias("win_no"),

@@ -34,3 +34,10 @@ def test_sentences_and_adjacent_pairs(spark):
     out = df.select(F.posexplode(adjacent_pairs(sentences("t"))).alias("k", "p")).collect()
     assert [(r.k, r.p.premise, r.p.hypothesis) for r in out] == [
         (0, "One", "Two"), (1, "Two", "Three"), (0, "Solo", ""), (0, "", ""), (0, "", "")]
+
+
+def test_pairs_of_missing_text(spark):
+    from pairlens.plans.fixtures import _text
+    df = spark.createDataFrame([(None,)], "text string")
+    out = df.select(F.posexplode(adjacent_pairs(sentences(_text()))).alias("k", "p")).collect()
+    assert [(r.k, r.p.premise, r.p.hypothesis) for r in out] == [(0, "", "")]
