@@ -42,22 +42,38 @@ def get_session(master: str | None = None, app: str = "pairlens",
     return builder.getOrCreate()
 
 
+_FALLBACK_DIR: dict = {}
+
+
+def _configured_dir(spark: SparkSession) -> str | None:
+    try:
+        value = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:
+        value = None
+    if value:
+        return value
+    try:  # classic sessions: the context's checkpoint dir, or its conf
+        sc = spark.sparkContext
+        return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # e.g. Spark Connect: no context on the client
+        return None
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """Folder shared by the cluster for checkpoints and stored tables.
+    """Folder shared by the cluster for materialised tables and stores.
 
-    Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when nothing is configured -- local runs and
-    tests -- a private folder is created and registered.
-    """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir()
+    Read from the session (``spark.checkpoint.dir``, or the context's
+    checkpoint dir). Only when nothing is configured -- local runs and tests
+    -- a private folder is created once and registered as checkpoint dir."""
+    base = _configured_dir(spark)
     if not base:
-        base = spark.conf.get("spark.checkpoint.dir", None) or \
-            sc.getConf().get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="pairlens-ckpt-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
+        base = _FALLBACK_DIR.get("dir")
+        if base is None:
+            base = _FALLBACK_DIR["dir"] = tempfile.mkdtemp(prefix="pairlens-shared-")
+            try:
+                spark.sparkContext.setCheckpointDir(base)
+            except Exception:
+                pass
     if parts:
         return "/".join([base.rstrip("/"), *parts])
     return base

@@ -124,3 +124,11 @@ def test_hot_request_join_is_split_by_aqe(spark, tmp_dir):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_shared_dir_prefers_session_setting(spark):
+    from pairlens.session import materialize, shared_dir
+    base = shared_dir(spark)
+    assert base and shared_dir(spark, "x").endswith("/x")
+    df = materialize(spark.range(5), "t")
+    assert df.count() == 5 and df.inputFiles()[0].find(base.replace("file:", "")) >= 0

@@ -14,6 +14,11 @@ def test_all_queries_match_duckdb(spark):
     assert len(res) >= 24
 
 
+def test_every_query_has_a_sql_twin():
+    import __spark_entry__ as E
+    assert set(E.queries()) == set(E.oracle_sql())
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
