@@ -140,13 +140,26 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
         if not isinstance(prompt, str):
             raise ValueError("a prompt expression needs the request keys it is rendered from")
         keys = [model_col, prompt]
-    prompt_expr = F.col(prompt) if isinstance(prompt, str) else prompt
     rows = _request_keys(df, keys)
     requests = requests_of(df, keys) if requests is None else \
         _request_keys(requests.select(*keys), keys)
+    answers = answer_distinct(requests, factory, prompt, keys, model_col, answer_col,
+                              store, checkpoint, batch_size, partitions)
+    return rows.join(answers, [REQ, *keys], "left").drop(REQ)
+
+
+def answer_distinct(requests: DataFrame, factory: Callable, prompt: Column | str,
+                    keys: list[str], model_col: str = "model", answer_col: str = "raw_answer",
+                    store: str | None = None, checkpoint: bool = False,
+                    batch_size: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Answer a table of *distinct* requests (key columns, optionally with the
+    request hash): render each prompt, skip NULL prompts, call the generator,
+    honour the answer store. Returns (hash, keys, answer)."""
+    if REQ not in requests.columns:
+        requests = _request_keys(requests.select(*keys), keys)
+    prompt_expr = F.col(prompt) if isinstance(prompt, str) else prompt
     if store is not None:
-        spark = df.sparkSession
-        done = _read_store(spark, store)
+        done = _read_store(requests.sparkSession, store)
         if done is not None:
             requests = requests.join(done.select(REQ, *keys), [REQ, *keys], "left_anti")
     rendered = (requests.withColumn("_prompt", prompt_expr)
@@ -158,11 +171,11 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
                               batch_size, partitions).select(REQ, *keys, answer_col)
     if store is not None:
         answers.write.mode("append").parquet(store)
-        answers = _read_store(df.sparkSession, store).dropDuplicates([REQ, *keys])
+        answers = _read_store(requests.sparkSession, store).dropDuplicates([REQ, *keys])
     elif checkpoint:
         from ..session import materialize
         answers = materialize(answers, "answers")
-    return rows.join(answers, [REQ, *keys], "left").drop(REQ)
+    return answers
 
 
 def _read_store(spark, store: str):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
-from ..operators.generate import generate
+from ..operators.generate import answer_distinct
 from ..functions.prompts import chat_prompt
 from ..operators.grid import allowed_for, expand_runs, grid_prompt, prefix_for, run_specs
 from ..operators.metrics import accuracy
@@ -23,26 +23,54 @@ def label_mappings(config: EvalConfig, task: str, prompt_types: list[str]) -> di
     return {t: config.prompt(task, t).label_mapping or {} for t in prompt_types}
 
 
-def _answer_runs(pairs: DataFrame, runs: DataFrame, factory: Callable, config: EvalConfig,
-                 task: str, specs: list[tuple], types: list[str], store: str | None,
-                 checkpoint: bool, chat: bool) -> DataFrame:
-    # distinct requests = distinct sentence pairs x the constant run list:
-    # dedupe the pairs first (a fraction of the rows through the shuffle),
-    # then expand on the reduce side
+PAIR_KEYS = ["premise", "hypothesis"]
+_SEP = "\u0001"
+
+
+def _run_key(model, prompt_type):
+    return F.concat(model, F.lit(_SEP), prompt_type)
+
+
+def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task: str,
+                 specs: list[tuple], types: list[str], store: str | None, checkpoint: bool,
+                 chat: bool, observe: bool = False):
+    """Answers for every (pair, run).
+
+    * distinct requests = distinct sentence pairs x the constant run list:
+      the pairs are deduplicated first, then expanded on the reduce side;
+    * answers are grouped per sentence pair into a map run -> answer (at
+      most one entry per configured run, a size fixed by the config);
+    * the *unexpanded* pairs are joined to that map and expanded over the
+      runs after the join, so the big side of the shuffle carries one row
+      per pair, not one per (pair, run).
+    """
     allowed = pairs.filter(allowed_for(F.col("dataset"), config, task))      # CHK-3
-    distinct_pairs = allowed.select("premise", "hypothesis").dropDuplicates()
-    requests = expand_runs(distinct_pairs, specs).select("model", "prompt_type", "premise", "hypothesis")
+    distinct_pairs = allowed.select(*PAIR_KEYS).dropDuplicates()
+    keys = ["model", "prompt_type", *PAIR_KEYS]
+    requests = expand_runs(distinct_pairs, specs).select(*keys)
+    pt = F.col("prompt_type")
     if chat:   # TXT-3: the generator receives [{role, content}, ...] per request
-        pt = F.col("prompt_type")
         prompt = chat_prompt(pt, prefix_for(pt, specs), "premise", "hypothesis")
     else:
         prompt = grid_prompt(specs)
-    answered = generate(runs, factory, prompt=prompt,
-                        keys=["model", "prompt_type", "premise", "hypothesis"],
-                        store=store, checkpoint=checkpoint, requests=requests)
-    return answered.withColumn(
-        "prediction", answer_to_label_by("raw_answer", "prompt_type",
-                                         label_mappings(config, task, types)))
+    answers = answer_distinct(requests, factory, prompt, keys, store=store, checkpoint=checkpoint)
+    ph = F.xxhash64(*PAIR_KEYS)
+    by_pair = (answers.withColumn("_ph", ph).groupBy("_ph", *PAIR_KEYS)
+               .agg(F.map_from_entries(F.collect_list(F.struct(
+                   _run_key(F.col("model"), pt), F.col("raw_answer")))).alias("_answers")))
+    rows = allowed
+    n_in = None
+    if observe:
+        from ..operators.checks import observed_count
+        rows, n_in = observed_count(rows, "pairs_in")
+    joined = rows.withColumn("_ph", ph).join(by_pair, ["_ph", *PAIR_KEYS], "left").drop("_ph")
+    runs = expand_runs(joined, specs)
+    pred = (runs.withColumn("raw_answer", F.try_element_at(F.col("_answers"),
+                                                           _run_key(F.col("model"), pt)))
+                .drop("_answers")
+                .withColumn("prediction", answer_to_label_by(
+                    "raw_answer", "prompt_type", label_mappings(config, task, types))))
+    return (pred, n_in) if observe else pred
 
 
 def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
@@ -54,8 +82,7 @@ def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models:
     rendered only once per distinct request."""
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
-    runs = expand_runs(pairs, specs, config, task)
-    return _answer_runs(pairs, runs, factory, config, task, specs, types, store, checkpoint, chat)
+    return _answer_runs(pairs, factory, config, task, specs, types, store, checkpoint, chat)
 
 
 def evaluate(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
@@ -79,12 +106,13 @@ def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, mode
 
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
-    runs, n_runs = observed_count(expand_runs(pairs, specs, config, task), "runs")
-    pred = _answer_runs(pairs, runs, factory, config, task, specs, types, store, False, False)
+    pred, n_pairs = _answer_runs(pairs, factory, config, task, specs, types, store, False, False,
+                                 observe=True)
     pred, n_pred = observed_count(pred, "predictions")
     run_id = run_id or run_stamp()
     write_predictions(pred, out_path, run_id=run_id)
-    check_conservation(n_runs.get["n_rows"], n_pred.get["n_rows"], "predictions per pair and run")
+    check_conservation(n_pairs.get["n_rows"] * len(specs), n_pred.get["n_rows"],
+                       "predictions per pair and run")
     # read back with the written schema: partition values keep their types
     schema = pred.schema.add("run_id", "string")
     stored = pred.sparkSession.read.schema(schema).parquet(out_path).filter(F.col("run_id") == run_id)
