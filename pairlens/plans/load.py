@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import EvalConfig
+from ..operators.checks import assert_domain, assert_not_null
 from ..sources import readers as R
 
 PARAPHRASE_SIDES = {"original_premise": "p", "original_hypothesis": "h"}
@@ -34,13 +35,18 @@ def _read_strings(spark: SparkSession, path: str, columns: list[str], fmt: str |
 
 def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
                text_version: str = "original", language: str | None = None,
-               path: str | None = None, fmt: str | None = None) -> DataFrame:
+               path: str | None = None, fmt: str | None = None,
+               require_text: bool = True, label_domain=None) -> DataFrame:
     """One configured dataset as canonical pairs.
 
     Original text uses the configured role columns and lower-cases labels;
     paraphrase tables always use ``premise``/``hypothesis``/``gold_label``
     (as the paraphrase step writes them) and keep labels as they are. The
-    replaced original sentence is the table's last column."""
+    replaced original sentence is the table's last column.
+
+    ``require_text``: a missing premise or hypothesis fails the job (in the
+    plan, no extra pass) instead of being rendered into a prompt.
+    ``label_domain``: optionally fail on labels outside this set (CHK-1)."""
     spec = config.dataset(dataset)
     if text_version == "original":
         path = path or spec.data_path
@@ -79,10 +85,15 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
             original, side = F.col(last), F.lit(PARAPHRASE_SIDES[last])
         else:
             original = F.col(last)
-    return df.select(F.lit(dataset).alias("dataset"), "pair_id", lang.alias("language"),
-                     F.col(prem).alias("premise"), F.col(hyp).alias("hypothesis"),
-                     label.alias("gold_label"), F.lit(text_version).alias("text_version"),
-                     original.alias("original_sentence"), side.alias("changed_side"))
+    out = df.select(F.lit(dataset).alias("dataset"), "pair_id", lang.alias("language"),
+                    F.col(prem).alias("premise"), F.col(hyp).alias("hypothesis"),
+                    label.alias("gold_label"), F.lit(text_version).alias("text_version"),
+                    original.alias("original_sentence"), side.alias("changed_side"))
+    if require_text:
+        out = assert_not_null(out, ["premise", "hypothesis"])
+    if label_domain is not None:
+        out = assert_domain(out, "gold_label", label_domain)
+    return out
 
 
 def load_all(spark: SparkSession, config: EvalConfig, datasets: list[str] | None = None,

@@ -119,3 +119,16 @@ def test_chat_predictions(spark, tmp_dir):
                      prompt_types=["chain"], chat=True)
     got = sorted((r.premise, r.prediction) for r in pr.collect())
     assert got == [("A b.", "entailment"), ("A b.", "entailment"), ("E f.", "not_entailment")]
+
+
+def test_load_pairs_checks_text_and_labels(spark, tmp_dir):
+    cfg = _cfg(tmp_dir)
+    with open(os.path.join(tmp_dir, "meta.tsv"), "w") as f:
+        f.write("language\tgold_label\tsentence1\tsentence2\nen\tentailment\tA b.\t\n")
+    with pytest.raises(Exception, match="missing value"):
+        load_pairs(spark, cfg, "meta").collect()
+    assert load_pairs(spark, cfg, "meta", require_text=False).first().hypothesis is None
+    with open(os.path.join(tmp_dir, "meta.tsv"), "w") as f:
+        f.write("language\tgold_label\tsentence1\tsentence2\nen\tneutral\tA b.\tC d.\n")
+    with pytest.raises(Exception, match="outside"):
+        load_pairs(spark, cfg, "meta", label_domain=("entailment", "not_entailment")).collect()
