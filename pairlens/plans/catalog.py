@@ -338,16 +338,12 @@ FROM z JOIN h ON z.dataset = h.dataset AND z.run_no = h.run_no"""
 
 
 def _paraphrased_pairs(spark, sf_dir) -> DataFrame:
-    """Paraphrase pipeline: request -> GEN-1 -> TXT-6 clean -> GEN-4 substitute."""
-    p = fx.pairs(spark, sf_dir).withColumn("_side", fx.side_of())
-    req = (p.withColumn("model", F.lit(fx.STUB_MODEL))
-            .withColumn("_sent", side_sentence(F.col("_side"), "premise", "hypothesis")))
-    ans = generate(req, fx.stub_paraphraser,
-                   prompt=paraphrase_prompt(F.lit(_para_prefix()), F.col("_sent")),
-                   keys=["model", "_sent"], answer_col="raw_paraphrase")
-    cleaned = ans.withColumn("paraphrase", clean_paraphrase("raw_paraphrase"))
-    return substitute_paraphrase(cleaned, F.col("_side")).drop("_side", "_sent", "model",
-                                                                "raw_paraphrase")
+    """Paraphrase pipeline: request -> GEN-1 -> TXT-6 clean -> GEN-4 substitute,
+    premise for even record ids, hypothesis for odd ones."""
+    from .paraphrase import paraphrase_pairs
+    return paraphrase_pairs(fx.pairs(spark, sf_dir), fx.stub_paraphraser, fx.STUB_MODEL,
+                            fx.side_of(), _cfg(), reuse="distinct", clean=True,
+                            materialize=False)
 
 
 def substitute_paraphrase_q(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,13 +19,14 @@ from ..operators.generate import generate, substitute_paraphrase
 from ..operators.runs import reuse_consecutive
 
 
-def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side: str,
+def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side,
                      config: EvalConfig, prompt_type: str = "instruct",
                      reuse: str = "distinct", clean: bool = True,
                      order_cols: list[str] | None = None,
                      partition_cols: list[str] | None = None,
                      materialize: bool = True) -> DataFrame:
-    """Rewrite the premise (``side='p'``) or hypothesis (``'h'``) of every pair.
+    """Rewrite the premise (``side='p'``) or hypothesis (``'h'``) of every pair;
+    ``side`` may also be a column holding 'p' or 'h' per row.
 
     ``reuse='distinct'``: one call per distinct sentence (GEN-1).
     ``reuse='consecutive'``: one call per run of consecutive equal sentences
@@ -37,12 +38,14 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side: str,
     stored table. A sampled generator gives different text each time a plan
     is recomputed; an evaluation reads its input in two branches (rows and
     distinct requests), which must see the same paraphrases."""
-    if side not in ("p", "h"):
+    if isinstance(side, str) and side not in ("p", "h"):
         raise ValueError("side must be 'p' or 'h'")
+    side_col = F.lit(side) if isinstance(side, str) else side
     config.model(model)
     prefix = config.prompt("paraphrase_gen", prompt_type).prefix
-    rows = pairs.withColumn("_sent", side_sentence(side, "premise", "hypothesis"))\
-                .withColumn("model", F.lit(model))
+    rows = (pairs.withColumn("_side", side_col)
+                 .withColumn("_sent", side_sentence(F.col("_side"), "premise", "hypothesis"))
+                 .withColumn("model", F.lit(model)))
     prompt = paraphrase_prompt(F.lit(prefix), F.col("_sent"))
     if reuse == "distinct":
         out = generate(rows, factory, prompt=prompt, keys=["model", "_sent"], answer_col="_raw")
@@ -53,8 +56,9 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side: str,
     else:
         raise ValueError("reuse must be 'distinct' or 'consecutive'")
     para = clean_paraphrase("_raw") if clean else F.col("_raw")
-    out = out.withColumn("_para", para).drop("_raw", "_sent")
-    out = substitute_paraphrase(out, side, "_para").withColumn("text_version", F.lit("paraphrase"))
+    out = out.withColumn("_para", para).drop("_raw", "_sent", "model")
+    out = (substitute_paraphrase(out, F.col("_side"), "_para").drop("_side")
+           .withColumn("text_version", F.lit("paraphrase")))
     if materialize:
         from ..session import materialize as write_back
         out = write_back(out, "paraphrases")
