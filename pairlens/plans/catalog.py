@@ -18,7 +18,6 @@ from ..functions.prompts import chat_prompt, pair_prompt, paraphrase_prompt, sid
 from ..operators import analysis as A
 from ..operators import checks as C
 from ..operators import prepare as PR
-from ..operators.generate import generate, substitute_paraphrase
 from ..operators.grid import expand_runs, prefix_for, render_grid, run_specs
 from ..operators.metrics import accuracy, distinct_labels
 from ..operators.runs import reuse_consecutive

@@ -13,7 +13,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FORMATS = ("json", "jsonl", "tsv", "csv")
 NULL_MARKER = "\u0000"
