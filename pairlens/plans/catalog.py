@@ -412,6 +412,11 @@ def row_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .select(F.lit(check).alias("check"), F.lit(side).alias("side"), "n")
 
     three_en = three.filter(F.col("language") == "en")
+    # ALN-1: equal counts do not prove a match -- keys on one side only
+    run_keys = [*KEYS, "model", "prompt_type"]
+    expected_runs = expand_runs(p, run_specs(_cfg(), TASK, [fx.STUB_MODEL]), _cfg(), TASK)
+    unmatched = C.unmatched(expected_runs.select(*run_keys), pred.select(*run_keys), run_keys)\
+        .agg(F.sum("n").cast("bigint").alias("n"))
     parts = [tagged("choice_pairs_double", "expected", ch, 2),
              tagged("choice_pairs_double", "actual", chp),
              tagged("class_union_sum", "expected", files["entailment"]),
@@ -420,7 +425,10 @@ def row_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
              tagged("three_label_filter", "expected", three_en),
              tagged("three_label_filter", "actual", three_out),
              tagged("predictions_per_prompt", "expected", p, len(_types())),
-             tagged("predictions_per_prompt", "actual", pred)]
+             tagged("predictions_per_prompt", "actual", pred),
+             tagged("alignment_unmatched", "expected", p, 0),
+             unmatched.select(F.lit("alignment_unmatched").alias("check"), F.lit("actual").alias("side"),
+                              "n")]
     counts = reduce(lambda a, b: a.unionByName(b), parts)
     side = F.col("side")
     report = counts.groupBy("check").agg(
@@ -442,7 +450,9 @@ SELECT 'three_label_filter', (SELECT count(*) FROM pairs WHERE language = 'en'),
        (SELECT count(*) FROM pairs WHERE language = 'en'), TRUE
 UNION ALL
 SELECT 'predictions_per_prompt', {n_types} * (SELECT count(*) FROM pairs),
-       {n_types} * (SELECT count(*) FROM pairs), TRUE"""
+       {n_types} * (SELECT count(*) FROM pairs), TRUE
+UNION ALL
+SELECT 'alignment_unmatched', CAST(0 AS BIGINT), CAST(0 AS BIGINT), TRUE"""
 
 
 def distinct_labels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
