@@ -132,3 +132,29 @@ def test_load_pairs_checks_text_and_labels(spark, tmp_dir):
         f.write("language\tgold_label\tsentence1\tsentence2\nen\tneutral\tA b.\tC d.\n")
     with pytest.raises(Exception, match="outside"):
         load_pairs(spark, cfg, "meta", label_domain=("entailment", "not_entailment")).collect()
+
+
+def test_consecutive_reuse_from_file_calls_once_per_run(spark, tmp_dir):
+    import uuid
+    log = os.path.join(tmp_dir, "calls")
+    os.makedirs(log)
+
+    def counting(model):
+        def fn(prompts):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join(p.split("Original sentence: ")[1] for p in prompts))
+            return [f"1. {p.split('Original sentence: ')[1][:-13].upper()}" for p in prompts]
+        return fn
+    cfg = _cfg(tmp_dir)
+    with open(os.path.join(tmp_dir, "meta.tsv"), "w") as f:
+        f.write("language\tgold_label\tsentence1\tsentence2\n"
+                "en\tentailment\tSame one.\tH1.\nen\tentailment\tSame one.\tH2.\n"
+                "en\tentailment\tOther.\tH3.\nen\tentailment\tSame one.\tH4.\n")
+    out = paraphrase_pairs(load_pairs(spark, cfg, "meta"), counting, "echo", "p", cfg,
+                           reuse="consecutive").orderBy("pair_id").collect()
+    assert [r.premise for r in out] == ["SAME ONE", "SAME ONE", "OTHER", "SAME ONE"]
+    calls = []
+    for name in os.listdir(log):
+        with open(os.path.join(log, name)) as f:
+            calls += [c for c in f.read().split("\n") if c]
+    assert len(calls) == 3          # runs: [Same one x2], [Other], [Same one]
