@@ -83,3 +83,15 @@ def check_conservation(expected: int, actual: int, what: str) -> None:
     """Raise when an operator lost or invented rows."""
     if expected != actual:
         raise AssertionError(f"{what}: expected {expected} rows, got {actual}")
+
+
+def alignment(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
+    """CHK-2 for ALN-1 in one join: a full outer join of the expected keys
+    against the produced keys gives the expected count, the produced count
+    and the keys present on one side only (one row)."""
+    e = expected.select(*keys, F.lit(1).alias("_e"))
+    a = actual.select(*keys, F.lit(1).alias("_a"))
+    j = e.join(a, keys, "full_outer")
+    return j.agg(F.count("_e").alias("n_expected"), F.count("_a").alias("n_actual"),
+                 F.sum(F.when(F.col("_e").isNull() | F.col("_a").isNull(), 1).otherwise(0))
+                  .cast("bigint").alias("n_unmatched"))

@@ -412,11 +412,12 @@ def row_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .select(F.lit(check).alias("check"), F.lit(side).alias("side"), "n")
 
     three_en = three.filter(F.col("language") == "en")
-    # ALN-1: equal counts do not prove a match -- keys on one side only
+    # ALN-1: equal counts do not prove a match -- one full outer join of the
+    # expected (pair, run) keys against the prediction keys gives the counts
+    # and the keys found on one side only, with the predictions computed once
     run_keys = [*KEYS, "model", "prompt_type"]
     expected_runs = expand_runs(p, run_specs(_cfg(), TASK, [fx.STUB_MODEL]), _cfg(), TASK)
-    unmatched = C.unmatched(expected_runs.select(*run_keys), pred.select(*run_keys), run_keys)\
-        .agg(F.sum("n").cast("bigint").alias("n"))
+    al = C.alignment(expected_runs, pred, run_keys)
     parts = [tagged("choice_pairs_double", "expected", ch, 2),
              tagged("choice_pairs_double", "actual", chp),
              tagged("class_union_sum", "expected", files["entailment"]),
@@ -425,10 +426,11 @@ def row_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
              tagged("three_label_filter", "expected", three_en),
              tagged("three_label_filter", "actual", three_out),
              tagged("predictions_per_prompt", "expected", p, len(_types())),
-             tagged("predictions_per_prompt", "actual", pred),
+             al.select(F.lit("predictions_per_prompt").alias("check"), F.lit("actual").alias("side"),
+                       F.col("n_actual").cast("bigint").alias("n")),
              tagged("alignment_unmatched", "expected", p, 0),
-             unmatched.select(F.lit("alignment_unmatched").alias("check"), F.lit("actual").alias("side"),
-                              "n")]
+             al.select(F.lit("alignment_unmatched").alias("check"), F.lit("actual").alias("side"),
+                       F.col("n_unmatched").alias("n"))]
     counts = reduce(lambda a, b: a.unionByName(b), parts)
     side = F.col("side")
     report = counts.groupBy("check").agg(

@@ -94,3 +94,10 @@ def test_observed_counts_check_conservation(spark, tmp_dir):
     C.check_conservation(2 * n_in.get["n_rows"], n_out.get["n_rows"], "two-choice reshape")
     with pytest.raises(AssertionError):
         C.check_conservation(n_in.get["n_rows"], n_out.get["n_rows"], "x")
+
+
+def test_alignment_counts(spark):
+    a = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    b = spark.createDataFrame([(2,), (3,), (4,), (5,)], "k int")
+    r = C.alignment(a, b, ["k"]).first()
+    assert (r.n_expected, r.n_actual, r.n_unmatched) == (3, 4, 3)
