@@ -1,6 +1,8 @@
 """End-to-end evaluation plan (the reference's evaluation scripts as one job).
 
-pairs --explode(runs)--> prompts --GEN-1--> raw answers --TXT-5--> predictions
+distinct (premise, hypothesis) --explode(runs)--> requests --render prompt-->
+generator (mapInPandas) --> answers --group per pair--> map run -> answer
+pairs LEFT JOIN that map --explode(runs)--> raw answer --TXT-5--> prediction
       --AGG-2--> accuracy per (dataset, language, model, prompt type)
 """
 
