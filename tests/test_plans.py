@@ -158,3 +158,37 @@ def test_consecutive_reuse_from_file_calls_once_per_run(spark, tmp_dir):
         with open(os.path.join(log, name)) as f:
             calls += [c for c in f.read().split("\n") if c]
     assert len(calls) == 3          # runs: [Same one x2], [Other], [Same one]
+
+
+def test_run_evaluation_reruns_reuse_the_answer_store(spark, tmp_dir):
+    import uuid
+    from pairlens.plans.evaluate import run_evaluation
+    log = os.path.join(tmp_dir, "calls")
+    os.makedirs(log)
+
+    def counting(model):
+        def fn(prompts):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write(str(len(prompts)))
+            return ["yes" for _ in prompts]
+        return fn
+
+    def n_calls():
+        total = 0
+        for name in os.listdir(log):
+            with open(os.path.join(log, name)) as f:
+                total += int(f.read())
+        return total
+    cfg = _cfg(tmp_dir)
+    pairs = load_all(spark, cfg)
+    store = os.path.join(tmp_dir, "answers")
+    a1 = run_evaluation(pairs, counting, cfg, ["echo"], os.path.join(tmp_dir, "p1"),
+                        prompt_types=["qa-zero-ent"], run_id="r1", store=store).collect()
+    first = n_calls()
+    assert first == 4          # distinct (premise, hypothesis): A b./C d., E f./G h., A b./X y., P/H
+    a2 = run_evaluation(pairs, counting, cfg, ["echo"], os.path.join(tmp_dir, "p2"),
+                        prompt_types=["qa-zero-ent"], run_id="r2", store=store).collect()
+    assert n_calls() == first  # the rerun reads every answer from the store
+    key = lambda r: (r.dataset, r.language or "")
+    assert sorted((key(r), r.n_total, r.n_correct) for r in a1) == \
+        sorted((key(r), r.n_total, r.n_correct) for r in a2)
