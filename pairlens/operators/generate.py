@@ -48,7 +48,8 @@ def _runner(factory: Callable, model_col: str, prompt_col: str, answer_col: str,
             got = list(fn(prompts))
             if len(got) != len(prompts):
                 raise ValueError(f"generator returned {len(got)} answers for {len(prompts)} prompts")
-            return got
+            # answers are text; None (or NaN) is a missing answer
+            return [None if a is None or (isinstance(a, float) and a != a) else str(a) for a in got]
 
         for pdf in batches:
             n = len(pdf)

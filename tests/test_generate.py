@@ -132,3 +132,13 @@ def test_shared_dir_prefers_session_setting(spark):
     assert base and shared_dir(spark, "x").endswith("/x")
     df = materialize(spark.range(5), "t")
     assert df.count() == 5 and df.inputFiles()[0].find(base.replace("file:", "")) >= 0
+
+
+def test_generator_answers_are_text(spark):
+    import numpy as np
+
+    def factory(model):
+        return lambda prompts: [7, None, np.str_("x"), float("nan")][:len(prompts)]
+    df = spark.createDataFrame([("m", p) for p in "abcd"], "model string, prompt string")
+    out = {r.prompt: r.raw_answer for r in generate(df, factory, batch_size=4, partitions=1).collect()}
+    assert sorted(out.values(), key=str) == sorted(["7", None, "x", None], key=str)
