@@ -100,8 +100,8 @@ def branches(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1)).alias("dist")))
     for k, lv in enumerate(levels):
         bit = F.col("dist").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0
-        path = (path.join(lv, ["_t", "cur"], "left")
-                .withColumn("cur", F.when(bit, F.col("to")).otherwise(F.col("cur"))).drop("to"))
+        moved = path.filter(bit).join(lv, ["_t", "cur"]).drop("cur").withColumnRenamed("to", "cur")
+        path = cut(moved.unionByName(path.filter(~bit)))
     return (path.join(msgs.withColumnRenamed("msg", "cur"), ["_t", "cur"])
             .select("_t", "tree", "leaf", (F.col("d") - F.col("dist")).alias("pos"), "rank", "branch_score",
                     "role", "text"))
