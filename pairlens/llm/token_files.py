@@ -30,6 +30,7 @@ writes no shard; other columns of the input are not carried.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from itertools import chain
 
@@ -40,9 +41,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ._common import binary_list
+
 END_ID = 1
 _BUCKETS = 16           # bits of the pair-count table
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def default_tokenizer() -> str:
@@ -51,30 +54,63 @@ def default_tokenizer() -> str:
 
 
 class WordCachedEncoder:
-    """Encodes texts with a tokenizer whose pre-tokenizer never joins across
-    ASCII white space and drops it: a text's ids are those of its words, so
-    words met before need no second encoding. The cache is emptied when full."""
+    """Encodes texts with a tokenizer that lower-cases, drops white space, and
+    keeps letters and punctuation apart: a text's ids are those of its words,
+    so words met lately need no second encoding. A point or comma after a
+    letter a-z counts as a word of its own. Ids are kept packed; of two
+    generations of words the older goes when the younger is full."""
+
+    _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 800_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.terminals = self.tok.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[bytes, list[int]] = {}
-        self.limit = cache_words
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [t.encode("utf-8").split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self.cache}
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
-            new = {w for ws in split for w in ws}
-        new = list(new)
-        for w, e in zip(new, self.tok.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)):
-            self.cache[w] = e.ids
-        cache = self.cache
-        return [list(chain.from_iterable(map(cache.__getitem__, ws))) for ws in split]
+        self.kind = np.dtype("u2" if self.terminals <= 1 << 16 else "u4")
+        #: a special token that parts the words of one call, and its id
+        self.part, self.part_id = max((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.limit = cache_words // 2
+
+    def _words(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:       # lower-casing could make a special token of it
+            return text.split()
+        return self._MARK.sub(rb" \1", text.lower()).split()
+
+    def _encode_new(self, new: list[bytes]) -> list[bytes]:
+        odd = [w for w in new if b"<|" in w]
+        plain = [w for w in new if b"<|" not in w]
+        out = {w: np.array(self.tok.encode(w.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes() for w in odd}
+        groups = [plain[i:i + 128] for i in range(0, len(plain), 128)]
+        joined = [self.part.join(w.decode("utf-8") for w in g) for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
+            ends = np.append(np.flatnonzero(ids == self.part_id), len(ids)).tolist()
+            data, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            at = 0
+            for w, end in zip(g, ends):
+                out[w] = data[at * size:end * size]
+                at = end + 1
+        return [out[w] for w in new]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each UTF-8 text."""
+        split = [self._words(t) for t in texts]
+        missing = set(chain.from_iterable(split)).difference(self.young)
+        if len(self.young) + len(missing) > self.limit:
+            missing = set(chain.from_iterable(split))
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        if old:
+            known = {w for w in missing if w in old}
+            young.update(zip(known, map(old.__getitem__, known)))
+            missing -= known
+        new = list(missing)
+        young.update(zip(new, self._encode_new(new)))
+        return [np.frombuffer(b"".join(map(young.__getitem__, ws)), self.kind) for ws in split]
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,7 +120,7 @@ def load_encoder(path: str) -> WordCachedEncoder:
     return WordCachedEncoder(path)
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 12, per_round: int = 512,
+def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 6, per_round: int = 2048,
            min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ``ids``; ``last`` marks the last id of each document.
     Returns the rules (pairs), the compressed sequence and its ``last``."""
@@ -92,17 +128,17 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 12, per_r
     for _ in range(rounds):
         if len(seq) < 2 * min_count:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key * _MULT) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-        inside = ~last[:-1]
-        table = np.bincount(slot[inside], minlength=1 << _BUCKETS)
+        slot = (seq[:-1] * _LEFT + seq[1:] * _RIGHT) >> np.uint32(32 - _BUCKETS)
+        slot[last[:-1]] = 1 << _BUCKETS            # no pair spans two documents
+        table = np.bincount(slot, minlength=(1 << _BUCKETS) + 1)[:-1]
         top = np.argpartition(table, -per_round)[-per_round:]
-        heavy = np.zeros(1 << _BUCKETS, bool)
+        heavy = np.zeros((1 << _BUCKETS) + 1, bool)
         heavy[top[table[top] >= min_count]] = True
-        at = np.flatnonzero(heavy[slot] & inside)
+        at = np.flatnonzero(heavy[slot])
         if not len(at):
             break
-        pairs, counts = np.unique(key[at], return_counts=True)
+        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        pairs, counts = np.unique(key, return_counts=True)
         chosen, lefts, rights = [], set(), set()
         for j in np.lexsort((pairs, -counts))[:per_round]:
             if counts[j] < min_count:
@@ -119,8 +155,8 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 12, per_r
         rules += [(c >> 32, c & 0xFFFFFFFF) for c in chosen]
         by = np.argsort(np.array(chosen, np.uint64))
         known = np.array(chosen, np.uint64)[by]
-        place = np.minimum(np.searchsorted(known, key[at]), len(known) - 1)
-        ok = known[place] == key[at]
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        ok = known[place] == key
         at, place = at[ok], place[ok]
         # runs of one id (a == b): every second place of a run of neighbours
         start = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.empty(0, bool)
@@ -164,10 +200,11 @@ SHARD_FIELDS = ("base bigint, n_tokens bigint, rules binary, rule_lengths binary
                 "symbols binary, doc_symbols binary, doc_tokens binary")
 
 
-def pack_shard(docs: list[list[int]], base: int, **repair_options) -> dict:
-    """The columns of one shard but its place and document ids."""
+def pack_shard(docs: list[np.ndarray], base: int, **repair_options) -> dict:
+    """The columns of one shard but its place and document ids. ``docs``: ids
+    of each document, the end id last."""
     sizes = np.array([len(d) for d in docs], np.int64)
-    ids = np.fromiter(chain.from_iterable(docs), np.uint32, int(sizes.sum()))
+    ids = np.concatenate(docs).astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
     rules, seq, last = repair(ids, last, base, **repair_options)
@@ -210,6 +247,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
         from pyspark import TaskContext
         enc, part, shard = load_encoder(tok), TaskContext.get().partitionId(), 0
         docs, ids, n = [], [], 0
+        end = np.array([END_ID], enc.kind)
 
         def flush():
             row = {"part": part, "shard": shard, "doc_ids": ids} | pack_shard(docs, enc.terminals, **repair_options)
@@ -218,11 +256,12 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 cut = b.slice(lo, 256)
-                for d, got in zip(cut.column(0).to_pylist(), enc.encode([t or "" for t in cut.column(1).to_pylist()])):
+                texts = [t or b"" for t in binary_list(cut.column(1))]
+                for d, got in zip(cut.column(0).to_pylist(), enc.encode(texts)):
                     if docs and n + len(got) + 1 > shard_tokens:
                         yield flush()
                         docs, ids, n, shard = [], [], 0, shard + 1
-                    docs.append(got + [END_ID])
+                    docs.append(np.concatenate([got, end]))
                     ids.append(d)
                     n += len(got) + 1
         if docs:
