@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     smallest node. Each round points every node's larger neighbours, then its
     smaller ones, at the smallest node around it, so paths shrink by a factor
     per round. Nothing is collected; minima are taken map-side first and
-    joined back, so a node with very many neighbours is no single task's load.
+    joined back; rows are two ids, and joins stream them, so a node with very
+    many neighbours needs no memory of its own.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -21,10 +22,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.filter("v > u").join(cut(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .filter("u <> v").distinct())
         # every edge now points from a larger to a smaller node
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
                  .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())

@@ -9,16 +9,18 @@ of links, so no group is expanded into pairs.
    one representative with a copy count.
 2. Routing signatures. A pair of sizes a <= b that links differs in at most
    D shingles, D fixed by the size class of a. The hash space is cut into
-   B > D ranges, so a linked pair agrees on whole ranges; a signature is the
-   hash of all shingles in one range. Each set emits the signatures of its
-   class and, if a smaller class can reach it, of that one: about 0.27 per
-   shingle. Ranges are chosen so that one non-empty range must agree; a set
-   with too many empty ranges emits those as signatures as well. No linked
-   pair is lost.
-3. Sets that share a signature are connected; the components are blocks, and
-   every link lies inside a block. Each set's text travels once to its
-   block's tile. Small blocks share tiles; a block beyond a tile's size is
-   split into g parts and each pair of parts is one tile.
+   D + T ranges, so a linked pair agrees on T of them at least; a signature is
+   the hash of all shingles in one range. Each set emits the signatures of
+   its class and, if a smaller class can reach it, of that one: about 0.3 per
+   shingle. This is a T-occurrence problem in itself: a set with fewer than T
+   signatures that any other set has is out, and of the others the T - 1 most
+   frequent are left out (two sets that share T must share one of the rest).
+   So a passage or an empty range that very many documents share routes
+   nothing, and no linked pair is lost.
+3. Sets that share a signature left are connected; the components are
+   blocks, and every link lies inside a block. Each set's text travels once
+   to its block's tile. Small blocks share tiles; a block beyond a tile's
+   size is split into g parts and each pair of parts is one tile.
 4. T-occurrence search in each tile with DivideSkip: inverted lists of the
    tile's shingles; for each set, its lists are divided into L long and the
    rest; the short lists, sorted by document, are merged and documents with
@@ -54,7 +56,7 @@ FILTER_BITS = 1 << 24
 class Levels:
     """Size classes and their range counts for the threshold p/q."""
 
-    def __init__(self, p: int, q: int, ratio: float = 1.5, top: int = 1 << 40):
+    def __init__(self, p: int, q: int, ratio: float = 1.5, top: int = 1 << 30):
         self.p, self.q = p, q
         lows, n = [], 1
         while n < top:
@@ -63,14 +65,19 @@ class Levels:
         ratio_ok = [lo * q // p < hi for lo, hi in zip([x - 1 for x in lows[1:]], lows[2:])]
         assert all(ratio_ok), "a class must reach no further than the next"
         self.lows = np.array(lows, np.int64)
+        assert len(lows) <= 64
 
     def differences(self, level: int) -> int:
         """Most shingles by which a linked pair with its smaller set in ``level`` differs."""
         a = int(self.lows[level + 1]) - 1
         return (a + a * self.q // self.p) * (self.q - self.p) // (self.p + self.q)
 
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(level, ranges, least agreeing ranges) in which a set of n shingles takes part."""
+    def agree(self, level: int) -> int:
+        """T: ranges on which a linked pair of the level agrees at least."""
+        return 3 + self.differences(level) // 6
+
+    def of(self, n: int) -> list[tuple[int, int]]:
+        """(level, ranges) in which a set of n shingles takes part."""
         own = int(np.searchsorted(self.lows, n, "right")) - 1
         out = []
         for level in (own, own - 1):
@@ -78,24 +85,21 @@ class Levels:
                 continue
             d = self.differences(level)
             if d:       # else only equal sets link
-                agree = 3 + d // 32
-                out.append((level, d + agree, agree))
+                out.append((level, d + self.agree(level)))
         return out
 
 
 def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
-    """Routing signatures of a sorted set of hashes."""
+    """Routing signatures of a sorted set of hashes; the low 6 bits hold the level."""
     out = []
-    for level, ranges, agree in levels.of(len(s)):
+    for level, ranges in levels.of(len(s)):
         place = ((s >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        total = np.add.reduceat(mix(s + _C3), start)
+        total = np.zeros(ranges, np.uint64)
+        total[place[start].astype(np.int64)] = np.add.reduceat(mix(s + _C3), start)
         own = np.uint64(level * int(_C2) & 0xFFFFFFFFFFFFFFFF)
-        salt = mix(place[start] * _C1 + own)
-        out.append(mix(total ^ salt))
-        if ranges - len(start) >= agree:
-            empty = np.setdiff1d(np.arange(ranges, dtype=np.uint64), place[start])
-            out.append(mix(mix(empty * _C1 + own) + _C2))
+        sig = mix(total ^ mix(np.arange(ranges, dtype=np.uint64) * _C1 + own))
+        out.append((sig & ~np.uint64(63)) | np.uint64(level))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -146,13 +150,23 @@ def _may_hold(rows: DataFrame, col: str, bits: DataFrame) -> DataFrame:
             .filter(F.col("_bits").bitwiseAND(F.col("_one")) != 0).select(*cols))
 
 
-def candidate_blocks(base: DataFrame) -> DataFrame:
-    """(node, component) of sets that share a signature; a node is a set's h1."""
+def candidate_blocks(base: DataFrame, levels: Levels) -> DataFrame:
+    """(node, component) of sets that share a routing signature; a node is a set's h1."""
     parts = base.filter("sigs IS NOT NULL").select("h1", F.explode("sigs").alias("sig"))
-    shared = cut(parts.groupBy("sig").agg(F.min("h1").alias("m"), F.max("h1").alias("x")).filter("m < x"))
+    shared = cut(parts.groupBy("sig").agg(F.min("h1").alias("m"), F.max("h1").alias("x"), F.count(F.lit(1)).alias("c"))
+                 .filter("m < x").select("sig", "c"))
     bits = cut(_bit_table(shared, "sig"))
-    edges = (_may_hold(parts, "sig", bits).join(shared.select("sig", "m"), "sig")
-             .filter("h1 <> m").select(F.col("h1").alias("a"), F.col("m").alias("b")))
+    least = F.element_at(F.array(*[F.lit(levels.agree(i)) for i in range(len(levels.lows) - 1)]),
+                         F.col("level").cast("int") + 1)
+    # a set's own signatures of a level, rarest first: all but the T - 1 last
+    kept = cut(_may_hold(parts, "sig", bits).join(shared, "sig")
+               .groupBy("h1", F.col("sig").bitwiseAND(F.lit(63).cast("bigint")).alias("level"))
+               .agg(F.array_sort(F.collect_set(F.struct("c", "sig"))).alias("s"))
+               .filter(F.size("s") >= least)
+               .select("h1", F.explode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("s"))
+               .select("h1", F.col("s.sig").alias("sig")))
+    first = cut(kept.groupBy("sig").agg(F.min("h1").alias("m"), F.max("h1").alias("x")).filter("m < x").select("sig", "m"))
+    edges = kept.join(first, "sig").filter("h1 <> m").select(F.col("h1").alias("a"), F.col("m").alias("b"))
     return connected_components(edges)
 
 
@@ -252,7 +266,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = base.select("id", "n", "h1", "h2")
     reps = cut(keyed.filter("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2")
                .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    blocks = candidate_blocks(base.filter("id IS NOT NULL"))
+    blocks = candidate_blocks(base.filter("id IS NOT NULL"), levels)
     members = cut(reps.join(blocks.withColumnRenamed("node", "h1"), "h1")
                   .select("rep", "n", "copies", F.col("component").alias("block")))
     total = members.agg(F.sum("n")).first()[0] or 0
