@@ -30,7 +30,6 @@ writes no shard; other columns of the input are not carried.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from itertools import chain
 
@@ -44,6 +43,7 @@ from pyspark.sql.types import StructType
 from ._common import binary_list
 
 END_ID = 1
+BARRIER = 0xFFFFFFFF
 _BUCKETS = 16           # bits of the pair-count table
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
@@ -56,13 +56,11 @@ def default_tokenizer() -> str:
 class WordCachedEncoder:
     """Encodes texts with a tokenizer that lower-cases, drops white space, and
     keeps letters and punctuation apart: a text's ids are those of its words,
-    so words met lately need no second encoding. A point or comma after a
-    letter a-z counts as a word of its own. Ids are kept packed; of two
-    generations of words the older goes when the younger is full."""
+    so words met lately need no second encoding. Ids are kept packed (about
+    200 bytes a word); of two generations of words the older goes when the
+    younger is full."""
 
-    _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
-
-    def __init__(self, path: str, cache_words: int = 800_000):
+    def __init__(self, path: str, cache_words: int = 2_400_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -75,11 +73,6 @@ class WordCachedEncoder:
         self.old: dict[bytes, bytes] = {}
         self.limit = cache_words // 2
 
-    def _words(self, text: bytes) -> list[bytes]:
-        if b"<|" in text:       # lower-casing could make a special token of it
-            return text.split()
-        return self._MARK.sub(rb" \1", text.lower()).split()
-
     def _encode_new(self, new: list[bytes]) -> list[bytes]:
         odd = [w for w in new if b"<|" in w]
         plain = [w for w in new if b"<|" not in w]
@@ -98,7 +91,8 @@ class WordCachedEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
-        split = [self._words(t) for t in texts]
+        # lower-casing could make a special token of a word with "<|"
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         missing = set(chain.from_iterable(split)).difference(self.young)
         if len(self.young) + len(missing) > self.limit:
             missing = set(chain.from_iterable(split))
@@ -120,19 +114,18 @@ def load_encoder(path: str) -> WordCachedEncoder:
     return WordCachedEncoder(path)
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 6, per_round: int = 2048,
-           min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair over ``ids``; ``last`` marks the last id of each document.
-    Returns the rules (pairs), the compressed sequence and its ``last``."""
+def repair(ids: np.ndarray, base: int, rounds: int = 6, per_round: int = 2048,
+           min_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Re-Pair over ``ids``, in which ``BARRIER`` stands for the end of each
+    document and is in no pair. Returns the rules (pairs) and the sequence."""
     seq, rules = ids.astype(np.uint32), []
     for _ in range(rounds):
         if len(seq) < 2 * min_count:
             break
         slot = (seq[:-1] * _LEFT + seq[1:] * _RIGHT) >> np.uint32(32 - _BUCKETS)
-        slot[last[:-1]] = 1 << _BUCKETS            # no pair spans two documents
-        table = np.bincount(slot, minlength=(1 << _BUCKETS) + 1)[:-1]
+        table = np.bincount(slot, minlength=1 << _BUCKETS)
         top = np.argpartition(table, -per_round)[-per_round:]
-        heavy = np.zeros((1 << _BUCKETS) + 1, bool)
+        heavy = np.zeros(1 << _BUCKETS, bool)
         heavy[top[table[top] >= min_count]] = True
         at = np.flatnonzero(heavy[slot])
         if not len(at):
@@ -144,7 +137,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 6, per_ro
             if counts[j] < min_count:
                 break
             a, b = int(pairs[j]) >> 32, int(pairs[j]) & 0xFFFFFFFF
-            if a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
+            if BARRIER in (a, b) or a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
                 continue
             lefts.add(a)
             rights.add(b)
@@ -165,11 +158,10 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 6, per_ro
         take = ~same | (run % 2 == 0)
         at, place = at[take], place[take]
         seq[at] = (first + by[place]).astype(np.uint32)
-        last[at] |= last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-    return np.array(rules, np.uint32).reshape(-1, 2), seq, last
+        seq = seq[keep]
+    return np.array(rules, np.uint32).reshape(-1, 2), seq
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,15 +197,16 @@ def pack_shard(docs: list[np.ndarray], base: int, **repair_options) -> dict:
     of each document, the end id last."""
     sizes = np.array([len(d) for d in docs], np.int64)
     ids = np.concatenate(docs).astype(np.uint32)
-    last = np.zeros(len(ids), bool)
-    last[np.cumsum(sizes) - 1] = True
-    rules, seq, last = repair(ids, last, base, **repair_options)
+    ids[np.cumsum(sizes) - 1] = BARRIER
+    rules, seq = repair(ids, base, **repair_options)
+    ends = np.flatnonzero(seq == BARRIER)
+    seq[ends] = [d[-1] for d in docs]
     length = expansions(rules, base)[2][base:]
     width = 2 if base + len(rules) <= 1 << 16 else 4
     return {"base": base, "n_tokens": len(ids), "rules": rules.astype("<u4").tobytes(),
             "rule_lengths": length.astype("<u4").tobytes(), "width": width,
             "symbols": seq.astype(f"<u{width}").tobytes(),
-            "doc_symbols": (np.flatnonzero(last) + 1).astype("<u4").tobytes(),
+            "doc_symbols": (ends + 1).astype("<u4").tobytes(),
             "doc_tokens": sizes.astype("<u4").tobytes()}
 
 
