@@ -9,8 +9,8 @@
 3. Gradient-boosted trees are trained on a bounded sample (``train_pages``
    pages of the smallest hash of their html). Targets come from nodes whose
    markup is plain (an article, a navigation, an advert class and what lies
-   below); half the samples hide that markup, so that density and shape are
-   learnt as well.
+   below). Copies with shapes swapped between nodes teach that such markup
+   counts whatever the shape; copies without markup teach density and shape.
 4. Hierarchical decoding: each element is wrapper, content or boilerplate.
    A wrapper may hold anything, content holds content or boilerplate, and all
    below boilerplate is boilerplate. The best assignment of a page is found
@@ -377,9 +377,15 @@ def fit_pages(df: DataFrame, html_col: str = "html", train_pages: int = 400, see
     got = sorted(arrow_map(rows, fn, "_k bigint, x array<double>, y array<bigint>").collect(), key=lambda r: r["_k"])
     x = np.concatenate([np.array(r["x"]).reshape(-1, len(FEATURES)) for r in got]) if got else np.empty((0, len(FEATURES)))
     y = np.concatenate([np.array(r["y"], float) for r in got]) if got else np.empty(0)
+    # markup with the shape of another node: where markup tells, it tells whatever the shape;
+    # and shape without markup
+    other = x[np.random.default_rng(seed).permutation(len(x))]
+    other[:, HIDDEN] = x[:, HIDDEN]
     hidden = x[::2].copy()
     hidden[:, HIDDEN] = 0
-    return fit_trees(np.concatenate([x, hidden]), np.concatenate([y, y[::2]]))
+    nested = other[y == 0]              # boilerplate stays so inside content
+    nested[:, HIDDEN[2]] += 1
+    return fit_trees(np.concatenate([x, other, nested, hidden]), np.concatenate([y, y, np.zeros(len(nested)), y[::2]]))
 
 
 def main_text(df: DataFrame, model: Trees | None = None, id_col: str = "page_id", url_col: str = "url",
