@@ -21,6 +21,7 @@ rows side.
 
 from __future__ import annotations
 
+import time
 from typing import Callable
 
 import pandas as pd
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 from ..functions.prompts import side_sentence
 
 REQ = "_req_hash"
+PROMPT = "_prompt_digest"
 
 
 def _runner(factory: Callable, model_col: str, prompt_col: str, answer_col: str,
@@ -129,10 +131,11 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
     them more cheaply than deduplicating ``df`` (e.g. distinct sentence
     pairs expanded over a constant run list).
 
-    ``store``: a shared folder of answers keyed by the request. Requests
-    already answered there are skipped (anti-join), new answers are
-    appended, and the join back reads the store -- reruns and retries never
-    call the generator twice for one request.
+    ``store``: a shared folder of answers keyed by the request and a digest
+    of the prompt as sent, so another prefix or layout is another request.
+    Requests answered there are skipped (anti-join), new answers are
+    appended, and only the current requests' answers are read back (the
+    earliest, where two runs stored one each).
     ``checkpoint``: without a store, write the answers once as Parquet into
     the session's shared checkpoint folder and read them back, so
     recomputing a later stage never re-runs the generator.
@@ -159,21 +162,30 @@ def answer_distinct(requests: DataFrame, factory: Callable, prompt: Column | str
     if REQ not in requests.columns:
         requests = _request_keys(requests.select(*keys), keys)
     prompt_expr = F.col(prompt) if isinstance(prompt, str) else prompt
-    if store is not None:
-        done = _read_store(requests.sparkSession, store)
-        if done is not None:
-            requests = requests.join(done.select(REQ, *keys), [REQ, *keys], "left_anti")
     rendered = (requests.withColumn("_prompt", prompt_expr)
                 .filter(F.col("_prompt").isNotNull())
                 .select(REQ, *keys, "_prompt"))
+    stored_keys = [REQ, *keys, PROMPT]
+    if store is not None:
+        text = F.col("_prompt") if isinstance(rendered.schema["_prompt"].dataType, T.StringType) \
+            else F.to_json("_prompt")
+        rendered = rendered.withColumn(PROMPT, F.sha2(text.cast("binary"), 256))
+        current = rendered.select(*stored_keys)
+        done = _read_store(requests.sparkSession, store)
+        if done is not None:
+            rendered = rendered.join(done.select(*stored_keys), stored_keys, "left_anti")
     if model_col not in keys:
         rendered = rendered.withColumn(model_col, F.lit(None).cast("string"))
-    answers = answer_requests(rendered, factory, "_prompt", model_col, answer_col,
-                              batch_size, partitions).select(REQ, *keys, answer_col)
+    answers = answer_requests(rendered, factory, "_prompt", model_col, answer_col, batch_size, partitions)
     if store is not None:
-        answers.write.mode("append").parquet(store)
-        answers = _read_store(requests.sparkSession, store).dropDuplicates([REQ, *keys])
-    elif checkpoint:
+        (answers.select(*stored_keys, answer_col).withColumn("_at", F.lit(time.time_ns()))
+         .write.mode("append").parquet(store))
+        answers = (_read_store(requests.sparkSession, store).join(current, stored_keys, "left_semi")
+                   .groupBy(REQ, *keys).agg(F.min(F.struct("_at", answer_col)).alias("_first"))
+                   .select(REQ, *keys, F.col("_first")[answer_col].alias(answer_col)))
+        return answers
+    answers = answers.select(REQ, *keys, answer_col)
+    if checkpoint:
         from ..session import materialize
         answers = materialize(answers, "answers")
     return answers
@@ -204,7 +216,3 @@ def substitute_paraphrase(df: DataFrame, side, paraphrase_col: str = "paraphrase
                           .otherwise(F.col(hypothesis_col)))
               .drop(paraphrase_col))
 
-
-def align_answers(pairs: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """ALN-1: attach answers to pairs by key (never by position)."""
-    return pairs.join(answers, keys, "inner")

@@ -164,8 +164,11 @@ def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], v
     # the prompt is rendered from the stored inputs, for run heads only
     heads = marked.filter(F.col("is_new")).select(*P, "run_no", F.lit(model).alias("model"),
                                                   prompt.alias("prompt"))
-    answered = answer_requests(heads, factory, "prompt", "model", answer_col)\
+    # a run whose text is missing has no prompt: it keeps a NULL answer, the generator never sees it
+    answered = answer_requests(heads.filter(F.col("prompt").isNotNull()), factory, "prompt", "model", answer_col)\
         .select(*P, "run_no", answer_col)
+    unasked = heads.filter(F.col("prompt").isNull()).select(*P, "run_no", F.lit(None).cast("string").alias(answer_col))
+    answered = answered.unionByName(unasked)
     # buckets each run touches: its head's bucket, plus every later bucket
     # whose first row continues it (carried in from an earlier bucket); a
     # (bucket, run) pair occurs once, so no dedupe is needed

@@ -97,24 +97,33 @@ def evaluate(pairs: DataFrame, factory: Callable, config: EvalConfig, models: li
 
 def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
                    out_path: str, task: str = "binary", prompt_types: list[str] | None = None,
-                   run_id: str | None = None, store: str | None = None,
+                   run_id: str | None = None, store: str | None = None, chat: bool = False,
+                   max_missing: int = 0,
                    by: list[str] = ("dataset", "language", "text_version")) -> DataFrame:
-    """The evaluation job: predictions written once to the partitioned store
-    (SNK-2/4), row conservation checked from counts observed during that
-    same write (CHK-2: one prediction per pair and run), accuracy computed
+    """The evaluation job: predictions written aside, row conservation and
+    missing answers checked there (CHK-2: one answered prediction per pair
+    and run), then published to the partitioned store (SNK-2/4) under a run
+    id that the store doesn't hold yet; accuracy computed
     from the stored predictions (AGG-2) with partition pruning on run_id."""
     from ..operators.checks import check_conservation, observed_count
-    from ..sources.sinks import run_stamp, write_predictions
+    from ..session import materialize
+    from ..sources.sinks import run_exists, unique_run, write_predictions
 
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
-    pred, n_pairs = _answer_runs(pairs, factory, config, task, specs, types, store, False, False,
+    pred, n_pairs = _answer_runs(pairs, factory, config, task, specs, types, store, False, chat,
                                  observe=True)
-    pred, n_pred = observed_count(pred, "predictions")
-    run_id = run_id or run_stamp()
+    run_id = run_id or unique_run()
+    if run_exists(pairs.sparkSession, out_path, run_id):
+        raise ValueError(f"run {run_id!r} is already stored in {out_path}")
+    # written aside first: a recomputed task never asks the generator again, and nothing wrong is published
+    pred = materialize(pred, "predictions")
+    asked = F.col("premise").isNotNull() & F.col("hypothesis").isNotNull()
+    n_pred, missing = pred.agg(F.count(F.lit(1)), F.count_if(asked & F.col("raw_answer").isNull())).first()
+    check_conservation(n_pairs.get["n_rows"] * len(specs), n_pred, "predictions per pair and run")
+    if missing > max_missing:
+        raise ValueError(f"{missing} of {n_pred} predictions have no answer (allowed: {max_missing})")
     write_predictions(pred, out_path, run_id=run_id)
-    check_conservation(n_pairs.get["n_rows"] * len(specs), n_pred.get["n_rows"],
-                       "predictions per pair and run")
     # read back with the written schema: partition values keep their types
     schema = pred.schema.add("run_id", "string")
     stored = pred.sparkSession.read.schema(schema).parquet(out_path).filter(F.col("run_id") == run_id)

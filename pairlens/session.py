@@ -67,6 +67,9 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     -- a private folder is created once and registered as checkpoint dir."""
     base = _configured_dir(spark)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _FALLBACK_DIR.get("dir")
         if base is None:
             base = _FALLBACK_DIR["dir"] = tempfile.mkdtemp(prefix="pairlens-shared-")

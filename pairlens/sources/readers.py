@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FORMATS = ("json", "jsonl", "tsv", "csv")
 NULL_MARKER = "\u0000"
@@ -52,9 +53,29 @@ def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _bound_by_name(reader, path: str, schema) -> tuple[T.StructType, list[str]]:
+    """The schema in the order of the file's header, and the wanted columns.
+    Columns the schema doesn't name are read as text and left out after."""
+    want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    names = reader.csv(path).columns
+    if not names:       # nothing to read
+        return want, want.names
+    missing = [n for n in want.names if n not in names]
+    if missing:
+        raise KeyError(f"{path}: columns {missing} not found in {names}")
+    return T.StructType([want[n] if n in want.names else T.StructField(n, T.StringType()) for n in names]), want.names
+
+
 def _delimited(spark: SparkSession, path: str, schema, sep: str, header: bool,
                multiline: bool = True) -> DataFrame:
-    return (spark.read.schema(schema)
+    """Columns are bound by header name, whatever their order; with
+    ``enforceSchema`` off every file of a folder must have the same header."""
+    wanted = None
+    if header:
+        first = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"') \
+            .option("multiLine", multiline)
+        schema, wanted = _bound_by_name(first, path, schema)
+    df = (spark.read.schema(schema).option("enforceSchema", False)
             .option("sep", sep).option("header", header)
             .option("quote", '"').option("escape", '"')
             # an unquoted empty field is NULL, a quoted one ("") the empty
@@ -63,6 +84,7 @@ def _delimited(spark: SparkSession, path: str, schema, sep: str, header: bool,
             .option("multiLine", multiline)
             .option("mode", "FAILFAST")
             .csv(path))
+    return df if wanted is None or df.columns == wanted else df.select(*wanted)
 
 
 def read_tsv(spark: SparkSession, path: str, schema, header: bool = True,
@@ -80,17 +102,20 @@ def read_csv(spark: SparkSession, path: str, schema, header: bool = True,
 
 
 def load_dataset(spark: SparkSession, path: str, schema, fmt: str | None = None,
-                 language: str | None = None, language_col: str = "language") -> DataFrame:
-    """SRC-1 (+ FLT-1): read by suffix, optionally keep one language."""
+                 language: str | None = None, language_col: str = "language",
+                 multiline: bool = True) -> DataFrame:
+    """SRC-1 (+ FLT-1): read by suffix, optionally keep one language.
+    ``multiline=False`` lets large delimited files be split (no field may
+    hold a line break)."""
     kind = format_of(path, fmt)
     if kind == "json":
         df = read_json_records(spark, path, schema)
     elif kind == "jsonl":
         df = read_json_lines(spark, path, schema)
     elif kind == "tsv":
-        df = read_tsv(spark, path, schema)
+        df = read_tsv(spark, path, schema, multiline=multiline)
     else:
-        df = read_csv(spark, path, schema)
+        df = read_csv(spark, path, schema, multiline=multiline)
     if language is not None:
         if language_col not in df.columns:
             raise KeyError(f"language filter on a table without column {language_col!r}")
@@ -98,20 +123,28 @@ def load_dataset(spark: SparkSession, path: str, schema, fmt: str | None = None,
     return df
 
 
+#: Blocks (file splits) whose offsets may be broadcast; beyond, they are joined by shuffle.
+MAX_BROADCAST_BLOCKS = 100_000
+
+
 def with_row_order(df: DataFrame, col: str = "row_ord") -> DataFrame:
-    """Stable file order as a unique, increasing long.
-
-    Rows are range-partitioned on (file, block start, position) and sorted
-    within partitions; ``monotonically_increasing_id`` then numbers them in
-    that order (partition index in the high bits). Within a partition the
-    numbers are consecutive, so ``runs.mark_runs`` buckets stay bounded."""
-    pos = "_pos"
-    ordered = (df.select("*", F.col("_metadata.file_path").alias("_file"),
-                         F.col("_metadata.file_block_start").alias("_block"),
-                         F.monotonically_increasing_id().alias(pos))
-               .repartitionByRange("_file", "_block", pos)
-               .sortWithinPartitions("_file", "_block", pos))
-    return ordered.withColumn(col, F.monotonically_increasing_id()).drop("_file", "_block", pos)
+    """File order as a gapless long from 0: the same for every read of the
+    same files, and for every branch of a query, however it is pruned.
+
+    A block (file, start) is read by one task from its first row to its last,
+    so a row's number is its place in the block plus the rows of all blocks
+    before. Only one row per block is aggregated and summed; data rows are
+    neither sorted nor shuffled."""
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                       F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_pos"))
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_pos").alias("_at"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_at")).alias("_off"))
+    if blocks.count() <= MAX_BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    return (placed.join(blocks, ["_file", "_block"]).withColumn(col, F.col("_pos") + F.col("_off"))
+            .drop("_file", "_block", "_pos", "_off"))
 
 
 def read_versions(spark: SparkSession, original: DataFrame | None, paraphrase: DataFrame | None) -> DataFrame:

@@ -7,8 +7,10 @@ quotes reads back unchanged (the reference wrote raw f-string rows).
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,20 @@ def run_stamp(now: datetime | None = None) -> str:
     return (now or datetime.now(timezone.utc)).strftime("%d-%m-%Y_%H_%M_%S")
 
 
+def unique_run() -> str:
+    """A run label no other run has: the stamp and a random suffix."""
+    return f"{run_stamp()}-{uuid.uuid4().hex[:8]}"
+
+
+def run_exists(spark, path: str, run_id: str) -> bool:
+    """Whether the store at ``path`` holds rows of the run (reads folder names only)."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return "run_id" in stored.columns and not stored.filter(F.col("run_id").cast("string") == run_id).isEmpty()
+
+
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True,
               sep: str = "\t") -> str:
     """SNK-1: quoted TSV with a header (one or more part files)."""
@@ -44,11 +60,14 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> s
     return path
 
 
-def predictions_frame(pred: DataFrame) -> DataFrame:
-    """SNK-2 column layout: premise, hypothesis, gold_label, prediction and,
-    when the text is a paraphrase, the paraphrased sentence."""
+def predictions_frame(pred: DataFrame, text_version: str = "original") -> DataFrame:
+    """SNK-2 column layout of one text version's predictions: premise,
+    hypothesis, gold_label, prediction and, for paraphrases, the paraphrased
+    sentence."""
     cols = ["premise", "hypothesis", "gold_label", "prediction"]
-    if "original_sentence" in pred.columns:
+    if "text_version" in pred.columns:
+        pred = pred.filter(F.col("text_version") == text_version)
+    if text_version == "paraphrase":
         cols.append(F.col("original_sentence").alias("paraphrased_sentence"))
     return pred.select(*cols)
 
@@ -59,7 +78,10 @@ def write_predictions(pred: DataFrame, path: str, run_id: str | None = None,
     run stamp so every run lands in its own folder and readers prune by
     partition."""
     cols = [c for c in (partition_cols or RUN_COLUMNS) if c in pred.columns]
-    out = pred.withColumn("run_id", F.lit(run_id or run_stamp()))
+    run_id = run_id or unique_run()
+    if run_exists(pred.sparkSession, path, run_id):
+        raise ValueError(f"run {run_id!r} is already stored in {path}")
+    out = pred.withColumn("run_id", F.lit(run_id))
     # cluster rows by their output folder so each task writes few files; AQE
     # splits a skewed folder (one dataset may hold a third of all rows) and
     # merges small ones
