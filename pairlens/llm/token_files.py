@@ -44,6 +44,8 @@ from ._common import binary_list
 
 END_ID = 1
 BARRIER = 0xFFFFFFFF
+#: Shards whose offsets may be broadcast (24 bytes each); beyond, they are joined by shuffle.
+MAX_BROADCAST_SHARDS = 100_000
 _BUCKETS = 16           # bits of the pair-count table
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
@@ -231,7 +233,7 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     kind = rows.schema["doc_id"].dataType
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = F.xxhash64("text")
-    ordered = rows.repartitionByRange(parts, F.col("doc_id"), h).sortWithinPartitions(F.col("doc_id"), h)
+    ordered = rows.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions(F.col("doc_id"), h)
     schema = f"part int, shard int, doc_ids array<{kind.simpleString()}>, {SHARD_FIELDS}"
 
     target = to_arrow_schema(StructType.fromDDL(schema))
@@ -274,6 +276,8 @@ def read_token_files(spark, path: str) -> DataFrame:
     first = per_part.select("part", before("n", Window.orderBy("part")).alias("_first"))
     starts = (sizes.withColumn("_in", before("n_tokens", Window.partitionBy("part").orderBy("shard")))
               .join(first, "part").select("part", "shard", (F.col("_first") + F.col("_in")).alias("start")))
+    if sizes.count() <= MAX_BROADCAST_SHARDS:
+        starts = F.broadcast(starts)
     placed = files.join(starts, ["part", "shard"])
     kind = files.schema["doc_ids"].dataType.elementType
 
