@@ -74,9 +74,6 @@ NOT_ENTAILMENT = "not_entailment"
 UNKNOWN = "unk"
 # Prompt type whose pair prompt uses the "expert" layout.
 EXPERT_PROMPT = "chain"
-# Answer length caps of the generation runs (new tokens).
-EVAL_MAX_NEW_TOKENS = 5
-PARAPHRASE_MAX_NEW_TOKENS = 20
 # ---------------------------------------------------------------------------
 
 

@@ -26,11 +26,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def py_strip(c) -> Column:
-    """``str.strip()`` with Python's white-space set."""
-    return F.regexp_replace(_col(c), EDGE_WS, "")
-
-
 def sentences(text) -> Column:
     """Non-empty pieces of ``text`` split on full stops, edges trimmed."""
     pieces = F.split(_col(text), SENTENCE_STOP)

@@ -28,26 +28,35 @@ def run_specs(config: EvalConfig, task: str, models: list[str], prompt_types: li
     return specs
 
 
-def allowed_for(dataset_col: Column, config: EvalConfig, task: str) -> Column:
-    """CHK-3 as a predicate: the task is listed for the row's dataset. Datasets
-    missing from the configuration are not restricted."""
+def allowed_for(dataset_col: Column, config: EvalConfig, task: str, unknown: str = "error") -> Column:
+    """CHK-3 as a predicate: the task is listed for the row's dataset. A
+    dataset that the configuration lacks (or a missing name) fails the job;
+    ``unknown="keep"`` leaves such rows unrestricted."""
+    if unknown not in ("error", "keep"):
+        raise ValueError("unknown must be 'error' or 'keep'")
     allowed = [n for n, d in config.datasets.items() if task in d.prompts]
-    known = list(config.datasets)
-    if not known:
-        return F.lit(True)
-    # a row without a dataset name is not restricted either (never dropped)
-    return F.coalesce(dataset_col.isin(allowed) | ~dataset_col.isin(known), F.lit(True))
+    other = F.lit(True) if unknown == "keep" else F.raise_error(F.concat(
+        F.lit("dataset not in the configuration: "), F.coalesce(dataset_col, F.lit("NULL")))).cast("boolean")
+    return (F.when(dataset_col.isin(allowed), True)
+            .when(dataset_col.isin(list(config.datasets)), False).otherwise(other))
+
+
+def excluded_datasets(pairs: DataFrame, config: EvalConfig, task: str, dataset_col: str = "dataset") -> DataFrame:
+    """CHK-3 as a report: rows per configured dataset that doesn't list the task."""
+    barred = [n for n, d in config.datasets.items() if task not in d.prompts]
+    return (pairs.filter(F.col(dataset_col).isin(barred)).groupBy(dataset_col)
+            .agg(F.count(F.lit(1)).alias("n_excluded")))
 
 
 def expand_runs(pairs: DataFrame, specs: list[tuple], config: EvalConfig | None = None,
-                task: str | None = None, dataset_col: str = "dataset") -> DataFrame:
+                task: str | None = None, dataset_col: str = "dataset", unknown: str = "error") -> DataFrame:
     """GRD-1: one row per (pair, run) with ``model`` and ``prompt_type``.
     Prefixes stay out of the rows (see :func:`prefix_for`)."""
     runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("prompt_type"))
                      for m, t, _ in specs])
     out = pairs
     if config is not None and task is not None:
-        out = out.filter(allowed_for(F.col(dataset_col), config, task))
+        out = out.filter(allowed_for(F.col(dataset_col), config, task, unknown))
     return (out.withColumn("_run", F.explode(runs))
                .select("*", "_run.model", "_run.prompt_type").drop("_run"))
 
@@ -68,6 +77,6 @@ def grid_prompt(specs: list[tuple], premise: str = "premise", hypothesis: str =
 
 
 def render_grid(pairs: DataFrame, specs: list[tuple], config: EvalConfig | None = None,
-                task: str = "binary") -> DataFrame:
+                task: str = "binary", unknown: str = "error") -> DataFrame:
     """Expand pairs over runs and render the pair prompt of each run."""
-    return expand_runs(pairs, specs, config, task).withColumn("prompt", grid_prompt(specs))
+    return expand_runs(pairs, specs, config, task, unknown=unknown).withColumn("prompt", grid_prompt(specs))

@@ -30,17 +30,6 @@ def accuracy(df: DataFrame, by: list[str], gold="gold_label", pred="prediction")
     return df.groupBy(*by).agg(*accuracy_aggs(gold, pred))
 
 
-def row_counts(stages: dict[str, DataFrame], by: list[str] | None = None) -> DataFrame:
-    """AGG-3: one row per (stage[, by...]) with its row count."""
-    out = None
-    for name, df in stages.items():
-        g = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")) if by
-             else df.agg(F.count(F.lit(1)).alias("n_rows")))
-        g = g.select(F.lit(name).alias("stage"), *(by or []), "n_rows")
-        out = g if out is None else out.unionByName(g)
-    return out
-
-
 def distinct_labels(df: DataFrame, label_col: str = "gold_label", by: list[str] | None = None) -> DataFrame:
     """AGG-4: the distinct labels (per group)."""
     return df.select(*(by or []), label_col).distinct()

@@ -35,16 +35,6 @@ def fold_label(label: Column, text_version: Column | None = None) -> Column:
     return F.when(text_version == F.lit("original"), F.lower(label)).otherwise(label)
 
 
-def with_constant(df: DataFrame, name: str, value) -> DataFrame:
-    """PRJ-4: add a constant column."""
-    return df.withColumn(name, F.lit(value))
-
-
-def last_column(df: DataFrame) -> Column:
-    """PRJ-3: the last column by position (the paraphrased sentence)."""
-    return F.col(df.columns[-1])
-
-
 def filter_language(df: DataFrame, lang: str | None = "en", col: str = "language",
                     require: bool = True) -> DataFrame:
     """FLT-1/2: keep one language (pushed to the scan by Catalyst). With no

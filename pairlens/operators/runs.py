@@ -8,7 +8,9 @@ A single global ``Window.orderBy`` would put the whole table in one task, and
 ``partitionBy(dataset)`` one task per dataset (one dataset may hold a third
 of all rows). Instead rows are cut into *buckets* of consecutive order
 values (``order >> bucket_bits``); every bucket holds at most
-``2**bucket_bits`` order values, so each window task is bounded. A bucket's
+``2**bucket_bits`` values of the first order column, so each window task is
+bounded by the rows of that many values (choose fewer bits where a value
+has many rows). A bucket's
 first row is compared with the last row of the nearest non-empty earlier
 bucket, taken from a per-bucket summary (one row per bucket), and run
 numbers are offset by a running sum over that summary. The summary is
@@ -144,7 +146,8 @@ def mark_runs(df: DataFrame, order_cols: list[str], value_col: str,
 def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], value_col: str,
                       prompt: Column, model: str | None = None,
                       partition_cols: list[str] | None = None, answer_col: str = "raw_answer",
-                      bucket_bits: int = 16, materialize: bool = True) -> DataFrame:
+                      bucket_bits: int = 16, materialize: bool = True,
+                      batch_size: int | None = None, partitions: int | None = None) -> DataFrame:
     """Call the generator once per run of consecutive equal ``value_col`` and
     give every row of the run the answer of its head.
 
@@ -165,7 +168,8 @@ def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], v
     heads = marked.filter(F.col("is_new")).select(*P, "run_no", F.lit(model).alias("model"),
                                                   prompt.alias("prompt"))
     # a run whose text is missing has no prompt: it keeps a NULL answer, the generator never sees it
-    answered = answer_requests(heads.filter(F.col("prompt").isNotNull()), factory, "prompt", "model", answer_col)\
+    answered = answer_requests(heads.filter(F.col("prompt").isNotNull()), factory, "prompt", "model", answer_col,
+                               batch_size, partitions)\
         .select(*P, "run_no", answer_col)
     unasked = heads.filter(F.col("prompt").isNull()).select(*P, "run_no", F.lit(None).cast("string").alias(answer_col))
     answered = answered.unionByName(unasked)

@@ -7,18 +7,20 @@ answers the SQL twin can recompute.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import DatasetSpec, EvalConfig
 from ..functions.answers import answer_to_label, clean_paraphrase
 from ..functions.prompts import chat_prompt, pair_prompt, paraphrase_prompt, side_sentence
 from ..operators import analysis as A
 from ..operators import checks as C
 from ..operators import prepare as PR
-from ..operators.grid import expand_runs, prefix_for, render_grid, run_specs
+from ..operators.grid import excluded_datasets, expand_runs, prefix_for, render_grid, run_specs
 from ..operators.metrics import accuracy, distinct_labels
 from ..operators.runs import reuse_consecutive
 from ..sources import readers as R
@@ -57,11 +59,11 @@ def _para_prefix() -> str:
     return _cfg().prompt("paraphrase_gen", "instruct").prefix
 
 
-def _pred(spark, sf_dir, features: bool = False) -> DataFrame:
-    pairs = fx.pairs(spark, sf_dir)
+def _pred(spark, sf_dir, features: bool = False, labelled: bool = True) -> DataFrame:
+    pairs = fx.pairs(spark, sf_dir, labelled)
     if features:
         pairs = A.with_surface_features(pairs)
-    return predictions(pairs, fx.stub_factory, _cfg(), [fx.STUB_MODEL], TASK)
+    return predictions(pairs, fx.stub_factory, _cfg(), [fx.STUB_MODEL], TASK, unknown="keep")
 
 
 def _pred_sql(source: str = "pairs") -> str:
@@ -87,11 +89,11 @@ FROM pred GROUP BY dataset, language, model, prompt_type"""
 
 def generate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-1: one generator call per distinct (model, prompt), joined back."""
-    return _pred(spark, sf_dir).select(*KEYS, "prompt_type", "raw_answer")
+    return _pred(spark, sf_dir, labelled=False).select(*KEYS, "prompt_type", "raw_answer")
 
 
 def generate_dedup_sql() -> str:
-    return f"""WITH {S.PAIRS}, {_pred_sql()}
+    return f"""WITH {S.ALL_PAIRS}, {_pred_sql()}
 SELECT dataset, pair_id, pair_no, prompt_type, raw_answer FROM pred"""
 
 
@@ -186,39 +188,39 @@ FROM t WHERE language = 'en'"""
 # ------------------------------------------------------------------- prompts
 def prompt_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-1 with the few-shot question prompt."""
-    p = fx.pairs(spark, sf_dir)
+    p = fx.pairs(spark, sf_dir, labelled=False)
     return p.select(*KEYS, pair_prompt("qa-few-ent", F.lit(_prefix("qa-few-ent")),
                                        "premise", "hypothesis").alias("prompt"))
 
 
 def prompt_plain_sql() -> str:
-    return f"""WITH {S.PAIRS}
+    return f"""WITH {S.ALL_PAIRS}
 SELECT dataset, pair_id, pair_no,
        {S.pair_prompt(S.lit('qa-few-ent'), S.lit(_prefix('qa-few-ent')))} AS prompt FROM pairs"""
 
 
 def prompt_expert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-2: the expert (chain) layout."""
-    p = fx.pairs(spark, sf_dir)
+    p = fx.pairs(spark, sf_dir, labelled=False)
     return p.select(*KEYS, pair_prompt("chain", F.lit(_prefix("chain")),
                                        "premise", "hypothesis").alias("prompt"))
 
 
 def prompt_expert_sql() -> str:
-    return f"""WITH {S.PAIRS}
+    return f"""WITH {S.ALL_PAIRS}
 SELECT dataset, pair_id, pair_no,
        {S.pair_prompt(S.lit('chain'), S.lit(_prefix('chain')))} AS prompt FROM pairs"""
 
 
 def prompt_paraphrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-4: paraphrase request for the premise (even ids) or hypothesis."""
-    p = fx.pairs(spark, sf_dir).withColumn("changed_side", fx.side_of())
+    p = fx.pairs(spark, sf_dir, labelled=False).withColumn("changed_side", fx.side_of())
     sent = side_sentence(F.col("changed_side"), "premise", "hypothesis")
     return p.select(*KEYS, "changed_side", paraphrase_prompt(F.lit(_para_prefix()), sent).alias("prompt"))
 
 
 def prompt_paraphrase_sql() -> str:
-    return f"""WITH {S.PAIRS},
+    return f"""WITH {S.ALL_PAIRS},
 s AS (SELECT *, CASE WHEN pair_id % 2 = 0 THEN 'p' ELSE 'h' END AS changed_side FROM pairs)
 SELECT dataset, pair_id, pair_no, changed_side,
        {S.paraphrase_prompt(S.lit(_para_prefix()),
@@ -226,13 +228,10 @@ SELECT dataset, pair_id, pair_no, changed_side,
 FROM s"""
 
 
-CHAT_TYPES = ["qa-zero-ent", "chain"]
-
-
 def prompt_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-3 in exploded form, shaped like ``conversations``."""
-    specs = [(fx.STUB_MODEL, t, _prefix(t)) for t in CHAT_TYPES]
-    g = expand_runs(fx.pairs(spark, sf_dir), specs)
+    specs = [(fx.STUB_MODEL, t, _prefix(t)) for t in _types()]
+    g = expand_runs(fx.pairs(spark, sf_dir, labelled=False), specs)
     msgs = chat_prompt(F.col("prompt_type"), prefix_for(F.col("prompt_type"), specs),
                        "premise", "hypothesis")
     ex = g.select("dataset", F.col("pair_id").alias("conv_id"), "pair_no", "prompt_type",
@@ -243,11 +242,11 @@ def prompt_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_chat_sql() -> str:
-    rows = [(t, _prefix(t)) for t in CHAT_TYPES]
+    rows = [(t, _prefix(t)) for t in _types()]
     user = ("CASE WHEN prompt_type = 'chain' THEN 'Premise: ' || premise || chr(10) || "
             "' Hypothesis: ' || hypothesis || chr(10) || ' Answer:' "
             "ELSE ' ' || premise || ' -> ' || hypothesis || ': ' END")
-    return f"""WITH {S.PAIRS},
+    return f"""WITH {S.ALL_PAIRS},
 g AS (SELECT p.*, r.prompt_type, r.prefix FROM pairs p CROSS JOIN (SELECT * FROM {S.values(rows, ['prompt_type', 'prefix'])}) r)
 SELECT dataset, pair_id AS conv_id, pair_no, prompt_type, CAST(0 AS BIGINT) AS turn,
        'system' AS role, prefix AS text FROM g
@@ -255,38 +254,50 @@ UNION ALL
 SELECT dataset, pair_id, pair_no, prompt_type, CAST(1 AS BIGINT), 'user', {user} FROM g"""
 
 
+def _grid_cfg():
+    """The fixture configuration with two sources named: one lists the task, one doesn't."""
+    cfg = _cfg()
+    for name, prompts in (("src0", [TASK]), ("src1", ["other"])):
+        cfg.datasets[name] = DatasetSpec(name=name, prompts=prompts)
+    return cfg
+
+
+def _grid_models():
+    return [m for m in _cfg().models if m != fx.STUB_MODEL]
+
+
 def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRD-1/2 + CHK-3: every configured model x prompt type over every
-    dataset in one job; prompt volume per run.
-
-    A pair prompt does not depend on the model, so prompts are rendered and
-    summed once per (pair, prompt type); the small per-(dataset, prompt
-    type) aggregate is then expanded over the models."""
-    cfg = _cfg()
-    models = [m for m in cfg.models if m != fx.STUB_MODEL]
-    types = cfg.prompt_types(TASK)
-    one = render_grid(fx.pairs(spark, sf_dir), run_specs(cfg, TASK, [models[0]], types), cfg, TASK)
-    per_type = one.groupBy("dataset", "prompt_type").agg(
+    dataset that allows the task, in one job; prompt volume per run."""
+    cfg = _grid_cfg()
+    specs = run_specs(cfg, TASK, _grid_models())
+    g = render_grid(fx.pairs(spark, sf_dir, labelled=False), specs, cfg, TASK, unknown="keep")
+    return g.groupBy("dataset", "model", "prompt_type").agg(
         F.count(F.lit(1)).alias("n_prompts"),
         F.sum(F.length("prompt")).cast("bigint").alias("prompt_chars"))
-    runs = F.array(*[F.lit(m) for m in models])
-    return per_type.select("dataset", F.explode(runs).alias("model"), "prompt_type",
-                           "n_prompts", "prompt_chars")
 
 
 def run_grid_sql() -> str:
-    cfg = _cfg()
-    models = [m for m in cfg.models if m != fx.STUB_MODEL]
-    return f"""WITH {S.PAIRS},
-runs AS (SELECT * FROM {_runs_sql(models)}),
+    return f"""WITH {S.ALL_PAIRS},
+runs AS (SELECT * FROM {_runs_sql(_grid_models())}),
 g AS (SELECT p.dataset, r.model, r.prompt_type,
              {S.pair_prompt('r.prompt_type', 'r.prefix')} AS prompt
-      FROM pairs p CROSS JOIN runs r)
+      FROM pairs p CROSS JOIN runs r WHERE p.dataset IS DISTINCT FROM 'src1')
 SELECT dataset, model, prompt_type, count(*) AS n_prompts,
        CAST(sum(length(prompt)) AS BIGINT) AS prompt_chars
 FROM g GROUP BY dataset, model, prompt_type"""
 
 
+def excluded_datasets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK-3 as a report: rows of the datasets that don't list the task."""
+    return excluded_datasets(fx.pairs(spark, sf_dir, labelled=False), _grid_cfg(), TASK)
+
+
+def excluded_datasets_sql() -> str:
+    return f"""WITH {S.ALL_PAIRS} SELECT dataset, count(*) AS n_excluded
+FROM pairs WHERE dataset = 'src1' GROUP BY dataset"""
+
+
 # --------------------------------------------------------- reuse and rewrite
 def reuse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-2: one paraphrase call per run of consecutive equal sentences."""
@@ -312,18 +323,42 @@ SELECT z.row_ord, z.sentence, z.is_new, z.run_no, {S.stub_paraphrase('h.head')}
 FROM z JOIN h ON z.run_no = h.run_no"""
 
 
+def reuse_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEN-2 over real sentences: the rows of the two-choice pairs repeat their
+    premise; one call per run of equal premises, in document order. Few ids a
+    bucket, so that runs of equal sentences cross bucket borders."""
+    c = PR.choice_to_pairs(fx.choice_rows(spark, sf_dir), keep=["rid", "win_no"])
+    out = reuse_consecutive(c.select("rid", "win_no", "choice_no", "premise"), fx.stub_paraphraser,
+                            ["rid", "win_no", "choice_no"], "premise",
+                            paraphrase_prompt(F.lit(_para_prefix()), F.col("premise")),
+                            model=fx.STUB_MODEL, answer_col="paraphrase", bucket_bits=6)
+    return out.select("rid", "win_no", "choice_no", "is_new", "run_no", "paraphrase")
+
+
+def reuse_sentences_sql() -> str:
+    return f"""WITH {S.LABELLED}{S.TRIPLES},
+c AS (SELECT rid, win_no, CAST(n AS BIGINT) AS choice_no, startphrase AS premise
+      FROM triples CROSS JOIN range(2) AS two(n)),
+x AS (SELECT *, lag(premise) OVER o AS prev, row_number() OVER o AS rn
+      FROM c WINDOW o AS (ORDER BY rid, win_no, choice_no)),
+y AS (SELECT *, rn = 1 OR premise <> prev AS is_new FROM x),
+z AS (SELECT *, CAST(sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (ORDER BY rn) AS BIGINT) AS run_no FROM y)
+SELECT rid, win_no, choice_no, is_new, run_no, {S.stub_paraphrase('premise')} AS paraphrase FROM z"""
+
+
 def reuse_runs_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-3: reuse keyed by a supplied id (the pair's record id): one call
     per record run, rendered from the run head's premise."""
-    p = fx.pairs(spark, sf_dir).select(*KEYS, "premise")
+    p = fx.pairs(spark, sf_dir, labelled=False).select(*KEYS, "premise")
     out = reuse_consecutive(p, fx.stub_paraphraser, ["pair_id", "pair_no"], "pair_id",
                             paraphrase_prompt(F.lit(_para_prefix()), F.col("premise")),
-                            model=fx.STUB_MODEL, partition_cols=["dataset"], answer_col="paraphrase")
+                            model=fx.STUB_MODEL, partition_cols=["dataset"], answer_col="paraphrase",
+                            bucket_bits=10)
     return out.select(*KEYS, "is_new", "run_no", "paraphrase")
 
 
 def reuse_runs_by_key_sql() -> str:
-    return f"""WITH {S.PAIRS},
+    return f"""WITH {S.ALL_PAIRS},
 x AS (SELECT dataset, pair_id, pair_no, premise,
              lag(pair_id) OVER (PARTITION BY dataset ORDER BY pair_id, pair_no) AS prev,
              row_number() OVER (PARTITION BY dataset ORDER BY pair_id, pair_no) AS rn
@@ -336,18 +371,18 @@ SELECT z.dataset, z.pair_id, z.pair_no, z.is_new, z.run_no, {S.stub_paraphrase('
 FROM z JOIN h ON z.dataset = h.dataset AND z.run_no = h.run_no"""
 
 
-def _paraphrased_pairs(spark, sf_dir) -> DataFrame:
+def _paraphrased_pairs(pairs: DataFrame) -> DataFrame:
     """Paraphrase pipeline: request -> GEN-1 -> TXT-6 clean -> GEN-4 substitute,
     premise for even record ids, hypothesis for odd ones."""
     from .paraphrase import paraphrase_pairs
-    return paraphrase_pairs(fx.pairs(spark, sf_dir), fx.stub_paraphraser, fx.STUB_MODEL,
+    return paraphrase_pairs(pairs, fx.stub_paraphraser, fx.STUB_MODEL,
                             fx.side_of(), _cfg(), reuse="distinct", clean=True,
                             materialize=False)
 
 
 def substitute_paraphrase_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-4 + PRJ-3 + TXT-4 + TXT-6 through the generator."""
-    return _paraphrased_pairs(spark, sf_dir).select(
+    return _paraphrased_pairs(fx.pairs(spark, sf_dir, labelled=False)).select(
         *KEYS, "premise", "hypothesis", "gold_label", "original_sentence", "changed_side")
 
 
@@ -364,7 +399,7 @@ para AS (SELECT dataset, pair_id, pair_no, language,
 
 
 def substitute_paraphrase_sql() -> str:
-    return f"""WITH {S.PAIRS}{_paraphrased_sql()}
+    return f"""WITH {S.ALL_PAIRS}{_paraphrased_sql()}
 SELECT dataset, pair_id, pair_no, premise, hypothesis, gold_label, original_sentence, changed_side
 FROM para"""
 
@@ -372,12 +407,15 @@ FROM para"""
 # ------------------------------------------------------------ checks, counts
 def label_domain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-1 as reports over the two-label, three-label and binary labels."""
-    two = fx.two_label_rows(spark, sf_dir).withColumn("label", F.lower("label"))
-    three = fx.three_label_rows(spark, sf_dir).filter(F.col("language") == "en")
-    binary = fx.pairs(spark, sf_dir)
-    return (C.domain_report(two, "label", PR.TWO_LABELS, "two_label")
-            .unionByName(C.domain_report(three, "gold_label", PR.THREE_LABELS, "three_label"))
-            .unionByName(C.domain_report(binary, "gold_label", PR.BINARY, "binary")))
+    english = F.col("language") == "en"
+    two = fx.two_label_rows(spark, sf_dir).withColumn("two_label", F.lower("label"))
+    values = two.withColumn("three_label", F.when(english, fx.three_label()))
+    # one row per check and value in one scan; a row outside a check's filter has no entry there
+    entry = lambda name, value: F.struct(F.lit(name).alias("check"), value.alias("value"))
+    stacked = values.select(F.explode(F.array_compact(F.array(
+        entry("two_label", F.col("two_label")), F.when(english, entry("three_label", F.col("three_label"))),
+        entry("binary", F.col("gold_label"))))).alias("e")).select("e.check", "e.value")
+    return C.domain_reports(stacked, {"two_label": PR.TWO_LABELS, "three_label": PR.THREE_LABELS, "binary": PR.BINARY})
 
 
 def label_domain_report_sql() -> str:
@@ -395,17 +433,20 @@ SELECT "check", value, count(*) AS n_rows,
 FROM t GROUP BY "check", value"""
 
 
-def row_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-2 / AGG-3: row-count conservation at each reshaping stage."""
-    ch = fx.choice_rows(spark, sf_dir)
+def row_count_report(spark: SparkSession, sf_dir: str, factory=fx.stub_factory) -> DataFrame:
+    """CHK-2 / AGG-3: row-count conservation at each reshaping stage. Pairs and
+    triples are written once; every count reads the few columns it needs. A
+    prediction counts when its request has an answer."""
+    ch = materialize(fx.choice_rows(spark, sf_dir), "triples")
     chp = PR.choice_to_pairs(ch, keep=["rid", "win_no"])
-    p = fx.pairs(spark, sf_dir)
+    p = materialize(fx.pairs(spark, sf_dir), "pairs")
     files = {"entailment": p.filter(F.col("gold_label") == "entailment").select("premise", "hypothesis"),
              "not_entailment": p.filter(F.col("gold_label") == "not_entailment").select("premise", "hypothesis")}
     un = PR.union_class_files(files)
-    three = fx.three_label_rows(spark, sf_dir)
+    three = p.withColumn("gold_label", fx.three_label())
     three_out = PR.three_label_to_binary(three, language="en")
-    pred = _pred(spark, sf_dir)
+    pred = predictions(p, factory, _cfg(), [fx.STUB_MODEL], TASK, unknown="keep", checkpoint=False)\
+        .filter(F.col("raw_answer").isNotNull())
 
     def tagged(check, side, df, mult=1):
         return df.agg((F.count(F.lit(1)) * F.lit(mult)).cast("bigint").alias("n"))\
@@ -416,7 +457,7 @@ def row_count_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     # expected (pair, run) keys against the prediction keys gives the counts
     # and the keys found on one side only, with the predictions computed once
     run_keys = [*KEYS, "model", "prompt_type"]
-    expected_runs = expand_runs(p, run_specs(_cfg(), TASK, [fx.STUB_MODEL]), _cfg(), TASK)
+    expected_runs = expand_runs(p, run_specs(_cfg(), TASK, [fx.STUB_MODEL]), _cfg(), TASK, unknown="keep")
     al = C.alignment(expected_runs, pred, run_keys)
     parts = [tagged("choice_pairs_double", "expected", ch, 2),
              tagged("choice_pairs_double", "actual", chp),
@@ -472,9 +513,10 @@ def original_vs_paraphrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference's two-stage flow, the paraphrase table is generated once and
     stored (shared folder), then read as the second text version."""
     cfg = _cfg()
-    stored = materialize(_paraphrased_pairs(spark, sf_dir), "paraphrases")
-    both = R.read_versions(spark, fx.pairs(spark, sf_dir), stored)
-    pr = predictions(both, fx.stub_factory, cfg, [fx.STUB_MODEL], TASK)
+    original = materialize(fx.pairs(spark, sf_dir), "pairs")     # texts are split once
+    stored = materialize(_paraphrased_pairs(original), "paraphrases")
+    both = R.read_versions(spark, original, stored)
+    pr = predictions(both, fx.stub_factory, cfg, [fx.STUB_MODEL], TASK, unknown="keep")
     return A.original_vs_paraphrase(pr, ["dataset", "model", "prompt_type"])
 
 
@@ -535,25 +577,25 @@ PAIR_COLS = [f.name for f in PAIR_SCHEMA.fields]
 def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-1 then SRC-1/SRC-4: quoted TSV written to the shared folder, read back."""
     path = new_shared_subdir(spark, "pairs-tsv") + "/pairs.tsv"
-    K.write_tsv(fx.pairs(spark, sf_dir).select(*PAIR_COLS), path)
+    K.write_tsv(fx.pairs(spark, sf_dir, labelled=False).select(*PAIR_COLS), path)
     return R.load_dataset(spark, path, PAIR_SCHEMA)
 
 
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON Lines written to the shared folder, read back (SRC-3)."""
     path = new_shared_subdir(spark, "pairs-jsonl") + "/pairs.jsonl"
-    K.write_json_lines(fx.pairs(spark, sf_dir).select(*PAIR_COLS), path)
+    K.write_json_lines(fx.pairs(spark, sf_dir, labelled=False).select(*PAIR_COLS), path)
     return R.load_dataset(spark, path, PAIR_SCHEMA)
 
 
 def round_trip_sql() -> str:
-    return f"""WITH {S.PAIRS} SELECT {', '.join(PAIR_COLS)} FROM pairs"""
+    return f"""WITH {S.ALL_PAIRS} SELECT {', '.join(PAIR_COLS)} FROM pairs"""
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-1 (comma) then SRC-1/SRC-5: quoted CSV written and read back."""
     path = new_shared_subdir(spark, "pairs-csv") + "/pairs.csv"
-    K.write_csv(fx.pairs(spark, sf_dir).select(*PAIR_COLS), path)
+    K.write_csv(fx.pairs(spark, sf_dir, labelled=False).select(*PAIR_COLS), path)
     return R.load_dataset(spark, path, PAIR_SCHEMA)
 
 
@@ -583,9 +625,8 @@ def paraphrase_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-3 then SRC-8/PRJ-3: paraphrase tables written per side (last
     column original_premise / original_hypothesis) and loaded back as the
     paraphrase version of configured datasets."""
-    from ..config import DatasetSpec, EvalConfig
     base = new_shared_subdir(spark, "paraphrase-files")
-    para = materialize(_paraphrased_pairs(spark, sf_dir), "paraphrases")
+    para = materialize(_paraphrased_pairs(fx.pairs(spark, sf_dir)), "paraphrases")
     datasets = {}
     for side in ("p", "h"):
         path = f"{base}/side_{side}.tsv"
@@ -607,7 +648,81 @@ def stored_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .evaluate import run_evaluation
     out = new_shared_subdir(spark, "predictions")
     return run_evaluation(fx.pairs(spark, sf_dir), fx.stub_factory, _cfg(), [fx.STUB_MODEL], out,
-                          TASK, run_id="fixture-run", by=["dataset", "language"])
+                          TASK, run_id="fixture-run", by=["dataset", "language"], unknown="keep")
+
+
+def stored_answers_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEN-1 with an answer store: the second pass has other prompt prefixes
+    and must not get the first pass's answers."""
+    store = new_shared_subdir(spark, "answers") + "/store"
+    p = materialize(fx.pairs(spark, sf_dir, labelled=False), "pairs")
+    passes = []
+    for n, extra in enumerate(("", RERUN_PREFIX)):
+        cfg = _cfg()
+        for t, spec in cfg.prompts[TASK].items():
+            cfg.prompts[TASK][t] = replace(spec, prefix=extra + spec.prefix)
+        pr = predictions(p, fx.stub_factory, cfg, [fx.STUB_MODEL], TASK, unknown="keep", store=store)
+        passes.append(pr.select(F.lit(n).cast("bigint").alias("pass_no"), *KEYS, "prompt_type", "raw_answer"))
+    return passes[0].unionByName(passes[1])
+
+
+#: Shifts every prompt's length, by which the stand-in answers.
+RERUN_PREFIX = "Again. "
+
+
+def stored_answers_rerun_sql() -> str:
+    prompt = S.pair_prompt('r.prompt_type', f"({S.lit(RERUN_PREFIX)} || r.prefix)")
+    return f"""WITH {S.ALL_PAIRS}, {_pred_sql()},
+again AS (SELECT p.*, r.prompt_type, {prompt} AS prompt FROM pairs p CROSS JOIN runs r)
+SELECT CAST(0 AS BIGINT) AS pass_no, dataset, pair_id, pair_no, prompt_type, raw_answer FROM pred
+UNION ALL
+SELECT CAST(1 AS BIGINT), dataset, pair_id, pair_no, prompt_type, {S.stub_answer('prompt')} FROM again"""
+
+
+PREDICTION_COLS = ["premise", "hypothesis", "gold_label", "prediction"]
+
+
+def _predictions_tsv(spark, pairs: DataFrame, version: str) -> DataFrame:
+    pr = predictions(pairs.withColumn("text_version", F.lit(version)), fx.stub_factory, _cfg(), [fx.STUB_MODEL],
+                     TASK, unknown="keep")
+    out = K.predictions_frame(pr, version)
+    path = new_shared_subdir(spark, "predictions-tsv") + "/predictions.tsv"
+    K.write_tsv(out, path)
+    return R.load_dataset(spark, path, out.schema, multiline=False)
+
+
+def predictions_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2: the four-column predictions file of original text, read back."""
+    return _predictions_tsv(spark, _one_line(fx.pairs(spark, sf_dir)), "original")
+
+
+def predictions_tsv_round_trip_sql() -> str:
+    return f"""WITH {S.PAIRS}, one_line AS ({_one_line_sql()}), {_pred_sql('one_line')}
+SELECT {', '.join(PREDICTION_COLS)} FROM pred"""
+
+
+def predictions5_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-2: the five-column predictions file of paraphrased text, read back."""
+    para = materialize(_paraphrased_pairs(_one_line(fx.pairs(spark, sf_dir))), "paraphrases")
+    return _predictions_tsv(spark, para, "paraphrase")
+
+
+def predictions5_tsv_round_trip_sql() -> str:
+    para = _paraphrased_sql().replace("FROM pairs)", "FROM one_line)", 1)
+    return f"""WITH {S.PAIRS}, one_line AS ({_one_line_sql()}){para}, {_pred_sql('para')}
+SELECT {', '.join(PREDICTION_COLS)}, original_sentence AS paraphrased_sentence FROM pred"""
+
+
+def _one_line(pairs: DataFrame) -> DataFrame:
+    """Sentences without line breaks, so that their files can be split."""
+    for c in ("premise", "hypothesis"):
+        pairs = pairs.withColumn(c, F.translate(c, "\r\n", "  "))
+    return pairs
+
+
+def _one_line_sql() -> str:
+    one = ", ".join(f"translate({c}, chr(13) || chr(10), '  ') AS {c}" for c in ("premise", "hypothesis"))
+    return f"SELECT * REPLACE ({one}) FROM pairs"
 
 
 QUERIES = {
@@ -638,6 +753,11 @@ QUERIES = {
     "csv_round_trip": (csv_round_trip, round_trip_sql),
     "class_files_round_trip": (class_files_round_trip, class_files_round_trip_sql),
     "paraphrase_tsv_round_trip": (paraphrase_tsv_round_trip, paraphrase_tsv_round_trip_sql),
+    "excluded_datasets": (excluded_datasets_q, excluded_datasets_sql),
+    "reuse_sentences": (reuse_sentences, reuse_sentences_sql),
+    "stored_answers_rerun": (stored_answers_rerun, stored_answers_rerun_sql),
+    "predictions_tsv_round_trip": (predictions_tsv_round_trip, predictions_tsv_round_trip_sql),
+    "predictions5_tsv_round_trip": (predictions5_tsv_round_trip, predictions5_tsv_round_trip_sql),
     "stored_accuracy": (stored_accuracy, accuracy_by_dataset_sql),
 }
 

@@ -17,7 +17,7 @@ from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
 from ..operators.generate import answer_distinct
 from ..functions.prompts import chat_prompt
-from ..operators.grid import allowed_for, expand_runs, grid_prompt, prefix_for, run_specs
+from ..operators.grid import allowed_for, excluded_datasets, expand_runs, grid_prompt, prefix_for, run_specs
 from ..operators.metrics import accuracy
 
 
@@ -35,7 +35,8 @@ def _run_key(model, prompt_type):
 
 def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task: str,
                  specs: list[tuple], types: list[str], store: str | None, checkpoint: bool,
-                 chat: bool, observe: bool = False):
+                 chat: bool, observe: bool = False, unknown: str = "error",
+                 batch_size: int | None = None, partitions: int | None = None):
     """Answers for every (pair, run).
 
     * distinct requests = distinct sentence pairs x the constant run list:
@@ -44,9 +45,12 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
       most one entry per configured run, a size fixed by the config);
     * the *unexpanded* pairs are joined to that map and expanded over the
       runs after the join, so the big side of the shuffle carries one row
-      per pair, not one per (pair, run).
+      per pair, not one per (pair, run);
+    * with ``checkpoint`` the grouped answers are written once: a recomputed
+      task never asks the generator again, and both inputs of the join are
+      plain exchanges, so AQE can split a pair that many rows share.
     """
-    allowed = pairs.filter(allowed_for(F.col("dataset"), config, task))      # CHK-3
+    allowed = pairs.filter(allowed_for(F.col("dataset"), config, task, unknown))      # CHK-3
     distinct_pairs = allowed.select(*PAIR_KEYS).dropDuplicates()
     keys = ["model", "prompt_type", *PAIR_KEYS]
     requests = expand_runs(distinct_pairs, specs).select(*keys)
@@ -55,11 +59,15 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
         prompt = chat_prompt(pt, prefix_for(pt, specs), "premise", "hypothesis")
     else:
         prompt = grid_prompt(specs)
-    answers = answer_distinct(requests, factory, prompt, keys, store=store, checkpoint=checkpoint)
+    answers = answer_distinct(requests, factory, prompt, keys, store=store, batch_size=batch_size,
+                              partitions=partitions)
     ph = F.xxhash64(*PAIR_KEYS)
     by_pair = (answers.withColumn("_ph", ph).groupBy("_ph", *PAIR_KEYS)
                .agg(F.map_from_entries(F.collect_list(F.struct(
                    _run_key(F.col("model"), pt), F.col("raw_answer")))).alias("_answers")))
+    if checkpoint:
+        from ..session import materialize
+        by_pair = materialize(by_pair, "answers")
     rows = allowed
     n_in = None
     if observe:
@@ -77,14 +85,18 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
 
 def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
                 task: str = "binary", prompt_types: list[str] | None = None,
-                store: str | None = None, checkpoint: bool = False,
-                chat: bool = False) -> DataFrame:
+                store: str | None = None, checkpoint: bool = True,
+                chat: bool = False, unknown: str = "error", batch_size: int | None = None,
+                partitions: int | None = None) -> DataFrame:
     """One row per (pair, model, prompt type): raw answer and prediction.
     A request is (model, prompt type, premise, hypothesis); its prompt is
-    rendered only once per distinct request."""
+    rendered only once per distinct request. ``checkpoint`` runs the generator
+    now and stores its answers; without it the plan stays lazy, and a lost
+    task asks again. ``unknown``: see :func:`allowed_for`."""
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
-    return _answer_runs(pairs, factory, config, task, specs, types, store, checkpoint, chat)
+    return _answer_runs(pairs, factory, config, task, specs, types, store, checkpoint, chat,
+                        unknown=unknown, batch_size=batch_size, partitions=partitions)
 
 
 def evaluate(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
@@ -98,24 +110,34 @@ def evaluate(pairs: DataFrame, factory: Callable, config: EvalConfig, models: li
 def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
                    out_path: str, task: str = "binary", prompt_types: list[str] | None = None,
                    run_id: str | None = None, store: str | None = None, chat: bool = False,
-                   max_missing: int = 0,
+                   max_missing: int = 0, skip_excluded: bool = False, unknown: str = "error",
+                   batch_size: int | None = None, partitions: int | None = None,
                    by: list[str] = ("dataset", "language", "text_version")) -> DataFrame:
     """The evaluation job: predictions written aside, row conservation and
     missing answers checked there (CHK-2: one answered prediction per pair
     and run), then published to the partitioned store (SNK-2/4) under a run
     id that the store doesn't hold yet; accuracy computed
-    from the stored predictions (AGG-2) with partition pruning on run_id."""
+    from the stored predictions (AGG-2) with partition pruning on run_id.
+
+    Pairs of a dataset that doesn't list the task fail the job with their
+    counts (CHK-3), unless ``skip_excluded``; so do unknown datasets, unless
+    ``unknown="keep"``."""
     from ..operators.checks import check_conservation, observed_count
     from ..session import materialize
     from ..sources.sinks import run_exists, unique_run, write_predictions
 
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
-    pred, n_pairs = _answer_runs(pairs, factory, config, task, specs, types, store, False, chat,
-                                 observe=True)
     run_id = run_id or unique_run()
     if run_exists(pairs.sparkSession, out_path, run_id):
         raise ValueError(f"run {run_id!r} is already stored in {out_path}")
+    if not skip_excluded and any(task not in d.prompts for d in config.datasets.values()):
+        # one row per configured dataset at most
+        barred = {r["dataset"]: r["n_excluded"] for r in excluded_datasets(pairs, config, task).collect()}
+        if barred:
+            raise ValueError(f"task {task!r} is not allowed for datasets (rows): {barred}")
+    pred, n_pairs = _answer_runs(pairs, factory, config, task, specs, types, store, True, chat,
+                                 True, unknown, batch_size, partitions)
     # written aside first: a recomputed task never asks the generator again, and nothing wrong is published
     pred = materialize(pred, "predictions")
     asked = F.col("premise").isNotNull() & F.col("hypothesis").isNotNull()

@@ -41,12 +41,13 @@ def stub_factory(model):
     return fn
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents JOIN labels on doc_id. Spark picks the join strategy from
-    the scan statistics (broadcast only under the size threshold)."""
+def labelled_documents(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """documents JOIN labels on doc_id (``how="left"`` keeps documents without
+    a label). Spark picks the join strategy from the scan statistics
+    (broadcast only under the size threshold)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.join(labels, "doc_id", "inner")
+    return docs.join(labels, "doc_id", how)
 
 
 def _text():
@@ -54,16 +55,18 @@ def _text():
 
 
 def gold_from_quality(q="quality"):
-    return F.when(F.col(q) == 1, F.lit(ENTAILMENT)).otherwise(F.lit(NOT_ENTAILMENT))
+    """Gold label; an unlabelled document's pairs have none."""
+    return F.when(F.col(q) == 1, F.lit(ENTAILMENT)).when(F.col(q).isNotNull(), F.lit(NOT_ENTAILMENT))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
     """dataset, pair_id, pair_no, language, premise, hypothesis, gold_label
-    (+ quality, toxic) for every pair of neighbouring sentences."""
+    (+ quality, toxic) for every pair of neighbouring sentences. Queries that
+    need no gold label take every document (``labelled=False``)."""
     # the sentence array is its own column: the pair expressions refer to it
     # several times and must not re-split the text for each reference; a
     # missing text counts as empty, so every labelled document yields a pair
-    j = labelled_documents(spark, sf_dir).select(
+    j = labelled_documents(spark, sf_dir, "inner" if labelled else "left").select(
         "doc_id", "source", "lang", "quality", "toxic", sentences(_text()).alias("s"))
     exploded = j.select(
         F.col("source").alias("dataset"), F.col("doc_id").alias("pair_id"),
@@ -122,9 +125,13 @@ def two_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label", F.when(F.col("quality") == 1, F.lit("Entailment")).otherwise(F.lit("CONTRADICTION")))
 
 
-def three_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pairs with a three-class gold label and their language."""
-    gold = (F.when(F.col("quality") == 0, F.lit("contradiction"))
+def three_label():
+    """The three-class gold label of a labelled pair."""
+    return (F.when(F.col("quality") == 0, F.lit("contradiction"))
              .when(F.col("toxic") == 1, F.lit("neutral"))
              .otherwise(F.lit("entailment")))
-    return pairs(spark, sf_dir).withColumn("gold_label", gold)
+
+
+def three_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pairs with a three-class gold label and their language."""
+    return pairs(spark, sf_dir).withColumn("gold_label", three_label())

@@ -18,7 +18,8 @@ from ..sources import readers as R
 PARAPHRASE_SIDES = {"original_premise": "p", "original_hypothesis": "h"}
 
 
-def _read_strings(spark: SparkSession, path: str, columns: list[str], fmt: str | None) -> DataFrame:
+def _read_strings(spark: SparkSession, path: str, columns: list[str], fmt: str | None,
+                  multiline: bool = True) -> DataFrame:
     """Read a pair file as strings. Delimited files are matched to names by
     their header (Spark reads one line for it, no inference pass); JSON gets
     an explicit all-string schema of the wanted columns."""
@@ -28,15 +29,16 @@ def _read_strings(spark: SparkSession, path: str, columns: list[str], fmt: str |
         return R.load_dataset(spark, path, schema, kind)
     sep = "\t" if kind == "tsv" else ","
     header = (spark.read.option("sep", sep).option("header", True).option("quote", '"')
-              .option("escape", '"').option("multiLine", True).csv(path).columns)
+              .option("escape", '"').option("multiLine", multiline).csv(path).columns)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return R.load_dataset(spark, path, schema, kind)
+    return R.load_dataset(spark, path, schema, kind, multiline=multiline)
 
 
 def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
                text_version: str = "original", language: str | None = None,
                path: str | None = None, fmt: str | None = None,
-               require_text: bool = True, label_domain=None) -> DataFrame:
+               require_text: bool = True, label_domain=None, multiline: bool = True,
+               require_language: bool = True) -> DataFrame:
     """One configured dataset as canonical pairs.
 
     Original text uses the configured role columns and lower-cases labels;
@@ -46,7 +48,11 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
 
     ``require_text``: a missing premise or hypothesis fails the job (in the
     plan, no extra pass) instead of being rendered into a prompt.
-    ``label_domain``: optionally fail on labels outside this set (CHK-1)."""
+    ``label_domain``: optionally fail on labels outside this set (CHK-1).
+    ``multiline=False``: delimited files are split (no field may hold a line break).
+    ``require_language=False``: a dataset without a ``language`` column skips
+    the language filter instead of failing. A JSON record without the key has
+    a NULL language: it fails the filter's check, or is kept by the skip."""
     spec = config.dataset(dataset)
     if text_version == "original":
         path = path or spec.data_path
@@ -59,7 +65,7 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
     if not path:
         raise ValueError(f"no {text_version} path configured for {dataset!r}")
     wanted = [prem, hyp, lab, "language", *PARAPHRASE_SIDES]
-    df = _read_strings(spark, path, wanted, fmt)
+    df = _read_strings(spark, path, wanted, fmt, multiline)
     missing = [c for c in (prem, hyp, lab) if c not in df.columns]
     if missing:
         raise KeyError(f"{path}: columns {missing} not found in {df.columns}")
@@ -68,14 +74,17 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
     # the scan), then filter
     df = R.with_row_order(df, "pair_id")
     if language is not None:
-        absent = "language" not in df.columns
-        if not absent and R.format_of(path, fmt) in ("json", "jsonl"):
-            # JSON carries the column in the schema either way; one probe
-            # that stops at the first non-null value tells whether it exists
-            absent = df.filter(F.col("language").isNotNull()).limit(1).count() == 0
-        if absent:
-            raise KeyError(f"language filter on {path}, which has no 'language' column")
-        df = df.filter(F.col("language") == F.lit(language))
+        json = R.format_of(path, fmt) in ("json", "jsonl")
+        if "language" not in df.columns:
+            if require_language:
+                raise KeyError(f"language filter on {path}, which has no 'language' column")
+        elif json and require_language:
+            # JSON has the column by its schema; a record without the key fails in the plan
+            df = assert_not_null(df, ["language"]).filter(F.col("language") == F.lit(language))
+        elif json:
+            df = df.filter(F.coalesce(F.col("language") == F.lit(language), F.lit(True)))
+        else:
+            df = df.filter(F.col("language") == F.lit(language))
     lang = F.col("language") if "language" in df.columns else F.lit(None).cast("string")
     label = F.lower(F.col(lab)) if text_version == "original" else F.col(lab)
     original = F.lit(None).cast("string")
@@ -97,11 +106,14 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
 
 
 def load_all(spark: SparkSession, config: EvalConfig, datasets: list[str] | None = None,
-             versions=("original",), language: str | None = None) -> DataFrame:
-    """GRD-2 + SRC-8: every configured dataset (and version) in one table."""
+             versions=("original",), language: str | None = None, multiline: bool = True,
+             require_language: bool = False) -> DataFrame:
+    """GRD-2 + SRC-8: every configured dataset (and version) in one table. The
+    language filter applies to the datasets that have a language."""
     out = None
     for name in datasets or list(config.datasets):
         for v in versions:
-            df = load_pairs(spark, config, name, v, language)
+            df = load_pairs(spark, config, name, v, language, multiline=multiline,
+                            require_language=require_language)
             out = df if out is None else out.unionByName(df)
     return out

@@ -24,7 +24,8 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side,
                      reuse: str = "distinct", clean: bool = True,
                      order_cols: list[str] | None = None,
                      partition_cols: list[str] | None = None,
-                     materialize: bool = True) -> DataFrame:
+                     materialize: bool = True, batch_size: int | None = None,
+                     partitions: int | None = None, bucket_bits: int = 16) -> DataFrame:
     """Rewrite the premise (``side='p'``) or hypothesis (``'h'``) of every pair;
     ``side`` may also be a column holding 'p' or 'h' per row.
 
@@ -48,11 +49,13 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side,
                  .withColumn("model", F.lit(model)))
     prompt = paraphrase_prompt(F.lit(prefix), F.col("_sent"))
     if reuse == "distinct":
-        out = generate(rows, factory, prompt=prompt, keys=["model", "_sent"], answer_col="_raw")
+        out = generate(rows, factory, prompt=prompt, keys=["model", "_sent"], answer_col="_raw",
+                       batch_size=batch_size, partitions=partitions)
     elif reuse == "consecutive":
         out = reuse_consecutive(rows, factory, order_cols or ["pair_id"], "_sent", prompt,
                                 model=model, partition_cols=partition_cols or ["dataset"],
-                                answer_col="_raw").drop("is_new", "run_no")
+                                answer_col="_raw", bucket_bits=bucket_bits, batch_size=batch_size,
+                                partitions=partitions).drop("is_new", "run_no")
     else:
         raise ValueError("reuse must be 'distinct' or 'consecutive'")
     para = clean_paraphrase("_raw") if clean else F.col("_raw")

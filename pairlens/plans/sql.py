@@ -29,14 +29,18 @@ labelled AS (
                      lambda x: x <> '') AS s
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)""".format(trim=TRIM_CHARS)
 
-PAIRS = LABELLED + """,
+_PAIRS = """,
 pairs AS (
   SELECT source AS dataset, doc_id AS pair_id, CAST(i - 1 AS BIGINT) AS pair_no,
          lang AS language, coalesce(s[i], '') AS premise, coalesce(s[i + 1], '') AS hypothesis,
-         CASE WHEN quality = 1 THEN 'entailment' ELSE 'not_entailment' END AS gold_label,
+         CASE WHEN quality = 1 THEN 'entailment' WHEN quality IS NOT NULL THEN 'not_entailment' END AS gold_label,
          quality, toxic
   FROM (SELECT *, unnest(range(1, greatest(len(s), 2))) AS i FROM labelled))"""
 
+PAIRS = LABELLED + _PAIRS
+#: The pairs of every document, labelled or not.
+ALL_PAIRS = LABELLED.replace("documents d JOIN", "documents d LEFT JOIN") + _PAIRS
+
 
 def values(rows: list[tuple], names: list[str]) -> str:
     body = ",\n    ".join("(" + ", ".join(lit(v) if isinstance(v, str) else str(v) for v in r) + ")"

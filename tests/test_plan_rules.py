@@ -26,8 +26,13 @@ def test_plans_have_no_cross_joins_or_row_python(spark):
 
 def test_generator_queries_use_map_in_pandas(spark):
     import __spark_entry__ as E
-    for name in ("accuracy_by_dataset", "generate_dedup", "substitute_paraphrase", "reuse_runs"):
+    for name in ("row_count_report", "substitute_paraphrase", "reuse_runs"):
         assert "MapInPandas" in _plan(E.queries()[name](spark, SF)), name
+    # evaluations join the answers as stored: the generator isn't in the plan to be asked again
+    for name in ("accuracy_by_dataset", "generate_dedup"):
+        plan = _plan(E.queries()[name](spark, SF))
+        assert "MapInPandas" not in plan and "_answers" in plan and "Join" in plan, name
+    assert re.search(r"Join \[_ph#", _plan(E.queries()["row_count_report"](spark, SF)))
 
 
 def test_documents_scans_are_pruned(spark):

@@ -58,8 +58,9 @@ def test_load_pairs_original_and_paraphrase(spark, tmp_dir):
     assert load_all(spark, cfg, versions=("original",)).count() == 4
     with pytest.raises(ValueError):
         load_pairs(spark, cfg, "fig", "paraphrase")
-    with pytest.raises(KeyError):
-        load_pairs(spark, cfg, "fig", language="en")
+    with pytest.raises(Exception, match="language"):
+        load_pairs(spark, cfg, "fig", language="en").collect()
+    assert load_pairs(spark, cfg, "fig", language="en", require_language=False).count() == 1
 
 
 def test_evaluate_end_to_end(spark, tmp_dir):

@@ -10,15 +10,14 @@ from pairlens.sources.config import read_config_tables
 
 PAIR = "premise string, hypothesis string"
 
-# hand-made rows with the quirks of the shipped class file: doubled quotes,
-# trailing space, non-ASCII quotes and dashes, a repeated premise, a
-# duplicate row
+# invented rows: doubled quotes, trailing space, non-ASCII quotes and dashes,
+# a duplicate row, words that look like missing values
 QUIRKS = [
-    '"Let your heart  speak  , Minnehaha ! """\tLet your friend speak , Minnehaha !',
-    'Though his pace he checked and  slackened \tThough his rope he checked and slackened',
+    '"She painted  the shed  , all of it ! """\tShe painted a wall !',
+    'The ferry was late and  crowded \tThe train was late and crowded',
     'He said “go” — and left\tHe said “stay” — and left',
-    'That the time may  pass  more gayly ,\tThat the thought may pass more gayly ,',
-    'That the time may  pass  more gayly ,\tThat the thought may pass more gayly ,',
+    'Seven  geese  crossed the road ,\tSeven ducks crossed the road ,',
+    'Seven  geese  crossed the road ,\tSeven ducks crossed the road ,',
     'None\tnull',
 ]
 
@@ -28,8 +27,8 @@ def test_headerless_tsv_quirks(spark, tmp_dir):
     with open(path, "w", encoding="utf-8") as f:
         f.write("\n".join(QUIRKS) + "\n")
     rows = [tuple(r) for r in R.read_tsv(spark, path, PAIR, header=False).collect()]
-    assert rows[0] == ('Let your heart  speak  , Minnehaha ! "', "Let your friend speak , Minnehaha !")
-    assert rows[1][0].endswith("slackened ")
+    assert rows[0] == ('She painted  the shed  , all of it ! "', "She painted a wall !")
+    assert rows[1][0].endswith("crowded ")
     assert rows[2][0] == "He said “go” — and left"
     assert rows[3] == rows[4]
     assert rows[5] == ("None", "null")        # words stay text
