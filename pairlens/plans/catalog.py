@@ -326,7 +326,8 @@ FROM z JOIN h ON z.run_no = h.run_no"""
 def reuse_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-2 over real sentences: the rows of the two-choice pairs repeat their
     premise; one call per run of equal premises, in document order. Few ids a
-    bucket, so that runs of equal sentences cross bucket borders."""
+    bucket, as each id has many rows; a run that crosses buckets (equal
+    premises of neighbouring documents) is one run all the same."""
     c = PR.choice_to_pairs(fx.choice_rows(spark, sf_dir), keep=["rid", "win_no"])
     out = reuse_consecutive(c.select("rid", "win_no", "choice_no", "premise"), fx.stub_paraphraser,
                             ["rid", "win_no", "choice_no"], "premise",
