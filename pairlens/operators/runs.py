@@ -9,8 +9,9 @@ A single global ``Window.orderBy`` would put the whole table in one task, and
 of all rows). Instead rows are cut into *buckets* of consecutive order
 values (``order >> bucket_bits``); every bucket holds at most
 ``2**bucket_bits`` values of the first order column, so each window task is
-bounded by the rows of that many values (choose fewer bits where a value
-has many rows). A bucket's
+bounded by the rows of that many values. Where one value may have many rows
+and the second order column numbers them, ``sub_bits`` cuts buckets by both
+columns: one value and at most ``2**sub_bits`` numbers each. A bucket's
 first row is compared with the last row of the nearest non-empty earlier
 bucket, taken from a per-bucket summary (one row per bucket), and run
 numbers are offset by a running sum over that summary. The summary is
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .generate import answer_requests
 
 B = "_bucket"
+#: Bits of a bucket number that count the sub-buckets of one order value.
+SUB_WIDTH = 20
 
 
 def _differs(v: Column, prev: Column) -> Column:
@@ -53,6 +56,18 @@ def _require_keys(df: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
+def _bucket(order_cols: list[str], bucket_bits: int, sub_bits: int | None) -> Column:
+    """Bucket number: grows with the order columns, and is bounded in rows by them."""
+    first = F.col(order_cols[0]).cast("bigint")
+    if sub_bits is None:
+        return F.shiftright(first, bucket_bits)
+    sub = F.shiftright(F.col(order_cols[1]).cast("bigint"), sub_bits)
+    top = 1 << (63 - SUB_WIDTH)
+    ok = (sub >= 0) & (sub < 1 << SUB_WIDTH) & (first >= -top) & (first < top)
+    return F.when(ok, first * (1 << SUB_WIDTH) + sub).otherwise(
+        F.raise_error(F.lit(f"run detection: {order_cols[:2]} out of range for sub_bits={sub_bits}")))
+
+
 def _prefix(df: DataFrame, P: list[str], key: str, bits: int,
             prev_col: str | None = None, sum_col: str | None = None) -> DataFrame:
     """Ordered scan over rows with a unique integral ``key`` per ``P``:
@@ -95,7 +110,7 @@ def _prefix(df: DataFrame, P: list[str], key: str, bits: int,
 
 def mark_runs(df: DataFrame, order_cols: list[str], value_col: str,
               partition_cols: list[str] | None = None, bucket_bits: int = 16,
-              keep_bucket: bool = False, block_bits: int | None = None):
+              keep_bucket: bool = False, block_bits: int | None = None, sub_bits: int | None = None):
     """Add ``is_new`` (run head) and ``run_no`` (1-based within the partition
     columns) to ``df``. ``order_cols[0]`` must be integral; together the order
     columns must be unique within a partition.
@@ -104,12 +119,17 @@ def mark_runs(df: DataFrame, order_cols: list[str], value_col: str,
     bucket (partition cols, bucket, ``_first_new``, ``_offset``). With
     ``keep_bucket`` the rows keep the bucket and a first-row-of-bucket flag.
     The bucket summary itself is scanned in blocks of ``2**block_bits``
-    buckets (default: ``bucket_bits``), see :func:`_prefix`."""
+    buckets (default: ``bucket_bits``), see :func:`_prefix`. With ``sub_bits``
+    the second order column must be integral and from 0; a bucket then holds one
+    value of the first and ``2**sub_bits`` of the second, and a block the
+    buckets of ``2**block_bits`` values."""
     P = list(partition_cols or [])
     O = list(order_cols)
     bb = bucket_bits if block_bits is None else block_bits
-    x = _require_keys(df, [*P, O[0]])
-    x = x.withColumn(B, F.shiftright(F.col(O[0]).cast("bigint"), bucket_bits))
+    if sub_bits is not None:
+        bb += SUB_WIDTH
+    x = _require_keys(df, [*P, *O[:1 if sub_bits is None else 2]])
+    x = x.withColumn(B, _bucket(O, bucket_bits, sub_bits))
     w = Window.partitionBy(*P, B).orderBy(*O)
     prev = F.lag(F.struct(F.col(value_col).alias("v")), 1).over(w)
     x = x.withColumn("_prev", prev)
@@ -147,7 +167,8 @@ def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], v
                       prompt: Column, model: str | None = None,
                       partition_cols: list[str] | None = None, answer_col: str = "raw_answer",
                       bucket_bits: int = 16, materialize: bool = True,
-                      batch_size: int | None = None, partitions: int | None = None) -> DataFrame:
+                      batch_size: int | None = None, partitions: int | None = None,
+                      sub_bits: int | None = None) -> DataFrame:
     """Call the generator once per run of consecutive equal ``value_col`` and
     give every row of the run the answer of its head.
 
@@ -160,7 +181,7 @@ def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], v
     folder computes the windows once, cuts the lineage, and lets each branch
     read only its columns."""
     P = list(partition_cols or [])
-    marked, _ = mark_runs(df, order_cols, value_col, P, bucket_bits, keep_bucket=True)
+    marked, _ = mark_runs(df, order_cols, value_col, P, bucket_bits, keep_bucket=True, sub_bits=sub_bits)
     if materialize:
         from ..session import materialize as write_back
         marked = write_back(marked, "runs")

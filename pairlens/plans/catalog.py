@@ -7,6 +7,7 @@ answers the SQL twin can recompute.
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 from functools import reduce
 
@@ -25,6 +26,7 @@ from ..operators.metrics import accuracy, distinct_labels
 from ..operators.runs import reuse_consecutive
 from ..sources import readers as R
 from ..sources import sinks as K
+from ..sources.config import read_config_tables
 from ..session import materialize, new_shared_subdir
 from . import fixtures as fx
 from . import sql as S
@@ -325,14 +327,15 @@ FROM z JOIN h ON z.run_no = h.run_no"""
 
 def reuse_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-2 over real sentences: the rows of the two-choice pairs repeat their
-    premise; one call per run of equal premises, in document order. Few ids a
-    bucket, as each id has many rows; a run that crosses buckets (equal
-    premises of neighbouring documents) is one run all the same."""
+    premise; one call per run of equal premises, in document order. A bucket holds at
+    most 256 windows of one document; a run that crosses buckets (equal
+    premises at the end of one and the start of the next) is one run all the
+    same."""
     c = PR.choice_to_pairs(fx.choice_rows(spark, sf_dir), keep=["rid", "win_no"])
     out = reuse_consecutive(c.select("rid", "win_no", "choice_no", "premise"), fx.stub_paraphraser,
                             ["rid", "win_no", "choice_no"], "premise",
                             paraphrase_prompt(F.lit(_para_prefix()), F.col("premise")),
-                            model=fx.STUB_MODEL, answer_col="paraphrase", bucket_bits=6)
+                            model=fx.STUB_MODEL, answer_col="paraphrase", bucket_bits=10, sub_bits=8)
     return out.select("rid", "win_no", "choice_no", "is_new", "run_no", "paraphrase")
 
 
@@ -354,7 +357,7 @@ def reuse_runs_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reuse_consecutive(p, fx.stub_paraphraser, ["pair_id", "pair_no"], "pair_id",
                             paraphrase_prompt(F.lit(_para_prefix()), F.col("premise")),
                             model=fx.STUB_MODEL, partition_cols=["dataset"], answer_col="paraphrase",
-                            bucket_bits=10)
+                            bucket_bits=10, sub_bits=12)
     return out.select(*KEYS, "is_new", "run_no", "paraphrase")
 
 
@@ -600,6 +603,75 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.load_dataset(spark, path, PAIR_SCHEMA)
 
 
+def json_records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON files of one list of records each, written and read back (SRC-2)."""
+    path = new_shared_subdir(spark, "pairs-json") + "/pairs.json"
+    K.write_json_records(fx.pairs(spark, sf_dir, labelled=False).select(*PAIR_COLS), path)
+    return R.load_dataset(spark, path, PAIR_SCHEMA)
+
+
+def load_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-1/2 + FLT-1 + GRD-2: one dataset as TSV with role columns of its own
+    in another order and a language, one as JSON Lines without; labels in mixed
+    case; both loaded in English where a language is known."""
+    base = new_shared_subdir(spark, "mixed-files")
+    p = _one_line(fx.two_label_rows(spark, sf_dir))
+    even = F.col("pair_id") % 2 == 0
+    roles = ["label AS gold_label", "hypothesis AS sentence2", "language", "premise AS sentence1"]
+    K.write_tsv(p.filter(even).selectExpr(*roles), f"{base}/even.tsv")
+    K.write_json_lines(p.filter(~even).select("premise", "hypothesis", "label"), f"{base}/odd.jsonl")
+    cfg = EvalConfig(datasets={
+        "even": DatasetSpec(name="even", data_path=f"{base}/even.tsv", prem_col="sentence1", hyp_col="sentence2",
+                            label_col="gold_label"),
+        "odd": DatasetSpec(name="odd", data_path=f"{base}/odd.jsonl")}, models={}, prompts={})
+    from .load import load_all
+    got = load_all(spark, cfg, language="en", multiline=False)
+    return got.select("dataset", "language", "premise", "hypothesis", "gold_label")
+
+
+def load_mixed_files_sql() -> str:
+    label = "CASE WHEN quality = 1 THEN 'entailment' ELSE 'contradiction' END AS gold_label"
+    return f"""WITH {S.PAIRS}, one_line AS ({_one_line_sql()})
+SELECT 'even' AS dataset, language, premise, hypothesis, {label.replace(' AS gold_label', '')} AS gold_label
+FROM one_line WHERE pair_id % 2 = 0 AND language = 'en'
+UNION ALL
+SELECT 'odd', NULL, premise, hypothesis, {label} FROM one_line WHERE pair_id % 2 <> 0"""
+
+
+def _config_file() -> dict:
+    """A configuration that names some sources, one of them without the task."""
+    sources = {"src0": [TASK], "src1": ["other"], "src2": ["other", TASK]}
+    return {"datasets": {n: {"prompts": tasks} for n, tasks in sources.items()}, "models": {m: m for m in _grid_models()},
+            "prompts": {TASK: {t: {"prefix": _prefix(t)} for t in _types()}}}
+
+
+def config_tables_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-7: a configuration file read as tables and joined to the pairs:
+    requests and prefix volume of every dataset by prompt type and model
+    (none where the configuration plans no run)."""
+    path = new_shared_subdir(spark, "config") + "/config.json"
+    spark.createDataFrame([(json.dumps(_config_file()),)], "value string").write.text(path)
+    tables = read_config_tables(spark, path)
+    # one row per configured dataset, task and prompt type; models are collected within their own small table
+    models = tables["models"].agg(F.array_sort(F.collect_list("model"))).first()[0]
+    runs = (tables["datasets"].select("dataset", F.explode("prompts").alias("task"))
+            .join(tables["prompts"], "task").filter(F.col("task") == TASK)
+            .select("dataset", "prompt_type", "prefix", F.explode(F.array(*map(F.lit, models))).alias("model")))
+    sizes = fx.pairs(spark, sf_dir, labelled=False).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return sizes.join(runs, "dataset", "left").select(
+        "dataset", "prompt_type", "model", "n_pairs", (F.col("n_pairs") * F.length("prefix")).alias("prefix_chars"))
+
+
+def config_tables_grid_sql() -> str:
+    names = ", ".join(S.lit(n) for n, d in _config_file()["datasets"].items() if TASK in d["prompts"])
+    return f"""WITH {S.ALL_PAIRS},
+sizes AS (SELECT dataset, count(*) AS n_pairs FROM pairs GROUP BY dataset),
+runs AS (SELECT dataset, r.model, r.prompt_type, r.prefix
+         FROM (SELECT unnest([{names}]) AS dataset) CROSS JOIN (SELECT * FROM {_runs_sql(_grid_models())}) r)
+SELECT s.dataset, prompt_type, model, n_pairs, n_pairs * length(prefix) AS prefix_chars
+FROM sizes s LEFT JOIN runs USING (dataset)"""
+
+
 def class_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-6 + PRE-2 from files: one headerless TSV per class, read with a
     schema, labels restored from the file they came from."""
@@ -752,6 +824,9 @@ QUERIES = {
     "tsv_round_trip": (tsv_round_trip, round_trip_sql),
     "json_round_trip": (json_round_trip, round_trip_sql),
     "csv_round_trip": (csv_round_trip, round_trip_sql),
+    "json_records_round_trip": (json_records_round_trip, round_trip_sql),
+    "load_mixed_files": (load_mixed_files, load_mixed_files_sql),
+    "config_tables_grid": (config_tables_grid, config_tables_grid_sql),
     "class_files_round_trip": (class_files_round_trip, class_files_round_trip_sql),
     "paraphrase_tsv_round_trip": (paraphrase_tsv_round_trip, paraphrase_tsv_round_trip_sql),
     "excluded_datasets": (excluded_datasets_q, excluded_datasets_sql),

@@ -112,7 +112,7 @@ def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, mode
                    run_id: str | None = None, store: str | None = None, chat: bool = False,
                    max_missing: int = 0, skip_excluded: bool = False, unknown: str = "error",
                    batch_size: int | None = None, partitions: int | None = None,
-                   by: list[str] = ("dataset", "language", "text_version")) -> DataFrame:
+                   by: list[str] = ("dataset", "language", "text_version", "paraphrase_source")) -> DataFrame:
     """The evaluation job: predictions written aside, row conservation and
     missing answers checked there (CHK-2: one answered prediction per pair
     and run), then published to the partitioned store (SNK-2/4) under a run

@@ -2,7 +2,7 @@
 PRJ-1..3, FLT-1).
 
 canonical: dataset, pair_id, language, premise, hypothesis, gold_label,
-           text_version, original_sentence, changed_side
+           text_version, original_sentence, changed_side, paraphrase_source
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
                text_version: str = "original", language: str | None = None,
                path: str | None = None, fmt: str | None = None,
                require_text: bool = True, label_domain=None, multiline: bool = True,
-               require_language: bool = True) -> DataFrame:
+               require_language: bool = True, paraphrase_source: str | None = None) -> DataFrame:
     """One configured dataset as canonical pairs.
 
     Original text uses the configured role columns and lower-cases labels;
@@ -50,6 +50,8 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
     plan, no extra pass) instead of being rendered into a prompt.
     ``label_domain``: optionally fail on labels outside this set (CHK-1).
     ``multiline=False``: delimited files are split (no field may hold a line break).
+    ``paraphrase_source``: who wrote the paraphrases (default: the name of the
+    table's path without its suffix); NULL for original text.
     ``require_language=False``: a dataset without a ``language`` column skips
     the language filter instead of failing. A JSON record without the key has
     a NULL language: it fails the filter's check, or is kept by the skip."""
@@ -89,15 +91,18 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
     label = F.lower(F.col(lab)) if text_version == "original" else F.col(lab)
     original = F.lit(None).cast("string")
     side = F.lit(None).cast("string")
+    writer = None
     if text_version == "paraphrase":
         if last in PARAPHRASE_SIDES:
             original, side = F.col(last), F.lit(PARAPHRASE_SIDES[last])
         else:
             original = F.col(last)
+        writer = paraphrase_source or path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     out = df.select(F.lit(dataset).alias("dataset"), "pair_id", lang.alias("language"),
                     F.col(prem).alias("premise"), F.col(hyp).alias("hypothesis"),
                     label.alias("gold_label"), F.lit(text_version).alias("text_version"),
-                    original.alias("original_sentence"), side.alias("changed_side"))
+                    original.alias("original_sentence"), side.alias("changed_side"),
+                    F.lit(writer).cast("string").alias("paraphrase_source"))
     if require_text:
         out = assert_not_null(out, ["premise", "hypothesis"])
     if label_domain is not None:

@@ -25,7 +25,7 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side,
                      order_cols: list[str] | None = None,
                      partition_cols: list[str] | None = None,
                      materialize: bool = True, batch_size: int | None = None,
-                     partitions: int | None = None, bucket_bits: int = 16) -> DataFrame:
+                     partitions: int | None = None, bucket_bits: int = 16, sub_bits: int | None = None) -> DataFrame:
     """Rewrite the premise (``side='p'``) or hypothesis (``'h'``) of every pair;
     ``side`` may also be a column holding 'p' or 'h' per row.
 
@@ -35,6 +35,8 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side,
     for a sampled generator).
     ``clean``: apply TXT-6 (the local-model paraphraser cleans, the remote
     one does not).
+    ``paraphrase_source`` names the model, so that predictions on the texts of
+    two models stay apart in the store.
     ``materialize``: store the result in the shared folder and return the
     stored table. A sampled generator gives different text each time a plan
     is recomputed; an evaluation reads its input in two branches (rows and
@@ -55,13 +57,13 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side,
         out = reuse_consecutive(rows, factory, order_cols or ["pair_id"], "_sent", prompt,
                                 model=model, partition_cols=partition_cols or ["dataset"],
                                 answer_col="_raw", bucket_bits=bucket_bits, batch_size=batch_size,
-                                partitions=partitions).drop("is_new", "run_no")
+                                partitions=partitions, sub_bits=sub_bits).drop("is_new", "run_no")
     else:
         raise ValueError("reuse must be 'distinct' or 'consecutive'")
     para = clean_paraphrase("_raw") if clean else F.col("_raw")
     out = out.withColumn("_para", para).drop("_raw", "_sent", "model")
     out = (substitute_paraphrase(out, F.col("_side"), "_para").drop("_side")
-           .withColumn("text_version", F.lit("paraphrase")))
+           .withColumn("text_version", F.lit("paraphrase")).withColumn("paraphrase_source", F.lit(model)))
     if materialize:
         from ..session import materialize as write_back
         out = write_back(out, "paraphrases")

@@ -39,11 +39,15 @@ def read_json_records(spark: SparkSession, path: str, schema) -> DataFrame:
 
     A column-oriented document (``{"premise": {"0": ...}, ...}``, what
     pandas writes by default) would silently read as a single row of JSON
-    text; it is rejected after peeking at its first non-blank character."""
-    head = (spark.read.text(path).filter(F.trim(F.col("value")) != "")
-            .select(F.substring(F.trim(F.col("value")), 1, 1).alias("c")).limit(1).collect())
-    if head and head[0].c == "{":
-        raise ValueError(f"{path}: column-oriented JSON is not a list of records; "
+    text; every file's first non-blank character is looked at, and one such
+    file is an error."""
+    mark = F.substring(F.ltrim(F.translate(F.col("value"), "\t\r", "  ")), 1, 1)
+    first = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                          F.monotonically_increasing_id().alias("n"), mark.alias("c"))
+             .filter("c <> ''").groupBy("file").agg(F.min_by("c", F.struct("at", "n")).alias("c")))
+    bad = first.filter("c = '{'").select("file").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].file}: column-oriented JSON is not a list of records; "
                          "write it with orient='records' or as JSON Lines")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,25 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> s
     return path
 
 
+def write_json_records(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 10_000) -> str:
+    """JSON files of one list of records each (what SRC-2 reads), at most
+    ``rows_per_file`` rows a file: each task closes its lists as rows go by."""
+    def lists(batches):
+        held = []
+        for b in batches:
+            for lo in range(0, b.num_rows, rows_per_file):
+                held += b.column(0).slice(lo, rows_per_file).to_pylist()
+                while len(held) >= rows_per_file:
+                    yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held[:rows_per_file]) + "]"])], names=["value"])
+                    held = held[rows_per_file:]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(held) + "]"])], names=["value"])
+
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lists, "value string")
+    rows.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def predictions_frame(pred: DataFrame, text_version: str = "original") -> DataFrame:
     """SNK-2 column layout of one text version's predictions: premise,
     hypothesis, gold_label, prediction and, for paraphrases, the paraphrased

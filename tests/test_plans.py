@@ -102,6 +102,20 @@ def test_run_evaluation_writes_and_checks(spark, tmp_dir):
                                       "text_version=original", "run_id=r1"))
 
 
+def test_stored_accuracy_keeps_paraphrase_sources_apart(spark, tmp_dir):
+    from pairlens.plans.evaluate import run_evaluation
+    from pairlens.plans.paraphrase import paraphrase_pairs
+    cfg = _cfg(tmp_dir)
+    cfg.models["other"] = "other"
+    pairs = load_pairs(spark, cfg, "meta")
+    assert pairs.filter("paraphrase_source IS NOT NULL").isEmpty()
+    both = [paraphrase_pairs(pairs, yes_factory, m, "p", cfg) for m in ("echo", "other")]
+    acc = run_evaluation(both[0].unionByName(both[1]), yes_factory, cfg, ["echo"], os.path.join(tmp_dir, "pred"),
+                         prompt_types=["qa-zero-ent"])
+    got = {(r.language, r.paraphrase_source): r.n_total for r in acc.collect()}
+    assert got == {("en", "echo"): 2, ("en", "other"): 2, ("es", "echo"): 1, ("es", "other"): 1}
+
+
 def chat_factory(model):
     def fn(messages):
         out = []

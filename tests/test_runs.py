@@ -82,3 +82,20 @@ def test_hot_run_spanning_many_buckets_and_blocks(spark):
     out = reuse_consecutive(df, _echo, ["o"], "v", F.col("v"), model="m", bucket_bits=3)
     got = {r.o: r.raw_answer for r in out.collect()}
     assert all(got[o] == "<hot>" for o in ords[:1000] + ords[-1000:])
+
+
+def test_sub_buckets_bound_the_rows_of_one_value(spark):
+    # one id holds most rows; runs cross sub-buckets, ids and blocks
+    rng = random.Random(8)
+    rows = [(i, k, rng.choice(["x", "x", "x", "y", None])) for i in (0, 3, 4, 9, 70) for k in range(300 if i == 4 else 5)]
+    df = spark.createDataFrame(rows, "o long, k long, v string")
+    marked, _ = mark_runs(df, ["o", "k"], "v", bucket_bits=2, sub_bits=3, keep_bucket=True)
+    assert marked.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 8
+    got = {(r.o, r.k): (r.is_new, r.run_no) for r in marked.collect()}
+    assert [got[r[:2]] for r in rows] == runs([r[2] for r in rows])
+    out = reuse_consecutive(df, _echo, ["o", "k"], "o", F.col("v"), model="m", bucket_bits=2, sub_bits=3)
+    heads = {r[0]: r[2] for r in rows if r[1] == 0}
+    for r in out.collect():
+        assert r.raw_answer == (None if heads[r.o] is None else f"<{heads[r.o]}>")
+    with pytest.raises(Exception, match="out of range"):
+        mark_runs(spark.createDataFrame([(1, -1, "a")], "o long, k long, v string"), ["o", "k"], "v", sub_bits=3)[0].collect()

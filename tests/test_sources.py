@@ -137,6 +137,23 @@ def test_column_oriented_json_is_rejected(spark, tmp_dir):
         R.load_dataset(spark, p, "premise string, hypothesis string")
 
 
+def test_json_records_in_many_files(spark, tmp_dir):
+    rows = [(str(i), None if i % 7 == 0 else 'a "b"\n{[é') for i in range(53)]
+    df = spark.createDataFrame(rows, PAIR).repartition(3)
+    d = K.write_json_records(df, os.path.join(tmp_dir, "recs.json"), rows_per_file=5)
+    files = [f for f in os.listdir(d) if f.startswith("part-")]
+    assert len(files) >= 11
+    for name in files:
+        with open(os.path.join(d, name), encoding="utf-8") as f:
+            assert len(json.load(f)) <= 5
+    assert sorted(tuple(r) for r in R.load_dataset(spark, d, PAIR).collect()) == sorted(rows)
+    # one column-oriented file among many is found
+    with open(os.path.join(d, "part-z.json"), "w") as f:
+        f.write('\n \t\n{"premise": {"0": "a"}, "hypothesis": {"0": "c"}}')
+    with pytest.raises(ValueError, match="part-z.json: column-oriented"):
+        R.load_dataset(spark, d, PAIR)
+
+
 def test_row_order_across_files_and_splits(spark, tmp_dir):
     d = os.path.join(tmp_dir, "many")
     os.makedirs(d)
