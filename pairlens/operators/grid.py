@@ -78,5 +78,16 @@ def grid_prompt(specs: list[tuple], premise: str = "premise", hypothesis: str =
 
 def render_grid(pairs: DataFrame, specs: list[tuple], config: EvalConfig | None = None,
                 task: str = "binary", unknown: str = "error") -> DataFrame:
-    """Expand pairs over runs and render the pair prompt of each run."""
-    return expand_runs(pairs, specs, config, task, unknown=unknown).withColumn("prompt", grid_prompt(specs))
+    """Expand pairs over runs and render the pair prompt of each run. A prompt
+    doesn't depend on the model: pairs are expanded over prompt types, rendered,
+    and only then expanded over the models that ask each type."""
+    models: dict[str, list] = {}
+    for m, t, _ in specs:
+        models.setdefault(t, []).append(m)
+    by_type = F.array(*[F.struct(F.lit(t).alias("prompt_type"), F.array(*map(F.lit, ms)).alias("models"))
+                        for t, ms in models.items()])
+    if config is not None:
+        pairs = pairs.filter(allowed_for(F.col("dataset"), config, task, unknown))
+    typed = (pairs.withColumn("_type", F.explode(by_type)).withColumn("prompt_type", F.col("_type.prompt_type"))
+             .withColumn("prompt", grid_prompt(specs)))
+    return typed.select(*pairs.columns, F.explode("_type.models").alias("model"), "prompt_type", "prompt")
