@@ -30,6 +30,7 @@ writes no shard; other columns of the input are not carried.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from itertools import chain
 
@@ -48,6 +49,8 @@ BARRIER = 0xFFFFFFFF
 MAX_BROADCAST_SHARDS = 100_000
 _BUCKETS = 16           # bits of the pair-count table
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+#: A capital before a character from U+0300 on, with which NFC could compose it (no character below U+0300 combines).
+_MAY_COMPOSE = re.compile(rb"[A-Z][\xcc-\xff]")
 
 
 def default_tokenizer() -> str:
@@ -93,8 +96,10 @@ class WordCachedEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
-        # lower-casing could make a special token of a word with "<|"
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        # lower-casing could make a special token of a word with "<|"; a capital and a mark must
+        # meet NFC before they are lower-cased, as some have a composed form in one case only
+        kept = [b"<|" in t or not t.isascii() and _MAY_COMPOSE.search(t) for t in texts]
+        split = [(t if k else t.lower()).split() for t, k in zip(texts, kept)]
         missing = set(chain.from_iterable(split)).difference(self.young)
         if len(self.young) + len(missing) > self.limit:
             missing = set(chain.from_iterable(split))

@@ -150,6 +150,18 @@ def test_token_files_equal_the_library_and_allow_random_access(spark, tmp_dir):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_token_ids_of_decomposed_capitals_equal_the_library():
+    import unicodedata
+    enc = token_files.load_encoder(token_files.default_tokenizer())
+    texts = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u0323\u030c", "I\u0307 A\u030a", "Zu\u0308 J\u030cX",
+             "FÜR Über ÀÉ", "a\u030c J\u00ad\u030c", "CAPS only", "ΑΣ\u0301 K\u212a"]
+    texts += [unicodedata.normalize("NFD", t) for t in texts]
+    marks = [chr(c) for c in (*range(0x300, 0x370), 0x1DCA, 0x20D0, 0x3099, 0xFE20)]
+    texts += [f"x {a}{m} Z{m}{a}{n}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks for n in ("", "\u030c")]
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in enc.encode([t.encode() for t in texts])] == want
+
+
 def test_weak_quality_agrees_with_held_out_labels(spark):
     sf = SF.replace("0.001", "0.01")
     table = spark.read.parquet(f"{sf}/documents.parquet")
