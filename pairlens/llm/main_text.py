@@ -58,10 +58,13 @@ BOILER_TOKENS = frozenset(
     "newsletter notice notices pagination pager popup privacy promo promotion reactions reader recommended related replies "
     "reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar "
     "topbar widget widgets".split())
+#: Attributes whose words are evidence.
+TOKEN_ATTRS = frozenset(("class", "id", "itemprop", "aria-label"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(/?)>|[!?][^>]*>)", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute: its name and, quoted or bare, its value.
+_ATTR = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _TOKEN = re.compile(r"[a-z]+")
 
 
@@ -146,12 +149,12 @@ def evidence(node: Node) -> tuple[int, int]:
     content, boiler = int(node.tag in CONTENT_TAGS), int(node.tag in BOILER_TAGS)
     for m in _ATTR.finditer(node.attrs) if node.attrs else ():
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if name == "hidden":
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             boiler += 1
         elif name == "role":
             boiler += value in ROLES
             content += value in ("main", "article")
-        else:
+        elif name in TOKEN_ATTRS:
             got = set(_TOKEN.findall(value))
             boiler += len(got & BOILER_TOKENS)
             content += len(got & CONTENT_TOKENS)

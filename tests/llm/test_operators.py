@@ -208,6 +208,25 @@ def test_main_text_leaves_boilerplate_and_survives_odd_markup(spark):
     assert [n.parent for n in nodes if n.tag in ("li", "td", "div")] == [1, 1, 0, 7, 7]
 
 
+def test_attribute_values_are_no_attributes(spark):
+    ev = lambda attrs: main_text.evidence(main_text.parse(f"<div {attrs}>")[1])
+    for attrs in ('style="overflow:hidden"', 'aria-hidden="false"', 'title="a hidden lake"', "data-x='id=ad'", "title=hidden",
+                  'data-class="ad"', 'title="class=article"', 'style = "overflow: hidden" lang=en', "data-hidden"):
+        assert ev(attrs) == (0, 0), attrs
+    for attrs in ("hidden", 'hidden=""', "HIDDEN='until-found'", 'aria-hidden="true"', 'style="x"hidden', 'class = "x ad"',
+                  "role=navigation", "id=ad/", 'title="a > b" hidden'):
+        assert ev(attrs) == (0, 1), attrs
+    assert ev('itemprop="articleBody" CLASS=post') == (2, 0)
+    # the model is fitted to pages whose article lies in such a div, and reads them
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    body = lambda t: re.search(r"<article>(.*?)(</article>|$)", t, re.S).group(1)
+    text = lambda t: " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body(t)))).split())
+    rows = [(p["page_id"], p["html"].replace("<article>", '<div style="overflow:hidden"><article>').replace("</article>", "</article></div>"))
+            for p in pages]
+    model = main_text.fit_pages(spark.createDataFrame(rows, "page_id bigint, html string"))
+    assert [main_text.extract(t, model) for _, t in rows] == [text(p["html"]) for p in pages]
+
+
 def test_section_tokens_equal_brute_force(spark):
     texts = ODD + ["a\n\n\nb.\n\nc", "\n\n", "é\n🙂\n", "x\r\n  y\n"]
     encode, size = token_counts.load_encoder(token_counts.default_vocabulary())
