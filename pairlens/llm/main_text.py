@@ -14,7 +14,9 @@
 4. Hierarchical decoding: each element is wrapper, content or boilerplate.
    A wrapper may hold anything, content holds content or boilerplate, and all
    below boilerplate is boilerplate. The best assignment of a page is found
-   bottom-up; text directly in content is the page's text.
+   bottom-up; text directly in content is the page's text. In a fragment
+   (text beside the topmost elements, no html or body) the root may be the
+   article, and is where no block element is content.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one space.
@@ -38,10 +40,14 @@ from pyspark.sql import functions as F
 from ._common import arrow_map
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style template textarea title iframe".split())
+#: Elements whose content has its own rules: a "/" closes a tag there, and some elements aren't shown.
+FOREIGN = frozenset(("svg", "math"))
+HTML_AGAIN = frozenset("foreignobject desc mi mn mo ms mtext".split())     # HTML inside them
+FOREIGN_RAW = frozenset("annotation annotation-xml desc metadata".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select "
-                  "summary table tbody td tfoot th thead tr ul video audio canvas button label legend".split())
+                  "summary table tbody td text tfoot th thead tr ul video audio canvas button label legend".split())
 #: Elements whose start ends an open p.
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -62,7 +68,7 @@ BOILER_TOKENS = frozenset(
 TOKEN_ATTRS = frozenset(("class", "id", "itemprop", "aria-label"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(/?)>|[!?][^>]*>)", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[!?][^>]*>)", re.S)
 #: One attribute: its name and, quoted or bare, its value.
 _ATTR = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _TOKEN = re.compile(r"[a-z]+")
@@ -81,11 +87,18 @@ def parse(text: str) -> list[Node]:
     """The elements of a page in document order; node 0 is the root."""
     nodes = [Node("#root", -1)]
     stack = [0]
+    rules: list[str] = []       # of the open elements, those that begin or end foreign rules
     at = 0
 
     def close_to(depth: int):
         while len(stack) > depth:
-            nodes[stack.pop()].end = len(nodes)
+            x = nodes[stack.pop()]
+            x.end = len(nodes)
+            if x.tag in FOREIGN or x.tag in HTML_AGAIN:
+                rules.pop()
+
+    def foreign() -> bool:
+        return bool(rules) and rules[-1] in FOREIGN
 
     def add(chunk: str):
         if chunk:
@@ -130,14 +143,18 @@ def parse(text: str) -> list[Node]:
         n = len(nodes)
         nodes.append(Node(tag, stack[-1], m.group(3) or ""))
         nodes[stack[-1]].parts.append(n)
-        if tag in VOID or m.group(4):
+        closed = m.group(3).rstrip().endswith("/") and (tag in FOREIGN or foreign())
+        raw = tag in RAW or tag in FOREIGN_RAW and foreign()
+        stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at) if raw and not closed else None
+        if tag in VOID or closed:
             nodes[n].end = n + 1
-        elif tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
+        elif stop or tag in RAW:
             at = stop.end() if stop else len(text)
             nodes[n].end = n + 1
         else:
             stack.append(n)
+            if tag in FOREIGN or tag in HTML_AGAIN:
+                rules.append(tag)
     close_to(0)
     return nodes
 
@@ -294,10 +311,18 @@ def fit_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 40, depth: int = 3, r
 WRAPPER, CONTENT, BOILER = 0, 1, 2
 
 
-def decode(nodes: list[Node], margin: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def is_fragment(nodes: list[Node]) -> bool:
+    """Text lies beside the elements at the top, and none of them is html or body."""
+    top = nodes[0].parts
+    return (any(isinstance(p, str) and p.strip() for p in top)
+            and not any(nodes[p].tag in ("html", "body") for p in top if not isinstance(p, str)))
+
+
+def decode(nodes: list[Node], margin: np.ndarray, weight: np.ndarray, root: int | None = WRAPPER) -> np.ndarray:
     """The best consistent state of every node. A node's own score for being
     content is its margin times its weight; wrapper and boilerplate are the
-    other side, and boilerplate ends the subtree's choice."""
+    other side, and boilerplate ends the subtree's choice. The root
+    has the state ``root``, or (None) the better of wrapper and content."""
     n = len(nodes)
     pos = -np.logaddexp(0, -margin) * weight
     neg = -np.logaddexp(0, margin) * weight
@@ -309,7 +334,7 @@ def decode(nodes: list[Node], margin: np.ndarray, weight: np.ndarray) -> np.ndar
         best[p, CONTENT] += max(c, b)
         best[p, WRAPPER] += max(w, c, b)
     state = np.full(n, BOILER)
-    state[0] = WRAPPER
+    state[0] = root if root is not None else CONTENT if best[0, CONTENT] >= best[0, WRAPPER] else WRAPPER
     for i in range(1, n):
         above = state[nodes[i].parent]
         if above == BOILER:
@@ -357,7 +382,14 @@ def extract(html: str | None, model: Trees) -> str:
         return ""
     x = node_features(nodes)
     weight = np.log1p(np.expm1(x[:, FEATURES.index("own_text")])) + 0.05
-    return text_of(nodes, decode(nodes, model.margin(x), weight))
+    fragment = is_fragment(nodes)
+    state = decode(nodes, model.margin(x), weight, None if fragment else WRAPPER)
+    if fragment and (state[0] == CONTENT or not any(s == CONTENT and nodes[i].tag in BLOCK for i, s in enumerate(state))):
+        # the root is the article, as if its markup said so
+        x[0, HIDDEN[0]] += 1
+        x[1:, HIDDEN[2]] += 1
+        state = decode(nodes, model.margin(x), weight, CONTENT)
+    return text_of(nodes, state)
 
 
 def fit_pages(df: DataFrame, html_col: str = "html", train_pages: int = 400, seed: int = 3) -> Trees:

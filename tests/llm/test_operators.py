@@ -208,6 +208,23 @@ def test_main_text_leaves_boilerplate_and_survives_odd_markup(spark):
     assert [n.parent for n in nodes if n.tag in ("li", "td", "div")] == [1, 1, 0, 7, 7]
 
 
+def test_main_text_keeps_text_by_foreign_elements_and_of_fragments(spark):
+    model = main_text.fit_pages(spark.read.parquet(f"{SF}/pages.parquet"))
+    para = ("The first of many words, here. " * 6).strip()
+    page = f"<body><nav><a href='/a'>a</a></nav><article><p>{para}</p>%s<p>{para}</p></article><footer>f</footer></body>"
+    for extra, want in (("<svg/>", ""), ('<svg width="1" />', ""), ("<math/>", ""), ("<svg>", ""), ("<svg><path d='M0 0'/><g/></svg>", ""),
+                        ("<svg><title/><style/><metadata>m</metadata></svg>", ""), ("<noscript><img src='x'></noscript>", ""),
+                        ("<noscript>", ""), ("<svg><desc>", ""), ("<object data=x />", ""), ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn>"
+                        "<annotation encoding='application/x-tex'>x=1</annotation></math> here</p>", "so x=1 here")):
+        assert main_text.extract(page % extra, model) == " ".join([para, want, para] if want else [para, para]), extra
+    nodes = main_text.parse("<svg><a/><foreignObject><div/>x</foreignObject></svg><p/>y")
+    assert [(n.tag, n.parent) for n in nodes[1:]] == [("svg", 0), ("a", 1), ("foreignobject", 1), ("div", 3), ("p", 0)]
+    assert main_text.extract("Hello <b>x</b>", model) == "Hello x"
+    assert main_text.extract(f"{para} <i>so</i><nav>menu</nav><br>{para}", model) == f"{para} so {para}"
+    assert main_text.extract(f"{para}<p>{para}</p>{para}", model) == f"{para} {para} {para}"
+    assert main_text.extract(f"<html><body><article><p>{para}</p></article></body></html> stray", model) == para
+
+
 def test_attribute_values_are_no_attributes(spark):
     ev = lambda attrs: main_text.evidence(main_text.parse(f"<div {attrs}>")[1])
     for attrs in ('style="overflow:hidden"', 'aria-hidden="false"', 'title="a hidden lake"', "data-x='id=ad'", "title=hidden",
