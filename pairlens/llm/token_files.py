@@ -6,7 +6,8 @@ the id, sorted there, and cut into shards of about ``shard_tokens`` ids.
 Each shard is compressed by Re-Pair: frequent pairs of ids are replaced by
 new symbols (nonterminals), round after round; pairs that share no symbol as
 left and right don't touch each other's occurrences, so one round replaces a
-batch of them at once. No pair spans two documents.
+batch of them at once. It ends when no pair occurs ``min_count`` times. No
+pair spans two documents.
 
 File format: Parquet, one row per shard --
   part, shard      order of the shards
@@ -47,7 +48,7 @@ END_ID = 1
 BARRIER = 0xFFFFFFFF
 #: Shards whose offsets may be broadcast (24 bytes each); beyond, they are joined by shuffle.
 MAX_BROADCAST_SHARDS = 100_000
-_BUCKETS = 16           # bits of the pair-count table
+_BUCKETS = 18           # bits of the pair-count table
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 #: A capital before a character from U+0300 on, with which NFC could compose it (no character below U+0300 combines).
 _MAY_COMPOSE = re.compile(rb"[A-Z][\xcc-\xff]")
@@ -121,53 +122,66 @@ def load_encoder(path: str) -> WordCachedEncoder:
     return WordCachedEncoder(path)
 
 
-def repair(ids: np.ndarray, base: int, rounds: int = 6, per_round: int = 2048,
-           min_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair over ``ids``, in which ``BARRIER`` stands for the end of each
-    document and is in no pair. Returns the rules (pairs) and the sequence."""
+    document and is in no pair, until no pair occurs ``min_count`` times.
+    Returns the rules (pairs) and the sequence."""
     seq, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(seq) < 2 * min_count:
-            break
-        slot = (seq[:-1] * _LEFT + seq[1:] * _RIGHT) >> np.uint32(32 - _BUCKETS)
+    # places whose pair may be frequent: at first all, later those that were and those beside new symbols (a pair of
+    # older symbols only loses occurrences)
+    may = np.flatnonzero((seq[:-1] != BARRIER) & (seq[1:] != BARRIER))
+    while True:
+        left, right = seq[may], seq[may + 1]
+        slot = (left * _LEFT + right * _RIGHT) >> np.uint32(32 - _BUCKETS)
         table = np.bincount(slot, minlength=1 << _BUCKETS)
-        top = np.argpartition(table, -per_round)[-per_round:]
-        heavy = np.zeros(1 << _BUCKETS, bool)
-        heavy[top[table[top] >= min_count]] = True
-        at = np.flatnonzero(heavy[slot])
-        if not len(at):
+        size = table[slot]
+        # a pair is in a slot that counts as much at least; the fullest slots go first, all of min_count if they hold none
+        for low in (int(np.partition(table, -per_round)[-per_round]), min_count):
+            some = np.flatnonzero(size >= max(low, min_count))
+            key = (left[some].astype(np.uint64) << np.uint64(32)) | right[some]
+            pairs, counts = np.unique(key, return_counts=True)
+            pairs, counts = pairs[counts >= min_count], counts[counts >= min_count]
+            if len(pairs) or low <= min_count:
+                break
+        if not len(pairs):
             break
-        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        pairs, counts = np.unique(key, return_counts=True)
         chosen, lefts, rights = [], set(), set()
-        for j in np.lexsort((pairs, -counts))[:per_round]:
-            if counts[j] < min_count:
-                break
-            a, b = int(pairs[j]) >> 32, int(pairs[j]) & 0xFFFFFFFF
-            if BARRIER in (a, b) or a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
+        for pair in pairs[np.lexsort((pairs, -counts))[:per_round]].tolist():
+            a, b = pair >> 32, pair & 0xFFFFFFFF
+            if a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
                 continue
             lefts.add(a)
             rights.add(b)
-            chosen.append(int(pairs[j]))
-        if not chosen:
-            break
+            chosen.append(pair)
         first = base + len(rules)
         rules += [(c >> 32, c & 0xFFFFFFFF) for c in chosen]
         by = np.argsort(np.array(chosen, np.uint64))
         known = np.array(chosen, np.uint64)[by]
+        mark = np.zeros(1 << _BUCKETS, bool)
+        mark[((known >> np.uint64(32)).astype(np.uint32) * _LEFT + known.astype(np.uint32) * _RIGHT) >> np.uint32(32 - _BUCKETS)] = True
+        near = mark[slot[some]]
+        at, key = may[some[near]], key[near]
         place = np.minimum(np.searchsorted(known, key), len(known) - 1)
         ok = known[place] == key
         at, place = at[ok], place[ok]
         # runs of one id (a == b): every second place of a run of neighbours
-        start = np.concatenate([[True], np.diff(at) > 1]) if len(at) else np.empty(0, bool)
-        run = np.arange(len(at)) - np.flatnonzero(start)[np.cumsum(start) - 1] if len(at) else at
+        start = np.concatenate([[True], np.diff(at) > 1])
+        run = np.arange(len(at)) - np.flatnonzero(start)[np.cumsum(start) - 1]
         same = seq[at] == seq[at + 1]
         take = ~same | (run % 2 == 0)
         at, place = at[take], place[take]
         seq[at] = (first + by[place]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        look = np.zeros(len(seq), bool)
+        look[may[size >= min_count]] = True
+        look[at] = True
+        before = at[at > 0] - 1
+        before -= ~keep[before]
+        look[before] = True
+        look, seq = look[keep], seq[keep]
+        may = np.flatnonzero(look[:-1])
+        may = may[(seq[may] != BARRIER) & (seq[may + 1] != BARRIER)]
     return np.array(rules, np.uint32).reshape(-1, 2), seq
 
 

@@ -162,6 +162,26 @@ def test_token_ids_of_decomposed_capitals_equal_the_library():
     assert [ids.tolist() for ids in enc.encode([t.encode() for t in texts])] == want
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    end = np.array([token_files.BARRIER], np.uint32)
+    one = rng.integers(0, 900, 400).astype(np.uint32)
+    copies = np.concatenate([one, end] * 1000)
+    words = np.concatenate([np.minimum(rng.zipf(1.3, 60000), 900).astype(np.uint32), end])
+    same = np.concatenate([np.full(3000, 7, np.uint32), end])
+    for ids in (copies, words, same, np.concatenate([words, copies, same, words]), one[:1], end):
+        for least in (2, 8):
+            rules, seq = token_files.repair(ids, 1000, min_count=least)
+            pairs = Counter((a, b) for a, b in zip(seq[:-1].tolist(), seq[1:].tolist()) if token_files.BARRIER not in (a, b))
+            assert max(pairs.values(), default=0) < least
+            back = np.split(seq, np.flatnonzero(seq == token_files.BARRIER))
+            table = token_files.expansions(rules, 1000)
+            got = [token_files.expand(x[x != token_files.BARRIER].astype(np.int64), table) for x in back]
+            want = [x[x != token_files.BARRIER] for x in np.split(ids, np.flatnonzero(ids == token_files.BARRIER))]
+            assert len(got) == len(want) and all(map(np.array_equal, got, want))
+    assert len(token_files.repair(copies, 1000)[1]) == 2 * 1000       # a symbol and the end of each copy
+
+
 def test_weak_quality_agrees_with_held_out_labels(spark):
     sf = SF.replace("0.001", "0.01")
     table = spark.read.parquet(f"{sf}/documents.parquet")
