@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_shared_subdir
-from . import chat, decontaminate, jaccard_join, main_text, mixing, quality_rules, sharding, token_counts, token_files, \
-    weak_quality
+from . import chat, decontaminate, jaccard_join, main_text, merkle, mixing, piece_offsets, quality_rules, sharding, \
+    spelling, token_counts, token_files, weak_quality
 from ._common import cut
 
 
@@ -80,10 +80,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (~base).alias("base_failed"), (base & web).alias("kept"), "failed")
 
 
+def op11_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_offsets.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), outputs=(
+        "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32")).drop("text")
+
+
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(spelling.count_words(_table(spark, sf_dir, "documents"), noise=31))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the untampered rows; each row's digest as tampered is folded with its proof."""
+    docs = _table(spark, sf_dir, "documents")
+    cols = ["doc_id", "source", "lang", "n_chars", "text"]
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    tampered = merkle.leaf_hash([text if c == "text" else F.col(c) for c in cols])
+    got = merkle.manifest(docs, "doc_id", "lang", cols, other=tampered)
+    return got.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                      merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+                      merkle.fold(F.col("other"), F.col("path")).alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_jaccard_join, op2_mix_sources, op3_token_files, op4_weak_quality, op5_main_text, op6_token_counts,
-        op7_shuffle_shards, op8_decontaminate, op9_reply_trees, op10_quality_rules)}
+        op7_shuffle_shards, op8_decontaminate, op9_reply_trees, op10_quality_rules, op11_piece_offsets,
+        op12_spelling_forms, op13_merkle_manifest)}
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -164,6 +187,83 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   failed = 0 AS kept, failed FROM f"""
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of the UTF-8 bytes of a text of characters up to U+00FF."""
+    table = ", ".join(map(str, spelling.crc_table().tolist()))
+    code = "unicode(c)::UBIGINT"
+    data = (f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN {code} < 128 THEN [{code}] "
+            f"WHEN {code} < 192 THEN [194::UBIGINT, {code}] ELSE [195::UBIGINT, {code} - 64] END))")
+    step = f"xor(([{table}]::UBIGINT[])[(xor(r, b) & 255)::INT + 1], r >> 8)"
+    return f"xor(list_reduce({data}, lambda r, b: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+def op12_sql() -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(
+    {lower.format("coalesce(text, '')")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+crc AS MATERIALIZED (SELECT *, {_crc_sql("(doc_id || ':' || run)")} AS h FROM runs),
+w AS MATERIALIZED (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+              ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM crc GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2),
+del AS MATERIALIZED (SELECT word, n, left(word, i) AS p, substr(word, i + 2) AS s
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+shorter AS MATERIALIZED (SELECT DISTINCT del.word AS long, del.n AS long_n, w.word AS short, w.n AS short_n
+  FROM del JOIN w ON w.word = del.p || del.s),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM del a JOIN del b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION ALL SELECT long, short, short_n FROM shorter UNION ALL SELECT short, long, long_n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS form_n, arg_min(near, (-near_n, near)) AS form FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+  CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS head FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.head AND f.form IS NOT NULL),
+roots AS (SELECT walk.word, head AS root FROM walk JOIN f ON f.word = walk.head WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN roots USING (word)"""
+
+
+def op13_sql() -> str:
+    field = "coalesce(strlen({0}::VARCHAR) || ':' || ({0}::VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    up = """SELECT g, lv + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (size + 7) // 8
+  FROM {0} WHERE size > 1 GROUP BY g, lv, i // 8, size"""
+    sides = """SELECT n.g, n.lv, n.i, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < n.i), '') AS b,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > n.i), '') AS a
+  FROM {0} n JOIN {0} s ON s.g = n.g AND s.lv = n.lv AND s.i // 8 = n.i // 8 WHERE n.size > 1 GROUP BY n.g, n.lv, n.i"""
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf("text")} AS leaf,
+    CASE WHEN {_crc_sql("(doc_id::VARCHAR)")} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS other FROM documents),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY g) AS size FROM d),
+nodes AS (SELECT g, 0 AS lv, i, leaf AS h, size FROM leaves UNION ALL {up.format("nodes")}),
+mn AS MATERIALIZED (SELECT * FROM nodes),
+subs AS MATERIALIZED (SELECT g, h FROM mn WHERE size = 1),
+tops AS (SELECT '' AS g, 0 AS lv, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS size FROM subs
+  UNION ALL {up.format("tops")}),
+mt AS MATERIALIZED (SELECT * FROM tops),
+place AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i FROM subs),
+low AS MATERIALIZED ({sides.format("mn")}),
+high AS MATERIALIZED ({sides.format("mt")}),
+path AS MATERIALIZED (
+  SELECT l.g, l.i, low.lv AS lv, low.b, low.a FROM leaves l JOIN low ON low.g = l.g AND low.i = l.i // (8 ** low.lv)::BIGINT
+  UNION ALL
+  SELECT l.g, l.i, 100 + high.lv, high.b, high.a FROM leaves l JOIN place p ON p.g = l.g
+  JOIN high ON high.i = p.i // (8 ** high.lv)::BIGINT),
+proof AS (SELECT l.g, l.i, sha256(coalesce(string_agg(b || a, '' ORDER BY lv), '')) AS proof_sha256,
+    coalesce(max(rank), 0) AS steps FROM leaves l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY lv) AS rank FROM path) p
+  ON p.g = l.g AND p.i = l.i GROUP BY l.g, l.i),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY lv) AS rank FROM path),
+folds AS (SELECT g, i, other AS h, 0 AS step FROM leaves UNION ALL
+  SELECT f.g, f.i, sha256(r.b || f.h || r.a), f.step + 1 FROM folds f JOIN ranked r ON r.g = f.g AND r.i = f.i AND r.rank = f.step + 1)
+SELECT l.doc_id, l.leaf, subs.h AS subroot, (SELECT h FROM mt WHERE size = 1) AS root, proof.proof_sha256,
+  f.h AS folded_root, f.h = (SELECT h FROM mt WHERE size = 1) AS verified
+FROM leaves l JOIN subs ON subs.g = l.g JOIN proof ON proof.g = l.g AND proof.i = l.i
+JOIN folds f ON f.g = l.g AND f.i = l.i AND f.step = proof.steps"""
+
+
 def oracle_sql() -> dict:
     return {"op1_jaccard_join": op1_sql(), "op8_decontaminate": op8_sql(), "op9_reply_trees": op9_sql(),
-            "op10_quality_rules": op10_sql()}
+            "op10_quality_rules": op10_sql(), "op12_spelling_forms": op12_sql(), "op13_merkle_manifest": op13_sql()}
