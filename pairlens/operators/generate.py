@@ -21,7 +21,6 @@ rows side.
 
 from __future__ import annotations
 
-import time
 from typing import Callable
 
 import pandas as pd
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.prompts import side_sentence
+from .answer_store import AnswerStore, answer_stored, folder_of, prompt_digest
 
 REQ = "_req_hash"
 PROMPT = "_prompt_digest"
@@ -131,9 +131,9 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
     them more cheaply than deduplicating ``df`` (e.g. distinct sentence
     pairs expanded over a constant run list).
 
-    ``store``: a shared folder of answers keyed by the request and a digest
-    of the prompt as sent, so another prefix or layout is another request.
-    Requests answered there are skipped (anti-join), new answers are
+    ``store``: a shared folder of answers by model and digest of the prompt
+    as sent (:mod:`.answer_store`), so another prefix or layout is another
+    request. Requests answered there are not asked again, new answers are
     appended, and only the current requests' answers are read back (the
     earliest, where two runs stored one each).
     ``checkpoint``: without a store, write the answers once as Parquet into
@@ -144,46 +144,56 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
         if not isinstance(prompt, str):
             raise ValueError("a prompt expression needs the request keys it is rendered from")
         keys = [model_col, prompt]
+    if store is not None:
+        return _generate_stored(df, factory, prompt, model_col, answer_col, store, batch_size, partitions)
     rows = _request_keys(df, keys)
     requests = requests_of(df, keys) if requests is None else \
         _request_keys(requests.select(*keys), keys)
     answers = answer_distinct(requests, factory, prompt, keys, model_col, answer_col,
-                              store, checkpoint, batch_size, partitions)
+                              checkpoint, batch_size, partitions)
     return rows.join(answers, [REQ, *keys], "left").drop(REQ)
 
 
+def _generate_stored(df: DataFrame, factory: Callable, prompt: Column | str, model_col: str, answer_col: str,
+                     store: str, batch_size: int | None, partitions: int | None) -> DataFrame:
+    """Rows joined to the store's answers by model and prompt digest."""
+    prompt_expr = F.col(prompt) if isinstance(prompt, str) else prompt
+    model = F.col(model_col) if model_col in df.columns else F.lit(None).cast("string")
+    kind = df.select(prompt_expr.alias("p")).schema["p"].dataType
+    digest = prompt_digest(prompt_expr, kind)
+    asked = df.select(model.alias("model"), digest.alias("digest")).filter("digest IS NOT NULL").distinct()
+
+    def ask(missing: DataFrame | None) -> DataFrame:
+        texts = df.select(model.alias("model"), digest.alias("digest"), prompt_expr.alias("_prompt")).filter("digest IS NOT NULL")
+        if missing is not None:
+            m = missing.withColumn("model", folder_of(F.col("model")))
+            texts = texts.withColumn("_f", folder_of(F.col("model"))).join(
+                m.withColumnRenamed("model", "_f"), ["_f", "digest"], "left_semi").drop("_f")
+        return answer_requests(texts.dropDuplicates(["model", "digest"]), factory, "_prompt", "model", answer_col,
+                               batch_size, partitions)
+
+    found = answer_stored(asked, AnswerStore(df.sparkSession, store), ask, answer_col)
+    found = found.select(folder_of(F.col("model")).alias("_folder"), F.col("digest").alias(PROMPT), answer_col)
+    rows = df.withColumn("_folder", folder_of(model)).withColumn(PROMPT, digest)
+    return rows.join(found, ["_folder", PROMPT], "left").drop("_folder", PROMPT)
+
+
 def answer_distinct(requests: DataFrame, factory: Callable, prompt: Column | str,
                     keys: list[str], model_col: str = "model", answer_col: str = "raw_answer",
-                    store: str | None = None, checkpoint: bool = False,
-                    batch_size: int | None = None, partitions: int | None = None) -> DataFrame:
+                    checkpoint: bool = False, batch_size: int | None = None,
+                    partitions: int | None = None) -> DataFrame:
     """Answer a table of *distinct* requests (key columns, optionally with the
-    request hash): render each prompt, skip NULL prompts, call the generator,
-    honour the answer store. Returns (hash, keys, answer)."""
+    request hash): render each prompt, skip NULL prompts, call the generator.
+    Returns (hash, keys, answer)."""
     if REQ not in requests.columns:
         requests = _request_keys(requests.select(*keys), keys)
     prompt_expr = F.col(prompt) if isinstance(prompt, str) else prompt
     rendered = (requests.withColumn("_prompt", prompt_expr)
                 .filter(F.col("_prompt").isNotNull())
                 .select(REQ, *keys, "_prompt"))
-    stored_keys = [REQ, *keys, PROMPT]
-    if store is not None:
-        text = F.col("_prompt") if isinstance(rendered.schema["_prompt"].dataType, T.StringType) \
-            else F.to_json("_prompt")
-        rendered = rendered.withColumn(PROMPT, F.sha2(text.cast("binary"), 256))
-        current = rendered.select(*stored_keys)
-        done = _read_store(requests.sparkSession, store)
-        if done is not None:
-            rendered = rendered.join(done.select(*stored_keys), stored_keys, "left_anti")
     if model_col not in keys:
         rendered = rendered.withColumn(model_col, F.lit(None).cast("string"))
     answers = answer_requests(rendered, factory, "_prompt", model_col, answer_col, batch_size, partitions)
-    if store is not None:
-        (answers.select(*stored_keys, answer_col).withColumn("_at", F.lit(time.time_ns()))
-         .write.mode("append").parquet(store))
-        answers = (_read_store(requests.sparkSession, store).join(current, stored_keys, "left_semi")
-                   .groupBy(REQ, *keys).agg(F.min(F.struct("_at", answer_col)).alias("_first"))
-                   .select(REQ, *keys, F.col("_first")[answer_col].alias(answer_col)))
-        return answers
     answers = answers.select(REQ, *keys, answer_col)
     if checkpoint:
         from ..session import materialize
@@ -191,16 +201,6 @@ def answer_distinct(requests: DataFrame, factory: Callable, prompt: Column | str
     return answers
 
 
-def _read_store(spark, store: str):
-    try:
-        return spark.read.parquet(store)
-    except Exception as exc:  # nothing stored yet
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) \
-                or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
-
-
 def substitute_paraphrase(df: DataFrame, side, paraphrase_col: str = "paraphrase",
                           premise_col: str = "premise", hypothesis_col: str = "hypothesis") -> DataFrame:
     """GEN-4 (+ PRJ-3): write the paraphrase in place of the chosen side and

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
-from ..operators.generate import answer_distinct
+from ..operators.answer_store import AnswerStore, answer_stored, digest_of, prompt_digest
+from ..operators.generate import answer_requests
 from ..functions.prompts import chat_prompt
 from ..operators.grid import allowed_for, excluded_datasets, expand_runs, grid_prompt, prefix_for, run_specs
 from ..operators.metrics import accuracy
@@ -25,7 +26,7 @@ def label_mappings(config: EvalConfig, task: str, prompt_types: list[str]) -> di
     return {t: config.prompt(task, t).label_mapping or {} for t in prompt_types}
 
 
-PAIR_KEYS = ["premise", "hypothesis"]
+PAIR = "_ph"
 _SEP = "\u0001"
 
 
@@ -33,6 +34,48 @@ def _run_key(model, prompt_type):
     return F.concat(model, F.lit(_SEP), prompt_type)
 
 
+def _pair_digest():
+    """Fixed-width key of a sentence pair; NULL where a sentence is missing."""
+    return digest_of(F.concat(F.char_length("premise").cast("string"), F.lit(":"), F.col("premise"), F.col("hypothesis")))
+
+
+def _template_digests(spark, specs: list[tuple], prompt) -> dict[str, str]:
+    """Digest of each prompt type's layout and prefix: of the prompt that it
+    makes of two markers (one row per configured prompt type)."""
+    types = list(dict.fromkeys(t for _, t, _ in specs))
+    marks = spark.range(1).select(F.explode(F.array(*map(F.lit, types))).alias("prompt_type"),
+                                  F.lit("\u0001p\u0001").alias("premise"), F.lit("\u0001h\u0001").alias("hypothesis"))
+    made = marks.select("prompt_type", prompt.alias("p"))
+    digest = prompt_digest(F.col("p"), made.schema["p"].dataType)
+    return {r.prompt_type: r.d for r in made.select("prompt_type", F.hex(digest).alias("d")).collect()}
+
+
+def _stored_answers(distinct_pairs: DataFrame, specs: list[tuple], prompt, factory: Callable, store: str,
+                    batch_size: int | None, partitions: int | None) -> DataFrame:
+    """Answers through the store. A prompt's digest is that of its template
+    and its pair, both of fixed width: lookups move no sentence."""
+    from ..session import materialize
+    spark, pt = distinct_pairs.sparkSession, F.col("prompt_type")
+    templates = _template_digests(spark, specs, prompt)
+    pairs = materialize(distinct_pairs, "pairs")
+    template = F.create_map(*[F.lit(x) for t in templates.items() for x in t])[pt]
+    digest = digest_of(F.concat(template, F.hex(PAIR)))
+    asked = expand_runs(pairs.select(PAIR), specs).select(PAIR, "model", "prompt_type", digest.alias("digest"))
+
+    def ask(missing: DataFrame | None) -> DataFrame:
+        if missing is None:
+            requests = expand_runs(pairs, specs).withColumn("digest", digest)
+        else:       # sentences are fetched for what must be asked, nothing else
+            requests = missing.join(pairs, PAIR)
+        requests = requests.withColumn("_prompt", prompt)
+        if len(set(templates.values())) < len(templates):      # two prompt types send the same prompt
+            requests = requests.dropDuplicates(["model", "digest"])
+        return answer_requests(requests.select("model", "digest", "_prompt"), factory, "_prompt", "model",
+                               "raw_answer", batch_size, partitions)
+
+    return answer_stored(asked, AnswerStore(spark, store), ask)
+
+
 def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task: str,
                  specs: list[tuple], types: list[str], store: str | None, checkpoint: bool,
                  chat: bool, observe: bool = False, unknown: str = "error",
@@ -41,8 +84,9 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
 
     * distinct requests = distinct sentence pairs x the constant run list:
       the pairs are deduplicated first, then expanded on the reduce side;
-    * answers are grouped per sentence pair into a map run -> answer (at
-      most one entry per configured run, a size fixed by the config);
+    * from there on a pair is its digest: answers are grouped per digest into
+      a map run -> answer (at most one entry per configured run, a size fixed
+      by the config), and no sentence is shuffled again for them;
     * the *unexpanded* pairs are joined to that map and expanded over the
       runs after the join, so the big side of the shuffle carries one row
       per pair, not one per (pair, run);
@@ -51,18 +95,19 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
       plain exchanges, so AQE can split a pair that many rows share.
     """
     allowed = pairs.filter(allowed_for(F.col("dataset"), config, task, unknown))      # CHK-3
-    distinct_pairs = allowed.select(*PAIR_KEYS).dropDuplicates()
-    keys = ["model", "prompt_type", *PAIR_KEYS]
-    requests = expand_runs(distinct_pairs, specs).select(*keys)
+    distinct_pairs = allowed.select("premise", "hypothesis").dropDuplicates() \
+        .withColumn(PAIR, _pair_digest()).filter(F.col(PAIR).isNotNull())
     pt = F.col("prompt_type")
     if chat:   # TXT-3: the generator receives [{role, content}, ...] per request
         prompt = chat_prompt(pt, prefix_for(pt, specs), "premise", "hypothesis")
     else:
         prompt = grid_prompt(specs)
-    answers = answer_distinct(requests, factory, prompt, keys, store=store, batch_size=batch_size,
-                              partitions=partitions)
-    ph = F.xxhash64(*PAIR_KEYS)
-    by_pair = (answers.withColumn("_ph", ph).groupBy("_ph", *PAIR_KEYS)
+    if store is not None:
+        answers = _stored_answers(distinct_pairs, specs, prompt, factory, store, batch_size, partitions)
+    else:
+        requests = expand_runs(distinct_pairs, specs).select(PAIR, "model", "prompt_type", prompt.alias("_prompt"))
+        answers = answer_requests(requests, factory, "_prompt", "model", "raw_answer", batch_size, partitions)
+    by_pair = (answers.select(PAIR, "model", "prompt_type", "raw_answer").groupBy(PAIR)
                .agg(F.map_from_entries(F.collect_list(F.struct(
                    _run_key(F.col("model"), pt), F.col("raw_answer")))).alias("_answers")))
     if checkpoint:
@@ -73,7 +118,7 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
     if observe:
         from ..operators.checks import observed_count
         rows, n_in = observed_count(rows, "pairs_in")
-    joined = rows.withColumn("_ph", ph).join(by_pair, ["_ph", *PAIR_KEYS], "left").drop("_ph")
+    joined = rows.withColumn(PAIR, _pair_digest()).join(by_pair, PAIR, "left").drop(PAIR)
     runs = expand_runs(joined, specs)
     pred = (runs.withColumn("raw_answer", F.try_element_at(F.col("_answers"),
                                                            _run_key(F.col("model"), pt)))

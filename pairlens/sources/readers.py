@@ -19,6 +19,12 @@ FORMATS = ("json", "jsonl", "tsv", "csv")
 NULL_MARKER = "\u0000"
 
 
+def missing_path(exc: Exception) -> bool:
+    """Whether a read failed because there is nothing at the path yet; any other failure is one."""
+    from pyspark.errors import AnalysisException
+    return isinstance(exc, AnalysisException) and exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def format_of(path: str, fmt: str | None = None) -> str:
     """SRC-1: reader chosen by the last suffix: json, jsonl, tsv, else csv.
     An unknown suffix is an error unless a format is given (the reference
