@@ -19,19 +19,19 @@ PARAPHRASE_SIDES = {"original_premise": "p", "original_hypothesis": "h"}
 
 
 def _read_strings(spark: SparkSession, path: str, columns: list[str], fmt: str | None,
-                  multiline: bool = True) -> DataFrame:
-    """Read a pair file as strings. Delimited files are matched to names by
+                  multiline: bool = True, order_col: str | None = None) -> DataFrame:
+    """Read a pair file as strings, with the rows' numbers in file order. Delimited files are matched to names by
     their header (Spark reads one line for it, no inference pass); JSON gets
     an explicit all-string schema of the wanted columns."""
     kind = R.format_of(path, fmt)
     if kind in ("json", "jsonl"):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        return R.load_dataset(spark, path, schema, kind)
+        return R.load_dataset(spark, path, schema, kind, order_col=order_col)
     sep = "\t" if kind == "tsv" else ","
     header = (spark.read.option("sep", sep).option("header", True).option("quote", '"')
               .option("escape", '"').option("multiLine", multiline).csv(path).columns)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return R.load_dataset(spark, path, schema, kind, multiline=multiline)
+    return R.load_dataset(spark, path, schema, kind, multiline=multiline, order_col=order_col)
 
 
 def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
@@ -67,14 +67,12 @@ def load_pairs(spark: SparkSession, config: EvalConfig, dataset: str,
     if not path:
         raise ValueError(f"no {text_version} path configured for {dataset!r}")
     wanted = [prem, hyp, lab, "language", *PARAPHRASE_SIDES]
-    df = _read_strings(spark, path, wanted, fmt, multiline)
+    # rows are numbered in file order as they are read, before any filter
+    df = _read_strings(spark, path, wanted, fmt, multiline, "_pair_id").withColumnRenamed("_pair_id", "pair_id")
     missing = [c for c in (prem, hyp, lab) if c not in df.columns]
     if missing:
         raise KeyError(f"{path}: columns {missing} not found in {df.columns}")
-    last = df.columns[-1]
-    # number rows in file order first (the file metadata columns belong to
-    # the scan), then filter
-    df = R.with_row_order(df, "pair_id")
+    last = df.columns[-2]
     if language is not None:
         json = R.format_of(path, fmt) in ("json", "jsonl")
         if "language" not in df.columns:

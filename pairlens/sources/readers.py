@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .split_text import read_split
+
 FORMATS = ("json", "jsonl", "tsv", "csv")
 NULL_MARKER = "\u0000"
 
@@ -77,55 +79,55 @@ def _bound_by_name(reader, path: str, schema) -> tuple[T.StructType, list[str]]:
 
 
 def _delimited(spark: SparkSession, path: str, schema, sep: str, header: bool,
-               multiline: bool = True) -> DataFrame:
-    """Columns are bound by header name, whatever their order; with
-    ``enforceSchema`` off every file of a folder must have the same header."""
-    wanted = None
+               multiline: bool = True, order_col: str | None = None) -> DataFrame:
+    """Columns are bound by header name, whatever their order; every file of
+    a folder must have the same header. Files are split either way: with
+    ``multiline`` after a scan for the records' borders (:mod:`.split_text`)."""
+    # an unquoted empty field is NULL, a quoted one ("") the empty string: the comparison marker must differ from ""
+    options = {"quote": '"', "escape": '"', "nullValue": NULL_MARKER}
+    want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    wanted = want.names
     if header:
-        first = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"') \
-            .option("multiLine", multiline)
-        schema, wanted = _bound_by_name(first, path, schema)
-    df = (spark.read.schema(schema).option("enforceSchema", False)
-            .option("sep", sep).option("header", header)
-            .option("quote", '"').option("escape", '"')
-            # an unquoted empty field is NULL, a quoted one ("") the empty
-            # string: the comparison marker must differ from ""
-            .option("nullValue", NULL_MARKER)
-            .option("multiLine", multiline)
-            .option("mode", "FAILFAST")
-            .csv(path))
-    return df if wanted is None or df.columns == wanted else df.select(*wanted)
+        first = spark.read.options(**options).option("sep", sep).option("header", True).option("multiLine", multiline)
+        want, wanted = _bound_by_name(first, path, want)
+    if multiline:
+        df = read_split(spark, path, want, sep, header, options, order_col)
+    else:
+        df = (spark.read.schema(want).options(**options).option("enforceSchema", False)
+              .option("sep", sep).option("header", header).option("multiLine", False).option("mode", "FAILFAST").csv(path))
+        if order_col:
+            df = with_row_order(df, order_col)
+    keep = [*wanted, *([order_col] if order_col else [])]
+    return df if df.columns == keep else df.select(*keep)
 
 
 def read_tsv(spark: SparkSession, path: str, schema, header: bool = True,
-             multiline: bool = True) -> DataFrame:
+             multiline: bool = True, order_col: str | None = None) -> DataFrame:
     """SRC-4 (header) / SRC-6 (no header: names come from the schema).
-    ``multiline=False`` makes large files splittable when no field holds a
-    line break."""
-    return _delimited(spark, path, schema, "\t", header, multiline)
+    ``multiline=False`` spares the scan for record borders when no field holds
+    a line break. ``order_col`` adds the row's number in file order."""
+    return _delimited(spark, path, schema, "\t", header, multiline, order_col)
 
 
 def read_csv(spark: SparkSession, path: str, schema, header: bool = True,
-             multiline: bool = True) -> DataFrame:
+             multiline: bool = True, order_col: str | None = None) -> DataFrame:
     """SRC-5: comma-separated with header."""
-    return _delimited(spark, path, schema, ",", header, multiline)
+    return _delimited(spark, path, schema, ",", header, multiline, order_col)
 
 
 def load_dataset(spark: SparkSession, path: str, schema, fmt: str | None = None,
                  language: str | None = None, language_col: str = "language",
-                 multiline: bool = True) -> DataFrame:
+                 multiline: bool = True, order_col: str | None = None) -> DataFrame:
     """SRC-1 (+ FLT-1): read by suffix, optionally keep one language.
-    ``multiline=False`` lets large delimited files be split (no field may
-    hold a line break)."""
+    ``multiline=False``: no field of a delimited file holds a line break.
+    ``order_col`` adds the row's number in file order (before the filter)."""
     kind = format_of(path, fmt)
-    if kind == "json":
-        df = read_json_records(spark, path, schema)
-    elif kind == "jsonl":
-        df = read_json_lines(spark, path, schema)
-    elif kind == "tsv":
-        df = read_tsv(spark, path, schema, multiline=multiline)
+    if kind in ("json", "jsonl"):
+        df = read_json_records(spark, path, schema) if kind == "json" else read_json_lines(spark, path, schema)
+        if order_col:
+            df = with_row_order(df, order_col)
     else:
-        df = read_csv(spark, path, schema, multiline=multiline)
+        df = _delimited(spark, path, schema, "\t" if kind == "tsv" else ",", True, multiline, order_col)
     if language is not None:
         if language_col not in df.columns:
             raise KeyError(f"language filter on a table without column {language_col!r}")
