@@ -14,8 +14,8 @@ the current requests: their models and buckets prune folders, and their
 hashes, where they are few enough for a bounded broadcast, keep other rows
 of a bucket out of the shuffle.
 
-Two writers may store an answer to one request each; every reader takes the
-earliest, so they agree from then on.
+Two writers that run side by side may store an answer to one request each and
+go on with their own; every later reader takes the earliest.
 """
 
 from __future__ import annotations
@@ -77,42 +77,39 @@ class AnswerStore:
                 return None
             raise
 
-    def relevant(self, asked: DataFrame) -> DataFrame | None:
-        """Rows of the store that ``asked`` (model, digest; read twice, so
-        written down beforehand) may need: its models' and buckets' folders,
-        and of those the rows of its hashes."""
+    def relevant(self, asked: DataFrame, n: int, models: list | None = None) -> DataFrame | None:
+        """Rows of the store that ``asked`` (model, digest; ``n`` rows) may
+        need: its models' and buckets' folders, and of those the rows of its
+        hashes. ``models``: the models of ``asked``, where the caller knows them."""
         rows = self.rows()
         if rows is None:
             return None
-        folder, bucket = folder_of(F.col("model")), _bucket(F.col("digest"))
-        # what comes to the driver is bounded: a count, the buckets, and a thousand model names
-        n, buckets = asked.agg(F.count(F.lit(1)), F.collect_set(bucket)).first()
-        models = [r.m for r in asked.select(folder.alias("m")).distinct().limit(MAX_MODELS + 1).collect()]
+        # what comes to the driver is bounded: the buckets, and a thousand model names
+        if models is None:
+            models = [r.model for r in asked.select("model").distinct().limit(MAX_MODELS + 1).collect()]
         if len(models) <= MAX_MODELS:
-            rows = rows.filter(F.col("model").isin(models))
-        if len(buckets) < BUCKETS:
-            rows = rows.filter(F.col("bucket").isin(sorted(buckets)))
+            rows = rows.filter(F.col("model").isin(["none" if m is None else f"m-{m}" for m in models]))
         if n <= SLOTS // 2:
+            buckets = [r.b for r in asked.select(_bucket(F.col("digest")).alias("b")).distinct().collect()]
+            if len(buckets) < BUCKETS:
+                rows = rows.filter(F.col("bucket").isin(sorted(buckets)))
             slots = asked.select(_slot(F.col("digest")).alias("slot")).distinct()
             rows = rows.withColumn("slot", _slot(F.col("digest"))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
         return rows
 
-    def unanswered(self, asked: DataFrame) -> DataFrame:
-        """Rows of ``asked`` whose request has no stored answer. Only digests are read."""
-        rows = self.relevant(asked)
+    def look_up(self, asked: DataFrame, n: int, answer_col: str, models: list | None = None) -> DataFrame | None:
+        """``asked`` (``n`` rows) with the earliest stored answer of each row's
+        request and whether there is one (``known``); None without a store."""
+        from ..session import materialize
+        rows = self.relevant(asked, n, models)
         if rows is None:
-            return asked
-        known = rows.select(F.col("model").alias("_folder"), "digest")
-        return asked.withColumn("_folder", folder_of(F.col("model"))).join(known, ["_folder", "digest"], "left_anti") \
-            .drop("_folder")
-
-    def answered(self, asked: DataFrame, answer_col: str) -> DataFrame:
-        """``asked`` with the earliest stored answer of each row's request, where there is one."""
-        rows = self.relevant(asked)
-        if rows is None:
-            return asked.withColumn(answer_col, F.lit(None).cast("string")).filter(F.lit(False))
-        first = rows.groupBy(F.col("model").alias("_folder"), "digest").agg(F.min_by("answer", F.struct("at", "answer")).alias(answer_col))
-        return asked.withColumn("_folder", folder_of(F.col("model"))).join(first, ["_folder", "digest"]).drop("_folder")
+            return None
+        rows = rows.select(F.col("model").alias("_folder"), "digest", "at", F.col("answer").alias(answer_col), F.lit(True).alias("known"))
+        got = materialize(asked.withColumn("_folder", folder_of(F.col("model"))).join(rows, ["_folder", "digest"], "left")
+                          .drop("_folder").withColumn("known", F.coalesce("known", F.lit(False))), "looked-up")
+        if got.count() > n:     # two writers stored an answer to one request
+            got = got.groupBy(*asked.columns, "known").agg(F.min_by(answer_col, F.struct("at", answer_col)).alias(answer_col))
+        return got.select(*asked.columns, answer_col, "known")
 
     def add(self, answers: DataFrame, answer_col: str) -> None:
         """Append answers (model, digest, ``answer_col``), few files a folder."""
@@ -122,19 +119,28 @@ class AnswerStore:
 
 
 def answer_stored(asked: DataFrame, store: AnswerStore, ask: Callable[[DataFrame | None], DataFrame],
-                  answer_col: str = "raw_answer") -> DataFrame:
-    """``asked`` (model, digest and the caller's keys; no texts) with answers:
-    stored ones are looked up, the rest is asked for once and stored.
-    ``ask(missing)`` answers the requests of ``missing``, rows of ``asked``,
-    or all of them if that is None, as (model, digest, ``answer_col``)."""
+                  answer_col: str = "raw_answer", n: int | None = None, models: list | None = None) -> DataFrame:
+    """``asked`` (model, digest and the caller's keys; distinct, no texts) with
+    answers: stored ones are looked up, the rest is asked for once, written
+    down and stored. ``ask(missing)`` answers the requests of ``missing``,
+    rows of ``asked``, or all of them if that is None: the same columns and
+    ``answer_col``. ``n``, ``models``: rows and models of ``asked``, if known."""
     from ..session import materialize
-    asked = materialize(asked, "asked")
-    missing = store.unanswered(asked)
-    if missing is asked:
-        store.add(ask(None), answer_col)
-    else:
-        missing = materialize(missing, "unanswered")
-        n = missing.count()
-        if n:
-            store.add(ask(None if n == asked.count() else missing), answer_col)
-    return store.answered(asked, answer_col)
+
+    def answer_new(missing: DataFrame | None) -> DataFrame:
+        new = materialize(ask(missing).select(*asked.columns, answer_col), "answered")
+        store.add(new, answer_col)
+        return new
+
+    if store.rows() is None:
+        return answer_new(None)
+    if n is None:
+        asked = materialize(asked, "asked")
+        n = asked.count()
+    looked = store.look_up(asked, n, answer_col, models)
+    missing = looked.filter("NOT known").select(*asked.columns)
+    open_ = missing.count()
+    if not open_:
+        return looked.drop("known")
+    new = answer_new(None if open_ == n else missing)
+    return looked.filter("known").drop("known").unionByName(new)

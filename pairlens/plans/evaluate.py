@@ -55,25 +55,34 @@ def _stored_answers(distinct_pairs: DataFrame, specs: list[tuple], prompt, facto
     """Answers through the store. A prompt's digest is that of its template
     and its pair, both of fixed width: lookups move no sentence."""
     from ..session import materialize
-    spark, pt = distinct_pairs.sparkSession, F.col("prompt_type")
+    spark = distinct_pairs.sparkSession
     templates = _template_digests(spark, specs, prompt)
-    pairs = materialize(distinct_pairs, "pairs")
-    template = F.create_map(*[F.lit(x) for t in templates.items() for x in t])[pt]
+    # prompt types of one template send one prompt: the first asks for all of them
+    first = {d: t for t, d in reversed(templates.items())}
+    once = [s for s in specs if first[templates[s[1]]] == s[1]]
+    template = F.create_map(*[F.lit(x) for t in templates.items() for x in t])[F.col("prompt_type")]
     digest = digest_of(F.concat(template, F.hex(PAIR)))
-    asked = expand_runs(pairs.select(PAIR), specs).select(PAIR, "model", "prompt_type", digest.alias("digest"))
+    kept, n = AnswerStore(spark, store), None
+    if kept.rows() is not None:     # pairs are read for the lookup, and again for what must be asked
+        distinct_pairs = materialize(distinct_pairs, "pairs")
+        n = distinct_pairs.count() * len(once)
+    keys = [PAIR, "model", "prompt_type", "digest"]
 
     def ask(missing: DataFrame | None) -> DataFrame:
         if missing is None:
-            requests = expand_runs(pairs, specs).withColumn("digest", digest)
+            requests = expand_runs(distinct_pairs, once).withColumn("digest", digest)
         else:       # sentences are fetched for what must be asked, nothing else
-            requests = missing.join(pairs, PAIR)
-        requests = requests.withColumn("_prompt", prompt)
-        if len(set(templates.values())) < len(templates):      # two prompt types send the same prompt
-            requests = requests.dropDuplicates(["model", "digest"])
-        return answer_requests(requests.select("model", "digest", "_prompt"), factory, "_prompt", "model",
+            requests = missing.join(distinct_pairs, PAIR)
+        return answer_requests(requests.select(*keys, prompt.alias("_prompt")), factory, "_prompt", "model",
                                "raw_answer", batch_size, partitions)
 
-    return answer_stored(asked, AnswerStore(spark, store), ask)
+    asked = expand_runs(distinct_pairs.select(PAIR), once).withColumn("digest", digest).select(*keys)
+    answers = answer_stored(asked, kept, ask, n=n, models=[m for m, _, _ in once])
+    if len(first) < len(templates):
+        same = F.create_map(*[x for d, t in first.items() for x in (
+            F.lit(t), F.array(*[F.lit(u) for u, e in templates.items() if e == d]))])
+        answers = answers.withColumn("prompt_type", F.explode(same[F.col("prompt_type")]))
+    return answers
 
 
 def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task: str,

@@ -57,7 +57,7 @@ def test_a_pass_reads_only_its_models_and_buckets(spark, tmp_dir):
     rows = [(m, f"t{i}") for m in ("a", "b") for i in range(300)]
     store.add(asked_of(spark, rows).withColumn("raw_answer", F.lit("x")), "raw_answer")
     assert len(os.listdir(f"{tmp_dir}/store/model=m-a")) > 30
-    one = store.relevant(asked_of(spark, [("a", "t5"), ("a", "t77")]))
+    one = store.relevant(asked_of(spark, [("a", "t5"), ("a", "t77")]), 2)
     wanted = sorted({int.from_bytes(hashlib.sha256(t.encode()).digest()[:1]) % A.BUCKETS for t in ("t5", "t77")})
     plan = plan_of(one)
     read = re.search(r"PartitionFilters: \[([^\]]*)\]", plan).group(1)
@@ -76,18 +76,18 @@ def test_a_pass_reads_only_its_models_and_buckets(spark, tmp_dir):
 
 def test_lookups_move_no_sentence(spark, tmp_dir, log, monkeypatch):
     """Every exchange of a lookup carries digests, answers and run columns only."""
-    seen = []
-    for name in ("unanswered", "answered"):
-        def spy(self, asked, *args, _own=getattr(A.AnswerStore, name)):
-            got = _own(self, asked, *args)
-            seen.append(plan_of(got))
-            return got
-        monkeypatch.setattr(A.AnswerStore, name, spy)
+    import pairlens.session as session
+    seen, own = [], session.materialize
+
+    def spy(df, prefix):
+        if prefix == "looked-up":
+            seen.append(plan_of(df))
+        return own(df, prefix)
+    monkeypatch.setattr(session, "materialize", spy)
     pairs, cfg = pairs_of(spark, range(40)), fx.fixture_config()
     for _ in range(2):
         predictions(pairs, counting(log), cfg, [fx.STUB_MODEL], store=f"{tmp_dir}/store", unknown="keep").count()
-    lookups = [p for p in seen if "Exchange" in p]
-    assert len(lookups) >= 3 and not any(re.search(r"premise|hypothesis|_prompt", p) for p in lookups)
+    assert len(seen) == 1 and "digest#" in seen[0] and not re.search(r"premise|hypothesis|_prompt", seen[0])
 
 
 def test_only_new_requests_are_asked(spark, tmp_dir, log):
@@ -125,9 +125,22 @@ def test_the_earliest_answer_counts(spark, tmp_dir, monkeypatch):
     for at, answer in ((5, "late"), (3, "first"), (9, "last")):
         monkeypatch.setattr(A.time, "time_ns", lambda at=at: at)
         store.add(asked.withColumn("raw_answer", F.lit(answer)), "raw_answer")
-    got = store.answered(asked, "raw_answer").collect()
+    got = store.look_up(asked, 3, "raw_answer").collect()
     assert sorted((r.model or "", r.raw_answer) for r in got) == [("", "first"), ("", "first"), ("a", "first")]
-    assert store.unanswered(asked).count() == 0 and store.unanswered(asked_of(spark, [("b", "t")])).count() == 1
+    assert all(r.known for r in got)
+    assert [tuple(r)[2:] for r in store.look_up(asked_of(spark, [("b", "t")]), 1, "raw_answer").collect()] == [(None, False)]
+
+
+def test_prompt_types_of_one_template_ask_once(spark, tmp_dir, log):
+    from dataclasses import replace
+    cfg = fx.fixture_config()
+    types = cfg.prompt_types("binary")
+    cfg.prompts["binary"]["nli-few"] = replace(cfg.prompts["binary"]["nli-few"], prefix=cfg.prompts["binary"]["nli-zero"].prefix)
+    for _ in range(2):
+        pr = predictions(pairs_of(spark, range(5)), counting(log), cfg, [fx.STUB_MODEL], store=f"{tmp_dir}/store", unknown="keep")
+        got = {(r.pair_id, r.prompt_type): r.raw_answer for r in pr.collect()}
+        assert len(got) == 5 * len(types) and None not in got.values()
+        assert all(got[i, "nli-few"] == got[i, "nli-zero"] for i in range(5)) and calls(log) == 5 * (len(types) - 1)
 
 
 def test_an_unreadable_store_is_an_error(spark, tmp_dir):
