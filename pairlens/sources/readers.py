@@ -42,22 +42,50 @@ def format_of(path: str, fmt: str | None = None) -> str:
     raise ValueError(f"cannot tell the format of {path!r} from its suffix; pass fmt=")
 
 
-def read_json_records(spark: SparkSession, path: str, schema) -> DataFrame:
-    """SRC-2: one JSON document holding a list of records.
-
-    A column-oriented document (``{"premise": {"0": ...}, ...}``, what
-    pandas writes by default) would silently read as a single row of JSON
-    text; every file's first non-blank character is looked at, and one such
-    file is an error."""
-    mark = F.substring(F.ltrim(F.translate(F.col("value"), "\t\r", "  ")), 1, 1)
-    first = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-                                          F.monotonically_increasing_id().alias("n"), mark.alias("c"))
-             .filter("c <> ''").groupBy("file").agg(F.min_by("c", F.struct("at", "n")).alias("c")))
-    bad = first.filter("c = '{'").select("file").limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0].file}: column-oriented JSON is not a list of records; "
-                         "write it with orient='records' or as JSON Lines")
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_json_records(spark: SparkSession, path: str, schema, order_col: str | None = None) -> DataFrame:
+    """SRC-2: JSON documents in either layout that data frames are written in:
+    a list of records, or columns (``{"premise": {"0": ...}, ...}``: row key to
+    value; also plain lists of values). Files of both layouts may lie in one
+    folder, and each is read once: every wanted field is parsed as a variant,
+    whose type tells a value from a whole column.
+
+    A document is one of columns if all its wanted fields of atomic type hold
+    objects or lists (in a list of records those would be of the wrong type).
+    Its columns are zipped by key; a row has every key that some wanted column
+    has, and is NULL in the others, as a record is for a key it lacks. Rows
+    whose keys number them from 0 come in that order, others by key as text."""
+    want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    raw = T.StructType([T.StructField(f.name, T.VariantType()) for f in want.fields])
+    docs = spark.read.schema(raw).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    nested = (T.StructType, T.MapType, T.ArrayType)
+    cell = {f.name: f"`{f.name}`" for f in want.fields}
+    by_key = "try_variant_get({0}, '$', 'map<string,variant>')"
+    by_place = "map_from_entries(transform(try_variant_get({0}, '$', 'array<variant>'), (x, i) -> struct(cast(i AS string), x)))"
+    column = {n: f"coalesce({by_key.format(c)}, {by_place.format(c)})" for n, c in cell.items()}
+    tested = [f.name for f in want.fields if not isinstance(f.dataType, nested)]
+    missing = {n: f"({cell[n]} IS NULL OR is_variant_null({cell[n]}))" for n in tested}
+    is_columns = " AND ".join([f"({missing[n]} OR {column[n]} IS NOT NULL)" for n in tested]
+                              + ["(" + " OR ".join(f"NOT {missing[n]}" for n in tested) + ")"]) if tested else "false"
+    # key -> the row's cells, one column after the other
+    names = want.names
+    rows = f"transform_values(coalesce({column[names[0]]}, map()), (k, v) -> struct(v AS c0))"
+    for i, n in enumerate(names[1:], 1):
+        cells = ", ".join(f"r.c{j} AS c{j}" for j in range(i))
+        rows = f"map_zip_with({rows}, coalesce({column[n]}, map()), (k, r, v) -> struct({cells}, v AS c{i}))"
+    numbers = "transform(map_keys(_rows), k -> try_cast(k AS bigint))"
+    numbered = (f"array_min({numbers}) = 0 AND array_max({numbers}) = cardinality(_rows) - 1 "
+                f"AND NOT exists({numbers}, k -> k IS NULL)")
+    record = "struct(" + ", ".join(f"{cell[n]} AS c{i}" for i, n in enumerate(names)) + ")"
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    split = placed.withColumn("_rows", F.expr(f"CASE WHEN {is_columns} THEN {rows} END")).withColumn(
+        "_numbered", F.expr(numbered))
+    one = F.expr(f"array(struct(cast(null AS string) AS key, {record} AS value))")
+    out = split.select("_file", "_block", "_numbered", F.posexplode(F.coalesce(F.map_entries("_rows"), one)).alias("_i", "_e"))
+    values = [F.expr(f"variant_get(_e.value.c{i}, '$', '{f.dataType.simpleString()}')").alias(f.name) for i, f in enumerate(want.fields)]
+    if order_col is None:
+        return out.select(*values)
+    nr = F.when(F.col("_numbered"), F.col("_e.key").cast("bigint")).when(F.col("_numbered").isNotNull(), F.col("_i"))
+    return with_row_order(out.select(*values, "_file", "_block", nr.cast("bigint").alias("_nr")), order_col)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -122,8 +150,10 @@ def load_dataset(spark: SparkSession, path: str, schema, fmt: str | None = None,
     ``multiline=False``: no field of a delimited file holds a line break.
     ``order_col`` adds the row's number in file order (before the filter)."""
     kind = format_of(path, fmt)
-    if kind in ("json", "jsonl"):
-        df = read_json_records(spark, path, schema) if kind == "json" else read_json_lines(spark, path, schema)
+    if kind == "json":
+        df = read_json_records(spark, path, schema, order_col)
+    elif kind == "jsonl":
+        df = read_json_lines(spark, path, schema)
         if order_col:
             df = with_row_order(df, order_col)
     else:
@@ -147,16 +177,19 @@ def with_row_order(df: DataFrame, col: str = "row_ord") -> DataFrame:
     so a row's number is its place in the block plus the rows of all blocks
     before. Only one row per block is aggregated and summed; data rows are
     neither sorted nor shuffled."""
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                       F.col("_metadata.file_block_start").alias("_block"),
-                       F.monotonically_increasing_id().alias("_pos"))
+    if "_file" in df.columns:       # a reader's own note of where a row comes from, and of its place in a document
+        placed = df.withColumn("_pos", F.monotonically_increasing_id())
+    else:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                           F.lit(None).cast("bigint").alias("_nr"), F.monotonically_increasing_id().alias("_pos"))
     blocks = placed.groupBy("_file", "_block").agg(F.min("_pos").alias("_at"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_at")).alias("_off"))
+    blocks = blocks.select("_file", "_block", "_at", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_at")).alias("_off"))
     if blocks.count() <= MAX_BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
-    return (placed.join(blocks, ["_file", "_block"]).withColumn(col, F.col("_pos") + F.col("_off"))
-            .drop("_file", "_block", "_pos", "_off"))
+    place = F.coalesce(F.col("_at") + F.col("_nr"), F.col("_pos"))
+    return (placed.join(blocks, ["_file", "_block"]).withColumn(col, place + F.col("_off"))
+            .drop("_file", "_block", "_pos", "_off", "_at", "_nr"))
 
 
 def read_versions(spark: SparkSession, original: DataFrame | None, paraphrase: DataFrame | None) -> DataFrame:

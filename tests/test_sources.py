@@ -129,12 +129,44 @@ def test_config_reader(spark, tmp_dir):
     assert set(d.prompt_types("binary")) == {"nli-zero", "nli-few", "qa-zero-ent", "qa-few-ent", "chain"}
 
 
-def test_column_oriented_json_is_rejected(spark, tmp_dir):
+def test_both_json_layouts_load_alike(spark, tmp_dir):
+    """pandas writes columns by default, records on demand; both give the same rows."""
+    import pandas as pd
+    pdf = pd.DataFrame({"premise": ["a", None, '{"0": "x"}', "é\n"] * 6, "hypothesis": ["1", "[2]", "", "z"] * 6,
+                        "n": list(range(24)), "other": ["-"] * 24})
+    schema = "premise string, hypothesis string, n bigint, absent string"
+    want = [tuple(None if v is None else v for v in r) + (None, i) for i, r in
+            enumerate(pdf[["premise", "hypothesis", "n"]].itertuples(index=False, name=None))]
+    for name, options in (("columns", {}), ("records", {"orient": "records"}), ("one", {"orient": "records"})):
+        path = os.path.join(tmp_dir, f"{name}.json")
+        (pdf.head(1) if name == "one" else pdf).to_json(path, **options)
+        got = R.load_dataset(spark, path, schema, order_col="nr").orderBy("nr").collect()
+        assert [tuple(r) for r in got] == (want[:1] if name == "one" else want), name
+    lists = os.path.join(tmp_dir, "lists.json")
+    with open(lists, "w") as f:
+        json.dump(pdf.to_dict("list"), f)
+    assert [tuple(r) for r in R.load_dataset(spark, lists, schema, order_col="nr").orderBy("nr").collect()] == want
+    # a folder of both, read in one scan
+    both = os.path.join(tmp_dir, "both.json")
+    os.makedirs(both)
+    pdf.head(10).to_json(os.path.join(both, "a.json"))
+    pdf.tail(14).to_json(os.path.join(both, "b.json"), orient="records")
+    df = R.load_dataset(spark, both, schema, order_col="nr")
+    assert [tuple(r) for r in df.orderBy("nr").collect()] == want
+    assert R.load_dataset(spark, both, schema)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_column_layout_with_uneven_columns(spark, tmp_dir):
     p = os.path.join(tmp_dir, "cols.json")
     with open(p, "w") as f:
-        json.dump({"premise": {"0": "a", "1": "b"}, "hypothesis": {"0": "c", "1": "d"}}, f)
-    with pytest.raises(ValueError, match="column-oriented"):
-        R.load_dataset(spark, p, "premise string, hypothesis string")
+        json.dump({"premise": {"x": "a", "y": "b"}, "hypothesis": {"y": "d", "z": None, "w": "e"}}, f)
+    got = R.load_dataset(spark, p, PAIR, order_col="nr").collect()
+    assert sorted(map(repr, (tuple(r)[:2] for r in got))) == sorted(map(repr, [("a", None), ("b", "d"), (None, None), (None, "e")]))
+    assert sorted(r.nr for r in got) == [0, 1, 2, 3]
+    with open(p, "w") as f:
+        json.dump({"premise": {"0": "a"}, "n": {"0": "seven"}}, f)
+    with pytest.raises(Exception):
+        R.load_dataset(spark, p, "premise string, n bigint").collect()
 
 
 def test_json_records_in_many_files(spark, tmp_dir):
@@ -147,11 +179,11 @@ def test_json_records_in_many_files(spark, tmp_dir):
         with open(os.path.join(d, name), encoding="utf-8") as f:
             assert len(json.load(f)) <= 5
     assert sorted(tuple(r) for r in R.load_dataset(spark, d, PAIR).collect()) == sorted(rows)
-    # one column-oriented file among many is found
+    # a file of columns among many
     with open(os.path.join(d, "part-z.json"), "w") as f:
         f.write('\n \t\n{"premise": {"0": "a"}, "hypothesis": {"0": "c"}}')
-    with pytest.raises(ValueError, match="part-z.json: column-oriented"):
-        R.load_dataset(spark, d, PAIR)
+    assert sorted(tuple(r) for r in R.load_dataset(spark, d, PAIR).collect() if r.hypothesis) == sorted(
+        [r for r in rows if r[1]] + [("a", "c")])
 
 
 def test_row_order_across_files_and_splits(spark, tmp_dir):
