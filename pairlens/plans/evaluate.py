@@ -178,7 +178,7 @@ def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, mode
     ``unknown="keep"``."""
     from ..operators.checks import check_conservation, observed_count
     from ..session import materialize
-    from ..sources.sinks import run_exists, unique_run, write_predictions
+    from ..sources.sinks import read_predictions, run_exists, unique_run, write_predictions
 
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
@@ -200,8 +200,6 @@ def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, mode
     if missing > max_missing:
         raise ValueError(f"{missing} of {n_pred} predictions have no answer (allowed: {max_missing})")
     write_predictions(pred, out_path, run_id=run_id)
-    # read back with the written schema: partition values keep their types
-    schema = pred.schema.add("run_id", "string")
-    stored = pred.sparkSession.read.schema(schema).parquet(out_path).filter(F.col("run_id") == run_id)
+    stored = read_predictions(pred.sparkSession, out_path, run_id, pred.schema)
     keys = [c for c in by if c in stored.columns]
     return accuracy(stored, [*keys, "model", "prompt_type"])
