@@ -65,6 +65,18 @@ def binary_list(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def slices(texts: list[bytes], limit: int):
+    """Ranges of neighbouring texts of at most ``limit`` bytes, or one longer text."""
+    lo, n = 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and n + len(t) > limit:
+            yield lo, i
+            lo, n = i, 0
+        n += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema, rows: int = 256) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows: ``fn`` gets the
     columns as Arrow arrays and returns the columns of ``schema``."""

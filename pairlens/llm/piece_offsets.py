@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ._common import binary_list
+from ._common import binary_list, slices
 
 SPACE, META = 0x20, "▁".encode()
 #: Characters of a unit that is merged among others; longer ones are cut or go through a heap.
@@ -472,18 +472,6 @@ OUTPUTS = {"ids": "array<int>", "begins": "array<bigint>", "ends": "array<bigint
            "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string", "spans_crc32": "bigint"}
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES):
-    """Ranges of neighbouring texts of at most ``limit`` bytes, or one longer text."""
-    lo, n = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and n + len(t) > limit:
-            yield lo, i
-            lo, n = i, 0
-        n += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def encode(df: DataFrame, text_col: str = "text", model: str | None = None,
            outputs: tuple[str, ...] = ("ids", "begins", "ends")) -> DataFrame:
     """Add the ``outputs`` (names of ``OUTPUTS``) to every row: ids, the byte
@@ -523,7 +511,7 @@ def encode(df: DataFrame, text_col: str = "text", model: str | None = None,
             for lo in range(0, b.num_rows, 4096):
                 rows = b.slice(lo, 4096)
                 texts = [t or b"" for t in binary_list(rows.column(at))]
-                for i, j in slices(texts):
+                for i, j in slices(texts, SLICE_BYTES):
                     got = part(m, texts[i:j])
                     yield pa.RecordBatch.from_arrays(
                         [*rows.slice(i, j - i).columns, *(got[n] for n in outputs)], schema=target)

@@ -31,37 +31,57 @@ writes no shard; other columns of the input are not carried.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ._common import binary_list
+from ._common import binary_list, slices
 
 END_ID = 1
 BARRIER = 0xFFFFFFFF
 #: Shards whose offsets may be broadcast (24 bytes each); beyond, they are joined by shuffle.
 MAX_BROADCAST_SHARDS = 100_000
+#: Bytes of text whose words are looked up together (a longer text is a slice of its own).
+SLICE_BYTES = 8 << 20
 _BUCKETS = 18           # bits of the pair-count table
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 #: A capital before a character from U+0300 on, with which NFC could compose it (no character below U+0300 combines).
 _MAY_COMPOSE = re.compile(rb"[A-Z][\xcc-\xff]")
 
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True      # what ``bytes.split`` splits on
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ids_of_words(spec: dict) -> bool:
+    """Whether a text's ids are those of its words: the normaliser composes,
+    folds white space and lower-cases, and only pieces without white space
+    reach the model."""
+    steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    pattern = first.get("pattern", {}).get("Regex", "") if first.get("type") == "Split" else ""
+    return (steps == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1].get("content") == " "
+            and first.get("behavior") == "Removed" and first.get("invert") is True
+            and not any(regex.fullmatch(pattern, w) for w in (" ", "a b", "a ", " a", "\t", "1 2", ". ."))
+            and not any(a["normalized"] or a["lstrip"] or a["rstrip"] for a in spec.get("added_tokens", [])))
+
+
 class WordCachedEncoder:
-    """Encodes texts with a tokenizer that lower-cases, drops white space, and
-    keeps letters and punctuation apart: a text's ids are those of its words,
+    """Encodes texts. Where the tokenizer lower-cases, drops white space, and
+    keeps letters and punctuation apart (checked in its file), a text's ids are those of its words,
     so words met lately need no second encoding. Ids are kept packed (about
     200 bytes a word); of two generations of words the older goes when the
     younger is full."""
@@ -73,8 +93,10 @@ class WordCachedEncoder:
         self.tok.no_padding()
         self.terminals = self.tok.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("u2" if self.terminals <= 1 << 16 else "u4")
+        special = [(t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special]
+        self.by_word = bool(special) and _ids_of_words(json.loads(self.tok.to_str()))
         #: a special token that parts the words of one call, and its id
-        self.part, self.part_id = max((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special)
+        self.part, self.part_id = max(special, default=("", -1))
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.limit = cache_words // 2
@@ -96,23 +118,44 @@ class WordCachedEncoder:
         return [out[w] for w in new]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each UTF-8 text."""
+        """The ids of each UTF-8 text: texts are cut into words behind each
+        other, each distinct word is looked up once, and its ids are copied to
+        all its places. A tokenizer of another kind encodes whole texts."""
+        if not self.by_word:
+            whole = self.tok.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, self.kind) for e in whole]
         # lower-casing could make a special token of a word with "<|"; a capital and a mark must
         # meet NFC before they are lower-cased, as some have a composed form in one case only
         kept = [b"<|" in t or not t.isascii() and _MAY_COMPOSE.search(t) for t in texts]
-        split = [(t if k else t.lower()).split() for t, k in zip(texts, kept)]
-        missing = set(chain.from_iterable(split)).difference(self.young)
+        buf = np.frombuffer(b" ".join(t if k else t.lower() for t, k in zip(texts, kept)) + b" ", np.uint8)
+        in_word = ~_WHITE[buf]
+        start = np.flatnonzero(in_word & ~np.concatenate([[False], in_word[:-1]]))
+        size = np.flatnonzero(~in_word & np.concatenate([[False], in_word[:-1]])) - start
+        if not len(start):
+            return [np.empty(0, self.kind) for _ in texts]
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), [
+            None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(buf[in_word])]).dictionary_encode()
+        cells = self._known(words.dictionary.to_pylist())
+        n = np.fromiter(map(len, cells), np.int64, len(cells)) // self.kind.itemsize
+        flat, code = np.frombuffer(b"".join(cells), self.kind), words.indices.to_numpy()
+        many = n[code]
+        total = np.cumsum(many)
+        ids = flat[np.repeat((np.cumsum(n) - n)[code] - (total - many), many) + np.arange(int(total[-1]))]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.append(0, total)[np.searchsorted(start, ends)]
+        return np.split(ids, cuts[:-1])
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct words, encoding those not met lately."""
+        missing = [w for w in words if w not in self.young]
         if len(self.young) + len(missing) > self.limit:
-            missing = set(chain.from_iterable(split))
-            self.old, self.young = self.young, {}
+            missing, self.old, self.young = words, self.young, {}
         young, old = self.young, self.old
         if old:
-            known = {w for w in missing if w in old}
-            young.update(zip(known, map(old.__getitem__, known)))
-            missing -= known
-        new = list(missing)
-        young.update(zip(new, self._encode_new(new)))
-        return [np.frombuffer(b"".join(map(young.__getitem__, ws)), self.kind) for ws in split]
+            young.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in old]
+        young.update(zip(missing, self._encode_new(missing)))
+        return list(map(young.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=2)
@@ -136,7 +179,9 @@ def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8
         table = np.bincount(slot, minlength=1 << _BUCKETS)
         size = table[slot]
         # a pair is in a slot that counts as much at least; the fullest slots go first, all of min_count if they hold none
-        for low in (int(np.partition(table, -per_round)[-per_round]), min_count):
+        full = table[table >= min_count]
+        most = int(np.partition(full, -per_round)[-per_round]) if len(full) > per_round else min_count
+        for low in (most, min_count):
             some = np.flatnonzero(size >= max(low, min_count))
             key = (left[some].astype(np.uint64) << np.uint64(32)) | right[some]
             pairs, counts = np.unique(key, return_counts=True)
@@ -185,28 +230,41 @@ def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8
     return np.array(rules, np.uint32).reshape(-1, 2), seq
 
 
+def rule_lengths(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that each rule stands for, and its level (1: of two terminals)."""
+    length, level = [], []
+    for a, b in rules.tolist():
+        na, la = (length[a - base], level[a - base]) if a >= base else (1, 0)
+        nb, lb = (length[b - base], level[b - base]) if b >= base else (1, 0)
+        length.append(na + nb)
+        level.append(1 + max(la, lb))
+    return np.array(length, np.int64), np.array(level, np.int64)
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(flat, offset, length): the ids of symbol s are flat[offset[s]:][:length[s]]."""
-    n = base + len(rules)
-    offset, length = np.arange(n), np.ones(n, np.int64)
-    got: list[np.ndarray] = []
-    at = base
-    own: dict[int, np.ndarray] = {}
-    for i, (a, b) in enumerate(rules.tolist()):
-        e = np.concatenate([own[x] if x >= base else np.array([x], np.uint32) for x in (a, b)])
-        own[base + i] = e
-        got.append(e)
-        offset[base + i], length[base + i] = at, len(e)
-        at += len(e)
-    return np.concatenate([np.arange(base, dtype=np.uint32), *got]), offset, length
+    """(flat, offset, length): the ids of symbol s are flat[offset[s]:][:length[s]].
+    Rules are written out level by level, all rules of a level at once."""
+    own, level = rule_lengths(rules, base)
+    length = np.concatenate([np.ones(base, np.int64), own])
+    offset = np.cumsum(length) - length
+    flat = np.empty(int(length.sum()), np.uint32)
+    flat[:base] = np.arange(base, dtype=np.uint32)
+    for depth in range(1, int(level.max(initial=0)) + 1):
+        at = np.flatnonzero(level == depth)
+        parts = rules[at].astype(np.int64).ravel()
+        flat[_ranges(offset[base + at], own[at])] = flat[_ranges(offset[parts], length[parts])]
+    return flat, offset, length
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (n[0] places), then begin[1], ..."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The ids of a sequence of symbols."""
     flat, offset, length = table
-    n = length[symbols]
-    begin = np.cumsum(n) - n
-    return flat[np.repeat(offset[symbols] - begin, n) + np.arange(int(n.sum()))]
+    return flat[_ranges(offset[symbols], length[symbols])]
 
 
 SHARD_FIELDS = ("base bigint, n_tokens bigint, rules binary, rule_lengths binary, width int, "
@@ -222,7 +280,7 @@ def pack_shard(docs: list[np.ndarray], base: int, **repair_options) -> dict:
     rules, seq = repair(ids, base, **repair_options)
     ends = np.flatnonzero(seq == BARRIER)
     seq[ends] = [d[-1] for d in docs]
-    length = expansions(rules, base)[2][base:]
+    length, _ = rule_lengths(rules, base)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     return {"base": base, "n_tokens": len(ids), "rules": rules.astype("<u4").tobytes(),
             "rule_lengths": length.astype("<u4").tobytes(), "width": width,
@@ -268,10 +326,9 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
             return pa.RecordBatch.from_pylist([row], schema=target)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                cut = b.slice(lo, 256)
-                texts = [t or b"" for t in binary_list(cut.column(1))]
-                for d, got in zip(cut.column(0).to_pylist(), enc.encode(texts)):
+            names, texts = b.column(0).to_pylist(), [t or b"" for t in binary_list(b.column(1))]
+            for lo, hi in slices(texts, SLICE_BYTES):
+                for d, got in zip(names[lo:hi], enc.encode(texts[lo:hi])):
                     if docs and n + len(got) + 1 > shard_tokens:
                         yield flush()
                         docs, ids, n, shard = [], [], 0, shard + 1

@@ -360,3 +360,24 @@ def test_ledger_policies_and_ablation(spark):
     total = quality_rules.profile(led).collect()[0]
     assert total["any_failed"] == int(np.bitwise_or.reduce(masks)) and total["n_failures"] == sum(bin(m).count("1") for m in masks)
     assert json.dumps(quality_rules.WEB.version) == "1"
+
+
+def test_a_tokenizer_that_keeps_white_space_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, lib = token_files.WordCachedEncoder(path), Tokenizer.from_file(path)
+    assert not enc.by_word and token_files.load_encoder(token_files.default_tokenizer()).by_word
+    texts = ["Two  words\n", "", " A b", "naïve"]
+    assert [g.tolist() for g in enc.encode([t.encode() for t in texts])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rules_are_written_out_level_by_level():
+    rules = np.array([(3, 4), (10, 5), (11, 11), (12, 10), (12, 13)], np.uint32)
+    flat, offset, length = token_files.expansions(rules, 10)
+    got = [flat[offset[s]:offset[s] + length[s]].tolist() for s in range(15)]
+    want = [[i] for i in range(10)]
+    for a, b in rules.tolist():
+        want.append(want[a] + want[b])
+    assert got == want
+    assert token_files.rule_lengths(rules, 10)[0].tolist() == [len(w) for w in want[10:]]
