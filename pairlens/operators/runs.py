@@ -6,19 +6,24 @@ otherwise it repeats the previous answer.
 
 A single global ``Window.orderBy`` would put the whole table in one task, and
 ``partitionBy(dataset)`` one task per dataset (one dataset may hold a third
-of all rows). Instead rows are cut into *buckets* of consecutive order
-values (``order >> bucket_bits``); every bucket holds at most
-``2**bucket_bits`` values of the first order column, so each window task is
-bounded by the rows of that many values. Where one value may have many rows
+of all rows). :func:`mark_runs_by_range` deals the rows to ranges of the whole
+order tuple instead, whatever its types are: a value of the first order column
+that many rows share is split by the columns after it. Each range is walked
+once in order and written down; a summary of one row per (partition columns,
+range) carries the last value and the number of runs over from range to range,
+so a range's first row knows whether it goes on with the run before. Answers
+are fetched once per run head and joined back on (range, run): a run spanning
+many ranges is fanned out once per range, so no join key is hot.
+
+:func:`mark_runs` does the same without sampling for integral order columns:
+rows are cut into *buckets* of consecutive order values
+(``order >> bucket_bits``); every bucket holds at most ``2**bucket_bits``
+values of the first order column. Where one value may have many rows
 and the second order column numbers them, ``sub_bits`` cuts buckets by both
-columns: one value and at most ``2**sub_bits`` numbers each. A bucket's
-first row is compared with the last row of the nearest non-empty earlier
-bucket, taken from a per-bucket summary (one row per bucket), and run
-numbers are offset by a running sum over that summary. The summary is
-scanned the same way, in blocks of buckets, so the only window over a
-whole dataset sees one row per block (``n / 2**(2*bucket_bits)`` rows). Answers are fetched
-once per run head and joined back on (bucket, run): a run spanning many
-buckets is fanned out once per bucket, so no join key is hot.
+columns. A bucket's first row is compared with the last row of the nearest
+non-empty earlier bucket, taken from a per-bucket summary, and run
+numbers are offset by a running sum over that summary, scanned in blocks of
+buckets, so the only window over a whole dataset sees one row per block.
 
 Null rule: a missing value never equals its predecessor (Python's
 NaN != NaN), so each missing value starts its own run.
@@ -28,8 +33,13 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .generate import answer_requests
 
@@ -163,10 +173,76 @@ def mark_runs(df: DataFrame, order_cols: list[str], value_col: str,
     return marked, summary
 
 
+def _walk(names: list[str], P: list[str], value: str, schema: pa.Schema):
+    """Walk a range in order: place, whether a row differs from the one before
+    (NULL on the first row of a partition column's rows) and the runs begun
+    since that first row."""
+    def run(batches):
+        from pyspark import TaskContext
+        part, place, count, last = TaskContext.get().partitionId(), 0, 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            def changed(name):
+                now = b.column(names.index(name))
+                before = pa.concat_arrays([now.slice(0, 1) if last is None else last.column(names.index(name)), now.slice(0, len(now) - 1)])
+                return ~pc.fill_null(pc.equal(now, before), False).to_numpy(zero_copy_only=False)
+            first = np.zeros(b.num_rows, bool)
+            for p in P:
+                first |= changed(p)
+            first[0] |= last is None
+            new = changed(value)
+            begun = np.cumsum(new & ~first)
+            at = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+            k = begun - np.where(at >= 0, begun[at], -count)
+            keep = [names.index(f) for f in schema.names[:-4]]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(np.full(len(k), part), pa.int32()),
+                                              pa.array(place + np.arange(len(k)), pa.int64()),
+                                              pa.array(new, pa.bool_(), mask=first), pa.array(k, pa.int64())], schema=schema)
+            place, count, last = place + len(k), int(k[-1]), b.slice(len(k) - 1)
+    return run
+
+
+def mark_runs_by_range(df: DataFrame, order_cols: list[str], value_col: str,
+                       partition_cols: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Add ``is_new`` (run head) and ``run_no`` (1-based within the partition
+    columns) to ``df``, for order columns of any type that sorts; together
+    they must be unique within a partition. ``_part`` is the row's range and
+    ``_part_first`` says that it is the first there. The result is written
+    down: sampled ranges are the same for all that read it."""
+    from ..session import materialize
+    P, O = list(partition_cols or []), list(order_cols)
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = _require_keys(df, [*P, *O[:1]])
+    atomic = not isinstance(df.schema[value_col].dataType, (T.StructType, T.ArrayType, T.MapType))
+    x = x.withColumn("_v", F.col(value_col) if atomic else F.to_json(F.struct(value_col)))
+    x = x.repartitionByRange(n, *P, *O).sortWithinPartitions(*P, *O)
+    out = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType()),
+                        T.StructField("_inner_new", T.BooleanType()), T.StructField("_k", T.LongType())])
+    walked = materialize(x.mapInArrow(_walk(x.columns, P, "_v", to_arrow_schema(out)), out), "ranges")
+    # one row a range and partition: its last row's place, its first and last value, the runs begun inside
+    ends = walked.groupBy(*P, "_part").agg(F.max("_at").alias("_at"), F.max("_k").alias("_inner"))
+    value = F.struct(F.col(value_col).alias("v"))
+    last = walked.select(*P, "_part", "_at", value.alias("_last")).join(ends, [*P, "_part", "_at"])
+    firsts = walked.filter("_inner_new IS NULL").select(*P, "_part", value.alias("_first"))
+    parts = firsts.join(last.drop("_at"), [*P, "_part"])
+    w = Window.partitionBy(*P).orderBy("_part")
+    before = F.lag("_last").over(w)
+    parts = parts.withColumn("_first_new", F.when(before.isNull(), True).otherwise(_differs(F.col("_first.v"), before["v"])))
+    heads = F.col("_inner") + F.col("_first_new").cast("bigint")
+    parts = materialize(parts.select(*P, "_part", "_first_new", F.coalesce(F.sum(heads).over(
+        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset")), "range-summary")
+    got = walked.join(parts, [*P, "_part"])
+    return (got.withColumn("is_new", F.coalesce("_inner_new", "_first_new"))
+            .withColumn("run_no", F.col("_offset") + F.col("_first_new").cast("bigint") + F.col("_k"))
+            .withColumn("_part_first", F.col("_inner_new").isNull())
+            .drop("_at", "_inner_new", "_k", "_first_new", "_offset"))
+
+
 def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], value_col: str,
                       prompt: Column, model: str | None = None,
                       partition_cols: list[str] | None = None, answer_col: str = "raw_answer",
-                      bucket_bits: int = 16, materialize: bool = True,
+                      bucket_bits: int | None = None, materialize: bool = True,
                       batch_size: int | None = None, partitions: int | None = None,
                       sub_bits: int | None = None) -> DataFrame:
     """Call the generator once per run of consecutive equal ``value_col`` and
@@ -175,16 +251,22 @@ def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], v
     GEN-2: ``value_col`` is the sentence; GEN-3: a supplied id column (the
     prompt is still rendered from the head row's sentence).
 
-    ``materialize``: the marked rows feed three branches (requests, bucket
-    fan-out, final join) that prune different columns, so Spark cannot reuse
-    one exchange for them; writing them once as Parquet into the shared
-    folder computes the windows once, cuts the lineage, and lets each branch
-    read only its columns."""
+    Order columns may be of any type that sorts. ``bucket_bits`` (and
+    ``sub_bits``) cut rows of integral order columns by their values instead
+    of by sampled ranges, see :func:`mark_runs`; ``materialize`` then writes
+    the marked rows once as Parquet into the shared folder, as the ranges are
+    always: three branches (requests, fan-out, final join) read them, pruned
+    to different columns."""
     P = list(partition_cols or [])
-    marked, _ = mark_runs(df, order_cols, value_col, P, bucket_bits, keep_bucket=True, sub_bits=sub_bits)
-    if materialize:
-        from ..session import materialize as write_back
-        marked = write_back(marked, "runs")
+    if bucket_bits is None and sub_bits is None:
+        marked = mark_runs_by_range(df, order_cols, value_col, P) \
+            .withColumnsRenamed({"_part": B, "_part_first": "_bucket_first"})
+    else:
+        marked, _ = mark_runs(df, order_cols, value_col, P, 16 if bucket_bits is None else bucket_bits, keep_bucket=True,
+                              sub_bits=sub_bits)
+        if materialize:
+            from ..session import materialize as write_back
+            marked = write_back(marked, "runs")
     # the prompt is rendered from the stored inputs, for run heads only
     heads = marked.filter(F.col("is_new")).select(*P, "run_no", F.lit(model).alias("model"),
                                                   prompt.alias("prompt"))
@@ -194,7 +276,7 @@ def reuse_consecutive(df: DataFrame, factory: Callable, order_cols: list[str], v
         .select(*P, "run_no", answer_col)
     unasked = heads.filter(F.col("prompt").isNull()).select(*P, "run_no", F.lit(None).cast("string").alias(answer_col))
     answered = answered.unionByName(unasked)
-    # buckets each run touches: its head's bucket, plus every later bucket
+    # buckets (or ranges) each run touches: its head's bucket, plus every later bucket
     # whose first row continues it (carried in from an earlier bucket); a
     # (bucket, run) pair occurs once, so no dedupe is needed
     fan = marked.filter(F.col("is_new") | F.col("_bucket_first")).select(*P, B, "run_no")

@@ -25,7 +25,7 @@ def paraphrase_pairs(pairs: DataFrame, factory: Callable, model: str, side,
                      order_cols: list[str] | None = None,
                      partition_cols: list[str] | None = None,
                      materialize: bool = True, batch_size: int | None = None,
-                     partitions: int | None = None, bucket_bits: int = 16, sub_bits: int | None = None) -> DataFrame:
+                     partitions: int | None = None, bucket_bits: int | None = None, sub_bits: int | None = None) -> DataFrame:
     """Rewrite the premise (``side='p'``) or hypothesis (``'h'``) of every pair;
     ``side`` may also be a column holding 'p' or 'h' per row.
 

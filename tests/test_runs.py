@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.operators.runs import mark_runs, reuse_consecutive
+from pairlens.operators.runs import mark_runs, mark_runs_by_range, reuse_consecutive
 from pyoracle import runs
 
 
@@ -99,3 +99,42 @@ def test_sub_buckets_bound_the_rows_of_one_value(spark):
         assert r.raw_answer == (None if heads[r.o] is None else f"<{heads[r.o]}>")
     with pytest.raises(Exception, match="out of range"):
         mark_runs(spark.createDataFrame([(1, -1, "a")], "o long, k long, v string"), ["o", "k"], "v", sub_bits=3)[0].collect()
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "double", "date"])
+def test_any_order_key_matches_the_loop(spark, kind):
+    rng = random.Random(kind)
+    rows = [(ds, f"2024-0{1 + i // 28}-{1 + i % 28:02d}", k, rng.choice(["x", "x", "y", None])) for ds in ("d1", "d2")
+            for i in range(0, 50, rng.choice([1, 2])) for k in ("a", "b", "ç")]
+    df = spark.createDataFrame(rows, "ds string, d string, k string, v string")
+    key = {"string": F.concat(F.col("d"), F.lit("-é")), "timestamp": F.to_timestamp("d"), "date": F.to_date("d"),
+           "double": F.unix_timestamp(F.to_timestamp("d")) / 7.0}[kind]
+    marked = mark_runs_by_range(df.withColumn("o", key).repartition(5), ["o", "k"], "v", ["ds"], ranges=9)
+    assert marked.select("_part").distinct().count() > 5
+    got = {(r.ds, r.d, r.k): (r.is_new, r.run_no) for r in marked.collect()}
+    for ds in ("d1", "d2"):
+        sub = sorted(r for r in rows if r[0] == ds)
+        assert [got[r[:3]] for r in sub] == runs([r[3] for r in sub])
+
+
+def test_one_order_value_with_a_third_of_all_rows_is_split(spark):
+    rows = [("hot" if i % 3 == 0 else f"k{i:05d}", i, "same" if i % 3 == 0 else str(i // 30)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "o string, n long, v string")
+    marked = mark_runs_by_range(df, ["o", "n"], "v", ranges=20)
+    sizes = {r._part: r["count"] for r in marked.groupBy("_part").count().collect()}
+    assert len(sizes) >= 15 and max(sizes.values()) < 900       # 6000 rows in 20 ranges
+    assert marked.filter("o = 'hot'").select("_part").distinct().count() >= 4
+    got = {r.n: (r.is_new, r.run_no) for r in marked.collect()}
+    order = sorted(rows)
+    assert [got[r[1]] for r in order] == runs([r[2] for r in order])
+    out = reuse_consecutive(df, _echo, ["o", "n"], "v", F.col("v"), model="m").collect()
+    assert len(out) == 6000 and all(r.raw_answer == f"<{r.v}>" for r in out)
+
+
+def test_ranges_of_nested_values_and_empty_tables(spark):
+    df = spark.createDataFrame([(i, [i // 3, 1]) for i in range(12)], "o long, v array<long>")
+    got = {r.o: r.run_no for r in mark_runs_by_range(df, ["o"], "v", ranges=3).collect()}
+    assert got == {i: i // 3 + 1 for i in range(12)}
+    assert mark_runs_by_range(df.limit(0), ["o"], "v").count() == 0
+    with pytest.raises(Exception):
+        mark_runs_by_range(spark.createDataFrame([(None, "a")], "o string, v string"), ["o"], "v").collect()
