@@ -26,7 +26,8 @@ from ..operators.metrics import accuracy, distinct_labels
 from ..operators.runs import reuse_consecutive
 from ..sources import readers as R
 from ..sources import sinks as K
-from ..sources.config import read_config_tables
+from ..sources.class_files import read_class_files
+from ..sources.config import read_config_tables, run_table
 from ..session import materialize, new_shared_subdir
 from . import fixtures as fx
 from . import sql as S
@@ -327,11 +328,10 @@ FROM z JOIN h ON z.run_no = h.run_no"""
 
 def reuse_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-2 over real sentences: the rows of the two-choice pairs repeat their
-    premise; one call per run of equal premises, in document order. A bucket holds at
-    most 256 windows of one document; a run that crosses buckets (equal
-    premises at the end of one and the start of the next) is one run all the
-    same."""
-    c = PR.choice_to_pairs(fx.choice_rows(spark, sf_dir), keep=["rid", "win_no"])
+    premise; one call per run of equal premises, in document order. The label
+    only orders the two endings, so a document without one counts as 0."""
+    rows = fx.choice_rows(spark, sf_dir, labelled=False).withColumn("labels", F.coalesce("labels", F.lit(0)))
+    c = PR.choice_to_pairs(rows, keep=["rid", "win_no"])
     out = reuse_consecutive(c.select("rid", "win_no", "choice_no", "premise"), fx.stub_paraphraser,
                             ["rid", "win_no", "choice_no"], "premise",
                             paraphrase_prompt(F.lit(_para_prefix()), F.col("premise")),
@@ -340,7 +340,7 @@ def reuse_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reuse_sentences_sql() -> str:
-    return f"""WITH {S.LABELLED}{S.TRIPLES},
+    return f"""WITH {S.ALL_DOCUMENTS}{S.TRIPLES},
 c AS (SELECT rid, win_no, CAST(n AS BIGINT) AS choice_no, startphrase AS premise
       FROM triples CROSS JOIN range(2) AS two(n)),
 x AS (SELECT *, lag(premise) OVER o AS prev, row_number() OVER o AS rn
@@ -544,6 +544,38 @@ SELECT dataset, model, prompt_type, n_original, n_paraphrase,
 FROM agg"""
 
 
+def matched_paraphrase_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANL-4 on matched pairs: what the paraphrase did to each pair's answer.
+    An empty sentence has no paraphrase, so its pair has no partner."""
+    original = materialize(fx.pairs(spark, sf_dir), "pairs")
+    para = materialize(_paraphrased_pairs(original).filter("original_sentence <> ''"), "paraphrases")
+    pr = predictions(R.read_versions(spark, original, para), fx.stub_factory, _cfg(), [fx.STUB_MODEL], TASK, unknown="keep")
+    return A.matched_versions(pr, [*KEYS, "model", "prompt_type"], ["dataset", "model", "prompt_type"])
+
+
+def matched_paraphrase_effect_sql() -> str:
+    return f"""WITH {S.PAIRS}{_paraphrased_sql()},
+both_versions AS (SELECT dataset, pair_id, pair_no, language, premise, hypothesis, gold_label, 'original' AS text_version FROM pairs
+  UNION ALL SELECT dataset, pair_id, pair_no, language, premise, hypothesis, gold_label, 'paraphrase'
+  FROM para WHERE original_sentence <> ''),
+{_pred_sql('both_versions')},
+each AS (SELECT dataset, pair_id, pair_no, model, prompt_type, text_version,
+                coalesce(gold_label = prediction, FALSE) AS hit FROM pred),
+m AS (SELECT coalesce(o.dataset, p.dataset) AS dataset, coalesce(o.model, p.model) AS model,
+             coalesce(o.prompt_type, p.prompt_type) AS prompt_type, o.hit AS o, p.hit AS p
+      FROM (SELECT * FROM each WHERE text_version = 'original') o
+      FULL JOIN (SELECT * FROM each WHERE text_version = 'paraphrase') p
+      ON o.dataset IS NOT DISTINCT FROM p.dataset AND o.pair_id = p.pair_id AND o.pair_no = p.pair_no
+         AND o.model = p.model AND o.prompt_type = p.prompt_type)
+SELECT dataset, model, prompt_type, count(*) FILTER (o AND p) AS n_right_right, count(*) FILTER (o AND NOT p) AS n_right_wrong,
+  count(*) FILTER (NOT o AND p) AS n_wrong_right, count(*) FILTER (NOT o AND NOT p) AS n_wrong_wrong,
+  count(*) FILTER (p IS NULL) AS n_only_original, count(*) FILTER (o IS NULL) AS n_only_paraphrase,
+  CASE WHEN count(*) FILTER (o IS NOT NULL AND p IS NOT NULL) > 0 THEN
+    CAST(count(*) FILTER (NOT o AND p) - count(*) FILTER (o AND NOT p) AS DOUBLE)
+    / count(*) FILTER (o IS NOT NULL AND p IS NOT NULL) END AS matched_delta
+FROM m GROUP BY dataset, model, prompt_type"""
+
+
 def accuracy_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ANL-1 + ANL-3: accuracy per bin of ten tokens (premise + hypothesis)."""
     return A.accuracy_by_length(_pred(spark, sf_dir, features=True), ["prompt_type"], 10)
@@ -650,12 +682,7 @@ def config_tables_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     (none where the configuration plans no run)."""
     path = new_shared_subdir(spark, "config") + "/config.json"
     spark.createDataFrame([(json.dumps(_config_file()),)], "value string").write.text(path)
-    tables = read_config_tables(spark, path)
-    # one row per configured dataset, task and prompt type; models are collected within their own small table
-    models = tables["models"].agg(F.array_sort(F.collect_list("model"))).first()[0]
-    runs = (tables["datasets"].select("dataset", F.explode("prompts").alias("task"))
-            .join(tables["prompts"], "task").filter(F.col("task") == TASK)
-            .select("dataset", "prompt_type", "prefix", F.explode(F.array(*map(F.lit, models))).alias("model")))
+    runs = run_table(read_config_tables(spark, path, source=True), TASK)
     sizes = fx.pairs(spark, sf_dir, labelled=False).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_pairs"))
     return sizes.join(runs, "dataset", "left").select(
         "dataset", "prompt_type", "model", "n_pairs", (F.col("n_pairs") * F.length("prefix")).alias("prefix_chars"))
@@ -672,18 +699,17 @@ FROM sizes s LEFT JOIN runs USING (dataset)"""
 
 
 def class_files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-6 + PRE-2 from files: one headerless TSV per class, read with a
-    schema, labels restored from the file they came from."""
+    """SRC-6 + PRE-2 from files: one headerless TSV per class, all read in one
+    scan with a schema, labels restored from the file they came from."""
     base = new_shared_subdir(spark, "class-files")
     p = fx.pairs(spark, sf_dir)
-    schema = "premise string, hypothesis string"
     files = {}
     for label in PR.BINARY:
         path = f"{base}/{label}.tsv"
         K.write_tsv(p.filter(F.col("gold_label") == label).select("premise", "hypothesis"),
                     path, header=False)
-        files[label] = R.read_tsv(spark, path, schema, header=False)
-    return C.assert_domain(PR.union_class_files(files), "label", PR.BINARY)
+        files[label] = path
+    return C.assert_domain(read_class_files(spark, files, "premise string, hypothesis string"), "label", PR.BINARY)
 
 
 def class_files_round_trip_sql() -> str:
@@ -698,7 +724,7 @@ def paraphrase_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     column original_premise / original_hypothesis) and loaded back as the
     paraphrase version of configured datasets."""
     base = new_shared_subdir(spark, "paraphrase-files")
-    para = materialize(_paraphrased_pairs(fx.pairs(spark, sf_dir)), "paraphrases")
+    para = materialize(_paraphrased_pairs(fx.pairs(spark, sf_dir, labelled=False)), "paraphrases")
     datasets = {}
     for side in ("p", "h"):
         path = f"{base}/side_{side}.tsv"
@@ -710,7 +736,7 @@ def paraphrase_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paraphrase_tsv_round_trip_sql() -> str:
-    return f"""WITH {S.PAIRS}{_paraphrased_sql()} SELECT {', '.join(PARA_COLS)} FROM para"""
+    return f"""WITH {S.ALL_PAIRS}{_paraphrased_sql()} SELECT {', '.join(PARA_COLS)} FROM para"""
 
 
 def stored_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -765,23 +791,23 @@ def _predictions_tsv(spark, pairs: DataFrame, version: str) -> DataFrame:
 
 def predictions_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-2: the four-column predictions file of original text, read back."""
-    return _predictions_tsv(spark, _one_line(fx.pairs(spark, sf_dir)), "original")
+    return _predictions_tsv(spark, _one_line(fx.pairs(spark, sf_dir, labelled=False)), "original")
 
 
 def predictions_tsv_round_trip_sql() -> str:
-    return f"""WITH {S.PAIRS}, one_line AS ({_one_line_sql()}), {_pred_sql('one_line')}
+    return f"""WITH {S.ALL_PAIRS}, one_line AS ({_one_line_sql()}), {_pred_sql('one_line')}
 SELECT {', '.join(PREDICTION_COLS)} FROM pred"""
 
 
 def predictions5_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-2: the five-column predictions file of paraphrased text, read back."""
-    para = materialize(_paraphrased_pairs(_one_line(fx.pairs(spark, sf_dir))), "paraphrases")
+    para = materialize(_paraphrased_pairs(_one_line(fx.pairs(spark, sf_dir, labelled=False))), "paraphrases")
     return _predictions_tsv(spark, para, "paraphrase")
 
 
 def predictions5_tsv_round_trip_sql() -> str:
     para = _paraphrased_sql().replace("FROM pairs)", "FROM one_line)", 1)
-    return f"""WITH {S.PAIRS}, one_line AS ({_one_line_sql()}){para}, {_pred_sql('para')}
+    return f"""WITH {S.ALL_PAIRS}, one_line AS ({_one_line_sql()}){para}, {_pred_sql('para')}
 SELECT {', '.join(PREDICTION_COLS)}, original_sentence AS paraphrased_sentence FROM pred"""
 
 
@@ -818,6 +844,7 @@ QUERIES = {
     "row_count_report": (row_count_report, row_count_report_sql),
     "distinct_labels": (distinct_labels_q, distinct_labels_sql),
     "original_vs_paraphrase": (original_vs_paraphrase, original_vs_paraphrase_sql),
+    "matched_paraphrase_effect": (matched_paraphrase_effect, matched_paraphrase_effect_sql),
     "accuracy_by_length": (accuracy_by_length, accuracy_by_length_sql),
     "accuracy_by_overlap": (accuracy_by_overlap, accuracy_by_overlap_sql),
     "tsv_round_trip": (tsv_round_trip, round_trip_sql),

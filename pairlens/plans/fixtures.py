@@ -78,10 +78,11 @@ def pairs(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
         gold_from_quality().alias("gold_label"), "quality", "toxic")
 
 
-def choice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def choice_rows(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
     """two-choice rows (rid, win_no, startphrase, ending1, ending2, labels)
-    from every window of three neighbouring sentences."""
-    j = labelled_documents(spark, sf_dir).select("doc_id", "quality", sentences(_text()).alias("s"))
+    from every window of three neighbouring sentences; with ``labelled=False``
+    of every document, labels missing where it has none."""
+    j = labelled_documents(spark, sf_dir, "inner" if labelled else "left").select("doc_id", "quality", sentences(_text()).alias("s"))
     ex = j.select(F.col("doc_id").alias("rid"), "quality",
                   F.posexplode(adjacent_triples("s")).alias("win_no", "w"))
     return ex.select("rid", F.col("win_no").cast("bigint").alias("win_no"),

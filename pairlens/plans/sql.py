@@ -38,8 +38,9 @@ pairs AS (
   FROM (SELECT *, unnest(range(1, greatest(len(s), 2))) AS i FROM labelled))"""
 
 PAIRS = LABELLED + _PAIRS
-#: The pairs of every document, labelled or not.
-ALL_PAIRS = LABELLED.replace("documents d JOIN", "documents d LEFT JOIN") + _PAIRS
+#: Every document, labelled or not, and its pairs.
+ALL_DOCUMENTS = LABELLED.replace("documents d JOIN", "documents d LEFT JOIN")
+ALL_PAIRS = ALL_DOCUMENTS + _PAIRS
 
 
 def values(rows: list[tuple], names: list[str]) -> str:

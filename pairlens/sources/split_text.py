@@ -229,10 +229,10 @@ def split_records(spark: SparkSession, path: str, sep: str) -> tuple[DataFrame,
 
 
 def read_split(spark: SparkSession, path: str, schema, sep: str, header: bool, options: dict,
-               order_col: str | None = None) -> DataFrame:
+               order_col: str | None = None, file_col: str | None = None) -> DataFrame:
     """Rows of delimited files with the columns of ``schema`` (in the files'
     order). With ``header`` every file's first record must name them.
-    ``order_col`` adds the row's number in file order, from 0 and gapless."""
+    ``file_col`` adds the file a row comes from, ``order_col`` the row's number in file order, from 0 and gapless."""
     records, files = split_records(spark, path, sep)
     options = {**options, "sep": sep, "multiLine": "true"}
     if header:
@@ -244,16 +244,17 @@ def read_split(spark: SparkSession, path: str, schema, sep: str, header: bool, o
         records = records.filter(F.when(F.col("nr") > 0, True).when(F.coalesce(got == names, F.lit(False)), False).otherwise(wrong))
     # the parser's columns are all read, so that a broken record fails whatever the query needs
     row = F.from_csv(F.col("text"), _ddl(schema), {**options, "mode": "FAILFAST"})
+    keep = [F.col("file").alias(file_col)] if file_col else []
     if order_col is None:
-        return records.select(row.alias("r")).select("r.*")
+        return records.select(row.alias("r"), *keep).select("r.*", *([file_col] if file_col else []))
     skip = 1 if header else 0
     # one row a file
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("file", (F.coalesce(F.sum(F.col("n") - skip).over(before), F.lit(0)) - skip).alias("off"))
     if files.count() <= MAX_BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
-    return (records.join(offsets, "file").select(row.alias("r"), (F.col("nr") + F.col("off")).alias(order_col))
-            .select("r.*", order_col))
+    return (records.join(offsets, "file").select(row.alias("r"), *keep, (F.col("nr") + F.col("off")).alias(order_col))
+            .select("r.*", *([file_col] if file_col else []), order_col))
 
 
 def _ddl(schema) -> str:
