@@ -65,6 +65,15 @@ def binary_list(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def byte_cells(col: pa.Array) -> list[bytes]:
+    """The cells of a binary array without nulls (several times as fast as ``to_pylist``)."""
+    wide = pa.types.is_large_binary(col.type)
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset:col.offset + len(col) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 def slices(texts: list[bytes], limit: int):
     """Ranges of neighbouring texts of at most ``limit`` bytes, or one longer text."""
     lo, n = 0, 0

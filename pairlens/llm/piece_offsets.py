@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ._common import binary_list, slices
+from ._common import binary_list, byte_cells, slices
 
 SPACE, META = 0x20, "▁".encode()
 #: Characters of a unit that is merged among others; longer ones are cut or go through a heap.
@@ -419,7 +419,7 @@ class PieceModel:
                 None, pa.py_buffer(np.append(a - base, b[-1] - base).astype(np.int32).tobytes()),
                 pa.py_buffer(buf[base:int(b[-1])].tobytes())]).dictionary_encode()
             code = cells.indices.to_numpy(zero_copy_only=False)
-            got, w, n = self.known_units(cells.dictionary.to_pylist())
+            got, w, n = self.known_units(byte_cells(cells.dictionary))
             many = n[code]
             total = np.cumsum(many)
             take = np.repeat((np.cumsum(n) - n)[code] - (total - many), many) + np.arange(int(total[-1]))

@@ -34,6 +34,7 @@ import functools
 import json
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ._common import binary_list, slices
+from ._common import binary_list, byte_cells, slices
 
 END_ID = 1
 BARRIER = 0xFFFFFFFF
@@ -82,9 +83,8 @@ def _ids_of_words(spec: dict) -> bool:
 class WordCachedEncoder:
     """Encodes texts. Where the tokenizer lower-cases, drops white space, and
     keeps letters and punctuation apart (checked in its file), a text's ids are those of its words,
-    so words met lately need no second encoding. Ids are kept packed (about
-    200 bytes a word); of two generations of words the older goes when the
-    younger is full."""
+    so words met before need no second encoding. At most ``cache_words``
+    words are kept (about 200 bytes each); when they are full, all go."""
 
     def __init__(self, path: str, cache_words: int = 2_400_000):
         from tokenizers import Tokenizer
@@ -97,25 +97,55 @@ class WordCachedEncoder:
         self.by_word = bool(special) and _ids_of_words(json.loads(self.tok.to_str()))
         #: a special token that parts the words of one call, and its id
         self.part, self.part_id = max(special, default=("", -1))
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.limit = cache_words // 2
-
-    def _encode_new(self, new: list[bytes]) -> list[bytes]:
-        odd = [w for w in new if b"<|" in w]
-        plain = [w for w in new if b"<|" not in w]
-        out = {w: np.array(self.tok.encode(w.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes() for w in odd}
-        groups = [plain[i:i + 128] for i in range(0, len(plain), 128)]
-        joined = [self.part.join(w.decode("utf-8") for w in g) for g in groups]
-        for g, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(e.ids, np.int64)
-            ends = np.append(np.flatnonzero(ids == self.part_id), len(ids)).tolist()
-            data, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
-            at = 0
-            for w, end in zip(g, ends):
-                out[w] = data[at * size:end * size]
-                at = end + 1
-        return [out[w] for w in new]
+        self.limit = cache_words
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words met so far: word -> number; the ids of all behind each other, where each word's begin, how many."""
+        self.number: dict[bytes, int] = {}
+        self.flat, self.used = np.empty(1 << 20, self.kind), 0
+        self.begin, self.count = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
+
+    def _encode_new(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count) of distinct words."""
+        odd = [i for i, w in enumerate(new) if b"<|" in w]
+        alone = {i: self.tok.encode(new[i].decode("utf-8"), add_special_tokens=False).ids for i in odd}
+        plain = [b"" if i in alone else w for i, w in enumerate(new)] if odd else new
+        joined = [self.part.join(b"\n".join(plain[i:i + 128]).decode("utf-8").split("\n")) for i in range(0, len(plain), 128)]
+        parts = []
+        for e in self.tok.encode_batch_fast(joined, add_special_tokens=False):
+            parts += [e.ids, [self.part_id]]
+        ids = np.fromiter(chain.from_iterable(parts), np.int64)
+        ends = np.flatnonzero(ids == self.part_id)
+        count = np.diff(ends, prepend=-1) - 1
+        if odd:
+            cells = np.split(np.delete(ids, ends), np.cumsum(count)[:-1])
+            cells = [np.array(alone[i], np.int64) if i in alone else c for i, c in enumerate(cells)]
+            return np.concatenate(cells).astype(self.kind), np.array([len(c) for c in cells])
+        return np.delete(ids, ends).astype(self.kind), count
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words, encoding those not met yet."""
+        if len(self.number) + len(words) > self.limit:
+            self._forget()
+        known = list(map(self.number.get, words))
+        new = [w for w, k in zip(words, known) if k is None]
+        if not new:
+            return np.array(known, np.int64)
+        ids, count = self._encode_new(new)
+        n, m = len(self.number), len(self.number) + len(new)
+        if m > len(self.begin):
+            grown = max(m, 2 * len(self.begin))
+            self.begin, self.count = np.resize(self.begin, grown), np.resize(self.count, grown)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.count[n:m] = count
+        self.begin[n:m] = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        self.number.update(zip(new, range(n, m)))
+        numbers = iter(range(n, m))
+        return np.array([next(numbers) if k is None else k for k in known], np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text: texts are cut into words behind each
@@ -135,28 +165,14 @@ class WordCachedEncoder:
             return [np.empty(0, self.kind) for _ in texts]
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [
             None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(buf[in_word])]).dictionary_encode()
-        cells = self._known(words.dictionary.to_pylist())
-        n = np.fromiter(map(len, cells), np.int64, len(cells)) // self.kind.itemsize
-        flat, code = np.frombuffer(b"".join(cells), self.kind), words.indices.to_numpy()
-        many = n[code]
-        total = np.cumsum(many)
-        ids = flat[np.repeat((np.cumsum(n) - n)[code] - (total - many), many) + np.arange(int(total[-1]))]
+        number = self._numbers(byte_cells(words.dictionary))[words.indices.to_numpy()]
+        many = self.count[number]
+        total = np.cumsum(many, dtype=np.int64)
+        ids = self.flat[np.repeat(self.begin[number] - (total - many), many) + np.arange(int(total[-1]))]
         ends = np.cumsum([len(t) + 1 for t in texts])
         cuts = np.append(0, total)[np.searchsorted(start, ends)]
         return np.split(ids, cuts[:-1])
 
-    def _known(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct words, encoding those not met lately."""
-        missing = [w for w in words if w not in self.young]
-        if len(self.young) + len(missing) > self.limit:
-            missing, self.old, self.young = words, self.young, {}
-        young, old = self.young, self.old
-        if old:
-            young.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in old]
-        young.update(zip(missing, self._encode_new(missing)))
-        return list(map(young.__getitem__, words))
-
 
 @functools.lru_cache(maxsize=2)
 def load_encoder(path: str) -> WordCachedEncoder:
