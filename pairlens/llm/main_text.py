@@ -29,8 +29,10 @@ input are not carried.
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -56,7 +58,7 @@ ENDS_OWN = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
             "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CONTENT_TAGS = frozenset(("article", "main"))
-BOILER_TAGS = frozenset("nav header footer aside form button select dialog menu head label fieldset input figure".split()) - {"figure"}
+BOILER_TAGS = frozenset("nav header footer aside form button select dialog menu head label fieldset input".split())
 CONTENT_TOKENS = frozenset("article content entry main post story body text maincontent articlebody".split())
 BOILER_TOKENS = frozenset(
     "ad ads advert adverts advertisement adverb banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -64,13 +66,20 @@ BOILER_TOKENS = frozenset(
     "newsletter notice notices pagination pager popup privacy promo promotion reactions reader recommended related replies "
     "reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar "
     "topbar widget widgets".split())
+#: First pieces of class names that say what a page lacks or has, or what it is filed under.
+SAYS_OF_PAGE = frozenset("no not non has have with without hide show tag category cat tax term topic type format status".split())
 #: Attributes whose words are evidence.
 TOKEN_ATTRS = frozenset(("class", "id", "itemprop", "aria-label"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[!?][^>]*>)", re.S)
+# Comments, tags and declarations by HTML's own rules, each to its end or the end of the page. Quantifiers are
+# possessive, so a tag is read once. A quote counts only behind "=", and runs to the next one, wherever that is.
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+_TAG = re.compile(rf"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+{_VALUE}?+)*+)(?:>|(\Z))"""
+                  r"""|(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z))""", re.S)
 #: One attribute: its name and, quoted or bare, its value.
-_ATTR = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_ATTR = re.compile(r"""([^\s/=>]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
+_TELLS = re.compile(r"class|id|itemprop|aria|role|hidden", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
 
@@ -81,12 +90,22 @@ class Node:
     attrs: str = ""
     parts: list = field(default_factory=list)     # str, or int of a child
     end: int = 0                                  # nodes below lie in (own, end)
+    closed: bool = False                          # by its own end tag
+
+
+@functools.lru_cache(maxsize=None)
+def _end_tag(tag: str) -> re.Pattern:
+    """The end tag of a raw element (there are few kinds)."""
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I)
 
 
 def parse(text: str) -> list[Node]:
-    """The elements of a page in document order; node 0 is the root."""
+    """The elements of a page in document order; node 0 is the root. Work is
+    linear in the page: a search that can find nothing isn't made twice."""
     nodes = [Node("#root", -1)]
     stack = [0]
+    open_tags: Counter = Counter()      # open elements by tag
+    unended: set[str] = set()           # raw tags with no end tag in the rest of the page
     rules: list[str] = []       # of the open elements, those that begin or end foreign rules
     at = 0
 
@@ -94,36 +113,35 @@ def parse(text: str) -> list[Node]:
         while len(stack) > depth:
             x = nodes[stack.pop()]
             x.end = len(nodes)
+            open_tags[x.tag] -= 1
             if x.tag in FOREIGN or x.tag in HTML_AGAIN:
                 rules.pop()
 
     def foreign() -> bool:
         return bool(rules) and rules[-1] in FOREIGN
 
-    def add(chunk: str):
-        if chunk:
-            nodes[stack[-1]].parts.append(chunk)
-
     while True:
         m = _TAG.search(text, at)
         if m is None:
-            # a tag cut off by the end of the page is markup, not text
             rest = text[at:]
-            cut = re.search(r"<[/!a-zA-Z][^>]*$", rest, re.S)
-            add(rest[:cut.start()] if cut else rest)
+            # a lone "</" or "<" at the very end is markup cut off
+            nodes[stack[-1]].parts.append(rest.removesuffix("</").removesuffix("<"))
             break
-        add(text[at:m.start()])
+        if m.start() > at:
+            nodes[stack[-1]].parts.append(text[at:m.start()])
         at = m.end()
-        tag = (m.group(2) or "").lower()
-        if not tag:
+        if not m.group(2) or m.group(4) is not None:        # a tag cut off by the end of the page is none
             continue
+        tag = m.group(2).lower()
         if m.group(1):
-            for d in range(len(stack) - 1, 0, -1):
-                if nodes[stack[d]].tag == tag:
-                    close_to(d)
-                    break
+            if open_tags[tag]:
+                for d in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[d]].tag == tag:
+                        nodes[stack[d]].closed = True
+                        close_to(d)
+                        break
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_tags["p"]:
             for d in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[d]].tag
                 if t == "p":
@@ -133,7 +151,7 @@ def parse(text: str) -> list[Node]:
                     break
         if tag in ENDS_OWN:
             ends, stop = ENDS_OWN[tag]
-            for d in range(len(stack) - 1, 0, -1):
+            for d in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in ends) else ():
                 t = nodes[stack[d]].tag
                 if t in stop:
                     break
@@ -141,11 +159,15 @@ def parse(text: str) -> list[Node]:
                     close_to(d)
                     break
         n = len(nodes)
-        nodes.append(Node(tag, stack[-1], m.group(3) or ""))
+        attrs = m.group(3)
+        nodes.append(Node(tag, stack[-1], attrs))
         nodes[stack[-1]].parts.append(n)
-        closed = m.group(3).rstrip().endswith("/") and (tag in FOREIGN or foreign())
-        raw = tag in RAW or tag in FOREIGN_RAW and foreign()
-        stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at) if raw and not closed else None
+        closed = attrs.rstrip().endswith("/") and (tag in FOREIGN or foreign())
+        stop = None
+        if not closed and (tag in RAW or tag in FOREIGN_RAW and foreign()) and tag not in unended:
+            stop = _end_tag(tag).search(text, at)
+            if stop is None:
+                unended.add(tag)
         if tag in VOID or closed:
             nodes[n].end = n + 1
         elif stop or tag in RAW:
@@ -153,6 +175,7 @@ def parse(text: str) -> list[Node]:
             nodes[n].end = n + 1
         else:
             stack.append(n)
+            open_tags[tag] += 1
             if tag in FOREIGN or tag in HTML_AGAIN:
                 rules.append(tag)
     close_to(0)
@@ -161,10 +184,17 @@ def parse(text: str) -> list[Node]:
 
 def evidence(node: Node) -> tuple[int, int]:
     """(content, boilerplate) signs in an element's own markup."""
-    if node.tag in ("html", "body"):      # classes there describe the page, not its parts
+    content, boiler = _evidence(node.tag, node.attrs if node.attrs and _TELLS.search(node.attrs) else "")
+    # a message for those without scripts; where its end tag is missing, the page goes on inside
+    return content, boiler + (node.tag == "noscript" and node.closed)
+
+
+@functools.lru_cache(maxsize=100_000)
+def _evidence(tag: str, attrs: str) -> tuple[int, int]:
+    if tag in ("html", "body"):      # classes there describe the page, not its parts
         return 0, 0
-    content, boiler = int(node.tag in CONTENT_TAGS), int(node.tag in BOILER_TAGS)
-    for m in _ATTR.finditer(node.attrs) if node.attrs else ():
+    content, boiler = int(tag in CONTENT_TAGS), int(tag in BOILER_TAGS)
+    for m in _ATTR.finditer(attrs) if attrs else ():
         name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             boiler += 1
@@ -172,7 +202,11 @@ def evidence(node: Node) -> tuple[int, int]:
             boiler += value in ROLES
             content += value in ("main", "article")
         elif name in TOKEN_ATTRS:
-            got = set(_TOKEN.findall(value))
+            got = set()
+            for token in value.split():
+                pieces = _TOKEN.findall(token)
+                if len(pieces) < 2 or pieces[0] not in SAYS_OF_PAGE:
+                    got.update(pieces)
             boiler += len(got & BOILER_TOKENS)
             content += len(got & CONTENT_TOKENS)
     return content, boiler
@@ -181,49 +215,68 @@ def evidence(node: Node) -> tuple[int, int]:
 FEATURES = ("depth", "text", "own_text", "density", "link_share", "stops", "mean_run", "children", "place", "alike",
             "paragraphs", "heading", "paragraph", "list", "inline", "grow", "start", "content", "boiler",
             "content_above", "boiler_above")
+#: Share of a page's text that an element must hold for its signs of boilerplate to be void.
+HELD = 0.3
 HIDDEN = [FEATURES.index(f) for f in ("content", "boiler", "content_above", "boiler_above")]
 
 
 def node_features(nodes: list[Node]) -> np.ndarray:
-    """One row of :data:`FEATURES` per node."""
+    """One row of :data:`FEATURES` per node. Signs of boilerplate on an element
+    that holds all text with signs of content, and ``HELD`` of the page's
+    text, don't count: it wraps the article (a form around the whole page)."""
     n = len(nodes)
-    own, stops, runs = np.zeros(n), np.zeros(n), np.zeros(n)
-    kids, para, link = np.zeros(n), np.zeros(n), np.zeros(n)
-    depth, place, alike = np.zeros(n), np.zeros(n), np.zeros(n)
-    ev = np.zeros((n, 2))
-    above = np.zeros((n, 2))
-    begin = np.zeros(n)
-    at = 0
+    own, stops, runs, kids, para, begin = ([0.0] * n for _ in range(6))
+    depth, place, alike = ([0.0] * n for _ in range(3))
+    good, bad = [0] * n, [0] * n
+    at = 0.0
     for i, x in enumerate(nodes):
         if x.parent >= 0:
             depth[i] = depth[x.parent] + 1
-            ev[i] = evidence(x)
-            above[i] = above[x.parent] + ev[x.parent]
+            good[i], bad[i] = evidence(x)
         same: dict[str, int] = {}
+        k = 0
         for part in x.parts:
-            if isinstance(part, str):
-                solid = len("".join(part.split()))
-                own[i] += solid
-                stops[i] += part.count(".") + part.count(",")
-                runs[i] += solid > 0
+            if part.__class__ is str:
+                solid = sum(map(len, part.split()))
+                if solid:
+                    own[i] += solid
+                    stops[i] += part.count(".") + part.count(",")
+                    runs[i] += 1
             else:
                 t = nodes[part].tag
-                place[part] = kids[i]
-                kids[i] += 1
+                place[part] = k
+                k += 1
                 same[t] = same.get(t, 0) + 1
-        for part in x.parts:
-            if not isinstance(part, str):
-                alike[part] = same[nodes[part].tag]
-        para[i] = same.get("p", 0)
+        kids[i] = k
+        if k:
+            for part in x.parts:
+                if part.__class__ is not str:
+                    alike[part] = same[nodes[part].tag]
+            para[i] = same.get("p", 0)
         begin[i] = at
         at += own[i]
-    total, dots, run, below = own.copy(), stops.copy(), runs.copy(), np.ones(n)
+    total, dots, run, below, link = own.copy(), stops.copy(), runs.copy(), [1.0] * n, [0.0] * n
+    told = [0.0] * n                    # text below with signs of content
     for i in range(n - 1, 0, -1):       # children come after their parent
         p = nodes[i].parent
         if nodes[i].tag == "a":
             link[i] = total[i]
-        for arr in (total, dots, run, below, link):
-            arr[p] += arr[i]
+        if good[i] and not bad[i]:
+            told[i] = total[i]
+        total[p] += total[i]
+        dots[p] += dots[i]
+        run[p] += run[i]
+        below[p] += below[i]
+        link[p] += link[i]
+        told[p] += told[i]
+    above_good, above_bad = [0] * n, [0] * n
+    for i in range(1, n):
+        if bad[i] and told[i] and told[i] == told[0] and told[i] >= HELD * total[0]:
+            bad[i] = 0
+        p = nodes[i].parent
+        above_good[i], above_bad[i] = above_good[p] + good[p], above_bad[p] + bad[p]
+    own, stops, runs, kids, para, begin, depth, place, alike, total, dots, run, below, link = map(np.array, (
+        own, stops, runs, kids, para, begin, depth, place, alike, total, dots, run, below, link))
     safe = np.maximum(total, 1)
     parent = np.array([max(x.parent, 0) for x in nodes])
     tag = lambda group: np.array([x.tag in group for x in nodes], float)
@@ -232,7 +285,7 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         np.log1p(total / np.maximum(run, 1)), np.log1p(kids), place, np.log1p(alike), np.log1p(para),
         tag({"h1", "h2", "h3", "h4", "h5", "h6"}), tag({"p", "blockquote", "pre"}), tag({"ul", "ol", "li", "menu", "dl"}),
         tag({"a", "b", "i", "em", "strong", "span", "u", "small", "br", "img", "code", "sub", "sup"}),
-        total / np.maximum(total[parent], 1), begin / max(1.0, at), ev[:, 0], ev[:, 1], above[:, 0], above[:, 1]])
+        total / np.maximum(total[parent], 1), begin / max(1.0, at), good, bad, above_good, above_bad])
 
 
 def weak_targets(nodes: list[Node], x: np.ndarray) -> np.ndarray:
@@ -318,7 +371,7 @@ def is_fragment(nodes: list[Node]) -> bool:
             and not any(nodes[p].tag in ("html", "body") for p in top if not isinstance(p, str)))
 
 
-def decode(nodes: list[Node], margin: np.ndarray, weight: np.ndarray, root: int | None = WRAPPER) -> np.ndarray:
+def decode(nodes: list[Node], margin: np.ndarray, weight: np.ndarray, root: int | None = WRAPPER) -> list[int]:
     """The best consistent state of every node. A node's own score for being
     content is its margin times its weight; wrapper and boilerplate are the
     other side, and boilerplate ends the subtree's choice. The root
@@ -326,23 +379,22 @@ def decode(nodes: list[Node], margin: np.ndarray, weight: np.ndarray, root: int
     n = len(nodes)
     pos = -np.logaddexp(0, -margin) * weight
     neg = -np.logaddexp(0, margin) * weight
-    best = np.column_stack([neg - 1e-6, pos, neg])       # a wrapper only where something below is content
+    wrap, cont, boil = (neg - 1e-6).tolist(), pos.tolist(), neg.tolist()     # a wrapper only where something below is content
     for i in range(n - 1, 0, -1):
-        w, c, b = best[i]
+        w, c, b = wrap[i], cont[i], boil[i]
         p = nodes[i].parent
-        best[p, BOILER] += b
-        best[p, CONTENT] += max(c, b)
-        best[p, WRAPPER] += max(w, c, b)
-    state = np.full(n, BOILER)
-    state[0] = root if root is not None else CONTENT if best[0, CONTENT] >= best[0, WRAPPER] else WRAPPER
+        boil[p] += b
+        cont[p] += max(c, b)
+        wrap[p] += max(w, c, b)
+    state = [BOILER] * n
+    state[0] = root if root is not None else CONTENT if cont[0] >= wrap[0] else WRAPPER
     for i in range(1, n):
         above = state[nodes[i].parent]
-        if above == BOILER:
-            state[i] = BOILER
-        elif above == CONTENT:
-            state[i] = CONTENT if best[i, CONTENT] >= best[i, BOILER] else BOILER
-        else:
-            state[i] = int(np.argmax(best[i]))
+        if above == CONTENT:
+            state[i] = CONTENT if cont[i] >= boil[i] else BOILER
+        elif above == WRAPPER:
+            best = max(wrap[i], cont[i], boil[i])
+            state[i] = WRAPPER if wrap[i] == best else CONTENT if cont[i] == best else BOILER
     return state
 
 
@@ -375,15 +427,27 @@ def text_of(nodes: list[Node], state: np.ndarray) -> str:
 
 
 def extract(html: str | None, model: Trees) -> str:
-    if not html:
-        return ""
-    nodes = parse(html)
-    if len(nodes) == 1:
-        return ""
-    x = node_features(nodes)
+    return extract_all([html], model)[0]
+
+
+def extract_all(pages: list[str | None], model: Trees) -> list[str]:
+    """The main text of each page; the trees score all pages' nodes at once."""
+    parsed = [parse(p) if p else [] for p in pages]
+    read = [i for i, nodes in enumerate(parsed) if len(nodes) > 1]
+    out = [""] * len(pages)
+    if not read:
+        return out
+    features = [node_features(parsed[i]) for i in read]
+    margins = np.split(model.margin(np.concatenate(features)), np.cumsum([len(x) for x in features])[:-1])
+    for i, x, margin in zip(read, features, margins):
+        out[i] = _text(parsed[i], x, margin, model)
+    return out
+
+
+def _text(nodes: list[Node], x: np.ndarray, margin: np.ndarray, model: Trees) -> str:
     weight = np.log1p(np.expm1(x[:, FEATURES.index("own_text")])) + 0.05
     fragment = is_fragment(nodes)
-    state = decode(nodes, model.margin(x), weight, None if fragment else WRAPPER)
+    state = decode(nodes, margin, weight, None if fragment else WRAPPER)
     if fragment and (state[0] == CONTENT or not any(s == CONTENT and nodes[i].tag in BLOCK for i, s in enumerate(state))):
         # the root is the article, as if its markup said so
         x[0, HIDDEN[0]] += 1
@@ -392,8 +456,10 @@ def extract(html: str | None, model: Trees) -> str:
     return text_of(nodes, state)
 
 
-def fit_pages(df: DataFrame, html_col: str = "html", train_pages: int = 400, seed: int = 3) -> Trees:
-    """Trees from a bounded sample of pages (at most ``train_pages``)."""
+def fit_pages(df: DataFrame, html_col: str = "html", train_pages: int = 400, seed: int = 3,
+              train_nodes: int = 2000) -> Trees:
+    """Trees from a bounded sample: at most ``train_pages`` pages, and of each
+    at most ``train_nodes`` nodes, evenly from its first to its last."""
     src = df.select(F.col(html_col).cast("string").alias("_html")).filter(F.col("_html").isNotNull())
     pick = (src.select(F.xxhash64(F.lit(seed), "_html").alias("_k")).distinct().orderBy("_k").limit(train_pages))
     rows = (src.withColumn("_k", F.xxhash64(F.lit(seed), "_html")).join(F.broadcast(pick), "_k")   # train_pages rows
@@ -405,7 +471,9 @@ def fit_pages(df: DataFrame, html_col: str = "html", train_pages: int = 400, see
             nodes = parse(t)
             x = node_features(nodes)
             y = weak_targets(nodes, x)
-            at = np.flatnonzero(y >= 0)[:2000]          # a page of very many nodes doesn't outweigh the sample
+            at = np.flatnonzero(y >= 0)
+            if len(at) > train_nodes:       # a page of very many nodes doesn't outweigh the sample
+                at = at[np.linspace(0, len(at) - 1, train_nodes).astype(int)]
             got.append((x[at], y[at]))
         return {"_k": cols["_k"], "x": [g[0].ravel() for g in got], "y": [g[1] for g in got]}
 
@@ -430,7 +498,7 @@ def main_text(df: DataFrame, model: Trees | None = None, id_col: str = "page_id"
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def fn(cols):
-        text = [extract(t, shared.value) for t in cols["_html"].to_pylist()]
+        text = extract_all(cols["_html"].to_pylist(), shared.value)
         return {"_id": cols["_id"], "_url": cols["_url"], "text": text, "n_chars": [len(t) for t in text]}
 
     src = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"))

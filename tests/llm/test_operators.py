@@ -381,3 +381,38 @@ def test_rules_are_written_out_level_by_level():
         want.append(want[a] + want[b])
     assert got == want
     assert token_files.rule_lengths(rules, 10)[0].tolist() == [len(w) for w in want[10:]]
+
+
+def test_main_text_of_wrapped_and_broken_pages(spark):
+    import time
+    model = main_text.fit_pages(spark.read.parquet(f"{SF}/pages.parquet"))
+    para = ("The first of many words, here. " * 6).strip()
+    page = "<html><body>%s<nav><ul><li><a href='/a'>Home</a></ul></nav>%s<footer>f, all rights</footer>%s</body></html>"
+    article = f"<article%s><h1>T</h1><p>{para}</p><p>{para}</p></article>"
+    want = f"T {para} {para}"
+    # wrappers and class names that only look like boilerplate
+    for before, cls, after in (('<form id="aspnetForm" action="x">', "", "</form>"), ('<div class="post no-sidebar">', "", "</div>"),
+                               ("", ' class="post tag-tags category-social"', ""), ('<div class="has-sidebar with-comments">', "", "</div>"),
+                               ('<section class="sidebar-right widget">', "", "</section>")):
+        assert main_text.extract(page % (before, article % cls, after), model) == want, before + cls
+    # comments and related articles beside the article stay out
+    for extra in (f'<section class="comments"><article class="comment"><p>{para}</p></article></section>',
+                  f'<aside class="related"><article><h3>More</h3><p>{para}</p></article></aside>',
+                  "<noscript>Please enable scripts to read this page.</noscript>"):
+        assert main_text.extract(page % ("", article % "" + extra, ""), model) == want, extra
+    # quotes that open nothing, and quotes that are not closed: no markup in the text
+    got = main_text.extract(f"<body><article><p title=don't>{para}</p><p data-x=a'b\"c>{para}</p></article></body>", model)
+    assert got == f"{para} {para}"
+    got = main_text.extract(f'<body><article><p>{para}</p><p class="x>lost</p></article><div title="y">{para}</div></body>', model)
+    assert "class" not in got and "<" not in got and got.startswith(para)
+    assert [n.tag for n in main_text.parse('<a b="c>d" e=\'f>\' g=h>i<b/>j<!-->k<!-- l -->m</>n</ o>p<!p q>')] == ["#root", "a", "b"]
+    # broken tags take time in proportion to the page
+    for broken in ('<a "', "<a '=\"", "<", "</x>", "<b>", "<p></p>", "<!--", "<svg><desc>", "<a b='"):
+        t = time.time()
+        main_text.parse("<b>" * 2000 + broken * (2_000_000 // len(broken)))
+        assert time.time() - t < 20, broken
+    # the sample reaches the end of a long page: footers are learnt, though they come behind many nodes
+    rows = spark.createDataFrame([(i, f"<body><article>{f'<p>{para}</p>' * (60 + i)}</article><footer><p>y {i}</p><p>{para}</p></footer></body>")
+                                  for i in range(40)], "page_id bigint, html string")
+    model = main_text.fit_pages(rows, train_nodes=20)
+    assert main_text.extract(f"<body>{article % ''}<footer><p>y</p><p>{para}</p></footer></body>", model) == want
