@@ -14,10 +14,12 @@ to every task and the documents are read once, without a shuffle. Beyond
 that, document shingles and sketches meet in a shuffle join, and candidates
 are verified by a second join on shingles.
 
-Words are lower-cased (A-Z) runs of non-white-space; shingles are 5 words.
-Defined cases: null and empty texts and items contain nothing; an item of
-fewer than 5 words has no shingle and is never found (it would condemn clean
-documents); repeated items and rows each give their own result; null ids
+Words are lower-cased (A-Z) runs of non-white-space; shingles are 5 words. An
+item of 1 to 4 words is one shingle of its own length, its whole word
+sequence; documents are also searched for their runs of the lengths that such
+items have. Very common short items condemn many documents: what is a test
+item is for its table to say.
+Defined cases: null and empty texts and items contain nothing; repeated items and rows each give their own result; null ids
 are kept; an empty table gives no rows. Shingles are compared by 64-bit hash.
 """
 
@@ -29,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, binary_list, shingle_set
+from ._common import arrow_map, binary_list, shingle_set, window_hashes, word_hashes, words
 
 BROADCAST_SHINGLES = 1_000_000
 
@@ -40,20 +42,37 @@ def sketch_length(n: int, share: float) -> int:
     return min(n, top - math.ceil(share * top - 1e-9) + 1)
 
 
-def _shingles(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def document_set(text: bytes | None, k: int, short: list[int]) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``k`` words and of each length in ``short``."""
+    h = word_hashes(words(text, True))
+    return np.unique(np.concatenate([window_hashes(h, n) for n in (k, *short)]))
+
+
+def _items(items: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(_id, _n, _short, _set) of every item: its shingles, and its number of words if they are fewer than ``k``."""
+    def fn(cols):
+        texts = binary_list(cols["_text"])
+        sets = [shingle_set(t, k).view(np.int64) for t in texts]
+        n = [len(words(t)) for t in texts]
+        return {"_id": cols["_id"], "_n": [len(s) for s in sets], "_short": [m if 0 < m < k else None for m in n], "_set": sets}
+
+    src = items.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return arrow_map(src, fn, f"_id {src.schema['_id'].dataType.simpleString()}, _n bigint, _short int, _set array<bigint>")
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str, k: int, short: list[int]) -> DataFrame:
     def fn(cols):
-        sets = [shingle_set(t, k, whole_if_short=False).view(np.int64) for t in binary_list(cols["_text"])]
-        return {"_id": cols["_id"], "_n": [len(s) for s in sets], "_set": sets}
+        return {"_id": cols["_id"], "_set": [document_set(t, k, short).view(np.int64) for t in binary_list(cols["_text"])]}
 
     src = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return arrow_map(src, fn, f"_id {src.schema['_id'].dataType.simpleString()}, _n bigint, _set array<bigint>")
+    return arrow_map(src, fn, f"_id {src.schema['_id'].dataType.simpleString()}, _set array<bigint>")
 
 
 class ItemIndex:
     """Sketches and shingles of all items, as sorted arrays."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], share: float):
-        self.ids, self.share = ids, share
+    def __init__(self, ids: list, sets: list[np.ndarray], short: list[int], share: float):
+        self.ids, self.short, self.share = ids, short, share
         self.sizes = np.array([len(s) for s in sets], np.int64)
         own = [np.full(len(s), i) for i, s in enumerate(sets)]
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -87,14 +106,15 @@ def _small_index(items: DataFrame, share: float, limit: int) -> ItemIndex | None
     if total > limit or items.limit(limit + 1).count() > limit:
         return None
     got = items.orderBy("_id").collect()
-    return ItemIndex([r["_id"] for r in got], [np.array(r["_set"], np.int64).view(np.uint64) for r in got], share)
+    return ItemIndex([r["_id"] for r in got], [np.array(r["_set"], np.int64).view(np.uint64) for r in got],
+                     sorted({r["_short"] for r in got} - {None}), share)
 
 
 def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
                text_col: str = "text", k: int = 5, share: float = 0.8,
                broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """(doc id, item id, n_item, n_found, containment) for every item contained in a document."""
-    wanted = _shingles(items, item_id, text_col, k)
+    wanted = _items(items, item_id, text_col, k)
     index = _small_index(wanted, share, broadcast_shingles)
     d_kind = docs.schema[doc_id].dataType.simpleString()
     i_kind = items.schema[item_id].dataType.simpleString()
@@ -104,7 +124,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         def fn(cols):
             ix, at, hits, n = shared.value, [], [], []
             for i, t in enumerate(binary_list(cols["_text"])):
-                h, c = ix.search(shingle_set(t, k, whole_if_short=False))
+                h, c = ix.search(document_set(t, k, ix.short))
                 at += [i] * len(h)
                 hits += h.tolist()
                 n += c.tolist()
@@ -115,7 +135,8 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         found = arrow_map(src, fn, f"_doc {d_kind}, _item {i_kind}, n_item bigint, n_found bigint")
     else:
         # a row number stands for each document and item, so that equal and null ids stay apart
-        own = _shingles(docs, doc_id, text_col, k).withColumn("_d", F.xxhash64("_id", "_set"))
+        short = sorted(r["_short"] for r in wanted.filter("_short IS NOT NULL").select("_short").distinct().collect())  # k - 1 at most
+        own = _documents(docs, doc_id, text_col, k, short).withColumn("_d", F.xxhash64("_id", "_set"))
         top = (F.pow(F.lit(2), F.length(F.bin("_n"))) - 1)
         length = F.least(F.col("_n"), (top - F.ceil(F.lit(share) * top - 1e-9) + 1).cast("bigint")).cast("int")
         marked = wanted.withColumn("_i", F.xxhash64("_id", "_set")).filter("_n > 0")
@@ -136,19 +157,23 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", k: int = 5, share: float = 0.8,
                       broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """Documents that contain no item, all columns as they were."""
-    index = _small_index(_shingles(items, items.columns[0], text_col, k), share, broadcast_shingles)
+    index = _small_index(_items(items, items.columns[0], text_col, k), share, broadcast_shingles)
     if index is None:
-        key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-        hit = find_items(docs.select(key.alias("_key"), F.col(text_col)), items, "_key", items.columns[0], text_col,
-                         k, share, broadcast_shingles).select("_key").distinct()
-        return docs.withColumn("_key", key).join(hit, "_key", "left_anti").drop("_key")
+        # texts are told apart by a digest; the rows travel as one column, whatever their names
+        digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+        hit = find_items(docs.select(digest.alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"]),
+                         items.select(F.col(items.columns[0]).alias("item"), F.col(text_col).alias("text")),
+                         "id", "item", "text", k, share, broadcast_shingles).select(F.col("id").alias("key")).distinct()
+        rows = docs.select(digest.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        return rows.join(hit, "key", "left_anti").select("row.*")
     shared = docs.sparkSession.sparkContext.broadcast(index)
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             col = b.column(b.schema.get_field_index(text_col))
-            keep = [not len(shared.value.search(shingle_set(t, k, whole_if_short=False))[0]) for t in binary_list(col)]
+            ix = shared.value
+            keep = [not len(ix.search(document_set(t, k, ix.short))[0]) for t in binary_list(col)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

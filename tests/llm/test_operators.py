@@ -416,3 +416,38 @@ def test_main_text_of_wrapped_and_broken_pages(spark):
                                   for i in range(40)], "page_id bigint, html string")
     model = main_text.fit_pages(rows, train_nodes=20)
     assert main_text.extract(f"<body>{article % ''}<footer><p>y</p><p>{para}</p></footer></body>", model) == want
+
+
+def test_short_items_are_found_as_whole_word_runs(spark, tmp_dir):
+    """Against plain word lists, and against the query's SQL."""
+    import duckdb
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcd") + str(rng.randrange(4))
+    texts = ODD + [" ".join(word() for _ in range(rng.choice([1, 2, 3, 4, 5, 30]))) for _ in range(80)]
+    items = ["One", "a b c", "zz top", "A1 b2", "c3 d0 a1", "x", " ", None, "a0 a1 a2 a3", "b1 b1", "never said words here"]
+    items += [" ".join(texts[-1].split()[:3]), " ".join(texts[-2].split()[:8])]
+    lower = lambda t: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+
+    def holds(t, x):
+        t, x = lower(t), lower(x)
+        if 0 < len(x) < 5:
+            return any(t[i:i + len(x)] == x for i in range(len(t)))
+        five = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+        return bool(x) and len(five(x) & five(t)) >= 0.8 * len(five(x)) - 1e-9
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if holds(t, x)}
+    assert {0, 1, 3, 5, 11} <= {i for _, i in want}
+    table = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    df = docs(spark, texts, _key="kept", key=7, row="r")
+    for limit in (10 ** 6, 0):
+        got = decontaminate.find_items(df, table, broadcast_shingles=limit).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+        kept = decontaminate.drop_contaminated(df, table, broadcast_shingles=limit).collect()
+        clean = set(range(len(texts))) - {d for d, _ in want}
+        assert {r["doc_id"] for r in kept} == clean and all((r["_key"], r["key"], r["row"]) == ("kept", 7, "r") for r in kept)
+    df.write.parquet(f"{tmp_dir}/documents.parquet")
+    table.write.parquet(f"{tmp_dir}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_dir}/{name}.parquet/*.parquet'")
+    assert {r[:2] for r in con.sql(Q.op8_sql()).fetchall()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in Q.op8_decontaminate(spark, tmp_dir).collect()} == want
