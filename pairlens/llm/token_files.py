@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import zlib
 from itertools import chain
 
@@ -52,12 +51,8 @@ BARRIER = 0xFFFFFFFF
 MAX_BROADCAST_SHARDS = 100_000
 #: Bytes of text whose words are looked up together (a longer text is a slice of its own).
 SLICE_BYTES = 8 << 20
-_BUCKETS = 18           # bits of the pair-count table
+_BUCKETS = 20           # bits of the pair-count table
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
-#: A capital before a character from U+0300 on, with which NFC could compose it (no character below U+0300 combines).
-_MAY_COMPOSE = re.compile(rb"[A-Z][\xcc-\xff]")
-
-
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True      # what ``bytes.split`` splits on
 
@@ -154,9 +149,13 @@ class WordCachedEncoder:
         if not self.by_word:
             whole = self.tok.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
             return [np.array(e.ids, self.kind) for e in whole]
-        # lower-casing could make a special token of a word with "<|"; a capital and a mark must
+        # lower-casing could make a special token of a word with "<|"; a capital and a mark (from U+0300 on) must
         # meet NFC before they are lower-cased, as some have a composed form in one case only
-        kept = [b"<|" in t or not t.isascii() and _MAY_COMPOSE.search(t) for t in texts]
+        kept = [b"<|" in t for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        for i in np.searchsorted(ends, np.flatnonzero((raw[:-1] - 65 < 26) & (raw[1:] >= 0xCC)), "right").tolist():
+            kept[i] = True
         buf = np.frombuffer(b" ".join(t if k else t.lower() for t, k in zip(texts, kept)) + b" ", np.uint8)
         in_word = ~_WHITE[buf]
         start = np.flatnonzero(in_word & ~np.concatenate([[False], in_word[:-1]]))
@@ -169,7 +168,6 @@ class WordCachedEncoder:
         many = self.count[number]
         total = np.cumsum(many, dtype=np.int64)
         ids = self.flat[np.repeat(self.begin[number] - (total - many), many) + np.arange(int(total[-1]))]
-        ends = np.cumsum([len(t) + 1 for t in texts])
         cuts = np.append(0, total)[np.searchsorted(start, ends)]
         return np.split(ids, cuts[:-1])
 
