@@ -12,8 +12,10 @@
    sub-block's offset makes the slot gapless. No task holds a whole shard.
 
 All randomness is hashed from the seed, the id and the text, so a recomputed
-task gives the same rows. P grows with the row count (``rows_per_part``), so
-windows stay bounded.
+task gives the same rows. P grows with the row count (``rows_per_part``) up to
+4096, and P times the shards stays within ``MAX_CELLS``; beyond that, windows
+hold more rows each (a 4096th of the table and upwards, sorted with spilling):
+at 1000 shards P is 65, and from 32,769 shards on it is 1.
 
 Defined cases: null text counts as empty; null ids are dealt like any value;
 equal rows get distinct slots; more shards than rows leaves shards empty; an
