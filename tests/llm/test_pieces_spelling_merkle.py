@@ -158,7 +158,7 @@ def variants(rnd, letters, base, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_list", [2, 50, 20_000])
+@pytest.mark.parametrize("max_list", [2, 20_000])
 def test_near_pairs_and_roots(spark, max_list):
     rnd = random.Random(max_list)
     # words that share long stretches, so that lists are dealt anew
@@ -232,7 +232,7 @@ def run_op13(spark, tmp_dir, rows, parts=3):
     return sorted((tuple(r) for r in queries.op13_merkle_manifest(spark, path).collect()), key=repr)
 
 
-@pytest.mark.parametrize("sizes", [{"en": 1}, {"en": 8, "de": 1}, {"en": 9, None: 3}, {"en": 700, "": 1, "é": 64, None: 65},
+@pytest.mark.parametrize("sizes", [{"en": 1}, {"en": 8, None: 3, "de": 9}, {"en": 700, "": 1, "é": 64, None: 65},
                                    {f"l{i}": 2 for i in range(11)}])
 def test_manifest_sizes(spark, tmp_dir, sizes):
     rnd = random.Random(len(sizes))
