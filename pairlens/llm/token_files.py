@@ -162,8 +162,8 @@ class WordCachedEncoder:
         size = np.flatnonzero(~in_word & np.concatenate([[False], in_word[:-1]])) - start
         if not len(start):
             return [np.empty(0, self.kind) for _ in texts]
-        words = pa.Array.from_buffers(pa.large_binary(), len(start), [
-            None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(buf[in_word])]).dictionary_encode()
+        words = pa.Array.from_buffers(pa.binary(), len(start), [     # a slice or one text: under 2 GB
+            None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(buf[in_word])]).dictionary_encode()
         number = self._numbers(byte_cells(words.dictionary))[words.indices.to_numpy()]
         many = self.count[number]
         total = np.cumsum(many, dtype=np.int64)
@@ -189,7 +189,7 @@ def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8
     may = np.flatnonzero((seq[:-1] != BARRIER) & (seq[1:] != BARRIER))
     while True:
         left, right = seq[may], seq[may + 1]
-        slot = (left * _LEFT + right * _RIGHT) >> np.uint32(32 - _BUCKETS)
+        slot = ((left * _LEFT + right * _RIGHT) >> np.uint32(32 - _BUCKETS)).astype(np.intp)
         table = np.bincount(slot, minlength=1 << _BUCKETS)
         size = table[slot]
         # a pair is in a slot that counts as much at least; the fullest slots go first, all of min_count if they hold none
@@ -218,7 +218,7 @@ def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8
         known = np.array(chosen, np.uint64)[by]
         mark = np.zeros(1 << _BUCKETS, bool)
         mark[((known >> np.uint64(32)).astype(np.uint32) * _LEFT + known.astype(np.uint32) * _RIGHT) >> np.uint32(32 - _BUCKETS)] = True
-        near = mark[slot[some]]
+        near = np.flatnonzero(mark[slot[some]])
         at, key = may[some[near]], key[near]
         place = np.minimum(np.searchsorted(known, key), len(known) - 1)
         ok = known[place] == key
@@ -239,8 +239,10 @@ def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8
         before -= ~keep[before]
         look[before] = True
         look, seq = look[keep], seq[keep]
+        ends = np.flatnonzero(seq == BARRIER)
+        look[ends] = False
+        look[ends[ends > 0] - 1] = False
         may = np.flatnonzero(look[:-1])
-        may = may[(seq[may] != BARRIER) & (seq[may + 1] != BARRIER)]
     return np.array(rules, np.uint32).reshape(-1, 2), seq
 
 
