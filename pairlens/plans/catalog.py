@@ -801,7 +801,8 @@ SELECT {', '.join(PREDICTION_COLS)} FROM pred"""
 
 def predictions5_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-2: the five-column predictions file of paraphrased text, read back."""
-    para = materialize(_paraphrased_pairs(_one_line(fx.pairs(spark, sf_dir, labelled=False))), "paraphrases")
+    para = materialize(_paraphrased_pairs(_one_line(fx.pairs(spark, sf_dir, labelled=False)))
+                       .select("dataset", *PARA_COLS), "paraphrases")
     return _predictions_tsv(spark, para, "paraphrase")
 
 

@@ -95,5 +95,5 @@ def materialize(df, prefix: str):
     read it back: one pass, lineage cut (lost executors do not recompute the
     plan), and later branches read only the columns they need."""
     path = new_shared_subdir(df.sparkSession, prefix)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -83,9 +83,12 @@ def commit_run(spark, path: str, run_id: str, attempt: str, n_rows: int) -> None
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True,
-              sep: str = "\t") -> str:
-    """SNK-1: quoted TSV with a header (one or more part files)."""
-    (df.write.mode(mode)
+              sep: str = "\t", compression: str = "gzip", rows_per_file: int = 500_000) -> str:
+    """SNK-1: quoted TSV with a header (one or more part files). Files are
+    compressed, as a pair's text comes once for every run (``compression="none"``:
+    plain text). One task reads a compressed file, so each holds at most
+    ``rows_per_file`` rows."""
+    (df.write.mode(mode).option("compression", compression).option("maxRecordsPerFile", rows_per_file)
        .option("sep", sep).option("header", header)
        .option("quote", '"').option("escape", '"')
        # keep white space at both ends (the writer trims by default); NULL is
