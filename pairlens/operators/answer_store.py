@@ -8,8 +8,8 @@ Layout::
         at     bigint   time of the write (the earliest answer counts)
 
 An answer belongs to the model and to the prompt as sent, nothing else: an
-other prefix or layout is another digest. A lookup joins on the fixed-width
-digest; sentences never travel for it. What it reads is cut three times by
+other prefix or layout is another digest. A lookup joins on the first half
+of the digest; sentences never travel for it. What it reads is cut three times by
 the current requests: their models and buckets prune folders, and their
 hashes, where they are few enough for a bounded broadcast, keep other rows
 of a bucket out of the shuffle.
@@ -45,6 +45,13 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def short_digest(text: Column) -> Column:
+    """A key of at most 16 bytes to join rows by within a run: a text of fewer
+    bytes itself, else 128 bits of its sha256 (of a thousand million texts two
+    share one with a chance of 1 to 10^20)."""
+    return F.when(F.octet_length(text) < 16, text.cast("binary")).otherwise(F.substring(digest_of(text), 1, 16))
+
+
 def prompt_digest(prompt: Column, kind: T.DataType) -> Column:
     """Digest of a prompt as sent; chat messages count as their JSON."""
     return digest_of(prompt if isinstance(kind, T.StringType) else F.to_json(prompt))
@@ -55,8 +62,13 @@ def folder_of(model: Column) -> Column:
     return F.coalesce(F.concat(F.lit("m-"), model), F.lit("none"))
 
 
+def _half(digest: Column) -> Column:
+    """What lookups join on; a digest's half is as good as the digest (:func:`short_digest`)."""
+    return F.substring(digest, 1, 16)
+
+
 def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(SLOTS)).cast("int")
+    return F.pmod(F.xxhash64(_half(digest)), F.lit(SLOTS)).cast("int")
 
 
 def _bucket(digest: Column) -> Column:
@@ -97,25 +109,42 @@ class AnswerStore:
             rows = rows.withColumn("slot", _slot(F.col("digest"))).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
         return rows
 
-    def look_up(self, asked: DataFrame, n: int, answer_col: str, models: list | None = None) -> DataFrame | None:
-        """``asked`` (``n`` rows) with the earliest stored answer of each row's
-        request and whether there is one (``known``); None without a store."""
+    def look_up(self, asked: DataFrame, n: int, answer_col: str, models: list | None = None,
+                unknown: bool = True) -> DataFrame | None:
+        """``asked`` (``n`` rows; its digests may be first halves) with the
+        earliest stored answer of each row's request and whether there is one
+        (``known``), or with ``unknown=False`` only the rows that have one;
+        None without a store."""
         from ..session import materialize
         rows = self.relevant(asked, n, models)
         if rows is None:
             return None
-        rows = rows.select(F.col("model").alias("_folder"), "digest", "at", F.col("answer").alias(answer_col), F.lit(True).alias("known"))
-        got = materialize(asked.withColumn("_folder", folder_of(F.col("model"))).join(rows, ["_folder", "digest"], "left")
-                          .drop("_folder").withColumn("known", F.coalesce("known", F.lit(False))), "looked-up")
+        rows = rows.select(F.col("model").alias("_folder"), _half(F.col("digest")).alias("_half"), "at",
+                           F.col("answer").alias(answer_col), F.lit(True).alias("known"))
+        mine = asked.withColumn("_folder", folder_of(F.col("model"))).withColumn("_half", _half(F.col("digest")))
+        got = materialize(mine.join(rows, ["_folder", "_half"], "left" if unknown else "inner")
+                          .drop("_folder", "_half").withColumn("known", F.coalesce("known", F.lit(False))), "looked-up")
         if got.count() > n:     # two writers stored an answer to one request
             got = got.groupBy(*asked.columns, "known").agg(F.min_by(answer_col, F.struct("at", answer_col)).alias(answer_col))
         return got.select(*asked.columns, answer_col, "known")
 
     def add(self, answers: DataFrame, answer_col: str) -> None:
         """Append answers (model, digest, ``answer_col``), few files a folder."""
-        out = answers.select("digest", F.col(answer_col).alias("answer"), F.lit(time.time_ns()).alias("at"),
+        out = answers.select("digest", F.col(answer_col).alias("answer"),
                              folder_of(F.col("model")).alias("model"), _bucket(F.col("digest")).alias("bucket"))
-        out.hint("rebalance", "model", "bucket").write.mode("append").partitionBy("model", "bucket").parquet(self.path)
+        out = out.hint("rebalance", "model", "bucket").withColumn("at", F.lit(time.time_ns()))
+        out.write.mode("append").partitionBy("model", "bucket").parquet(self.path)
+
+    def known(self, asked: DataFrame, n: int, answer_col: str, models: list | None = None) -> tuple[DataFrame | None, int]:
+        """The rows of ``asked`` (``n``) that have a stored answer, with it, and their number."""
+        found = self.look_up(asked, n, answer_col, models, unknown=False)
+        return (None, 0) if found is None else (found.select(*asked.columns, answer_col), found.count())
+
+
+def without(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``asked`` that ``known`` (rows of it) lacks."""
+    name = [folder_of(F.col("model")).alias("_folder"), _half(F.col("digest")).alias("_half")]
+    return asked.select("*", *name).join(known.select(*name), ["_folder", "_half"], "left_anti").select(*asked.columns)
 
 
 def answer_stored(asked: DataFrame, store: AnswerStore, ask: Callable[[DataFrame | None], DataFrame],
@@ -137,10 +166,9 @@ def answer_stored(asked: DataFrame, store: AnswerStore, ask: Callable[[DataFrame
     if n is None:
         asked = materialize(asked, "asked")
         n = asked.count()
-    looked = store.look_up(asked, n, answer_col, models)
-    missing = looked.filter("NOT known").select(*asked.columns)
-    open_ = missing.count()
-    if not open_:
-        return looked.drop("known")
-    new = answer_new(None if open_ == n else missing)
-    return looked.filter("known").drop("known").unionByName(new)
+    known, n_known = store.known(asked, n, answer_col, models)
+    if n_known == n:
+        return known
+    if not n_known:
+        return answer_new(None)
+    return known.unionByName(answer_new(without(asked, known)))

@@ -8,15 +8,15 @@ once per partition, not per row.
 
 Plan of :func:`generate`::
 
-    rows --(request keys, hash)--> partial dedupe (map side) --shuffle-->
+    rows --(request keys)--> partial dedupe (map side) --shuffle-->
     distinct requests --render prompt--> mapInPandas(generator) --> answers
-    rows LEFT JOIN answers ON (hash, request keys)
+    rows LEFT JOIN answers ON digest of the request keys
 
 Equal requests collapse map-side before the shuffle, so a request repeated
 in a third of all rows costs one call and one small shuffle record per task.
-The join back is keyed by the hash *and* the key values (a hash collision
-cannot swap answers); AQE's skew-join split handles a hot request on the
-rows side.
+Requests are deduplicated by their key values; the join back is keyed by 128
+bits of the texts' sha256, so that answers come back without the request's
+texts. AQE's skew-join split handles a hot request on the rows side.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.prompts import side_sentence
-from .answer_store import AnswerStore, answer_stored, folder_of, prompt_digest
+from .answer_store import AnswerStore, answer_stored, folder_of, prompt_digest, short_digest
 
-REQ = "_req_hash"
+REQ = "_req"
 PROMPT = "_prompt_digest"
 
 
@@ -75,35 +75,74 @@ def _runner(factory: Callable, model_col: str, prompt_col: str, answer_col: str,
     return run
 
 
-def _request_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows plus the request hash over ``keys``."""
-    return df.withColumn(REQ, F.xxhash64(*keys))
+def _packed(run: Callable, n: int, answer_col: str) -> Callable:
+    """``run`` over requests that come in groups of ``n`` rows behind each
+    other, with equal values in all columns but the answer: one row a group,
+    its answers as a list."""
+    def packed(batches):
+        held = None
+        for pdf in run(batches):
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            whole = len(pdf) // n * n
+            held = pdf.iloc[whole:] if whole < len(pdf) else None
+            if whole:
+                rows = pdf.iloc[:whole]
+                first, last = rows.iloc[::n].reset_index(drop=True), rows.iloc[n - 1::n].reset_index(drop=True)
+                if not first.drop(columns=answer_col).equals(last.drop(columns=answer_col)):
+                    raise ValueError("the requests of a group don't lie behind each other")
+                yield first.assign(**{answer_col: list(rows[answer_col].to_numpy().reshape(-1, n))})
+        if held is not None:
+            raise ValueError("a group of requests lacks some")
+    return packed
+
+
+def _text_keys(df: DataFrame, keys: list[str]) -> list[str]:
+    return [k for k in keys if df.schema[k].dataType == T.StringType()]
+
+
+def _with_request(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows with the digest of their text keys (NULL if one is missing), and
+    the columns that name a request: the digest and the other keys."""
+    texts = _text_keys(df, keys)
+    if not texts:
+        return df, list(keys)
+    parts = [x for k in texts for x in (F.char_length(k).cast("string"), F.lit(":"), F.col(k))]
+    return df.withColumn(REQ, short_digest(F.concat(*parts))), [REQ, *[k for k in keys if k not in texts]]
 
 
 def requests_of(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct generation requests of ``df`` (hash + key columns). The
-    dedupe is a hash aggregate, partial on the map side, so repeated
-    requests shrink before the shuffle."""
-    return _request_keys(df.select(*keys), keys).dropDuplicates([REQ, *keys])
+    """Distinct generation requests of ``df`` (key columns). The dedupe is a
+    hash aggregate, partial on the map side, so repeated requests shrink
+    before the shuffle."""
+    return df.select(*keys).dropDuplicates(keys)
 
 
 def answer_requests(requests: DataFrame, factory: Callable, prompt_col: str = "prompt",
                     model_col: str = "model", answer_col: str = "raw_answer",
-                    batch_size: int | None = None, partitions: int | None = None) -> DataFrame:
+                    batch_size: int | None = None, partitions: int | None = None,
+                    keep: list[str] | None = None, pack: int | None = None) -> DataFrame:
     """Run the generator over a table of requests, one Arrow batch at a time.
 
     ``batch_size``: prompts per generator call (Arrow batches are cut to it;
     their size is ``spark.sql.execution.arrow.maxRecordsPerBatch``).
     ``partitions``: spread requests over this many generator tasks. AQE
     coalesces shuffle partitions by *bytes*, and requests are small, so an
-    expensive generator should say how parallel it wants to run."""
+    expensive generator should say how parallel it wants to run.
+    ``keep``: the columns that come back with the answer (default: all).
+    ``pack``: every so many rows, one behind the other, are one group with
+    equal ``keep`` columns; it comes back as one row, its answers an array in
+    the rows' order. (Such requests are dealt out before they are expanded.)"""
     if partitions:
+        if pack:
+            raise ValueError("groups of requests must be dealt out before they are expanded")
         requests = requests.repartition(partitions)
-    fields = [f for f in requests.schema.fields]
+    fields = [f for f in requests.schema.fields if keep is None or f.name in keep]
     out_cols = [f.name for f in fields] + [answer_col]
-    schema = T.StructType(fields + [T.StructField(answer_col, T.StringType(), True)])
-    return requests.mapInPandas(
-        _runner(factory, model_col, prompt_col, answer_col, out_cols, batch_size), schema)
+    kind = T.ArrayType(T.StringType()) if pack else T.StringType()
+    schema = T.StructType(fields + [T.StructField(answer_col, kind, True)])
+    run = _runner(factory, model_col, prompt_col, answer_col, out_cols, batch_size)
+    return requests.mapInPandas(_packed(run, pack, answer_col) if pack else run, schema)
 
 
 def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
@@ -146,12 +185,11 @@ def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
         keys = [model_col, prompt]
     if store is not None:
         return _generate_stored(df, factory, prompt, model_col, answer_col, store, batch_size, partitions)
-    rows = _request_keys(df, keys)
-    requests = requests_of(df, keys) if requests is None else \
-        _request_keys(requests.select(*keys), keys)
+    rows, request = _with_request(df, keys)
+    requests = requests_of(df, keys) if requests is None else requests.select(*keys)
     answers = answer_distinct(requests, factory, prompt, keys, model_col, answer_col,
                               checkpoint, batch_size, partitions)
-    return rows.join(answers, [REQ, *keys], "left").drop(REQ)
+    return rows.join(answers, request, "left").select(*keys, *[c for c in df.columns if c not in keys], answer_col)
 
 
 def _generate_stored(df: DataFrame, factory: Callable, prompt: Column | str, model_col: str, answer_col: str,
@@ -182,19 +220,16 @@ def answer_distinct(requests: DataFrame, factory: Callable, prompt: Column | str
                     keys: list[str], model_col: str = "model", answer_col: str = "raw_answer",
                     checkpoint: bool = False, batch_size: int | None = None,
                     partitions: int | None = None) -> DataFrame:
-    """Answer a table of *distinct* requests (key columns, optionally with the
-    request hash): render each prompt, skip NULL prompts, call the generator.
-    Returns (hash, keys, answer)."""
-    if REQ not in requests.columns:
-        requests = _request_keys(requests.select(*keys), keys)
+    """Answer a table of *distinct* requests (key columns): render each prompt,
+    skip NULL prompts, call the generator. Returns the columns that name a
+    request (the digest of its texts, and its other keys) and the answer."""
+    requests, request = _with_request(requests.select(*keys), keys)
     prompt_expr = F.col(prompt) if isinstance(prompt, str) else prompt
+    model = F.col(model_col) if model_col in keys else F.lit(None).cast("string")
     rendered = (requests.withColumn("_prompt", prompt_expr)
                 .filter(F.col("_prompt").isNotNull())
-                .select(REQ, *keys, "_prompt"))
-    if model_col not in keys:
-        rendered = rendered.withColumn(model_col, F.lit(None).cast("string"))
-    answers = answer_requests(rendered, factory, "_prompt", model_col, answer_col, batch_size, partitions)
-    answers = answers.select(REQ, *keys, answer_col)
+                .select(*request, model.alias("_model"), "_prompt"))
+    answers = answer_requests(rendered, factory, "_prompt", "_model", answer_col, batch_size, partitions, keep=request)
     if checkpoint:
         from ..session import materialize
         answers = materialize(answers, "answers")

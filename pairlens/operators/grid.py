@@ -49,16 +49,19 @@ def excluded_datasets(pairs: DataFrame, config: EvalConfig, task: str, dataset_c
 
 
 def expand_runs(pairs: DataFrame, specs: list[tuple], config: EvalConfig | None = None,
-                task: str | None = None, dataset_col: str = "dataset", unknown: str = "error") -> DataFrame:
+                task: str | None = None, dataset_col: str = "dataset", unknown: str = "error",
+                number_col: str | None = None) -> DataFrame:
     """GRD-1: one row per (pair, run) with ``model`` and ``prompt_type``.
-    Prefixes stay out of the rows (see :func:`prefix_for`)."""
-    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("prompt_type"))
-                     for m, t, _ in specs])
+    Prefixes stay out of the rows (see :func:`prefix_for`). ``number_col`` adds
+    the run's place in ``specs``, from 0; a pair's rows come in that order."""
+    runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).alias("prompt_type"),
+                              *([F.lit(i).alias(number_col)] if number_col else []))
+                     for i, (m, t, _) in enumerate(specs)])
     out = pairs
     if config is not None and task is not None:
         out = out.filter(allowed_for(F.col(dataset_col), config, task, unknown))
     return (out.withColumn("_run", F.explode(runs))
-               .select("*", "_run.model", "_run.prompt_type").drop("_run"))
+               .select("*", "_run.model", "_run.prompt_type", *([f"_run.{number_col}"] if number_col else [])).drop("_run"))
 
 
 def prefix_for(prompt_type: Column, specs: list[tuple]) -> Column:

@@ -1,8 +1,8 @@
 """End-to-end evaluation plan (the reference's evaluation scripts as one job).
 
 distinct (premise, hypothesis) --explode(runs)--> requests --render prompt-->
-generator (mapInPandas) --> answers --group per pair--> map run -> answer
-pairs LEFT JOIN that map --explode(runs)--> raw answer --TXT-5--> prediction
+generator (mapInPandas) --> one row per pair: its answers in the runs' order
+pairs LEFT JOIN those --explode(runs)--> raw answer --TXT-5--> prediction
       --AGG-2--> accuracy per (dataset, language, model, prompt type)
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
-from ..operators.answer_store import AnswerStore, answer_stored, digest_of, prompt_digest
+from ..operators.answer_store import AnswerStore, digest_of, prompt_digest, without
 from ..operators.generate import answer_requests
 from ..functions.prompts import chat_prompt
 from ..operators.grid import allowed_for, excluded_datasets, expand_runs, grid_prompt, prefix_for, run_specs
@@ -27,11 +27,12 @@ def label_mappings(config: EvalConfig, task: str, prompt_types: list[str]) -> di
 
 
 PAIR = "_ph"
-_SEP = "\u0001"
+FULL = "_ph_full"
 
 
-def _run_key(model, prompt_type):
-    return F.concat(model, F.lit(_SEP), prompt_type)
+def _short(digest):
+    """The half of a pair's digest that pairs and answers are joined by (:func:`short_digest`)."""
+    return F.substring(digest, 1, 16)
 
 
 def _pair_digest():
@@ -52,37 +53,56 @@ def _template_digests(spark, specs: list[tuple], prompt) -> dict[str, str]:
 
 def _stored_answers(distinct_pairs: DataFrame, specs: list[tuple], prompt, factory: Callable, store: str,
                     batch_size: int | None, partitions: int | None) -> DataFrame:
-    """Answers through the store. A prompt's digest is that of its template
-    and its pair, both of fixed width: lookups move no sentence."""
+    """Answers of each pair, in the order of ``specs``, through the store. A
+    prompt's digest is that of its template and its pair, both of fixed width:
+    lookups move no sentence."""
     from ..session import materialize
     spark = distinct_pairs.sparkSession
     templates = _template_digests(spark, specs, prompt)
     # prompt types of one template send one prompt: the first asks for all of them
     first = {d: t for t, d in reversed(templates.items())}
     once = [s for s in specs if first[templates[s[1]]] == s[1]]
-    template = F.create_map(*[F.lit(x) for t in templates.items() for x in t])[F.col("prompt_type")]
-    digest = digest_of(F.concat(template, F.hex(PAIR)))
-    kept, n = AnswerStore(spark, store), None
+    place = {(m, t): i for i, (m, t, _) in enumerate(once)}
+    placed = [place[m, first[templates[t]]] for m, t, _ in specs]
+    in_order = F.array(*[F.get("_answers", F.lit(i)) for i in placed])
+    template = F.create_map(*[F.lit(x) for t in templates.items() for x in t])
+    digest = digest_of(F.concat(template[F.col("prompt_type")], F.hex(FULL)))
+    kept, known, n_known, n = AnswerStore(spark, store), None, 0, 0
+    keys = [PAIR, RUN, "model"]
     if kept.rows() is not None:     # pairs are read for the lookup, and again for what must be asked
         distinct_pairs = materialize(distinct_pairs, "pairs")
         n = distinct_pairs.count() * len(once)
-    keys = [PAIR, "model", "prompt_type", "digest"]
-
-    def ask(missing: DataFrame | None) -> DataFrame:
-        if missing is None:
-            requests = expand_runs(distinct_pairs, once).withColumn("digest", digest)
-        else:       # sentences are fetched for what must be asked, nothing else
-            requests = missing.join(distinct_pairs, PAIR)
-        return answer_requests(requests.select(*keys, prompt.alias("_prompt")), factory, "_prompt", "model",
-                               "raw_answer", batch_size, partitions)
-
-    asked = expand_runs(distinct_pairs.select(PAIR), once).withColumn("digest", digest).select(*keys)
-    answers = answer_stored(asked, kept, ask, n=n, models=[m for m, _, _ in once])
-    if len(first) < len(templates):
-        same = F.create_map(*[x for d, t in first.items() for x in (
-            F.lit(t), F.array(*[F.lit(u) for u, e in templates.items() if e == d]))])
-        answers = answers.withColumn("prompt_type", F.explode(same[F.col("prompt_type")]))
-    return answers
+        asked = expand_runs(distinct_pairs.select(PAIR, FULL), once, number_col=RUN).select(*keys, _short(digest).alias("digest"))
+        known, n_known = kept.known(asked, n, "raw_answer", [m for m, _, _ in once])
+    if not n_known:     # all are asked: a pair's answers stay together
+        new = materialize(_ask_all(distinct_pairs.select(PAIR, FULL, "premise", "hypothesis"), [PAIR, FULL], once, prompt,
+                                   factory, batch_size, partitions), "answered")
+        each = expand_runs(new, once, number_col=RUN).select("model", digest.alias("digest"),
+                                                             F.get("_answers", F.col(RUN)).alias("raw_answer"))
+        kept.add(each, "raw_answer")
+        return new.select(PAIR, in_order.alias("_answers"))
+    answers = known.select(PAIR, RUN, "raw_answer")
+    if n_known < n:     # sentences are fetched for what must be asked, nothing else
+        runs = F.create_map(*[x for i, s in enumerate(once) for x in (F.lit(i), F.lit(s[1]))])
+        requests = without(asked, known).select(*keys).join(distinct_pairs, PAIR).withColumn("prompt_type", runs[F.col(RUN)])
+        new = materialize(answer_requests(requests.select(*keys, digest.alias("digest"), prompt.alias("_prompt")), factory,
+                                          "_prompt", "model", "raw_answer", batch_size, partitions,
+                                          keep=[*keys, "digest"]), "answered")
+        kept.add(new, "raw_answer")
+        answers = answers.unionByName(new.select(PAIR, RUN, "raw_answer"))
+    by_run = F.map_from_entries(F.collect_list(F.struct(RUN, "raw_answer")))
+    return answers.groupBy(PAIR).agg(by_run.alias("_by_run")).select(
+        PAIR, F.array(*[F.try_element_at("_by_run", F.lit(i)) for i in placed]).alias("_answers"))
+
+
+def _ask_all(distinct_pairs: DataFrame, keep: list[str], specs: list[tuple], prompt, factory: Callable,
+             batch_size: int | None, partitions: int | None) -> DataFrame:
+    """All runs of each pair, asked one behind the other: a row per pair with
+    the columns ``keep`` and its answers in the order of ``specs``."""
+    if partitions:
+        distinct_pairs = distinct_pairs.repartition(partitions)
+    requests = expand_runs(distinct_pairs, specs).select(*keep, "model", prompt.alias("_prompt"))
+    return answer_requests(requests, factory, "_prompt", "model", "_answers", batch_size, keep=keep, pack=len(specs))
 
 
 def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task: str,
@@ -93,32 +113,28 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
 
     * distinct requests = distinct sentence pairs x the constant run list:
       the pairs are deduplicated first, then expanded on the reduce side;
-    * from there on a pair is its digest: answers are grouped per digest into
-      a map run -> answer (at most one entry per configured run, a size fixed
-      by the config), and no sentence is shuffled again for them;
-    * the *unexpanded* pairs are joined to that map and expanded over the
+    * from there on a pair is its digest: its requests are asked one behind
+      the other and come back as one row, digest and answers (one for each
+      configured run, in their order), so nothing is shuffled to group them;
+    * the *unexpanded* pairs are joined to that row and expanded over the
       runs after the join, so the big side of the shuffle carries one row
       per pair, not one per (pair, run);
-    * with ``checkpoint`` the grouped answers are written once: a recomputed
+    * with ``checkpoint`` the answers are written once: a recomputed
       task never asks the generator again, and both inputs of the join are
       plain exchanges, so AQE can split a pair that many rows share.
     """
     allowed = pairs.filter(allowed_for(F.col("dataset"), config, task, unknown))      # CHK-3
     distinct_pairs = allowed.select("premise", "hypothesis").dropDuplicates() \
-        .withColumn(PAIR, _pair_digest()).filter(F.col(PAIR).isNotNull())
+        .withColumn(FULL, _pair_digest()).filter(F.col(FULL).isNotNull()).withColumn(PAIR, _short(F.col(FULL)))
     pt = F.col("prompt_type")
     if chat:   # TXT-3: the generator receives [{role, content}, ...] per request
         prompt = chat_prompt(pt, prefix_for(pt, specs), "premise", "hypothesis")
     else:
         prompt = grid_prompt(specs)
     if store is not None:
-        answers = _stored_answers(distinct_pairs, specs, prompt, factory, store, batch_size, partitions)
+        by_pair = _stored_answers(distinct_pairs, specs, prompt, factory, store, batch_size, partitions)
     else:
-        requests = expand_runs(distinct_pairs, specs).select(PAIR, "model", "prompt_type", prompt.alias("_prompt"))
-        answers = answer_requests(requests, factory, "_prompt", "model", "raw_answer", batch_size, partitions)
-    by_pair = (answers.select(PAIR, "model", "prompt_type", "raw_answer").groupBy(PAIR)
-               .agg(F.map_from_entries(F.collect_list(F.struct(
-                   _run_key(F.col("model"), pt), F.col("raw_answer")))).alias("_answers")))
+        by_pair = _ask_all(distinct_pairs, [PAIR], specs, prompt, factory, batch_size, partitions)
     if checkpoint:
         from ..session import materialize
         by_pair = materialize(by_pair, "answers")
@@ -127,11 +143,11 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
     if observe:
         from ..operators.checks import observed_count
         rows, n_in = observed_count(rows, "pairs_in")
-    joined = rows.withColumn(PAIR, _pair_digest()).join(by_pair, PAIR, "left").drop(PAIR)
-    runs = expand_runs(joined, specs)
-    pred = (runs.withColumn("raw_answer", F.try_element_at(F.col("_answers"),
-                                                           _run_key(F.col("model"), pt)))
-                .drop("_answers")
+    joined = rows.withColumn(PAIR, _short(_pair_digest())).join(by_pair, PAIR, "left").drop(PAIR)
+
+    runs = expand_runs(joined, specs, number_col=RUN)
+    pred = (runs.withColumn("raw_answer", F.get("_answers", F.col(RUN)))
+                .drop("_answers", RUN)
                 .withColumn("prediction", answer_to_label_by(
                     "raw_answer", "prompt_type", label_mappings(config, task, types))))
     return (pred, n_in) if observe else pred

@@ -30,3 +30,49 @@ def test_exports_are_compressed_files_of_bounded_rows(spark, tmp_dir):
     for multiline in (False, True):
         got = [tuple(r) for r in R.load_dataset(spark, path, df.schema, multiline=multiline).collect()]
         assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
+def test_the_answers_of_a_pair_are_not_shuffled_to_group_them(spark):
+    cfg = fx.fixture_config()
+    cfg.models["other"] = "other"
+    rows = [("d", i, f"premise {i % 30}", f"hypothesis {i % 30}", "entailment") for i in range(90)]
+    rows += [("d", 90, None, "h", "x"), ("d", 91, "", "", "x")]
+    pairs = spark.createDataFrame(rows, PAIRS)
+    factory = lambda m: lambda ps: [f"{m}:{p}" for p in ps]     # noqa: E731
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")      # groups cross the batches
+    try:
+        for partitions in (None, 3):
+            pr = predictions(pairs, factory, cfg, [fx.STUB_MODEL, "other"], unknown="keep", checkpoint=False,
+                             batch_size=2, partitions=partitions)
+            assert "collect_list" not in plan_of(pr) and "MapInPandas" in plan_of(pr)
+            got = {(r.pair_id, r.model, r.prompt_type): r.raw_answer for r in pr.collect()}
+            assert len(got) == 92 * 2 * len(cfg.prompt_types("binary"))
+            for (i, m, t), a in got.items():
+                if i == 90:
+                    assert a is None
+                else:
+                    assert a.startswith(f"{m}:{cfg.prompt('binary', t).prefix}") and (i == 91 or f"hypothesis {i % 30}" in a)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_broken_group_of_requests_is_an_error():
+    run = lambda batches: iter(batches)      # noqa: E731
+    frame = lambda keys: pd.DataFrame({"k": keys, "a": [f"{i}" for i in range(len(keys))]})      # noqa: E731
+    whole = pd.concat(_packed(run, 2, "a")([frame([1, 1, 2]), frame([2])]))
+    assert [(k, list(a)) for k, a in zip(whole["k"], whole["a"])] == [(1, ["0", "1"]), (2, ["2", "0"])]
+    for bad in ([frame([1, 2])], [frame([1, 1, 2])]):
+        with pytest.raises(ValueError):
+            list(_packed(run, 2, "a")(bad))
+
+
+def test_answers_come_back_without_the_texts_of_their_request(spark):
+    long = "a sentence of more than sixteen bytes "
+    rows = [(i, "m", f"{long}{i % 5}" if i % 6 else None, 1.0 * (i % 2)) for i in range(30)] + [(30, "m", "", 0.0), (31, None, "x", 0.0)]
+    df = spark.createDataFrame(rows, "id int, model string, text string, kind double")
+    prompt = F.concat(F.col("text"), F.lit("|"), F.col("kind").cast("string"))
+    out = generate(df, lambda m: lambda ps: [f"{m}:{p}" for p in ps], prompt, ["model", "text", "kind"])
+    join = re.search(r"Join \[(.*?)\], \[", plan_of(out)).group(1)
+    assert "_req#" in join and "kind" in join and "text#" not in join
+    got = {r.id: r.raw_answer for r in out.collect()}
+    assert got == {i: None if t is None or m is None else f"{m}:{t}|{k}" for i, m, t, k in rows}
