@@ -4,8 +4,6 @@ against paraphrased text side by side."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +52,23 @@ def accuracy_by_overlap(pred: DataFrame, by: list[str], n_bins: int = 10) -> Dat
 
 
 def matched_versions(pred: DataFrame, keys: list[str], by: list[str], version_col: str = "text_version") -> DataFrame:
-    """ANL-4 on matched pairs: each original prediction is joined to that of
+    """ANL-4 on matched pairs: each original prediction is matched to that of
     its paraphrase by ``keys`` (pair and run; null-safe) and counted as right
     or wrong before and after; ``by`` are some of the keys. Rows without a
     partner are counted apart. ``matched_delta`` is the change of accuracy over
     the pairs that have both versions. A pair with several paraphrases counts
     with each (name their source in ``by`` to keep them apart)."""
-    side = lambda v, name: (pred.filter(F.col(version_col) == v)
-                            .select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], (correct() == 1).alias(f"_{name}")))
-    same = reduce(lambda a, b: a & b, [F.col(f"_o_{k}").eqNullSafe(F.col(f"_p_{k}")) for k in keys])
-    m = side("original", "o").join(side("paraphrase", "p"), same, "full_outer")
-    o, p = F.col("_o"), F.col("_p")
-    count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
-    got = m.groupBy(*[F.coalesce(f"_o_{k}", f"_p_{k}").alias(k) for k in by]).agg(
-        count(o & p, "n_right_right"), count(o & ~p, "n_right_wrong"), count(~o & p, "n_wrong_right"),
-        count(~o & ~p, "n_wrong_wrong"), count(p.isNull(), "n_only_original"), count(o.isNull(), "n_only_paraphrase"))
+    original, hit = F.col(version_col) == "original", correct() == 1
+    # a key's joined rows are the products of its counts: one aggregate, no join
+    per_key = pred.filter(F.col(version_col).isin("original", "paraphrase")).groupBy(*keys).agg(
+        F.count_if(original & hit).alias("_or"), F.count_if(original & ~hit).alias("_ow"),
+        F.count_if(~original & hit).alias("_pr"), F.count_if(~original & ~hit).alias("_pw"))
+    o, p = F.col("_or") + F.col("_ow"), F.col("_pr") + F.col("_pw")
+    got = per_key.groupBy(*by).agg(
+        F.sum(F.col("_or") * F.col("_pr")).alias("n_right_right"), F.sum(F.col("_or") * F.col("_pw")).alias("n_right_wrong"),
+        F.sum(F.col("_ow") * F.col("_pr")).alias("n_wrong_right"), F.sum(F.col("_ow") * F.col("_pw")).alias("n_wrong_wrong"),
+        F.sum(F.when(p == 0, o).otherwise(0)).alias("n_only_original"),
+        F.sum(F.when(o == 0, p).otherwise(0)).alias("n_only_paraphrase"))
     n = F.col("n_right_right") + F.col("n_right_wrong") + F.col("n_wrong_right") + F.col("n_wrong_wrong")
     return got.withColumn("matched_delta", F.try_divide((F.col("n_wrong_right") - F.col("n_right_wrong")).cast("double"), n))
 

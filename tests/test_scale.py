@@ -76,3 +76,17 @@ def test_answers_come_back_without_the_texts_of_their_request(spark):
     assert "_req#" in join and "kind" in join and "text#" not in join
     got = {r.id: r.raw_answer for r in out.collect()}
     assert got == {i: None if t is None or m is None else f"{m}:{t}|{k}" for i, m, t, k in rows}
+
+
+def test_matched_versions_multiply_the_copies_of_a_key(spark):
+    from pairlens.operators.analysis import matched_versions
+    hit = lambda right: ("entailment", "entailment" if right else "unk")     # noqa: E731
+    rows = [("d", 1, "original", *hit(True)), ("d", 1, "original", *hit(False)), ("d", 1, "paraphrase", *hit(True)),
+            ("d", 1, "paraphrase", *hit(True)), ("d", 1, "paraphrase", *hit(False)), (None, 2, "original", *hit(True)),
+            (None, 2, "paraphrase", *hit(False)), ("d", 3, "original", *hit(True)), ("d", 3, "original", None, "unk"),
+            ("d", 4, "paraphrase", *hit(False)), ("d", 1, None, *hit(True)), ("d", 5, "draft", *hit(True))]
+    pred = spark.createDataFrame(rows, "dataset string, pair_id long, text_version string, gold_label string, prediction string")
+    got = matched_versions(pred, ["dataset", "pair_id"], ["dataset"])
+    assert "Join" not in plan_of(got)
+    by = {r.dataset: tuple(r)[1:] for r in got.collect()}
+    assert by == {"d": (2, 1, 2, 1, 2, 1, 1 / 6), None: (0, 1, 0, 0, 0, 0, -1.0)}
