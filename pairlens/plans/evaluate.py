@@ -28,6 +28,9 @@ def label_mappings(config: EvalConfig, task: str, prompt_types: list[str]) -> di
 
 PAIR = "_ph"
 FULL = "_ph_full"
+#: The store's folders that a pair's columns name; the others are those of the run.
+STORE_FOLDERS = ["dataset", "text_version", "paraphrase_source"]
+RUN = "_run_no"
 
 
 def _short(digest):
@@ -145,12 +148,16 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
         rows, n_in = observed_count(rows, "pairs_in")
     joined = rows.withColumn(PAIR, _short(_pair_digest())).join(by_pair, PAIR, "left").drop(PAIR)
 
-    runs = expand_runs(joined, specs, number_col=RUN)
-    pred = (runs.withColumn("raw_answer", F.get("_answers", F.col(RUN)))
+    def expanded(joined: DataFrame) -> DataFrame:
+        return (expand_runs(joined, specs, number_col=RUN).withColumn("raw_answer", F.get("_answers", F.col(RUN)))
                 .drop("_answers", RUN)
                 .withColumn("prediction", answer_to_label_by(
                     "raw_answer", "prompt_type", label_mappings(config, task, types))))
-    return (pred, n_in) if observe else pred
+    if not observe:
+        return expanded(joined)
+    # for the store: pairs lie together by their folder before there are several rows of each
+    folders = [c for c in STORE_FOLDERS if c in joined.columns]
+    return expanded(joined), expanded(joined.hint("rebalance", *folders) if folders else joined), n_in
 
 
 def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],
@@ -183,18 +190,18 @@ def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, mode
                    max_missing: int = 0, skip_excluded: bool = False, unknown: str = "error",
                    batch_size: int | None = None, partitions: int | None = None,
                    by: list[str] = ("dataset", "language", "text_version", "paraphrase_source")) -> DataFrame:
-    """The evaluation job: predictions written aside, row conservation and
-    missing answers checked there (CHK-2: one answered prediction per pair
-    and run), then published to the partitioned store (SNK-2/4) under a run
-    id that the store doesn't hold yet; accuracy computed
+    """The evaluation job: row conservation and missing answers checked on the
+    stored answers before any prediction is written (CHK-2: one answered
+    prediction per pair and run), then predictions written once to the
+    partitioned store (SNK-2/4), as many as were checked, and published under
+    a run id that the store doesn't hold yet; accuracy computed
     from the stored predictions (AGG-2) with partition pruning on run_id.
 
     Pairs of a dataset that doesn't list the task fail the job with their
     counts (CHK-3), unless ``skip_excluded``; so do unknown datasets, unless
     ``unknown="keep"``."""
     from ..operators.checks import check_conservation, observed_count
-    from ..session import materialize
-    from ..sources.sinks import read_predictions, run_exists, unique_run, write_predictions
+    from ..sources.sinks import commit_run, read_predictions, run_exists, stage_predictions, unique_run
 
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
@@ -206,16 +213,17 @@ def run_evaluation(pairs: DataFrame, factory: Callable, config: EvalConfig, mode
         barred = {r["dataset"]: r["n_excluded"] for r in excluded_datasets(pairs, config, task).collect()}
         if barred:
             raise ValueError(f"task {task!r} is not allowed for datasets (rows): {barred}")
-    pred, n_pairs = _answer_runs(pairs, factory, config, task, specs, types, store, True, chat,
-                                 True, unknown, batch_size, partitions)
-    # written aside first: a recomputed task never asks the generator again, and nothing wrong is published
-    pred = materialize(pred, "predictions")
+    pred, placed, n_pairs = _answer_runs(pairs, factory, config, task, specs, types, store, True, chat,
+                                         True, unknown, batch_size, partitions)
+    # answers are stored by now: counting reads them and the pairs' digests, and asks nothing again
     asked = F.col("premise").isNotNull() & F.col("hypothesis").isNotNull()
     n_pred, missing = pred.agg(F.count(F.lit(1)), F.count_if(asked & F.col("raw_answer").isNull())).first()
     check_conservation(n_pairs.get["n_rows"] * len(specs), n_pred, "predictions per pair and run")
     if missing > max_missing:
         raise ValueError(f"{missing} of {n_pred} predictions have no answer (allowed: {max_missing})")
-    write_predictions(pred, out_path, run_id=run_id)
+    attempt, n_staged = stage_predictions(placed, out_path, run_id, clustered=True)
+    check_conservation(n_pred, n_staged, "predictions staged")
+    commit_run(pairs.sparkSession, out_path, run_id, attempt, n_staged)
     stored = read_predictions(pred.sparkSession, out_path, run_id, pred.schema)
     keys = [c for c in by if c in stored.columns]
     return accuracy(stored, [*keys, "model", "prompt_type"])

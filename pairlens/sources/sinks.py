@@ -141,9 +141,10 @@ def predictions_frame(pred: DataFrame, text_version: str = "original") -> DataFr
 
 
 def stage_predictions(pred: DataFrame, path: str, run_id: str, partition_cols: list[str] | None = None,
-                      mode: str = "append") -> tuple[str, int]:
+                      mode: str = "append", clustered: bool = False) -> tuple[str, int]:
     """Write a run's rows under an attempt of their own, which no reader takes
-    yet. Returns the attempt and its number of rows."""
+    yet. Returns the attempt and its number of rows. ``clustered``: the rows
+    already lie together by their folders, and are written as they lie."""
     above = [c for c in (partition_cols or RUN_COLUMNS) if c in pred.columns]
     below = [c for c in RUN_DETAILS if c in pred.columns and c not in above]
     attempt = uuid.uuid4().hex
@@ -152,8 +153,9 @@ def stage_predictions(pred: DataFrame, path: str, run_id: str, partition_cols: l
     # cluster rows by their output folder so each task writes few files; AQE
     # splits a skewed folder (one dataset may hold a third of all rows) and
     # merges small ones
-    out = out.hint("rebalance", *above, "run_id", *below)
-    out.write.mode(mode).partitionBy(*above, "run_id", *below, "attempt").parquet(path)
+    if not clustered:
+        out = out.hint("rebalance", *above, "run_id", *below)
+    out.write.mode(mode).option("compression", "zstd").partitionBy(*above, "run_id", *below, "attempt").parquet(path)
     return attempt, seen.get["n_rows"]
 
 

@@ -78,6 +78,24 @@ def test_answers_come_back_without_the_texts_of_their_request(spark):
     assert got == {i: None if t is None or m is None else f"{m}:{t}|{k}" for i, m, t, k in rows}
 
 
+def test_an_evaluation_writes_its_predictions_once(spark, tmp_dir):
+    from pairlens.plans.evaluate import run_evaluation
+    from pairlens.session import shared_dir
+    cfg, out = fx.fixture_config(), os.path.join(tmp_dir, "pred")
+    n = len(cfg.prompt_types("binary"))
+    pairs = spark.createDataFrame([(f"d{i % 2}", i, f"premise {i}", f"hypothesis {i}", "entailment") for i in range(40)], PAIRS)
+    before = set(os.listdir(shared_dir(spark).replace("file:", "")))
+    acc = run_evaluation(pairs, lambda m: lambda ps: ["yes"] * len(ps), cfg, [fx.STUB_MODEL], out, run_id="r", by=["dataset"],
+                         unknown="keep")
+    new = set(os.listdir(shared_dir(spark).replace("file:", ""))) - before
+    assert sum(d.startswith("answers-") for d in new) == 1 and not any(d.startswith("predictions-") for d in new)
+    assert sum(r.n_total for r in acc.collect()) == 40 * n == K.commits(spark, out).first().n_rows
+    for d in ("d0", "d1"):      # rows of one folder still lie in one file
+        for t in cfg.prompt_types("binary"):
+            at = f"{out}/dataset={d}/model={fx.STUB_MODEL}/prompt_type={t}/run_id=r"
+            assert sum(f.endswith(".parquet") for _, _, fs in os.walk(at) for f in fs) == 1
+
+
 def test_matched_versions_multiply_the_copies_of_a_key(spark):
     from pairlens.operators.analysis import matched_versions
     hit = lambda right: ("entailment", "entailment" if right else "unk")     # noqa: E731
