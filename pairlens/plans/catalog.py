@@ -724,7 +724,7 @@ def paraphrase_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     column original_premise / original_hypothesis) and loaded back as the
     paraphrase version of configured datasets."""
     base = new_shared_subdir(spark, "paraphrase-files")
-    para = materialize(_paraphrased_pairs(fx.pairs(spark, sf_dir, labelled=False)), "paraphrases")
+    para = materialize(_paraphrased_pairs(fx.pairs(spark, sf_dir, labelled=False)).select(*PARA_COLS), "paraphrases")
     datasets = {}
     for side in ("p", "h"):
         path = f"{base}/side_{side}.tsv"
