@@ -32,8 +32,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +48,25 @@ from ._common import binary_list, byte_cells, slices
 
 END_ID = 1
 BARRIER = 0xFFFFFFFF
+MANY = 0xFFFF           # counts of pairs are told apart up to here
 #: Shards whose offsets may be broadcast (24 bytes each); beyond, they are joined by shuffle.
 MAX_BROADCAST_SHARDS = 100_000
 #: Bytes of text whose words are looked up together (a longer text is a slice of its own).
-SLICE_BYTES = 8 << 20
-_BUCKETS = 20           # bits of the pair-count table
+SLICE_BYTES = 4 << 20
+#: Pieces that are encoded as one text.
+JOINED = 128
+_BUCKETS = 20           # bits of the pair-count table at most: about one slot for a place that is counted
 _LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True      # what ``bytes.split`` splits on
+#: Bytes by which words are cut into pieces: letters and punctuation whose pre-token doesn't depend on what is beside
+#: them. An apostrophe begins a contraction, "<" and "|" a special token; digits and all else stay with their word.
+_LETTER, _MARK = 1, 2
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[list(b"!\"#$%&()*+,-./:;=>?@[\\]^_`{}~")] = _MARK
+#: A piece that is one pre-token: marks, or letters up to U+00FF (but the signs U+00D7 and U+00F7).
+_ONE = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{}~]+")
 
 
 def default_tokenizer() -> str:
@@ -75,13 +87,46 @@ def _ids_of_words(spec: dict) -> bool:
             and not any(a["normalized"] or a["lstrip"] or a["rstrip"] for a in spec.get("added_tokens", [])))
 
 
+def _ids_of_pieces(spec: dict) -> bool:
+    """Whether a word's ids are those of its letters and of its marks
+    (:data:`_CLASS`) apart: the pattern never matches across a letter and a
+    mark, and no special token holds such a place."""
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    marks = [bytes([i]).decode() for i in np.flatnonzero(_CLASS == _MARK).tolist()]
+    return (pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+            and all(regex.findall(pattern, f"a{m}b") == ["a", m, "b"] for m in marks)
+            and all(re.fullmatch(r"<\|[a-z]+\|>", a["content"]) for a in spec.get("added_tokens", [])))
+
+
+def pieces(buf: np.ndarray, in_word: np.ndarray, cut: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the words in UTF-8 bytes that end in white space; with
+    ``cut``, of their pieces: words are cut between a letter and a mark."""
+    edge = in_word.copy()
+    edge[1:] ^= in_word[:-1]            # where a word begins, and behind its end
+    if not cut:
+        at = np.flatnonzero(edge)
+        return at[::2], at[1::2] - at[::2]
+    kind = _CLASS[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    start = edge & in_word
+    start[1:] |= (kind[1:] ^ kind[:-1]) == _LETTER ^ _MARK
+    start = np.flatnonzero(start)
+    # a piece ends where the next one begins, or at the white space before
+    end = np.append(start[1:], len(buf))
+    last = np.append(edge[start[1:]], True)             # the last piece of each word
+    end[last] = np.flatnonzero(edge & ~in_word)
+    return start, end - start
+
+
 class WordCachedEncoder:
     """Encodes texts. Where the tokenizer lower-cases, drops white space, and
     keeps letters and punctuation apart (checked in its file), a text's ids are those of its words,
-    so words met before need no second encoding. At most ``cache_words``
-    words are kept (about 200 bytes each); when they are full, all go."""
+    or of their pieces, so those met before need no second encoding. At most ``cache_words``
+    of them are kept (about 200 bytes each); when they are full, all go."""
 
-    def __init__(self, path: str, cache_words: int = 2_400_000):
+    def __init__(self, path: str, cache_words: int = 1_000_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -89,9 +134,16 @@ class WordCachedEncoder:
         self.terminals = self.tok.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("u2" if self.terminals <= 1 << 16 else "u4")
         special = [(t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special]
-        self.by_word = bool(special) and _ids_of_words(json.loads(self.tok.to_str()))
+        spec = json.loads(self.tok.to_str())
+        self.by_word = bool(special) and _ids_of_words(spec)
+        self.by_piece = self.by_word and _ids_of_pieces(spec)
         #: a special token that parts the words of one call, and its id
         self.part, self.part_id = max(special, default=("", -1))
+        #: whether an id ends a pre-token (the model marks it)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.terminals, bool)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.limit = cache_words
         self._forget()
 
@@ -102,7 +154,37 @@ class WordCachedEncoder:
         self.begin, self.count = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
 
     def _encode_new(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, count) of distinct words."""
+        """(ids, count) of distinct words or pieces."""
+        one = [_ONE.fullmatch(w) is not None for w in new] if self.by_piece else []
+        if not any(one):
+            return self._encode_parted(new)
+        some = np.array(one)
+        got = self._encode_single([w for w, o in zip(new, one) if o])
+        if got is None:
+            return self._encode_parted(new)
+        if some.all():
+            return got
+        rest = self._encode_parted([w for w, o in zip(new, one) if not o])
+        count, own = np.empty(len(new), np.int64), np.empty(len(got[0]) + len(rest[0]), self.kind)
+        count[some], count[~some] = got[1], rest[1]
+        of = np.repeat(some, count)
+        own[of], own[~of] = got[0], rest[0]
+        return own, count
+
+    def _encode_single(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, count) of pieces that are one pre-token each, parted by
+        spaces: the last id of each is marked. None if the marks don't agree."""
+        joined = [b" ".join(new[i:i + JOINED]).decode("utf-8") for i in range(0, len(new), JOINED)]
+        cells = [e.ids for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(cells), self.kind)
+        ends = np.flatnonzero(self.ends[ids])
+        ends_in = np.searchsorted(ends, np.cumsum([len(c) for c in cells]))
+        if not np.array_equal(ends_in, np.minimum(np.arange(1, len(cells) + 1) * JOINED, len(new))) or ends[-1] + 1 != len(ids):
+            return None
+        return ids, np.diff(ends, prepend=-1)
+
+    def _encode_parted(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count) of distinct words, parted by a special token."""
         odd = [i for i, w in enumerate(new) if b"<|" in w]
         alone = {i: self.tok.encode(new[i].decode("utf-8"), add_special_tokens=False).ids for i in odd}
         plain = [b"" if i in alone else w for i, w in enumerate(new)] if odd else new
@@ -123,10 +205,11 @@ class WordCachedEncoder:
         """The numbers of distinct words, encoding those not met yet."""
         if len(self.number) + len(words) > self.limit:
             self._forget()
-        known = list(map(self.number.get, words))
-        new = [w for w, k in zip(words, known) if k is None]
-        if not new:
-            return np.array(known, np.int64)
+        known = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        unmet = np.flatnonzero(known < 0)
+        if not len(unmet):
+            return known
+        new = [words[i] for i in unmet.tolist()]
         ids, count = self._encode_new(new)
         n, m = len(self.number), len(self.number) + len(new)
         if m > len(self.begin):
@@ -139,12 +222,12 @@ class WordCachedEncoder:
         self.begin[n:m] = self.used + np.cumsum(count) - count
         self.used += len(ids)
         self.number.update(zip(new, range(n, m)))
-        numbers = iter(range(n, m))
-        return np.array([next(numbers) if k is None else k for k in known], np.int64)
+        known[unmet] = np.arange(n, m)
+        return known
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each UTF-8 text: texts are cut into words behind each
-        other, each distinct word is looked up once, and its ids are copied to
+        """The ids of each UTF-8 text: texts are cut into words or pieces behind each
+        other, each distinct one is looked up once, and its ids are copied to
         all its places. A tokenizer of another kind encodes whole texts."""
         if not self.by_word:
             whole = self.tok.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
@@ -158,8 +241,7 @@ class WordCachedEncoder:
             kept[i] = True
         buf = np.frombuffer(b" ".join(t if k else t.lower() for t, k in zip(texts, kept)) + b" ", np.uint8)
         in_word = ~_WHITE[buf]
-        start = np.flatnonzero(in_word & ~np.concatenate([[False], in_word[:-1]]))
-        size = np.flatnonzero(~in_word & np.concatenate([[False], in_word[:-1]])) - start
+        start, size = pieces(buf, in_word, self.by_piece)
         if not len(start):
             return [np.empty(0, self.kind) for _ in texts]
         words = pa.Array.from_buffers(pa.binary(), len(start), [     # a slice or one text: under 2 GB
@@ -167,7 +249,8 @@ class WordCachedEncoder:
         number = self._numbers(byte_cells(words.dictionary))[words.indices.to_numpy()]
         many = self.count[number]
         total = np.cumsum(many, dtype=np.int64)
-        ids = self.flat[np.repeat(self.begin[number] - (total - many), many) + np.arange(int(total[-1]))]
+        place = np.int32 if max(int(total[-1]), self.used) < 1 << 30 else np.int64
+        ids = self.flat[np.repeat((self.begin[number] - (total - many)).astype(place), many) + np.arange(int(total[-1]), dtype=place)]
         cuts = np.append(0, total)[np.searchsorted(start, ends)]
         return np.split(ids, cuts[:-1])
 
@@ -184,26 +267,42 @@ def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8
     document and is in no pair, until no pair occurs ``min_count`` times.
     Returns the rules (pairs) and the sequence."""
     seq, rules = ids.astype(np.uint32), []
-    # places whose pair may be frequent: at first all, later those that were and those beside new symbols (a pair of
-    # older symbols only loses occurrences)
-    may = np.flatnonzero((seq[:-1] != BARRIER) & (seq[1:] != BARRIER))
+    # how often the pair at each place may occur at most: its last count (a pair of older symbols only loses
+    # occurrences), or MANY beside new symbols. It is the same at all places of a pair, so that those of ``least`` and
+    # more, which alone are counted again, hold their pairs whole
+    bound = np.full(len(seq), MANY, np.uint16)
+
+    def no_pair_at_ends() -> None:
+        ends = np.flatnonzero(seq == BARRIER)
+        bound[ends] = 0
+        bound[ends[ends > 0] - 1] = 0
+        bound[-1:] = 0
+
+    no_pair_at_ends()
+    least = min_count
     while True:
+        may = np.flatnonzero(bound >= min(least, MANY))
         left, right = seq[may], seq[may + 1]
-        slot = ((left * _LEFT + right * _RIGHT) >> np.uint32(32 - _BUCKETS)).astype(np.intp)
-        table = np.bincount(slot, minlength=1 << _BUCKETS)
+        bits = max(10, min(_BUCKETS, len(may).bit_length()))
+        slot = ((left * _LEFT + right * _RIGHT) >> np.uint32(32 - bits)).astype(np.intp)
+        table = np.bincount(slot, minlength=1 << bits).astype(np.int32)
         size = table[slot]
-        # a pair is in a slot that counts as much at least; the fullest slots go first, all of min_count if they hold none
-        full = table[table >= min_count]
-        most = int(np.partition(full, -per_round)[-per_round]) if len(full) > per_round else min_count
-        for low in (most, min_count):
-            some = np.flatnonzero(size >= max(low, min_count))
+        bound[may] = np.minimum(size, MANY)
+        # a pair is in a slot that counts as much at least; the fullest slots go first, all of ``least`` if they hold none
+        full = table[table >= least]
+        most = int(np.partition(full, -per_round)[-per_round]) if len(full) > per_round else least
+        for low in (most, least):
+            some = np.flatnonzero(size >= low)
             key = (left[some].astype(np.uint64) << np.uint64(32)) | right[some]
             pairs, counts = np.unique(key, return_counts=True)
             pairs, counts = pairs[counts >= min_count], counts[counts >= min_count]
-            if len(pairs) or low <= min_count:
+            if len(pairs) or low <= least:
                 break
-        if not len(pairs):
+        if not len(pairs) and least <= min_count:
             break
+        least = max(min_count, most // 2)
+        if not len(pairs):
+            continue
         chosen, lefts, rights = [], set(), set()
         for pair in pairs[np.lexsort((pairs, -counts))[:per_round]].tolist():
             a, b = pair >> 32, pair & 0xFFFFFFFF
@@ -216,8 +315,8 @@ def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8
         rules += [(c >> 32, c & 0xFFFFFFFF) for c in chosen]
         by = np.argsort(np.array(chosen, np.uint64))
         known = np.array(chosen, np.uint64)[by]
-        mark = np.zeros(1 << _BUCKETS, bool)
-        mark[((known >> np.uint64(32)).astype(np.uint32) * _LEFT + known.astype(np.uint32) * _RIGHT) >> np.uint32(32 - _BUCKETS)] = True
+        mark = np.zeros(1 << bits, bool)
+        mark[((known >> np.uint64(32)).astype(np.uint32) * _LEFT + known.astype(np.uint32) * _RIGHT) >> np.uint32(32 - bits)] = True
         near = np.flatnonzero(mark[slot[some]])
         at, key = may[some[near]], key[near]
         place = np.minimum(np.searchsorted(known, key), len(known) - 1)
@@ -232,29 +331,31 @@ def repair(ids: np.ndarray, base: int, per_round: int = 2048, min_count: int = 8
         seq[at] = (first + by[place]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        look = np.zeros(len(seq), bool)
-        look[may[size >= min_count]] = True
-        look[at] = True
+        bound[at] = MANY
         before = at[at > 0] - 1
         before -= ~keep[before]
-        look[before] = True
-        look, seq = look[keep], seq[keep]
-        ends = np.flatnonzero(seq == BARRIER)
-        look[ends] = False
-        look[ends[ends > 0] - 1] = False
-        may = np.flatnonzero(look[:-1])
+        bound[before] = MANY
+        bound, seq = bound[keep], seq[keep]
+        no_pair_at_ends()
     return np.array(rules, np.uint32).reshape(-1, 2), seq
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids that each rule stands for, and its level (1: of two terminals)."""
-    length, level = [], []
-    for a, b in rules.tolist():
-        na, la = (length[a - base], level[a - base]) if a >= base else (1, 0)
-        nb, lb = (length[b - base], level[b - base]) if b >= base else (1, 0)
-        length.append(na + nb)
-        level.append(1 + max(la, lb))
-    return np.array(length, np.int64), np.array(level, np.int64)
+    left, right = rules[:, 0].astype(np.int64), rules[:, 1].astype(np.int64)
+    length, level = np.ones(base + len(rules), np.int64), np.zeros(base + len(rules), np.int64)
+    open_ = np.arange(len(rules))
+    # rules of symbols that are done, level by level
+    done = np.arange(base + len(rules)) < base
+    while len(open_):
+        a, b = left[open_], right[open_]
+        ready = done[a] & done[b]
+        now, a, b = base + open_[ready], a[ready], b[ready]
+        length[now] = length[a] + length[b]
+        level[now] = 1 + np.maximum(level[a], level[b])
+        done[now] = True
+        open_ = open_[~ready]
+    return length[base:], level[base:]
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

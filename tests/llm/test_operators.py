@@ -162,6 +162,27 @@ def test_token_ids_of_decomposed_capitals_equal_the_library():
     assert [ids.tolist() for ids in enc.encode([t.encode() for t in texts])] == want
 
 
+def test_token_ids_of_pieces_equal_the_library_and_words_share_them():
+    rnd = np.random.default_rng(7)
+    enc = token_files.WordCachedEncoder(token_files.default_tokenizer())
+    parts = ["a", "B", "z", "é", "É", "ñ", "\u00d7", "\u00f7", "'", "'s", "don't", "!", ",", ".", "|", "<", "|>", "<|endoftext|>", "7", "12",
+             "\u0301", "\u0338", "=", "\u0130", "\u2026", "\u00aa", "\u0085", "\x00", "\x1c", "</w>", " ", "\n", "word"]
+    texts = ["".join(parts[i] for i in rnd.integers(0, len(parts), n)) for n in rnd.integers(0, 30, 4000)]
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in enc.encode([t.encode() for t in texts])] == want
+    enc._forget()
+    texts = ["house house, (house) HOUSE! \"maison, maison.\" été, été."]
+    assert enc.encode([t.encode() for t in texts])[0].tolist() == enc.tok.encode(texts[0], add_special_tokens=False).ids
+    assert {b"house", b"maison", "été".encode()} <= set(enc.number) and not any(b"house" in w and w != b"house" for w in enc.number)
+
+
+def test_pieces_whose_marks_do_not_agree_are_parted_by_a_special_token():
+    enc = token_files.WordCachedEncoder(token_files.default_tokenizer())
+    enc.ends[:] = False         # as with a model that marks no end
+    text = "some words, and more (words)"
+    assert enc.encode([text.encode()])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+
+
 def test_repair_leaves_no_frequent_pair():
     rng = np.random.default_rng(2)
     end = np.array([token_files.BARRIER], np.uint32)
