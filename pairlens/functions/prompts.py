@@ -1,7 +1,8 @@
 """Prompt rendering as column expressions (TXT-1 .. TXT-4).
 
 Each renderer is a ``concat`` of literals and columns, so whole-stage
-codegen compiles it; no Python runs per row.
+codegen compiles it; no Python runs per row. :func:`pair_texts` makes the same
+pair prompts where a generator's task holds the sentences already.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..config import EXPERT_PROMPT
 
+#: What stands before the premise, between the sentences and behind the hypothesis.
+PLAIN = (" ", " -> ", ": ")
+EXPERT = ("\n Premise: ", "\n Hypothesis: ", "\n Answer: ")
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -20,16 +25,19 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def _laid_out(layout: tuple, prefix, premise, hypothesis) -> Column:
+    before, between, behind = map(F.lit, layout)
+    return F.concat(_lit(prefix), before, _col(premise), between, _col(hypothesis), behind)
+
+
 def plain_prompt(prefix, premise, hypothesis) -> Column:
     """TXT-1: ``prefix + " {p} -> {h}: "``."""
-    return F.concat(_lit(prefix), F.lit(" "), _col(premise), F.lit(" -> "),
-                    _col(hypothesis), F.lit(": "))
+    return _laid_out(PLAIN, prefix, premise, hypothesis)
 
 
 def expert_prompt(prefix, premise, hypothesis) -> Column:
     """TXT-2: ``prefix + "\\n Premise: {p}\\n Hypothesis: {h}\\n Answer: "``."""
-    return F.concat(_lit(prefix), F.lit("\n Premise: "), _col(premise),
-                    F.lit("\n Hypothesis: "), _col(hypothesis), F.lit("\n Answer: "))
+    return _laid_out(EXPERT, prefix, premise, hypothesis)
 
 
 def pair_prompt(prompt_type, prefix, premise, hypothesis) -> Column:
@@ -42,6 +50,16 @@ def pair_prompt(prompt_type, prefix, premise, hypothesis) -> Column:
         .otherwise(plain_prompt(prefix, premise, hypothesis))
 
 
+def pair_texts(prompt_type: str, prefix: str | None, premises, hypotheses) -> list:
+    """The prompts of :func:`pair_prompt` for sentences at hand; None where the
+    prefix or a sentence is missing."""
+    before, between, behind = EXPERT if prompt_type == EXPERT_PROMPT else PLAIN
+    if prefix is None:
+        return [None] * len(premises)
+    head = prefix + before
+    return [None if p is None or h is None else f"{head}{p}{between}{h}{behind}" for p, h in zip(premises, hypotheses)]
+
+
 def chat_user_text(prompt_type, premise, hypothesis) -> Column:
     """User turn of TXT-3. The expert body differs from TXT-2: no leading
     newline-space and no trailing space."""

@@ -35,24 +35,29 @@ REQ = "_req"
 PROMPT = "_prompt_digest"
 
 
+def _caller(factory: Callable) -> Callable:
+    """``call(model, prompts)``: each model's callable is loaded once per task."""
+    loaded: dict = {}
+
+    def call(model, prompts: pd.Series) -> list:
+        fn = loaded.get(model)
+        if fn is None:
+            fn = loaded[model] = factory(model)
+        got = list(fn(prompts))
+        if len(got) != len(prompts):
+            raise ValueError(f"generator returned {len(got)} answers for {len(prompts)} prompts")
+        # answers are text; None (or NaN) is a missing answer
+        return [None if a is None or (isinstance(a, float) and a != a) else str(a) for a in got]
+    return call
+
+
 def _runner(factory: Callable, model_col: str, prompt_col: str, answer_col: str,
             out_cols: list[str], batch_size: int | None = None):
     """Per-partition loop of the generator hook: load each model's callable
     once per task, feed it positional slices of each Arrow batch."""
     def run(batches):
         import numpy as np
-        loaded: dict = {}
-
-        def call(model, prompts: pd.Series) -> list:
-            fn = loaded.get(model)
-            if fn is None:
-                fn = loaded[model] = factory(model)
-            got = list(fn(prompts))
-            if len(got) != len(prompts):
-                raise ValueError(f"generator returned {len(got)} answers for {len(prompts)} prompts")
-            # answers are text; None (or NaN) is a missing answer
-            return [None if a is None or (isinstance(a, float) and a != a) else str(a) for a in got]
-
+        call = _caller(factory)
         for pdf in batches:
             n = len(pdf)
             if n == 0:
@@ -145,6 +150,41 @@ def answer_requests(requests: DataFrame, factory: Callable, prompt_col: str = "p
     return requests.mapInPandas(_packed(run, pack, answer_col) if pack else run, schema)
 
 
+def answer_runs(rows: DataFrame, factory: Callable, runs: list[tuple], inputs: list[str],
+                answer_col: str = "raw_answer", batch_size: int | None = None,
+                partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Run the generator over every run of each row: ``runs`` lists ``(model,
+    render)``, and ``render`` makes a batch's prompts from its ``inputs``.
+
+    A row goes to its generator task once, as its short inputs; the prompts
+    -- mostly a run's long constant prefix -- are made there, of one batch and
+    run at a time. Back come the columns ``keep`` (default: all) and the row's
+    answers, an array in the order of ``runs``. The other options are those of
+    :func:`answer_requests`."""
+    if partitions:
+        rows = rows.repartition(partitions)
+    kept = [f for f in rows.schema.fields if keep is None or f.name in keep]
+    names = [f.name for f in kept]
+
+    def run(batches):
+        import numpy as np
+        call = _caller(factory)
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            answers = np.empty((n, len(runs)), dtype=object)
+            step = batch_size or n
+            for lo in range(0, n, step):
+                part = [pdf[c].iloc[lo:lo + step].tolist() for c in inputs]
+                for i, (model, render) in enumerate(runs):
+                    answers[lo:lo + step, i] = call(model, pd.Series(render(*part)))
+            yield pdf[names].assign(**{answer_col: list(answers)})
+    schema = T.StructType(kept + [T.StructField(answer_col, T.ArrayType(T.StringType()), True)])
+    columns = list(dict.fromkeys([*names, *inputs]))
+    return rows.select(*columns).mapInPandas(run, schema)
+
+
 def generate(df: DataFrame, factory: Callable, prompt: Column | str = "prompt",
              keys: list[str] | None = None, model_col: str = "model",
              answer_col: str = "raw_answer", store: str | None = None,

@@ -9,11 +9,13 @@ every prompt of every dataset.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EvalConfig
-from ..functions.prompts import pair_prompt
+from ..functions.prompts import pair_prompt, pair_texts
 
 
 def run_specs(config: EvalConfig, task: str, models: list[str], prompt_types: list[str] | None = None):
@@ -79,6 +81,12 @@ def grid_prompt(specs: list[tuple], premise: str = "premise", hypothesis: str =
     return pair_prompt(pt, prefix_for(pt, specs), premise, hypothesis)
 
 
+def grid_texts(specs: list[tuple]) -> list[tuple]:
+    """Each run's model and a function that renders its prompts of a batch of
+    premises and hypotheses: those of :func:`grid_prompt`."""
+    return [(m, partial(pair_texts, t, prefix)) for m, t, prefix in specs]
+
+
 def render_grid(pairs: DataFrame, specs: list[tuple], config: EvalConfig | None = None,
                 task: str = "binary", unknown: str = "error") -> DataFrame:
     """Expand pairs over runs and render the pair prompt of each run. A prompt

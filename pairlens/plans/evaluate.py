@@ -1,7 +1,7 @@
 """End-to-end evaluation plan (the reference's evaluation scripts as one job).
 
-distinct (premise, hypothesis) --explode(runs)--> requests --render prompt-->
-generator (mapInPandas) --> one row per pair: its answers in the runs' order
+distinct (premise, hypothesis) --> generator's task (mapInPandas): every run's
+prompt rendered and asked --> one row per pair: its answers in the runs' order
 pairs LEFT JOIN those --explode(runs)--> raw answer --TXT-5--> prediction
       --AGG-2--> accuracy per (dataset, language, model, prompt type)
 """
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
 from ..operators.answer_store import AnswerStore, digest_of, prompt_digest, without
-from ..operators.generate import answer_requests
+from ..operators.generate import answer_requests, answer_runs
 from ..functions.prompts import chat_prompt
-from ..operators.grid import allowed_for, excluded_datasets, expand_runs, grid_prompt, prefix_for, run_specs
+from ..operators.grid import allowed_for, excluded_datasets, expand_runs, grid_prompt, grid_texts, prefix_for, run_specs
 from ..operators.metrics import accuracy
 
 
@@ -55,7 +55,7 @@ def _template_digests(spark, specs: list[tuple], prompt) -> dict[str, str]:
 
 
 def _stored_answers(distinct_pairs: DataFrame, specs: list[tuple], prompt, factory: Callable, store: str,
-                    batch_size: int | None, partitions: int | None) -> DataFrame:
+                    batch_size: int | None, partitions: int | None, chat: bool = False) -> DataFrame:
     """Answers of each pair, in the order of ``specs``, through the store. A
     prompt's digest is that of its template and its pair, both of fixed width:
     lookups move no sentence."""
@@ -78,8 +78,8 @@ def _stored_answers(distinct_pairs: DataFrame, specs: list[tuple], prompt, facto
         asked = expand_runs(distinct_pairs.select(PAIR, FULL), once, number_col=RUN).select(*keys, _short(digest).alias("digest"))
         known, n_known = kept.known(asked, n, "raw_answer", [m for m, _, _ in once])
     if not n_known:     # all are asked: a pair's answers stay together
-        new = materialize(_ask_all(distinct_pairs.select(PAIR, FULL, "premise", "hypothesis"), [PAIR, FULL], once, prompt,
-                                   factory, batch_size, partitions), "answered")
+        new = materialize(_ask_all(distinct_pairs.select(PAIR, FULL, "premise", "hypothesis"), [PAIR, FULL], once,
+                                   prompt if chat else None, factory, batch_size, partitions), "answered")
         each = expand_runs(new, once, number_col=RUN).select("model", digest.alias("digest"),
                                                              F.get("_answers", F.col(RUN)).alias("raw_answer"))
         kept.add(each, "raw_answer")
@@ -100,8 +100,12 @@ def _stored_answers(distinct_pairs: DataFrame, specs: list[tuple], prompt, facto
 
 def _ask_all(distinct_pairs: DataFrame, keep: list[str], specs: list[tuple], prompt, factory: Callable,
              batch_size: int | None, partitions: int | None) -> DataFrame:
-    """All runs of each pair, asked one behind the other: a row per pair with
-    the columns ``keep`` and its answers in the order of ``specs``."""
+    """All runs of each pair: a row per pair with the columns ``keep`` and its
+    answers in the order of ``specs``. ``prompt`` is given for chat messages; a
+    text prompt is made of the pair's sentences in the generator's task."""
+    if prompt is None:
+        return answer_runs(distinct_pairs, factory, grid_texts(specs), ["premise", "hypothesis"], "_answers",
+                           batch_size, partitions, keep)
     if partitions:
         distinct_pairs = distinct_pairs.repartition(partitions)
     requests = expand_runs(distinct_pairs, specs).select(*keep, "model", prompt.alias("_prompt"))
@@ -115,10 +119,12 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
     """Answers for every (pair, run).
 
     * distinct requests = distinct sentence pairs x the constant run list:
-      the pairs are deduplicated first, then expanded on the reduce side;
-    * from there on a pair is its digest: its requests are asked one behind
-      the other and come back as one row, digest and answers (one for each
-      configured run, in their order), so nothing is shuffled to group them;
+      the pairs are deduplicated first, then asked on the reduce side;
+    * a pair goes to its generator's task once, without prefixes: its prompts
+      are rendered there, a run of a batch at a time;
+    * from there on a pair is its digest: it comes back as one row, digest and
+      answers (one for each configured run, in their order), so nothing is
+      shuffled to group them;
     * the *unexpanded* pairs are joined to that row and expanded over the
       runs after the join, so the big side of the shuffle carries one row
       per pair, not one per (pair, run);
@@ -135,9 +141,9 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
     else:
         prompt = grid_prompt(specs)
     if store is not None:
-        by_pair = _stored_answers(distinct_pairs, specs, prompt, factory, store, batch_size, partitions)
+        by_pair = _stored_answers(distinct_pairs, specs, prompt, factory, store, batch_size, partitions, chat)
     else:
-        by_pair = _ask_all(distinct_pairs, [PAIR], specs, prompt, factory, batch_size, partitions)
+        by_pair = _ask_all(distinct_pairs, [PAIR], specs, prompt if chat else None, factory, batch_size, partitions)
     if checkpoint:
         from ..session import materialize
         by_pair = materialize(by_pair, "answers")

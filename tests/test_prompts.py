@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from pairlens.config import default_config
-from pairlens.functions.prompts import chat_prompt, pair_prompt, paraphrase_prompt
+from pairlens.functions.prompts import chat_prompt, pair_prompt, pair_texts, paraphrase_prompt
 
 
 def test_prompt_layouts_match_python_formatting(spark):
@@ -26,3 +26,12 @@ def test_prompt_layouts_match_python_formatting(spark):
 def test_missing_text_gives_null_prompt(spark):
     df = spark.createDataFrame([(None, "h")], "premise string, hypothesis string")
     assert df.select(pair_prompt("x", F.lit("P"), "premise", "hypothesis").alias("a")).first().a is None
+
+
+def test_prompts_made_in_a_task_are_those_of_the_column(spark):
+    rows = [("The sky wept.", "It rained."), ("", ""), ("é\U0001f600 {p}", "%s\n->: "), (None, "h"), ("p", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, premise string, hypothesis string").orderBy("i")
+    for t in ("chain", "qa-zero-ent"):
+        for prefix in ("Say: {p}", "", None):
+            want = [r.a for r in df.select(pair_prompt(t, F.lit(prefix).cast("string"), "premise", "hypothesis").alias("a")).collect()]
+            assert pair_texts(t, prefix, *zip(*rows)) == want

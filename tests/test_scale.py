@@ -56,6 +56,29 @@ def test_the_answers_of_a_pair_are_not_shuffled_to_group_them(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_pair_goes_to_the_generator_once_without_prefixes(spark):
+    cfg = fx.fixture_config()
+    cfg.models["other"] = "other"
+    texts = [(f"première {i % 20} \U0001f600\n->", f"{{h}}: %s {i % 20}") for i in range(60)] + [("", ""), (None, "h"), ("p", None)]
+    pairs = spark.createDataFrame([("d", i, p, h, "entailment") for i, (p, h) in enumerate(texts)], PAIRS)
+
+    def factory(model):
+        def fn(prompts):
+            assert isinstance(prompts, pd.Series) and list(prompts.index) == list(range(len(prompts))) and len(prompts) <= 3
+            return [f"{model}|{p}" for p in prompts]
+        return fn
+    pr = predictions(pairs, factory, cfg, [fx.STUB_MODEL, "other"], unknown="keep", checkpoint=False, batch_size=3)
+    plan = plan_of(pr)
+    below = plan[plan.index("MapInPandas"):]
+    assert "Say which is the inference" not in plan and "Generate explode" not in below, below
+    got = {(r.pair_id, r.model, r.prompt_type): r.raw_answer for r in pr.collect()}
+    assert len(got) == len(texts) * 2 * len(cfg.prompt_types("binary"))
+    for (i, m, t), a in got.items():
+        p, h = texts[i]
+        layout = "\n Premise: {}\n Hypothesis: {}\n Answer: " if t == "chain" else " {} -> {}: "
+        assert a == (None if p is None or h is None else f"{m}|{cfg.prompt('binary', t).prefix}{layout.format(p, h)}")
+
+
 def test_a_broken_group_of_requests_is_an_error():
     run = lambda batches: iter(batches)      # noqa: E731
     frame = lambda keys: pd.DataFrame({"k": keys, "a": [f"{i}" for i in range(len(keys))]})      # noqa: E731
