@@ -6,9 +6,21 @@ Layout::
         digest binary   sha256 of the prompt as sent
         answer string
         at     bigint   time of the write (the earliest answer counts)
+    <path>/model=r-<list>/bucket=<0 .. BUCKETS-1>/part-*.parquet
+        digest  binary          the first half of a sentence pair's sha256
+        answers array<string>   its answers by the runs of a list
+        places  array<int>      their places in the list; NULL: all, in order
+        at      bigint
+    <path>/_runs/part-*.parquet
+        list string, place int, model string (folder), template string
+
+An evaluation asks a list of runs (model, template of the prompt) of each pair:
+the list is named once, under ``_runs``, and a pair's answers are one row.
+A run whose model and template no list names has no answer here; its lookup
+reads ``_runs`` and nothing else.
 
 An answer belongs to the model and to the prompt as sent, nothing else: an
-other prefix or layout is another digest. A lookup joins on the first half
+other prefix or layout is another digest, or another template. A lookup joins on the first half
 of the digest; sentences never travel for it. What it reads is cut three times by
 the current requests: their models and buckets prune folders, and their
 hashes, where they are few enough for a bounded broadcast, keep other rows
@@ -20,6 +32,8 @@ go on with their own; every later reader takes the earliest.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from typing import Callable
 
@@ -33,11 +47,22 @@ BUCKETS = 64
 SLOTS = 1 << 20
 #: Distinct models that are listed for pruning; with more, all models' folders are read.
 MAX_MODELS = 1000
+#: Where the lists of runs are named; Spark skips such a folder when it reads the store's.
+LISTS = "/_runs"
+#: In packed answers: what parts them, and a missing one; how answers write these characters and the first of the codes.
+_NEXT, _MISSING = "\u0001", "\u0002"
+_MARKS = [("\u0003", "\u00033"), (_NEXT, "\u00031"), (_MISSING, "\u00032")]
 
 SCHEMA = T.StructType([
     T.StructField("digest", T.BinaryType()), T.StructField("answer", T.StringType()),
     T.StructField("at", T.LongType()), T.StructField("model", T.StringType()),
     T.StructField("bucket", T.IntegerType())])
+PAIR_SCHEMA = T.StructType([
+    T.StructField("digest", T.BinaryType()), T.StructField("answers", T.ArrayType(T.StringType())),
+    T.StructField("places", T.ArrayType(T.IntegerType())), *SCHEMA.fields[2:]])
+LIST_SCHEMA = T.StructType([
+    T.StructField("list", T.StringType()), T.StructField("place", T.IntegerType()),
+    T.StructField("model", T.StringType()), T.StructField("template", T.StringType())])
 
 
 def digest_of(text: Column) -> Column:
@@ -57,11 +82,35 @@ def prompt_digest(prompt: Column, kind: T.DataType) -> Column:
     return digest_of(prompt if isinstance(kind, T.StringType) else F.to_json(prompt))
 
 
+def pack_answers(answers: Column) -> Column:
+    """An array of answers as one text, to be shuffled: an array takes 16 bytes
+    an element besides its texts. :func:`unpack_answers` gives the array back."""
+    def marked(a):
+        for mark, code in _MARKS:
+            a = F.replace(a, F.lit(mark), F.lit(code))
+        return F.coalesce(a, F.lit(_MISSING))
+    return F.when(answers.isNotNull(), F.array_join(F.transform(answers, marked), _NEXT))
+
+
+def unpack_answers(packed: Column) -> Column:
+    """The array of :func:`pack_answers` (of one answer or more)."""
+    def plain(a):
+        out = a
+        for mark, code in reversed(_MARKS):
+            out = F.replace(out, F.lit(code), F.lit(mark))
+        return F.when(a != F.lit(_MISSING), out)
+    return F.transform(F.split(packed, _NEXT), plain)
+
+
 def folder_of(model: Column) -> Column:
     """A model's folder name: a missing and an empty name have one, too."""
     return F.coalesce(F.concat(F.lit("m-"), model), F.lit("none"))
 
 
+def _folder(model: str | None) -> str:
+    return "none" if model is None else f"m-{model}"
+
+
 def _half(digest: Column) -> Column:
     """What lookups join on; a digest's half is as good as the digest (:func:`short_digest`)."""
     return F.substring(digest, 1, 16)
@@ -79,11 +128,11 @@ class AnswerStore:
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
 
-    def rows(self) -> DataFrame | None:
+    def rows(self, schema: T.StructType = SCHEMA, folder: str = "") -> DataFrame | None:
         """The whole store; None where nothing is stored yet."""
         from ..sources.readers import missing_path
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(self.path + folder)
         except Exception as exc:
             if missing_path(exc):
                 return None
@@ -100,7 +149,11 @@ class AnswerStore:
         if models is None:
             models = [r.model for r in asked.select("model").distinct().limit(MAX_MODELS + 1).collect()]
         if len(models) <= MAX_MODELS:
-            rows = rows.filter(F.col("model").isin(["none" if m is None else f"m-{m}" for m in models]))
+            rows = rows.filter(F.col("model").isin([_folder(m) for m in models]))
+        return self._near(rows, asked, n)
+
+    def _near(self, rows: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+        """Of ``rows`` those in the buckets and of the hashes of ``asked``."""
         if n <= SLOTS // 2:
             buckets = [r.b for r in asked.select(_bucket(F.col("digest")).alias("b")).distinct().collect()]
             if len(buckets) < BUCKETS:
@@ -124,7 +177,7 @@ class AnswerStore:
         mine = asked.withColumn("_folder", folder_of(F.col("model"))).withColumn("_half", _half(F.col("digest")))
         got = materialize(mine.join(rows, ["_folder", "_half"], "left" if unknown else "inner")
                           .drop("_folder", "_half").withColumn("known", F.coalesce("known", F.lit(False))), "looked-up")
-        if got.count() > n:     # two writers stored an answer to one request
+        if not unknown or got.count() > n:      # two writers stored an answer to one request
             got = got.groupBy(*asked.columns, "known").agg(F.min_by(answer_col, F.struct("at", answer_col)).alias(answer_col))
         return got.select(*asked.columns, answer_col, "known")
 
@@ -135,6 +188,60 @@ class AnswerStore:
         out = out.hint("rebalance", "model", "bucket").withColumn("at", F.lit(time.time_ns()))
         out.write.mode("append").partitionBy("model", "bucket").parquet(self.path)
 
+    def lists_with(self, runs: list[tuple]) -> dict[str, list]:
+        """The stored lists that name some of ``runs`` (model, template): for
+        each place of a list the number of its run in ``runs``, or None."""
+        named = self.rows(LIST_SCHEMA, LISTS)
+        if named is None:
+            return {}
+        number = {(_folder(m), t): i for i, (m, t) in enumerate(runs)}
+        # what comes to the driver is bounded: the runs of lists with a template that is asked for
+        some = named.join(named.filter(F.col("template").isin([t for _, t in runs])).select("list").distinct(), "list", "left_semi")
+        found: dict[str, dict] = {}
+        for r in some.collect():
+            found.setdefault(r.list, {})[r.place] = number.get((r.model, r.template))
+        places = {name: [at[i] for i in range(len(at))] for name, at in found.items()}
+        return {name: at for name, at in places.items() if any(i is not None for i in at)}
+
+    def look_up_runs(self, pairs: DataFrame, n: int, lists: dict[str, list], pair_col: str) -> DataFrame:
+        """The pairs (``pair_col``: halves of their digests, distinct; ``n``)
+        that have answers under ``lists``, with ``by_run``: the earliest answer
+        of each run that has one."""
+        from ..session import materialize
+        asked = pairs.select(F.col(pair_col).alias("digest"))
+        rows = self.rows(PAIR_SCHEMA).filter(F.col("model").isin(sorted(lists)))
+        numbers = F.create_map(*[x for name, at in lists.items()
+                                 for x in (F.lit(name), F.array(*[F.lit(i).cast("int") for i in at]))])[F.col("model")]
+        places = F.coalesce("places", F.sequence(F.lit(0), F.size("answers") - 1))
+        answered = F.zip_with(places, "answers", lambda p, a: F.struct(F.get(numbers, p).alias("run"), a.alias("answer")))
+        rows = self._near(rows, asked, n).select("digest", F.struct("at", F.filter(answered, lambda x: x["run"].isNotNull()).alias("answered")).alias("row"))
+        # lists may share runs, and two writers may have stored one pair: in the order of their writes
+        got = asked.join(rows, "digest").groupBy("digest").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+        got = got.select("digest", F.flatten("rows.answered").alias("all"))
+        first = F.transform(F.array_distinct("all.run"), lambda r: F.struct(
+            r.alias("run"), F.get(F.filter("all", lambda x: x["run"] == r), F.lit(0))["answer"].alias("answer")))
+        return materialize(got.select(F.col("digest").alias(pair_col), F.map_from_entries(first).alias("by_run")), "looked-up")
+
+    def add_runs(self, answers: DataFrame, runs: list[tuple], pair_col: str, answers_col: str,
+                 places_col: str | None = None) -> None:
+        """Append the pairs' answers by the list ``runs`` (model, template):
+        all of it, or the places ``places_col``. The list is named first."""
+        named = [(_folder(m), t) for m, t in runs]
+        name = "r-" + hashlib.sha256(json.dumps(named).encode()).hexdigest()[:32]
+        if name not in self.lists_with(runs):
+            lines = [(name, i, m, t) for i, (m, t) in enumerate(named)]
+            self.spark.createDataFrame(lines, LIST_SCHEMA).coalesce(1).write.mode("append").parquet(self.path + LISTS)
+        out = answers.select(F.col(pair_col).alias("digest"), pack_answers(F.col(answers_col)).alias("answers"),
+                             *([F.col(places_col).alias("places")] if places_col else []), _bucket(F.col(pair_col)).alias("bucket"))
+        out = (out.hint("rebalance", "bucket").withColumn("answers", unpack_answers(F.col("answers")))
+               .withColumn("at", F.lit(time.time_ns())).withColumn("model", F.lit(name)))
+        out.write.mode("append").option("compression", "zstd").partitionBy("model", "bucket").parquet(self.path)
+
+    def has_single(self, models: list) -> bool:
+        """Whether answers by prompt are stored for one of ``models``."""
+        rows = self.rows()
+        return rows is not None and not rows.filter(F.col("model").isin([_folder(m) for m in models])).isEmpty()
+
     def known(self, asked: DataFrame, n: int, answer_col: str, models: list | None = None) -> tuple[DataFrame | None, int]:
         """The rows of ``asked`` (``n``) that have a stored answer, with it, and their number."""
         found = self.look_up(asked, n, answer_col, models, unknown=False)

@@ -21,7 +21,7 @@ from ..functions.prompts import chat_prompt, pair_prompt, paraphrase_prompt, sid
 from ..operators import analysis as A
 from ..operators import checks as C
 from ..operators import prepare as PR
-from ..operators.grid import excluded_datasets, expand_runs, prefix_for, render_grid, run_specs
+from ..operators.grid import allowed_for, excluded_datasets, expand_runs, prefix_for, render_grid, run_specs
 from ..operators.metrics import accuracy, distinct_labels
 from ..operators.runs import reuse_consecutive
 from ..sources import readers as R
@@ -31,7 +31,7 @@ from ..sources.config import read_config_tables, run_table
 from ..session import materialize, new_shared_subdir
 from . import fixtures as fx
 from . import sql as S
-from .evaluate import label_mappings, predictions
+from .evaluate import by_digest, distinct_sentences, label_mappings, predictions
 
 TASK = "binary"
 KEYS = ["dataset", "pair_id", "pair_no"]
@@ -753,13 +753,17 @@ def stored_answers_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GEN-1 with an answer store: the second pass has other prompt prefixes
     and must not get the first pass's answers."""
     store = new_shared_subdir(spark, "answers") + "/store"
-    p = materialize(fx.pairs(spark, sf_dir, labelled=False), "pairs")
+    # both passes ask the same sentences; labels only say how often a pair's rows come, and meet digests
+    pairs = fx.document_pairs(spark, sf_dir)
+    asked = materialize(distinct_sentences(pairs.filter(allowed_for(F.col("dataset"), _cfg(), TASK, "keep"))), "pairs")
+    p = fx.per_label(by_digest(pairs.select(*KEYS, "premise", "hypothesis")), spark, sf_dir)
     passes = []
     for n, extra in enumerate(("", RERUN_PREFIX)):
         cfg = _cfg()
         for t, spec in cfg.prompts[TASK].items():
             cfg.prompts[TASK][t] = replace(spec, prefix=extra + spec.prefix)
-        pr = predictions(p, fx.stub_factory, cfg, [fx.STUB_MODEL], TASK, unknown="keep", store=store)
+        pr = predictions(p, fx.stub_factory, cfg, [fx.STUB_MODEL], TASK, unknown="keep", store=store,
+                         sentences=asked)
         passes.append(pr.select(F.lit(n).cast("bigint").alias("pass_no"), *KEYS, "prompt_type", "raw_answer"))
     return passes[0].unionByName(passes[1])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import EvalConfig
 from ..functions.answers import answer_to_label_by
-from ..operators.answer_store import AnswerStore, digest_of, prompt_digest, without
+from ..operators.answer_store import AnswerStore, digest_of, pack_answers, prompt_digest, unpack_answers
 from ..operators.generate import answer_requests, answer_runs
 from ..functions.prompts import chat_prompt
 from ..operators.grid import allowed_for, excluded_datasets, expand_runs, grid_prompt, grid_texts, prefix_for, run_specs
@@ -43,6 +43,16 @@ def _pair_digest():
     return digest_of(F.concat(F.char_length("premise").cast("string"), F.lit(":"), F.col("premise"), F.col("hypothesis")))
 
 
+def distinct_sentences(pairs: DataFrame) -> DataFrame:
+    """The sentence pairs that are asked for ``pairs``: each once, whole ones only."""
+    return pairs.select("premise", "hypothesis").dropna().dropDuplicates()
+
+
+def by_digest(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the digest that answers are joined by in place of their sentences."""
+    return pairs.withColumn(PAIR, _short(_pair_digest())).drop("premise", "hypothesis")
+
+
 def _template_digests(spark, specs: list[tuple], prompt) -> dict[str, str]:
     """Digest of each prompt type's layout and prefix: of the prompt that it
     makes of two markers (one row per configured prompt type)."""
@@ -56,9 +66,9 @@ def _template_digests(spark, specs: list[tuple], prompt) -> dict[str, str]:
 
 def _stored_answers(distinct_pairs: DataFrame, specs: list[tuple], prompt, factory: Callable, store: str,
                     batch_size: int | None, partitions: int | None, chat: bool = False) -> DataFrame:
-    """Answers of each pair, in the order of ``specs``, through the store. A
-    prompt's digest is that of its template and its pair, both of fixed width:
-    lookups move no sentence."""
+    """Answers of each pair, in the order of ``specs``, through the store, as a
+    table. A prompt is named by its template's and its pair's digest: a pair and
+    its answers are one row of the store, and lookups move no sentence."""
     from ..session import materialize
     spark = distinct_pairs.sparkSession
     templates = _template_digests(spark, specs, prompt)
@@ -67,35 +77,57 @@ def _stored_answers(distinct_pairs: DataFrame, specs: list[tuple], prompt, facto
     once = [s for s in specs if first[templates[s[1]]] == s[1]]
     place = {(m, t): i for i, (m, t, _) in enumerate(once)}
     placed = [place[m, first[templates[t]]] for m, t, _ in specs]
-    in_order = F.array(*[F.get("_answers", F.lit(i)) for i in placed])
-    template = F.create_map(*[F.lit(x) for t in templates.items() for x in t])
-    digest = digest_of(F.concat(template[F.col("prompt_type")], F.hex(FULL)))
-    kept, known, n_known, n = AnswerStore(spark, store), None, 0, 0
-    keys = [PAIR, RUN, "model"]
-    if kept.rows() is not None:     # pairs are read for the lookup, and again for what must be asked
+    runs = [(m, templates[t]) for m, t, _ in once]
+    kept, by_run = AnswerStore(spark, store), None
+    lists, single = kept.lists_with(runs), kept.has_single([m for m, _ in runs])
+    n = n_known = 0
+    if lists or single:     # pairs are read for the lookup, and again for what must be asked
         distinct_pairs = materialize(distinct_pairs, "pairs")
-        n = distinct_pairs.count() * len(once)
-        asked = expand_runs(distinct_pairs.select(PAIR, FULL), once, number_col=RUN).select(*keys, _short(digest).alias("digest"))
-        known, n_known = kept.known(asked, n, "raw_answer", [m for m, _, _ in once])
+        n = distinct_pairs.count()
+        if lists:
+            by_run = kept.look_up_runs(distinct_pairs.select(PAIR), n, lists, PAIR)
+        if single:
+            by_run = _with_single(by_run, distinct_pairs, n, once, templates, kept)
+        n_known = 0 if by_run is None else by_run.agg(F.sum(F.size("by_run"))).first()[0] or 0
     if not n_known:     # all are asked: a pair's answers stay together
-        new = materialize(_ask_all(distinct_pairs.select(PAIR, FULL, "premise", "hypothesis"), [PAIR, FULL], once,
+        new = materialize(_ask_all(distinct_pairs.select(PAIR, "premise", "hypothesis"), [PAIR], once,
                                    prompt if chat else None, factory, batch_size, partitions), "answered")
-        each = expand_runs(new, once, number_col=RUN).select("model", digest.alias("digest"),
-                                                             F.get("_answers", F.col(RUN)).alias("raw_answer"))
-        kept.add(each, "raw_answer")
+        kept.add_runs(new, runs, PAIR, "_answers")
+        in_order = F.col("_answers") if placed == list(range(len(once))) else F.array(*[F.get("_answers", F.lit(i)) for i in placed])
         return new.select(PAIR, in_order.alias("_answers"))
-    answers = known.select(PAIR, RUN, "raw_answer")
-    if n_known < n:     # sentences are fetched for what must be asked, nothing else
-        runs = F.create_map(*[x for i, s in enumerate(once) for x in (F.lit(i), F.lit(s[1]))])
-        requests = without(asked, known).select(*keys).join(distinct_pairs, PAIR).withColumn("prompt_type", runs[F.col(RUN)])
-        new = materialize(answer_requests(requests.select(*keys, digest.alias("digest"), prompt.alias("_prompt")), factory,
-                                          "_prompt", "model", "raw_answer", batch_size, partitions,
-                                          keep=[*keys, "digest"]), "answered")
-        kept.add(new, "raw_answer")
-        answers = answers.unionByName(new.select(PAIR, RUN, "raw_answer"))
-    by_run = F.map_from_entries(F.collect_list(F.struct(RUN, "raw_answer")))
-    return answers.groupBy(PAIR).agg(by_run.alias("_by_run")).select(
-        PAIR, F.array(*[F.try_element_at("_by_run", F.lit(i)) for i in placed]).alias("_answers"))
+    if n_known < n * len(once):     # sentences are fetched for what must be asked, nothing else
+        every = F.array(*[F.lit(i) for i in range(len(once))])
+        lacks = F.array_except(every, F.coalesce(F.map_keys("by_run"), F.array().cast("array<int>")))
+        model, kind = (F.array(*[F.lit(s[k]) for s in once]) for k in (0, 1))
+        requests = (distinct_pairs.join(by_run, PAIR, "left").select(PAIR, "premise", "hypothesis", F.explode(lacks).alias(RUN))
+                    .withColumn("model", F.get(model, F.col(RUN))).withColumn("prompt_type", F.get(kind, F.col(RUN))))
+        new = materialize(answer_requests(requests.select(PAIR, RUN, "model", prompt.alias("_prompt")), factory, "_prompt",
+                                          "model", "raw_answer", batch_size, partitions, keep=[PAIR, RUN]), "answered")
+        entries = new.groupBy(PAIR).agg(F.sort_array(F.collect_list(F.struct(F.col(RUN).alias("run"), F.col("raw_answer").alias("answer")))).alias("new"))
+        kept.add_runs(entries.select(PAIR, F.col("new.run").alias("places"), F.col("new.answer").alias("_answers")),
+                      runs, PAIR, "_answers", "places")
+        by_run = by_run.select(PAIR, "by_run").join(entries, PAIR, "full").select(PAIR, F.map_concat(*[
+            F.coalesce(m, F.map_from_entries(F.array().cast("array<struct<run:int,answer:string>>")))
+            for m in (F.col("by_run"), F.map_from_entries("new"))]).alias("by_run"))
+    return materialize(by_run.select(PAIR, F.array(*[F.try_element_at("by_run", F.lit(i)) for i in placed]).alias("_answers")), "answers")
+
+
+def _with_single(by_run: DataFrame | None, distinct_pairs: DataFrame, n: int, once: list[tuple], templates: dict,
+                 kept: AnswerStore) -> DataFrame | None:
+    """``by_run`` and, for the runs that it lacks, the answers that are stored
+    one by one, by the digest of template and pair."""
+    template = F.create_map(*[F.lit(x) for t in templates.items() for x in t])
+    digest = digest_of(F.concat(template[F.col("prompt_type")], F.hex(FULL)))
+    asked = expand_runs(distinct_pairs.select(PAIR, FULL), once, number_col=RUN).select(PAIR, RUN, "model", _short(digest).alias("digest"))
+    found, n_found = kept.known(asked, n * len(once), "answer", list(dict.fromkeys(m for m, _, _ in once)))
+    if not n_found:
+        return by_run
+    found = found.groupBy(PAIR).agg(F.map_from_entries(F.collect_list(F.struct(RUN, "answer"))).alias("single"))
+    if by_run is None:
+        return found.withColumnRenamed("single", "by_run")
+    both = by_run.join(found, PAIR, "full")
+    merged = F.map_concat("by_run", F.map_filter("single", lambda run, _: ~F.map_contains_key("by_run", run)))
+    return both.select(PAIR, F.coalesce(merged, "by_run", "single").alias("by_run"))
 
 
 def _ask_all(distinct_pairs: DataFrame, keep: list[str], specs: list[tuple], prompt, factory: Callable,
@@ -115,7 +147,8 @@ def _ask_all(distinct_pairs: DataFrame, keep: list[str], specs: list[tuple], pro
 def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task: str,
                  specs: list[tuple], types: list[str], store: str | None, checkpoint: bool,
                  chat: bool, observe: bool = False, unknown: str = "error",
-                 batch_size: int | None = None, partitions: int | None = None):
+                 batch_size: int | None = None, partitions: int | None = None,
+                 sentences: DataFrame | None = None):
     """Answers for every (pair, run).
 
     * distinct requests = distinct sentence pairs x the constant run list:
@@ -133,8 +166,8 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
       plain exchanges, so AQE can split a pair that many rows share.
     """
     allowed = pairs.filter(allowed_for(F.col("dataset"), config, task, unknown))      # CHK-3
-    distinct_pairs = allowed.select("premise", "hypothesis").dropDuplicates() \
-        .withColumn(FULL, _pair_digest()).filter(F.col(FULL).isNotNull()).withColumn(PAIR, _short(F.col(FULL)))
+    asked = distinct_sentences(allowed) if sentences is None else sentences
+    distinct_pairs = asked.withColumn(FULL, _pair_digest()).withColumn(PAIR, _short(F.col(FULL)))
     pt = F.col("prompt_type")
     if chat:   # TXT-3: the generator receives [{role, content}, ...] per request
         prompt = chat_prompt(pt, prefix_for(pt, specs), "premise", "hypothesis")
@@ -144,17 +177,20 @@ def _answer_runs(pairs: DataFrame, factory: Callable, config: EvalConfig, task:
         by_pair = _stored_answers(distinct_pairs, specs, prompt, factory, store, batch_size, partitions, chat)
     else:
         by_pair = _ask_all(distinct_pairs, [PAIR], specs, prompt if chat else None, factory, batch_size, partitions)
-    if checkpoint:
-        from ..session import materialize
-        by_pair = materialize(by_pair, "answers")
+        if checkpoint:
+            from ..session import materialize
+            by_pair = materialize(by_pair, "answers")
     rows = allowed
     n_in = None
     if observe:
         from ..operators.checks import observed_count
         rows, n_in = observed_count(rows, "pairs_in")
-    joined = rows.withColumn(PAIR, _short(_pair_digest())).join(by_pair, PAIR, "left").drop(PAIR)
+    keyed = rows if PAIR in rows.columns else rows.withColumn(PAIR, _short(_pair_digest()))
+    by_pair = by_pair.select(PAIR, pack_answers(F.col("_answers")).alias("_answers"))
+    joined = keyed.join(by_pair, PAIR, "left").drop(PAIR)
 
     def expanded(joined: DataFrame) -> DataFrame:
+        joined = joined.withColumn("_answers", unpack_answers(F.col("_answers")))
         return (expand_runs(joined, specs, number_col=RUN).withColumn("raw_answer", F.get("_answers", F.col(RUN)))
                 .drop("_answers", RUN)
                 .withColumn("prediction", answer_to_label_by(
@@ -170,16 +206,19 @@ def predictions(pairs: DataFrame, factory: Callable, config: EvalConfig, models:
                 task: str = "binary", prompt_types: list[str] | None = None,
                 store: str | None = None, checkpoint: bool = True,
                 chat: bool = False, unknown: str = "error", batch_size: int | None = None,
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, sentences: DataFrame | None = None) -> DataFrame:
     """One row per (pair, model, prompt type): raw answer and prediction.
     A request is (model, prompt type, premise, hypothesis); its prompt is
     rendered only once per distinct request. ``checkpoint`` runs the generator
     now and stores its answers; without it the plan stays lazy, and a lost
-    task asks again. ``unknown``: see :func:`allowed_for`."""
+    task asks again. ``unknown``: see :func:`allowed_for`. ``sentences``: what
+    :func:`distinct_sentences` gives for ``pairs`` (those of allowed datasets),
+    where the caller asks several times or can build it with less; ``pairs`` may
+    then be those of :func:`by_digest`."""
     types = prompt_types or config.prompt_types(task)
     specs = run_specs(config, task, models, types)
     return _answer_runs(pairs, factory, config, task, specs, types, store, checkpoint, chat,
-                        unknown=unknown, batch_size=batch_size, partitions=partitions)
+                        unknown=unknown, batch_size=batch_size, partitions=partitions, sentences=sentences)
 
 
 def evaluate(pairs: DataFrame, factory: Callable, config: EvalConfig, models: list[str],

@@ -131,3 +131,33 @@ def test_matched_versions_multiply_the_copies_of_a_key(spark):
     assert "Join" not in plan_of(got)
     by = {r.dataset: tuple(r)[1:] for r in got.collect()}
     assert by == {"d": (2, 1, 2, 1, 2, 1, 1 / 6), None: (0, 1, 0, 0, 0, 0, -1.0)}
+
+
+def test_a_rerun_has_the_rows_of_repeated_labels_and_writes_sentences_once(spark, tmp_dir, monkeypatch):
+    import duckdb
+
+    from pairlens.plans import catalog
+    texts = ["A one. B two. C three", "A one. B two. C three", None, "", "single", "D four. E five"]
+    docs = [(i if i < 5 else None, t, "en", f"s{i % 2}") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_dir}/documents.parquet")
+    labels = [(0, 1, 0), (0, 0, 1), (3, 1, 1), (None, 1, 0), (9, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_dir}/labels.parquet")
+    written, own = [], catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, prefix: (written.append(df.columns), own(df, prefix))[1])
+    got = catalog.stored_answers_rerun(spark, tmp_dir)
+    assert written == [["premise", "hypothesis"]]
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_dir}/{t}.parquet/*.parquet')")
+    want = con.execute(catalog.stored_answers_rerun_sql()).fetchall()
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want)) and len(want) == 2 * 5 * 10
+
+
+def test_the_answers_of_a_pair_are_one_text_in_the_shuffle(spark):
+    rows = [("d", i, f"premise {i % 30}", f"hypothesis {i % 30}", "entailment") for i in range(90)]
+    pr = predictions(spark.createDataFrame(rows, PAIRS), lambda m: lambda ps: [f"{p[-9:]}\u0001" for p in ps], fx.fixture_config(),
+                     [fx.STUB_MODEL], unknown="keep")
+    plan = plan_of(pr)
+    answers = plan[plan.rindex("Exchange"):]
+    assert "array_join" in answers and "split(" not in answers and "array_join" not in plan[:plan.rindex("Exchange")]
+    assert all(r.raw_answer.endswith("\u0001") for r in pr.collect())
